@@ -82,3 +82,18 @@ def output_frame(df: DataFrame) -> DataFrame:
             c = c.cast("double")
         cols.append(c.alias(f.name))
     return df.select(*cols)
+
+
+def exact_mean(total, n, digits: int) -> Column:
+    """``total / n`` rounded half-up to ``digits`` decimals, computed in
+    integers: ``total`` (an exact decimal sum) is scaled to whole units,
+    then divided with integer division. Gives the same double in every
+    engine, unlike rounding a binary average."""
+    units = (col(total) * F.lit(10 ** digits)).cast("decimal(38,0)").cast("bigint")
+    two_n = col(n).cast("bigint") * 2
+    return _idiv(units * 2 + col(n).cast("bigint"), two_n).cast("double") / float(10 ** digits)
+
+
+def _idiv(a: Column, b: Column) -> Column:
+    """Integer division of two bigint Columns (floor for non-negative values)."""
+    return F.when(b != 0, (a - F.pmod(a, b)) / b).cast("bigint")

@@ -159,3 +159,125 @@ def _funnel(t):
 @query("seasonal_months")
 def _season(t):
     return m.seasonal_months(sales(t))
+
+
+# --- filters, ledger, set operations ------------------------------------------
+
+from ..operators import ledger as led  # noqa: E402
+from ..operators import timeseries as ts  # noqa: E402
+
+FILTER_COLUMNS = ["id", "user_id", "date", "category", "total_sales"]
+FILTER_CASES = {
+    "filter_date_range": {"start_date": "1996-01-01", "end_date": "1998-12-31"},
+    "filter_dims_ci": {"region": "asia", "country": "nation_8", "payment_method": "upi",
+                       "sales_channel": "ONLINE"},
+    "filter_calendar": {"year": "1997", "quarter": "Q2", "month": "may", "day": "friday"},
+    "filter_low_stock": {"low_stock": True},
+    "filter_all_combined": {"start_date": "1995-06-01", "end_date": "2000-12-31",
+                            "business_category": "medium", "brand": "brand#4",
+                            "customer_type": "champions", "store": "store 4",
+                            "inventory_status": "healthy", "gender": ""},
+}
+for _k, _f in FILTER_CASES.items():
+    query(_k)(lambda t, f=_f: flt.apply_filters(sales(t), f).select(*FILTER_COLUMNS))
+
+
+@query("filter_options")
+def _options(t):
+    return flt.filter_options(sales(t))
+
+
+@query("ledger_sorted")
+def _ledger_sorted(t):
+    """L4: tenant 2's ledger sorted by customer (case-insensitive), descending."""
+    s = sales(t).where(F.col("user_id") == 2).select("id", "customer_id", "product_name", "total_sales")
+    return led.ledger_sorted(s, "customer_id", ascending=False)
+
+
+@query("ledger_page")
+def _ledger_page(t):
+    """Page 3 of tenant 1's ledger sorted by revenue."""
+    s = sales(t).where(F.col("user_id") == 1).select("id", "product_name", "total_sales")
+    return led.ledger_page(s, "total_sales", ascending=True, page=3)
+
+
+@query("ledger_page_clamped")
+def _ledger_page_clamped(t):
+    """A page past the end shows the last page."""
+    s = sales(t).where(F.col("user_id") == 1).select("id", "product_name", "total_sales")
+    return led.ledger_page(s, "product_name", ascending=True, page=10 ** 9)
+
+
+@query("distinct_dims")
+def _distinct(t):
+    return led.distinct_dims(sales(t))
+
+
+@query("union_datasets")
+def _union(t):
+    """Two uploads (even and odd years, the second without ``brand``)
+    read together; rows and missing brands per tenant and dataset."""
+    s = sales(t)
+    a = s.where(F.col("dataset_id") % 2 == 0)
+    b = s.where(F.col("dataset_id") % 2 == 1).drop("brand")
+    u = led.union_datasets([a, b])
+    return u.groupBy("user_id", "dataset_id").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count(F.when(F.col("brand").isNull(), 1)).alias("brand_missing"))
+
+
+# --- time series -----------------------------------------------------------------
+
+@query("ts_daily")
+def _ts_daily(t):
+    return ts.daily_totals(sales(t))
+
+
+@query("ts_sufficiency")
+def _ts_suff(t):
+    """T2 per (tenant, product): most product series are too short."""
+    return ts.sufficiency(sales(t), series=("user_id", "product_name"))
+
+
+@query("ts_daily_dense")
+def _ts_dense(t):
+    return ts.dense_daily(sales(t))
+
+
+@query("ts_calendar")
+def _ts_cal(t):
+    return ts.calendar_features(ts.dense_daily(sales(t)))
+
+
+@query("ts_lags")
+def _ts_lags(t):
+    return ts.lag_features(ts.dense_daily(sales(t)))
+
+
+@query("ts_roll_mean")
+def _ts_roll_mean(t):
+    return (ts.rolling_features(ts.dense_daily(sales(t)), digits=4)
+            .select("user_id", "day", "sales_roll_mean_7", "sales_roll_mean_14"))
+
+
+@query("ts_roll_std")
+def _ts_roll_std(t):
+    return (ts.rolling_features(ts.dense_daily(sales(t)), digits=4)
+            .select("user_id", "day", "sales_roll_std_7", "sales_roll_std_14"))
+
+
+@query("ts_features")
+def _ts_features(t):
+    return ts.feature_table(sales(t), digits=4)
+
+
+@query("ts_features_fallback")
+def _ts_fallback(t):
+    """T9 with one series per order: each spans a single day, so every
+    series takes the mean fallback."""
+    return ts.feature_table_with_fallback(sales(t), series=("user_id", "order_id"), digits=4)
+
+
+@query("ts_split")
+def _ts_split(t):
+    return ts.chronological_split(ts.feature_table(sales(t), digits=4)).select("user_id", "day", "split")

@@ -263,3 +263,140 @@ SELECT user_id, CAST(month(ms) AS BIGINT) AS month, round(avg(CAST(s AS DOUBLE))
        count(*) AS years
 FROM (SELECT user_id, date_trunc('month', date) AS ms, sum(total_sales) AS s FROM sales GROUP BY 1, 2)
 GROUP BY 1, 2""")
+
+
+# --- filters, ledger, set operations ------------------------------------------
+
+_FILTER_OUT = "SELECT id, user_id, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, category, CAST(total_sales AS DOUBLE) AS total_sales FROM sales"
+ORACLE["filter_date_range"] = with_sales(_FILTER_OUT + """
+WHERE (date IS NULL OR date >= TIMESTAMP '1996-01-01') AND (date IS NULL OR date <= TIMESTAMP '1998-12-31')""")
+ORACLE["filter_dims_ci"] = with_sales(_FILTER_OUT + """
+WHERE lower(coalesce(region, '')) = 'asia' AND lower(coalesce(country, 'India')) = 'nation_8'
+  AND lower(coalesce(payment_method, '')) = 'upi' AND lower(coalesce(sales_channel, '')) = 'online'""")
+ORACLE["filter_calendar"] = with_sales(_FILTER_OUT + """
+WHERE CAST(year(date) AS VARCHAR) = '1997' AND 'Q' || CAST(quarter(date) AS VARCHAR) = 'Q2'
+  AND lower(monthname(date)) = 'may' AND lower(dayname(date)) = 'friday'""")
+ORACLE["filter_low_stock"] = with_sales(_FILTER_OUT + " WHERE inventory_level < 50")
+ORACLE["filter_all_combined"] = with_sales(_FILTER_OUT + """
+WHERE (date IS NULL OR date >= TIMESTAMP '1995-06-01') AND (date IS NULL OR date <= TIMESTAMP '2000-12-31')
+  AND lower(coalesce(category, '')) = 'medium' AND lower(coalesce(brand, '')) = 'brand#4'
+  AND lower(coalesce(customer_type, '')) = 'champions' AND lower(coalesce(store_name, '')) = 'store 4'
+  AND (CASE WHEN inventory_level < 8 THEN 'critical' WHEN inventory_level < 50 THEN 'low' ELSE 'healthy' END) = 'healthy'""")
+
+ORACLE["filter_options"] = with_sales("""
+SELECT DISTINCT user_id, dim, value FROM (
+  SELECT user_id, 'category' AS dim, category AS value FROM sales
+  UNION ALL SELECT user_id, 'product', product_name FROM sales
+  UNION ALL SELECT user_id, 'brand', brand FROM sales
+  UNION ALL SELECT user_id, 'supplier', supplier FROM sales)
+WHERE value IS NOT NULL AND value <> ''""")
+
+ORACLE["ledger_sorted"] = with_sales("""
+SELECT id, customer_id, product_name, CAST(total_sales AS DOUBLE) AS total_sales,
+       row_number() OVER (ORDER BY lower(coalesce(customer_id, '')) DESC NULLS LAST, id ASC) AS pos
+FROM sales WHERE user_id = 2""")
+
+_PAGE = """p AS (SELECT id, product_name, CAST(total_sales AS DOUBLE) AS total_sales,
+                 row_number() OVER (ORDER BY {key}, id ASC) AS pos
+          FROM sales WHERE user_id = 1),
+  b AS (SELECT n, (cur - 1) * 8 + 1 AS lo, cur * 8 AS hi FROM
+        (SELECT n, least({page}, greatest(CAST(ceil(n / 8.0) AS BIGINT), 1)) AS cur FROM (SELECT count(*) AS n FROM p)))"""
+_PAGE_BODY = """
+SELECT id, product_name, total_sales, pos, printf('%d to %d of %d', lo, least(hi, n), n) AS caption
+FROM p, b WHERE pos BETWEEN lo AND hi"""
+ORACLE["ledger_page"] = with_sales(_PAGE_BODY, _PAGE.format(key="total_sales ASC NULLS FIRST", page=3))
+ORACLE["ledger_page_clamped"] = with_sales(
+    _PAGE_BODY, _PAGE.format(key="lower(coalesce(product_name, '')) ASC NULLS FIRST", page=10 ** 9))
+
+ORACLE["distinct_dims"] = with_sales("""
+SELECT DISTINCT user_id, dim, value FROM (
+  SELECT user_id, 'category' AS dim, category AS value FROM sales
+  UNION ALL SELECT user_id, 'region', region FROM sales
+  UNION ALL SELECT user_id, 'product', product_name FROM sales
+  UNION ALL SELECT user_id, 'customer', customer_id FROM sales)
+WHERE value IS NOT NULL""")
+
+ORACLE["union_datasets"] = with_sales("""
+SELECT user_id, dataset_id, count(*) AS rows, count(*) FILTER (WHERE brand IS NULL) AS brand_missing FROM (
+  SELECT user_id, dataset_id, brand FROM sales WHERE dataset_id % 2 = 0
+  UNION ALL SELECT user_id, dataset_id, NULL FROM sales WHERE dataset_id % 2 = 1)
+GROUP BY 1, 2""")
+
+# --- time series -----------------------------------------------------------------
+
+DAILY_CTE = """daily AS (SELECT user_id, CAST(date AS DATE) AS day, sum(total_sales) AS total_sales FROM sales GROUP BY 1, 2)"""
+DENSE_CTE = """dense AS (
+  SELECT c.user_id, c.day, coalesce(d.total_sales, CAST(0 AS DECIMAL(38,4))) AS total_sales
+  FROM (SELECT user_id, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day
+        FROM daily GROUP BY user_id) c
+  LEFT JOIN daily d ON c.user_id = d.user_id AND c.day = d.day)"""
+
+
+def _feats(src: str, part: str) -> str:
+    w = f"PARTITION BY {part} ORDER BY day"
+    lags = ",\n".join(f"lag(CAST(total_sales AS DOUBLE), {k}) OVER ({w}) AS sales_lag_{k}" for k in (1, 2, 7, 14))
+    rolls = []
+    for n in (7, 14):
+        fr = f"({w} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+        full = f"count(total_sales) OVER {fr} = {n}"
+        units = f"CAST(sum(total_sales) OVER {fr} * 10000 AS HUGEINT)"
+        rolls.append(f"CASE WHEN {full} THEN CAST(({units} * 2 + {n}) // {2 * n} AS DOUBLE) / 10000.0 END"
+                     f" AS sales_roll_mean_{n}")
+        rolls.append(f"CASE WHEN {full} THEN round(stddev_samp(CAST(total_sales AS DOUBLE)) OVER {fr}, 4) END AS sales_roll_std_{n}")
+    cal = ("CAST(isodow(day) - 1 AS BIGINT) AS day_of_week, CAST(day(day) AS BIGINT) AS day_of_month, "
+           "CAST(month(day) AS BIGINT) AS month, CAST(year(day) AS BIGINT) AS year")
+    return f"SELECT {part}, day, total_sales, {cal},\n{lags},\n" + ",\n".join(rolls) + f"\nFROM {src}"
+
+
+_FEATURE_NAMES = ["sales_lag_1", "sales_lag_2", "sales_lag_7", "sales_lag_14", "sales_roll_mean_7",
+                  "sales_roll_std_7", "sales_roll_mean_14", "sales_roll_std_14"]
+_DAY_OUT = "strftime(day, '%Y-%m-%d') AS day"
+
+ORACLE["ts_daily"] = with_sales(f"SELECT user_id, {_DAY_OUT}, CAST(total_sales AS DOUBLE) AS total_sales FROM daily",
+                                DAILY_CTE)
+ORACLE["ts_sufficiency"] = with_sales("""
+SELECT user_id, product_name, count(DISTINCT date) AS points,
+       CASE WHEN count(DISTINCT date) >= 10 THEN 'ok' ELSE 'insufficient_data' END AS status
+FROM sales GROUP BY 1, 2""")
+ORACLE["ts_daily_dense"] = with_sales(
+    f"SELECT user_id, {_DAY_OUT}, CAST(total_sales AS DOUBLE) AS total_sales FROM dense", DAILY_CTE, DENSE_CTE)
+ORACLE["ts_calendar"] = with_sales(f"""
+SELECT user_id, {_DAY_OUT}, CAST(total_sales AS DOUBLE) AS total_sales, CAST(isodow(day) - 1 AS BIGINT) AS day_of_week,
+       CAST(day(day) AS BIGINT) AS day_of_month, CAST(month(day) AS BIGINT) AS month, CAST(year(day) AS BIGINT) AS year
+FROM dense""", DAILY_CTE, DENSE_CTE)
+ORACLE["ts_lags"] = with_sales(f"""
+SELECT user_id, {_DAY_OUT}, CAST(total_sales AS DOUBLE) AS total_sales, sales_lag_1, sales_lag_2, sales_lag_7, sales_lag_14
+FROM f""", DAILY_CTE, DENSE_CTE, f"f AS ({_feats('dense', 'user_id')})")
+ORACLE["ts_roll_mean"] = with_sales(f"SELECT user_id, {_DAY_OUT}, sales_roll_mean_7, sales_roll_mean_14 FROM f",
+                                    DAILY_CTE, DENSE_CTE, f"f AS ({_feats('dense', 'user_id')})")
+ORACLE["ts_roll_std"] = with_sales(f"SELECT user_id, {_DAY_OUT}, sales_roll_std_7, sales_roll_std_14 FROM f",
+                                   DAILY_CTE, DENSE_CTE, f"f AS ({_feats('dense', 'user_id')})")
+_FEATS_OUT = (f"user_id, {_DAY_OUT}, CAST(total_sales AS DOUBLE) AS total_sales, day_of_week, day_of_month, month, year, "
+              + ", ".join(_FEATURE_NAMES))
+ORACLE["ts_features"] = with_sales(
+    f"SELECT {_FEATS_OUT} FROM f WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _FEATURE_NAMES),
+    DAILY_CTE, DENSE_CTE, f"f AS ({_feats('dense', 'user_id')})")
+ORACLE["ts_split"] = with_sales("""
+SELECT user_id, strftime(day, '%Y-%m-%d') AS day,
+       CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY day DESC)
+                 <= greatest(least(7, CAST(floor(count(*) OVER (PARTITION BY user_id) * 0.2) AS BIGINT)), 1)
+            THEN 'test' ELSE 'train' END AS split
+FROM f WHERE """ + " AND ".join(f"{c} IS NOT NULL" for c in _FEATURE_NAMES),
+    DAILY_CTE, DENSE_CTE, f"f AS ({_feats('dense', 'user_id')})")
+
+_ODAILY = """odaily AS (SELECT user_id, order_id, CAST(date AS DATE) AS day, sum(total_sales) AS total_sales
+                       FROM sales GROUP BY 1, 2, 3)"""
+_ODENSE = """odense AS (
+  SELECT c.user_id, c.order_id, c.day, coalesce(d.total_sales, CAST(0 AS DECIMAL(38,4))) AS total_sales
+  FROM (SELECT user_id, order_id, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day
+        FROM odaily GROUP BY 1, 2) c
+  LEFT JOIN odaily d ON c.user_id = d.user_id AND c.order_id = d.order_id AND c.day = d.day)"""
+_OK = " AND ".join(f"{c} IS NOT NULL" for c in _FEATURE_NAMES)
+ORACLE["ts_features_fallback"] = with_sales(f"""
+SELECT user_id, order_id, {_DAY_OUT}, CAST(total_sales AS DOUBLE) AS total_sales, day_of_week, day_of_month, month, year,
+""" + ",\n".join(f"CASE WHEN n_ok = 0 THEN mean ELSE {c} END AS {c}" for c in _FEATURE_NAMES) + f"""
+FROM (SELECT *, ({_OK}) AS ok,
+             sum(CAST(({_OK}) AS INTEGER)) OVER (PARTITION BY user_id, order_id) AS n_ok,
+             avg(CAST(total_sales AS DOUBLE)) OVER (PARTITION BY user_id, order_id) AS mean
+      FROM f)
+WHERE ok OR n_ok = 0""", _ODAILY, _ODENSE, f"f AS ({_feats('odense', 'user_id, order_id')})")
