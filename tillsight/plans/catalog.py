@@ -281,3 +281,43 @@ def _ts_fallback(t):
 @query("ts_split")
 def _ts_split(t):
     return ts.chronological_split(ts.feature_table(sales(t), digits=4)).select("user_id", "day", "split")
+
+
+# --- customer segments -----------------------------------------------------------
+
+from ..operators import segments as seg  # noqa: E402
+
+
+@query("rfm")
+def _rfm(t):
+    return seg.rfm(sales(t))
+
+
+@query("rfm_scaled")
+def _rfm_scaled(t):
+    return seg.scale_rfm(seg.rfm(sales(t)), digits=4)
+
+
+@query("segment_rules")
+def _seg_rules(t):
+    return seg.rule_segments(seg.rfm(sales(t)))
+
+
+@query("segment_counts")
+def _seg_counts(t):
+    return seg.segment_counts(seg.rule_segments(seg.rfm(sales(t))))
+
+
+@query("kmeans_clusters")
+def _kmeans(t):
+    """Batch k-means (rows-only check: cluster ids depend on the init)."""
+    out, _ = seg.kmeans_segments(seg.scale_rfm(seg.rfm(sales(t))), iterations=10)
+    return out
+
+
+@query("segment_model")
+def _seg_model(t):
+    """Fit, then score customers against the fitted model."""
+    scaled = seg.scale_rfm(seg.rfm(sales(t)))
+    _, model = seg.kmeans_segments(scaled, iterations=10)
+    return seg.score_segments(scaled, model)

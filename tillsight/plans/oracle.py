@@ -400,3 +400,39 @@ FROM (SELECT *, ({_OK}) AS ok,
              avg(CAST(total_sales AS DOUBLE)) OVER (PARTITION BY user_id, order_id) AS mean
       FROM f)
 WHERE ok OR n_ok = 0""", _ODAILY, _ODENSE, f"f AS ({_feats('odense', 'user_id, order_id')})")
+
+
+# --- customer segments -----------------------------------------------------------
+
+RFM_CTE = """rfm AS (
+  SELECT user_id, customer_id,
+         CAST(date_diff('day', last_date, max(last_date) OVER (PARTITION BY user_id)) AS BIGINT) AS recency,
+         frequency, CAST(monetary AS DOUBLE) AS monetary
+  FROM (SELECT user_id, customer_id, max(date) AS last_date, count(id) AS frequency, sum(total_sales) AS monetary
+        FROM sales WHERE customer_id IS NOT NULL GROUP BY 1, 2))"""
+RULES_CTE = """rules AS (
+  SELECT r.user_id, customer_id, recency, frequency, monetary,
+         CASE WHEN monetary < q25 AND recency > 60 THEN 'At Risk'
+              WHEN monetary < q75 AND frequency > 5 THEN 'Loyal Customers'
+              WHEN monetary >= q75 THEN 'Champions' ELSE 'Standard' END AS segment
+  FROM rfm r JOIN (
+    SELECT user_id,
+           CASE WHEN count(*) > 1 THEN quantile_cont(monetary, 0.25) ELSE 100.0 END AS q25,
+           CASE WHEN count(*) > 1 THEN quantile_cont(monetary, 0.75) ELSE 1000.0 END AS q75
+    FROM rfm GROUP BY user_id) q ON r.user_id = q.user_id)"""
+
+ORACLE["rfm"] = with_sales("SELECT * FROM rfm", RFM_CTE)
+ORACLE["rfm_scaled"] = with_sales("""
+SELECT user_id, customer_id, recency, frequency, monetary, """ + ",\n".join(
+    f"CASE WHEN stddev_pop(CAST({c} AS DOUBLE)) OVER (PARTITION BY user_id) > 0 THEN "
+    f"round((CAST({c} AS DOUBLE) - avg(CAST({c} AS DOUBLE)) OVER (PARTITION BY user_id)) / "
+    f"stddev_pop(CAST({c} AS DOUBLE)) OVER (PARTITION BY user_id), 4) ELSE 0.0 END AS {c}_z"
+    for c in ["recency", "frequency", "monetary"]) + "\nFROM rfm", RFM_CTE)
+ORACLE["segment_rules"] = with_sales("SELECT * FROM rules", RFM_CTE, RULES_CTE)
+ORACLE["segment_counts"] = with_sales("""
+SELECT coalesce(n.user_id, c.user_id) AS user_id, coalesce(n.segment, c.segment) AS segment,
+       CAST(coalesce(c.customers, 0) AS BIGINT) AS customers
+FROM (SELECT DISTINCT user_id, unnest(['Champions', 'Loyal Customers', 'At Risk', 'New/Promising']) AS segment
+      FROM rules) n
+FULL JOIN (SELECT user_id, segment, count(*) AS customers FROM rules GROUP BY 1, 2) c
+  ON n.user_id = c.user_id AND n.segment = c.segment""", RFM_CTE, RULES_CTE)
