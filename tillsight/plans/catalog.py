@@ -321,3 +321,153 @@ def _seg_model(t):
     scaled = seg.scale_rfm(seg.rfm(sales(t)))
     _, model = seg.kmeans_segments(scaled, iterations=10)
     return seg.score_segments(scaled, model)
+
+
+# --- cleaning, mapping, imputation (on the damaged upload fixture) ---------------
+
+from ..operators import clean as cl  # noqa: E402
+from ..operators import impute as imp  # noqa: E402
+from ..operators.mapping import map_columns  # noqa: E402
+from . import etl  # noqa: E402
+
+NOW = "2024-01-01 00:00:00"
+DIRTY_ORDER = ["row_seq", "order_date", "qty", "category", "sales", "customer_id"]
+TEXT_COLS = ["order_date", "category", "sales", "customer_id"]
+
+
+def dirty_ordered(t: Tables) -> DataFrame:
+    """The damaged upload with ``_row``, its row order."""
+    return etl.with_row_order(dirty(t), [F.col(c).asc_nulls_first() for c in DIRTY_ORDER])
+
+
+def dirty_deduped(t):
+    return cl.drop_exact_duplicates(dirty_ordered(t))
+
+
+def dirty_cleaned(t):
+    return cl.clean_upload(dirty_ordered(t))[0]
+
+
+def dirty_mapped(t):
+    mapped, mapping = map_columns(dirty_cleaned(t))
+    return mapped, {k for k, v in mapping.items() if v}
+
+
+@query("clean_dedup")
+def _c_dedup(t):
+    return dirty_deduped(t)
+
+
+@query("clean_numeric_profile")
+def _c_profile_num(t):
+    d = dirty_deduped(t)
+    return cl.numeric_profile(d, cl.data_columns(d))
+
+
+@query("clean_null_tokens")
+def _c_tokens(t):
+    return cl.normalise_text(dirty_deduped(t), TEXT_COLS)
+
+
+@query("clean_trim")
+def _c_trim(t):
+    return cl.trim_text(dirty_deduped(t), TEXT_COLS)
+
+
+@query("clean_mean_impute")
+def _c_mean(t):
+    return cl.impute_mean(dirty_deduped(t), ["row_seq", "qty"])
+
+
+@query("clean_mode_impute")
+def _c_mode(t):
+    d = cl.normalise_text(dirty_deduped(t), TEXT_COLS)
+    return cl.impute_mode(d, TEXT_COLS)
+
+
+@query("clean_iqr_cap")
+def _c_cap(t):
+    return dirty_cleaned(t)
+
+
+@query("clean_profile")
+def _c_prof(t):
+    return cl.clean_profile(dirty_ordered(t), dirty_cleaned(t))
+
+
+@query("map_columns")
+def _map(t):
+    return dirty_mapped(t)[0]
+
+
+@query("impute_date_ffill")
+def _i_ffill(t):
+    mapped, _ = dirty_mapped(t)
+    return imp.impute_date(mapped, NOW).select("_row", "date")
+
+
+@query("impute_date_backfill")
+def _i_backfill(t):
+    """The same upload without its date column (dense row positions)."""
+    mapped, present = dirty_mapped(t)
+    dense = etl.with_row_order(mapped.drop("_row"), [F.col(c).asc_nulls_first() for c in
+                                                      ["customer_id", "quantity", "total_sales", "category"]])
+    return imp.impute_fields(dense, present - {"date"}, NOW).select("_row", "customer_id", "date")
+
+
+@query("impute_quantity")
+def _i_qty(t):
+    mapped, _ = dirty_mapped(t)
+    return mapped.select("_row", imp.impute_quantity("quantity").alias("quantity"))
+
+
+@query("impute_unit_price")
+def _i_price(t):
+    """I4 applied to the raw amount text (unparseable -> 10.0)."""
+    return dirty_deduped(t).select("_row", imp.impute_unit_price("sales").alias("unit_price"))
+
+
+@query("impute_total_sales")
+def _i_sales(t):
+    mapped, present = dirty_mapped(t)
+    q = imp.impute_quantity("quantity")
+    p = imp.impute_unit_price(None)
+    return mapped.select("_row", imp.impute_total_sales("total_sales", q, p).alias("total_sales"))
+
+
+@query("impute_total_profit")
+def _i_profit(t):
+    mapped, _ = dirty_mapped(t)
+    s = imp.impute_total_sales("total_sales", imp.impute_quantity("quantity"), imp.impute_unit_price(None))
+    return mapped.select("_row", imp.impute_total_profit(None, s).alias("total_profit"))
+
+
+@query("impute_labels")
+def _i_labels(t):
+    mapped, _ = dirty_mapped(t)
+    lab = imp.label_defaults({c: F.col(c) for c in ["product_name", "category", "customer_id",
+                                                     "customer_segment", "region", "sub_category"]})
+    return mapped.select("_row", *[v.alias(k) for k, v in lab.items()])
+
+
+@query("impute_inventory")
+def _i_inv(t):
+    """I9 applied to the raw quantity (nulls -> 100)."""
+    return dirty_deduped(t).select("_row", imp.impute_inventory("qty").alias("inventory_level"))
+
+
+@query("synth_inventory")
+def _i_synth(t):
+    return dirty_deduped(t).select("_row", imp.synth_inventory().alias("inventory_level"))
+
+
+@query("etl_canonical")
+def _etl_canonical(t):
+    return etl.transform_upload(dirty_ordered(t), user_id=7, dataset_id=1, now=NOW)[1]
+
+
+@query("etl_pipeline")
+def _etl_pipeline(t):
+    """I13 without the file writes: status and row count of the load."""
+    canon = etl.transform_upload(dirty_ordered(t), user_id=7, dataset_id=1, now=NOW)[1]
+    return canon.agg(F.lit("processed").alias("status"), F.count(F.lit(1)).alias("row_count"))

@@ -436,3 +436,127 @@ FROM (SELECT DISTINCT user_id, unnest(['Champions', 'Loyal Customers', 'At Risk'
       FROM rules) n
 FULL JOIN (SELECT user_id, segment, count(*) AS customers FROM rules GROUP BY 1, 2) c
   ON n.user_id = c.user_id AND n.segment = c.segment""", RFM_CTE, RULES_CTE)
+
+
+# --- cleaning, mapping, imputation --------------------------------------------------
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _tok(x: str) -> str:
+    return f"CASE WHEN {_strip(x)} IN ('nan', '', 'None', 'NULL', 'Unknown') THEN NULL ELSE {_strip(x)} END"
+
+
+def _mode(x: str, src: str) -> str:
+    return f"(SELECT {x} FROM {src} WHERE {x} IS NOT NULL GROUP BY {x} ORDER BY count(*) DESC, {x} ASC LIMIT 1)"
+
+
+_TXT = ["order_date", "category", "sales", "customer_id"]
+CLEAN_CTES = [
+    DIRTY_CTE,
+    """raw AS (SELECT *, row_number() OVER (ORDER BY row_seq ASC NULLS FIRST, order_date ASC NULLS FIRST,
+             qty ASC NULLS FIRST, category ASC NULLS FIRST, sales ASC NULLS FIRST, customer_id ASC NULLS FIRST) AS _row
+           FROM dirty_sales)""",
+    """d0 AS (SELECT row_seq, order_date, qty, category, sales, customer_id, min(_row) AS _row FROM raw GROUP BY ALL)""",
+    "c_tok AS (SELECT _row, row_seq, qty, " + ", ".join(f"{_tok(c)} AS {c}" for c in _TXT) + " FROM d0)",
+    """c_mean AS (SELECT _row, row_seq, CAST(coalesce(qty, (SELECT avg(qty) FROM c_tok), 0) AS DOUBLE) AS qty, """
+    + ", ".join(_TXT) + " FROM c_tok)",
+    "c_mode AS (SELECT _row, row_seq, qty, " + ", ".join(
+        f"coalesce({c}, {_mode(c, 'c_tok')}, 'Other') AS {c}" for c in _TXT) + " FROM c_mean)",
+    """q AS (SELECT quantile_cont(CAST(row_seq AS DOUBLE), 0.25) AS r1, quantile_cont(CAST(row_seq AS DOUBLE), 0.75) AS r3,
+                   quantile_cont(qty, 0.25) AS q1, quantile_cont(qty, 0.75) AS q3 FROM c_mode)""",
+    """c_cap AS (SELECT _row,
+         CASE WHEN r3 - r1 > 0 THEN least(greatest(CAST(row_seq AS DOUBLE), r1 - 1.5 * (r3 - r1)), r3 + 1.5 * (r3 - r1))
+              ELSE CAST(row_seq AS DOUBLE) END AS row_seq,
+         CASE WHEN q3 - q1 > 0 THEN least(greatest(qty, q1 - 1.5 * (q3 - q1)), q3 + 1.5 * (q3 - q1)) ELSE qty END AS qty,
+         order_date, category, sales, customer_id FROM c_mode, q)""",
+    """mp AS (SELECT _row, order_date AS date, qty AS quantity, category, sales AS total_sales, customer_id FROM c_cap)""",
+    """imp AS (SELECT _row,
+         coalesce(last_value(coalesce(try_strptime(date, '%Y-%m-%d %H:%M:%S'), try_strptime(date, '%Y-%m-%dT%H:%M:%S'),
+                                      try_strptime(date, '%Y-%m-%d'), try_strptime(date, '%Y/%m/%d'),
+                                      try_strptime(date, '%m/%d/%Y'), try_strptime(date, '%d-%m-%Y')) IGNORE NULLS)
+                  OVER (ORDER BY _row ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                  TIMESTAMP '2024-01-01 00:00:00') AS date,
+         CASE WHEN CAST(trunc(coalesce(quantity, 1.0)) AS INTEGER) <= 0 THEN 1
+              ELSE CAST(trunc(coalesce(quantity, 1.0)) AS INTEGER) END AS quantity,
+         category, total_sales AS sales_txt, customer_id FROM mp)""",
+    """imp2 AS (SELECT *, coalesce(TRY_CAST(sales_txt AS DOUBLE), quantity * 10.0) AS total_sales FROM imp)""",
+]
+
+
+def with_clean(body: str, upto: int | None = None) -> str:
+    ctes = CLEAN_CTES if upto is None else CLEAN_CTES[:upto]
+    return "WITH " + ",\n".join(ctes) + "\n" + body
+
+
+_D0_COLS = "_row, row_seq, qty, order_date, category, sales, customer_id"
+ORACLE["clean_dedup"] = with_clean(f"SELECT {_D0_COLS} FROM d0", 3)
+ORACLE["clean_numeric_profile"] = with_clean("""
+SELECT * , non_null = parseable AS is_numeric FROM (
+  SELECT 'row_seq' AS column, count(row_seq) AS non_null, count(row_seq) AS parseable FROM d0
+  UNION ALL SELECT 'order_date', count(order_date), count(TRY_CAST(order_date AS DOUBLE)) FROM d0
+  UNION ALL SELECT 'qty', count(qty), count(qty) FROM d0
+  UNION ALL SELECT 'category', count(category), count(TRY_CAST(category AS DOUBLE)) FROM d0
+  UNION ALL SELECT 'sales', count(sales), count(TRY_CAST(sales AS DOUBLE)) FROM d0
+  UNION ALL SELECT 'customer_id', count(customer_id), count(TRY_CAST(customer_id AS DOUBLE)) FROM d0)""", 3)
+ORACLE["clean_null_tokens"] = with_clean(f"SELECT {_D0_COLS} FROM c_tok", 4)
+ORACLE["clean_trim"] = with_clean("SELECT _row, row_seq, qty, " + ", ".join(
+    f"{_strip(c)} AS {c}" for c in _TXT) + " FROM d0", 3)
+ORACLE["clean_mean_impute"] = with_clean(
+    "SELECT _row, row_seq, CAST(coalesce(qty, (SELECT avg(qty) FROM d0), 0) AS DOUBLE) AS qty, "
+    + ", ".join(_TXT) + " FROM d0", 3)
+ORACLE["clean_mode_impute"] = with_clean("SELECT _row, row_seq, qty, " + ", ".join(
+    f"coalesce({c}, {_mode(c, 'c_tok')}, 'Other') AS {c}" for c in _TXT) + " FROM c_tok", 4)
+ORACLE["clean_iqr_cap"] = with_clean(f"SELECT {_D0_COLS} FROM c_cap", 8)
+ORACLE["clean_profile"] = with_clean("""
+SELECT 'rows' AS metric, CAST(NULL AS VARCHAR) AS column, (SELECT count(*) FROM raw) AS before,
+       (SELECT count(*) FROM c_cap) AS after
+""" + "".join(
+    f"UNION ALL SELECT 'nulls', '{c}', (SELECT count(*) FILTER (WHERE {c} IS NULL) FROM raw),"
+    f" (SELECT count(*) FILTER (WHERE {c} IS NULL) FROM c_cap)\n"
+    for c in ["row_seq", "order_date", "qty", "category", "sales", "customer_id"]), 8)
+
+_NULLS = ", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in [
+    "product_name", "sub_category", "unit_price", "total_profit", "customer_segment", "region", "store_name",
+    "country", "state", "city", "brand", "supplier", "customer_type", "payment_method", "sales_channel",
+    "order_id", "inventory_level"])
+ORACLE["map_columns"] = with_clean(
+    f"SELECT _row, date, quantity, category, total_sales, customer_id, {_NULLS} FROM mp", 9)
+ORACLE["impute_date_ffill"] = with_clean("SELECT _row, strftime(date, '%Y-%m-%d %H:%M:%S') AS date FROM imp", 10)
+ORACLE["impute_date_backfill"] = with_clean("""
+SELECT _row, customer_id, strftime(TIMESTAMP '2024-01-01 00:00:00' - to_days(CAST(count(*) OVER () - _row AS INTEGER)),
+                                   '%Y-%m-%d %H:%M:%S') AS date
+FROM (SELECT customer_id, row_number() OVER (ORDER BY customer_id ASC NULLS FIRST, quantity ASC NULLS FIRST,
+             total_sales ASC NULLS FIRST, category ASC NULLS FIRST) AS _row
+      FROM (SELECT customer_id,
+                   CASE WHEN CAST(trunc(coalesce(quantity, 1.0)) AS INTEGER) <= 0 THEN 1
+                        ELSE CAST(trunc(coalesce(quantity, 1.0)) AS INTEGER) END AS q0, quantity, total_sales, category
+            FROM mp))""", 9)
+ORACLE["impute_quantity"] = with_clean("SELECT _row, CAST(quantity AS BIGINT) AS quantity FROM imp", 10)
+ORACLE["impute_unit_price"] = with_clean("""
+SELECT _row, CASE WHEN coalesce(TRY_CAST(sales AS DOUBLE), 10.0) <= 0 THEN 1.0
+                  ELSE coalesce(TRY_CAST(sales AS DOUBLE), 10.0) END AS unit_price FROM d0""", 3)
+ORACLE["impute_total_sales"] = with_clean("SELECT _row, total_sales FROM imp2")
+ORACLE["impute_total_profit"] = with_clean("SELECT _row, total_sales * 0.15 AS total_profit FROM imp2")
+ORACLE["impute_labels"] = with_clean("""
+SELECT _row, 'Generic Product' AS product_name, coalesce(category, 'General') AS category,
+       coalesce(customer_id, 'CUST-UNKNOWN') AS customer_id, 'Standard' AS customer_segment, 'Global' AS region,
+       coalesce(category, 'General') AS sub_category FROM mp""", 9)
+ORACLE["impute_inventory"] = with_clean("""
+SELECT _row, CAST(CASE WHEN CAST(trunc(coalesce(qty, 100.0)) AS INTEGER) < 0 THEN 0
+                       ELSE CAST(trunc(coalesce(qty, 100.0)) AS INTEGER) END AS BIGINT) AS inventory_level FROM d0""", 3)
+ORACLE["synth_inventory"] = with_clean(
+    "SELECT _row, CAST((_row * 40503 + 42 * 9973) % 950 + 50 AS BIGINT) AS inventory_level FROM d0", 3)
+ORACLE["etl_canonical"] = with_clean("""
+SELECT _row AS id, CAST(1 AS BIGINT) AS dataset_id, CAST(7 AS BIGINT) AS user_id,
+       strftime(date, '%Y-%m-%d %H:%M:%S') AS date, 'Generic Product' AS product_name,
+       coalesce(category, 'General') AS category, coalesce(category, 'General') AS sub_category,
+       CAST(quantity AS BIGINT) AS quantity, 10.0 AS unit_price, total_sales, total_sales * 0.15 AS total_profit,
+       coalesce(customer_id, 'CUST-UNKNOWN') AS customer_id, 'Standard' AS customer_segment, 'Global' AS region,
+       """ + ", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in [
+    "store_name", "country", "state", "city", "brand", "supplier", "customer_type", "payment_method",
+    "sales_channel", "order_id"]) + """,
+       CAST((_row * 40503 + 42 * 9973) % 950 + 50 AS BIGINT) AS inventory_level
+FROM imp2""")
+ORACLE["etl_pipeline"] = with_clean("SELECT 'processed' AS status, count(*) AS row_count FROM imp2")
