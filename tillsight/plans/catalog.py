@@ -471,3 +471,89 @@ def _etl_pipeline(t):
     """I13 without the file writes: status and row count of the load."""
     canon = etl.transform_upload(dirty_ordered(t), user_id=7, dataset_id=1, now=NOW)[1]
     return canon.agg(F.lit("processed").alias("status"), F.count(F.lit(1)).alias("row_count"))
+
+
+# --- assistant: intents, entity match, answers -------------------------------------
+
+from ..operators import intents as it  # noqa: E402
+
+
+@query("intent_tags")
+def _intents(t):
+    return it.tag_intents(messages(t)).drop("text")
+
+
+@query("intent_tags_conversations")
+def _intents_conv(t):
+    """Q0 over every conversation turn (whole texts)."""
+    c = t.conversations.select(F.col("conv_id"), F.col("turn"), F.col("text"))
+    return it.tag_intents(c).drop("text")
+
+
+@query("intent_entity_match")
+def _entity(t):
+    return it.match_entities(messages(t), sales(t))
+
+
+@query("ask_sales_category")
+def _ask_cat(t):
+    return it.answer_sales(messages(t), sales(t)).where("kind = 'category'").drop("units_sold")
+
+
+@query("ask_sales_region")
+def _ask_reg(t):
+    return it.answer_sales(messages(t), sales(t)).where("kind = 'region'").drop("units_sold")
+
+
+@query("ask_sales_total")
+def _ask_tot(t):
+    return it.answer_sales(messages(t), sales(t)).where("kind = 'total'")
+
+
+@query("ask_profit")
+def _ask_profit(t):
+    return it.answer_profit(messages(t), sales(t))
+
+
+@query("ask_products_top")
+def _ask_top(t):
+    return it.answer_products(messages(t), sales(t), worst=False)
+
+
+@query("ask_products_worst")
+def _ask_worst(t):
+    """Q3 worst branch: product questions mentioning worst/low/least, asked
+    here as the lower-cased rewording of every product question."""
+    m = messages(t).withColumn("text", F.regexp_replace("text", "best", "worst"))
+    return it.answer_products(m, sales(t), worst=True)
+
+
+@query("ask_customers")
+def _ask_cust(t):
+    return it.answer_customers(messages(t), sales(t))
+
+
+@query("ask_inventory")
+def _ask_inv(t):
+    return it.answer_inventory(messages(t), sales(t))
+
+
+@query("ask_inventory_items")
+def _ask_inv_items(t):
+    return it.answer_inventory_items(messages(t), sales(t))
+
+
+@query("ask_categories")
+def _ask_cats(t):
+    return it.answer_groups(messages(t), sales(t), "category", "category")
+
+
+@query("ask_regions")
+def _ask_regs(t):
+    m = messages(t).withColumn("text", F.regexp_replace("text", "categories", "regions"))
+    return it.answer_groups(m, sales(t), "region", "region")
+
+
+@query("reply_text")
+def _reply(t):
+    return it.reply_text(messages(t), sales(t))

@@ -67,7 +67,7 @@ DIRTY_CTE = """dirty_sales AS (
     WHERE l_orderkey % 10 = 1))"""
 
 MESSAGES_CTE = """messages AS (
-  SELECT CAST(p_partkey AS BIGINT) AS msg_id,
+  SELECT CAST(p_partkey AS BIGINT) AS msg_id, CAST(p_partkey % 8 AS BIGINT) AS user_id,
          CASE p_partkey % 9
            WHEN 0 THEN 'What is our revenue for ' || p_type || '?'
            WHEN 1 THEN 'Sales in ASIA please'
@@ -560,3 +560,169 @@ SELECT _row AS id, CAST(1 AS BIGINT) AS dataset_id, CAST(7 AS BIGINT) AS user_id
        CAST((_row * 40503 + 42 * 9973) % 950 + 50 AS BIGINT) AS inventory_level
 FROM imp2""")
 ORACLE["etl_pipeline"] = with_clean("SELECT 'processed' AS status, count(*) AS row_count FROM imp2")
+
+
+# --- assistant ------------------------------------------------------------------------
+
+_KW = [("sales", ["sales", "revenue", "income", "earning", "turnover"]),
+       ("profit", ["profit", "margin", "earnings"]),
+       ("product", ["product", "item", "sku"]),
+       ("customer", ["customer", "client", "segment", "buyer"]),
+       ("inventory", ["inventory", "stock", "warehouse"]),
+       ("category", ["category", "categories", "department", "sector"]),
+       ("region", ["region", "regions", "location", "city", "country"]),
+       ("forecast", ["forecast", "predict", "future", "ml"])]
+
+
+def _intent_sql(text: str = "text") -> str:
+    parts = []
+    for name, words in _KW:
+        cond = " OR ".join(f"contains(lower({text}), '{w}')" for w in words)
+        parts.append(f"WHEN {cond} THEN '{name}'")
+    return "CASE " + " ".join(parts) + " ELSE 'help' END"
+
+
+_WORST = "(contains(lower(text), 'worst') OR contains(lower(text), 'low') OR contains(lower(text), 'least'))"
+TAGS_CTE = f"tags AS (SELECT msg_id, user_id, text, {_intent_sql()} AS intent, {_WORST} AS worst FROM messages)"
+VALS_CTE = """vals AS (SELECT DISTINCT user_id, dim, value, lower(value) AS lv FROM (
+    SELECT user_id, 'category' AS dim, category AS value FROM sales UNION ALL
+    SELECT user_id, 'region', region FROM sales) WHERE value IS NOT NULL AND value <> '')"""
+MATCH_CTE = """ent AS (SELECT m.msg_id, m.user_id,
+    min(v.value) FILTER (WHERE v.dim = 'category') AS matched_category,
+    min(v.value) FILTER (WHERE v.dim = 'region') AS matched_region
+  FROM {src} m LEFT JOIN vals v ON v.user_id = m.user_id AND contains(lower(m.text), v.lv)
+  GROUP BY m.msg_id, m.user_id)"""
+
+ORACLE["intent_tags"] = with_sales("SELECT msg_id, user_id, intent, worst FROM tags", MESSAGES_CTE, TAGS_CTE)
+ORACLE["intent_tags_conversations"] = (
+    f"SELECT conv_id, turn, {_intent_sql()} AS intent, {_WORST} AS worst FROM conversations")
+ORACLE["intent_entity_match"] = with_sales("SELECT * FROM ent", MESSAGES_CTE, VALS_CTE,
+                                           MATCH_CTE.format(src="messages"))
+
+_SALES_ANS = """sa AS (
+  SELECT e.msg_id, e.user_id,
+         CASE WHEN matched_category IS NOT NULL THEN 'category' WHEN matched_region IS NOT NULL THEN 'region'
+              ELSE 'total' END AS kind,
+         CASE WHEN matched_category IS NOT NULL THEN matched_category ELSE matched_region END AS target,
+         CAST(CASE WHEN matched_category IS NOT NULL THEN coalesce(
+                     (SELECT sum(total_sales) FROM sales s WHERE s.user_id = e.user_id
+                      AND lower(s.category) = lower(e.matched_category)), 0)
+                   WHEN matched_region IS NOT NULL THEN coalesce(
+                     (SELECT sum(total_sales) FROM sales s WHERE s.user_id = e.user_id
+                      AND lower(s.region) = lower(e.matched_region)), 0)
+                   ELSE coalesce((SELECT sum(total_sales) FROM sales s WHERE s.user_id = e.user_id), 0) END
+              AS DOUBLE) AS total_sales,
+         CASE WHEN matched_category IS NULL AND matched_region IS NULL THEN
+              CAST(coalesce((SELECT sum(quantity) FROM sales s WHERE s.user_id = e.user_id), 0) AS BIGINT) END
+              AS units_sold
+  FROM ent e)"""
+_ASK = [MESSAGES_CTE, TAGS_CTE, VALS_CTE, MATCH_CTE.format(src="(SELECT * FROM tags WHERE intent = 'sales')"), _SALES_ANS]
+ORACLE["ask_sales_category"] = with_sales(
+    "SELECT msg_id, user_id, kind, target, total_sales FROM sa WHERE kind = 'category'", *_ASK)
+ORACLE["ask_sales_region"] = with_sales(
+    "SELECT msg_id, user_id, kind, target, total_sales FROM sa WHERE kind = 'region'", *_ASK)
+ORACLE["ask_sales_total"] = with_sales("SELECT * FROM sa WHERE kind = 'total'", *_ASK)
+
+_TEN = """ten AS (SELECT user_id, CAST(coalesce(sum(total_sales), 0) AS DOUBLE) AS total_revenue,
+    CAST(coalesce(sum(total_profit), 0) AS DOUBLE) AS total_profit,
+    CASE WHEN CAST(sum(total_sales) AS DOUBLE) > 0
+         THEN CAST(sum(total_profit) AS DOUBLE) / CAST(sum(total_sales) AS DOUBLE) * 100 ELSE 0.0 END
+         AS profit_margin_percent,
+    CAST(sum(quantity) AS BIGINT) AS units_sold, count(DISTINCT customer_id) AS customers,
+    coalesce(avg(inventory_level), 0.0) AS average_stock,
+    count(DISTINCT CASE WHEN inventory_level < 50 THEN product_name END) AS low_stock_count
+  FROM sales GROUP BY user_id)"""
+ORACLE["ask_profit"] = with_sales("""
+SELECT t.msg_id, t.user_id, total_revenue, total_profit, profit_margin_percent
+FROM tags t LEFT JOIN ten USING (user_id) WHERE intent = 'profit'""", MESSAGES_CTE, TAGS_CTE, _TEN)
+_RANK = """rk AS (SELECT user_id, product_name, s, q,
+    row_number() OVER (PARTITION BY user_id ORDER BY s DESC, product_name ASC) AS rt,
+    row_number() OVER (PARTITION BY user_id ORDER BY s ASC, product_name ASC) AS rb
+  FROM (SELECT user_id, product_name, sum(total_sales) AS s, sum(quantity) AS q FROM sales GROUP BY 1, 2))"""
+ORACLE["ask_products_top"] = with_sales("""
+SELECT t.msg_id, t.user_id, t.worst, rt AS rank, product_name, CAST(s AS DOUBLE) AS revenue, CAST(q AS BIGINT) AS quantity
+FROM tags t JOIN rk ON rk.user_id = t.user_id AND rt <= 5 WHERE intent = 'product' AND NOT worst""",
+                                        MESSAGES_CTE, TAGS_CTE, _RANK)
+ORACLE["ask_products_worst"] = with_sales("""
+SELECT t.msg_id, t.user_id, t.worst, rb AS rank, product_name, CAST(s AS DOUBLE) AS revenue, CAST(q AS BIGINT) AS quantity
+FROM tags t JOIN rk ON rk.user_id = t.user_id AND rb <= 5 WHERE intent = 'product' AND worst""",
+    MESSAGES_CTE.replace("FROM part)", "FROM part)").replace(
+        "messages AS (", "messages0 AS ("), "messages AS (SELECT msg_id, user_id, replace(text, 'best', 'worst') AS text FROM messages0)",
+    TAGS_CTE, _RANK)
+ORACLE["ask_customers"] = with_sales("""
+SELECT t.msg_id, t.user_id, ten.customers AS total_customers, sg.segment, sg.customers
+FROM tags t LEFT JOIN ten USING (user_id)
+LEFT JOIN (SELECT user_id, coalesce(customer_segment, 'Standard') AS segment, count(DISTINCT customer_id) AS customers
+           FROM sales GROUP BY 1, 2) sg ON sg.user_id = t.user_id
+WHERE intent = 'customer'""", MESSAGES_CTE, TAGS_CTE, _TEN)
+ORACLE["ask_inventory"] = with_sales("""
+SELECT t.msg_id, t.user_id, average_stock, low_stock_count FROM tags t LEFT JOIN ten USING (user_id)
+WHERE intent = 'inventory'""", MESSAGES_CTE, TAGS_CTE, _TEN)
+ORACLE["ask_inventory_items"] = with_sales("""
+SELECT t.msg_id, t.user_id, rank, product_name, stock_level FROM tags t JOIN (
+  SELECT user_id, product_name, CAST(inventory_level AS BIGINT) AS stock_level,
+         row_number() OVER (PARTITION BY user_id ORDER BY inventory_level, product_name, id) AS rank
+  FROM sales WHERE inventory_level < 50) l ON l.user_id = t.user_id AND rank <= 5
+WHERE intent = 'inventory'""", MESSAGES_CTE, TAGS_CTE)
+ORACLE["ask_categories"] = with_sales("""
+SELECT t.msg_id, t.user_id, g.category, g.sales FROM tags t JOIN (
+  SELECT user_id, category, CAST(sum(total_sales) AS DOUBLE) AS sales FROM sales GROUP BY 1, 2) g USING (user_id)
+WHERE intent = 'category'""", MESSAGES_CTE, TAGS_CTE)
+ORACLE["ask_regions"] = with_sales("""
+SELECT t.msg_id, t.user_id, g.region, g.sales FROM tags t JOIN (
+  SELECT user_id, region, CAST(sum(total_sales) AS DOUBLE) AS sales FROM sales GROUP BY 1, 2) g USING (user_id)
+WHERE intent = 'region'""", MESSAGES_CTE.replace("messages AS (", "messages0 AS ("),
+    "messages AS (SELECT msg_id, user_id, replace(text, 'categories', 'regions') AS text FROM messages0)", TAGS_CTE)
+
+_CUR = "'₹' || format('{{:,.2f}}', CAST({x} AS DOUBLE))"
+_NUM = "format('{{:,}}', CAST({x} AS BIGINT))"
+_LINES = [
+    "top AS (SELECT user_id, string_agg(printf('%d. **%s** - Revenue: %s (%s units)', rt, product_name, "
+    + _CUR.format(x="s") + ", " + _NUM.format(x="q") + ") || chr(10), '' ORDER BY rt) AS top_lines "
+    "FROM rk WHERE rt <= 5 GROUP BY user_id)",
+    "wst AS (SELECT user_id, string_agg(printf('%d. **%s** - Revenue: %s (%s units)', rb, product_name, "
+    + _CUR.format(x="s") + ", " + _NUM.format(x="q") + ") || chr(10), '' ORDER BY rb) AS worst_lines "
+    "FROM rk WHERE rb <= 5 GROUP BY user_id)",
+    "seg AS (SELECT user_id, string_agg(printf('- **%s**: %s customers', segment, " + _NUM.format(x="customers")
+    + ") || chr(10), '' ORDER BY segment) AS seg_lines FROM (SELECT user_id, coalesce(customer_segment, 'Standard') "
+    "AS segment, count(DISTINCT customer_id) AS customers FROM sales GROUP BY 1, 2) GROUP BY user_id)",
+    "cat AS (SELECT user_id, string_agg(printf('- **%s**: Total Sales: %s', category, " + _CUR.format(x="s")
+    + ") || chr(10), '' ORDER BY category) AS cat_lines FROM (SELECT user_id, category, sum(total_sales) AS s "
+    "FROM sales GROUP BY 1, 2) GROUP BY user_id)",
+    "reg AS (SELECT user_id, string_agg(printf('- **%s**: %s', region, " + _CUR.format(x="s")
+    + ") || chr(10), '' ORDER BY region) AS reg_lines FROM (SELECT user_id, region, sum(total_sales) AS s "
+    "FROM sales GROUP BY 1, 2) GROUP BY user_id)",
+]
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _reply_sql() -> str:
+    from ..operators.intents import REPLY_FORECAST, REPLY_HELP, REPLY_NO_DATA, REPLY_STOCK_OK
+    nl2 = "chr(10) || chr(10)"
+    return f"""
+SELECT t.msg_id, t.user_id, t.intent, CASE
+  WHEN ten.total_revenue IS NULL THEN {_sql_text(REPLY_NO_DATA)}
+  WHEN t.intent = 'sales' AND sa.kind = 'category' THEN printf('The total sales revenue generated for the **%s** category is **%s**.', sa.target, {_CUR.format(x='sa.total_sales')})
+  WHEN t.intent = 'sales' AND sa.kind = 'region' THEN printf('The total sales revenue generated in the **%s** region is **%s**.', sa.target, {_CUR.format(x='sa.total_sales')})
+  WHEN t.intent = 'sales' THEN printf('Your platform total revenue is **%s** across **%s** total units sold.', {_CUR.format(x='sa.total_sales')}, {_NUM.format(x='sa.units_sold')})
+  WHEN t.intent = 'profit' THEN printf('Your net profit is **%s** on a profit margin of **%.2f%%**.', {_CUR.format(x='ten.total_profit')}, ten.profit_margin_percent)
+  WHEN t.intent = 'product' AND t.worst THEN 'Here are the **least-performing products** based on sales volume:' || {nl2} || coalesce(worst_lines, '')
+  WHEN t.intent = 'product' THEN 'Here are the **top-performing products** based on sales volume:' || {nl2} || coalesce(top_lines, '')
+  WHEN t.intent = 'customer' THEN printf('You have **%s** unique customer identifiers recorded. Here is their segmentation breakdown:', {_NUM.format(x='ten.customers')}) || {nl2} || coalesce(seg_lines, '')
+  WHEN t.intent = 'inventory' THEN printf('Your average inventory stock level is **%d** units. ', CAST(trunc(ten.average_stock) AS BIGINT))
+       || CASE WHEN ten.low_stock_count > 0 THEN printf('⚠️ **Attention**: There are **%d** products with critically low stock (under 50 units).', ten.low_stock_count)
+               ELSE {_sql_text(REPLY_STOCK_OK)} END
+  WHEN t.intent = 'category' THEN 'Here is the sales performance across your product categories:' || {nl2} || coalesce(cat_lines, '')
+  WHEN t.intent = 'region' THEN 'Here is your regional sales breakdown:' || {nl2} || coalesce(reg_lines, '')
+  WHEN t.intent = 'forecast' THEN {_sql_text(REPLY_FORECAST)}
+  ELSE {_sql_text(REPLY_HELP)} END AS reply
+FROM tags t LEFT JOIN sa ON sa.msg_id = t.msg_id AND sa.user_id = t.user_id
+LEFT JOIN ten ON ten.user_id = t.user_id LEFT JOIN top ON top.user_id = t.user_id
+LEFT JOIN wst ON wst.user_id = t.user_id LEFT JOIN seg ON seg.user_id = t.user_id
+LEFT JOIN cat ON cat.user_id = t.user_id LEFT JOIN reg ON reg.user_id = t.user_id"""
+
+
+ORACLE["reply_text"] = with_sales(_reply_sql(), *_ASK, _TEN, _RANK, *_LINES)

@@ -127,7 +127,8 @@ def dirty_from_star(t: Tables) -> DataFrame:
 
 
 def messages_from_part(t: Tables) -> DataFrame:
-    """One business question per part; wording follows the assistant's help text."""
+    """One business question per part, asked by tenant ``p_partkey % 8``;
+    wording follows the assistant's help text."""
     k = F.col("p_partkey") % 9
     text = (F.when(k == 0, F.concat(F.lit("What is our revenue for "), F.col("p_type"), F.lit("?")))
             .when(k == 1, F.lit("Sales in ASIA please"))
@@ -138,4 +139,5 @@ def messages_from_part(t: Tables) -> DataFrame:
             .when(k == 6, F.lit("Are there any low stock inventory warnings?"))
             .when(k == 7, F.lit("Which categories perform the best?"))
             .otherwise(F.lit("Hello there")))
-    return t.part.select(F.col("p_partkey").cast("bigint").alias("msg_id"), text.alias("text"))
+    return t.part.select(F.col("p_partkey").cast("bigint").alias("msg_id"),
+                         (F.col("p_partkey") % 8).cast("bigint").alias("user_id"), text.alias("text"))
