@@ -557,3 +557,65 @@ def _ask_regs(t):
 @query("reply_text")
 def _reply(t):
     return it.reply_text(messages(t), sales(t))
+
+
+# --- forecasting and recommendations ----------------------------------------------
+
+from ..operators import insights as ins  # noqa: E402
+from . import forecast as fc  # noqa: E402
+
+FIT_ITERATIONS = 20   # boosting rounds in the registered queries (100 in the library default)
+
+
+@query("forecast_metrics")
+def _fc_metrics(t):
+    return fc.naive_metrics(sales(t))
+
+
+@query("forecast_seed")
+def _fc_seed(t):
+    return fc.forecast_seed(sales(t)).drop("history")
+
+
+@query("forecast_fallback")
+def _fc_fallback(t):
+    return fc.fallback_forecast(sales(t))
+
+
+@query("forecast_fit_metrics")
+def _fc_fit(t):
+    """Boosted trees over all tenants' series; hold-out MAE/R^2."""
+    _, metrics = fc.fit_and_evaluate(sales(t), max_iter=FIT_ITERATIONS)
+    return metrics
+
+
+@query("forecast_30d")
+def _fc_30(t):
+    """P5: 30-day recursive forecast of every tenant with the fitted model."""
+    s = sales(t)
+    model = fc.fit_forecaster(fc.training_frame(s).where(F.col("split") == "train"), max_iter=FIT_ITERATIONS)
+    return fc.recursive_forecast(model, s)
+
+
+@query("insight_low_stock")
+def _in_low(t):
+    return ins.low_stock_insights(m.low_stock_latest(sales(t)))
+
+
+@query("insight_trend")
+def _in_trend(t):
+    return ins.trend_insights(fc.trend_change(fc.fallback_forecast(sales(t))))
+
+
+@query("insight_segments")
+def _in_seg(t):
+    return ins.segment_insights(seg.segment_counts(seg.rule_segments(seg.rfm(sales(t)))))
+
+
+@query("recommendations")
+def _recs(t):
+    s = sales(t)
+    return ins.recommendations(
+        s, ins.low_stock_insights(m.low_stock_latest(s)),
+        ins.trend_insights(fc.trend_change(fc.fallback_forecast(s))),
+        ins.segment_insights(seg.segment_counts(seg.rule_segments(seg.rfm(s)))))

@@ -726,3 +726,76 @@ LEFT JOIN cat ON cat.user_id = t.user_id LEFT JOIN reg ON reg.user_id = t.user_i
 
 
 ORACLE["reply_text"] = with_sales(_reply_sql(), *_ASK, _TEN, _RANK, *_LINES)
+
+
+# --- forecasting and recommendations ----------------------------------------------
+
+_FEAT_CTES = [DAILY_CTE, DENSE_CTE, f"f AS ({_feats('dense', 'user_id')})"]
+_TEST_CTE = """te AS (SELECT user_id, CAST(total_sales AS DOUBLE) AS y, sales_lag_7 AS yhat FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS k,
+           greatest(least(7, CAST(floor(count(*) OVER (PARTITION BY user_id) * 0.2) AS BIGINT)), 1) AS ts
+    FROM f WHERE """ + " AND ".join(f"{c} IS NOT NULL" for c in _FEATURE_NAMES) + """) WHERE k <= ts)"""
+ORACLE["forecast_metrics"] = with_sales("""
+SELECT user_id, n AS test_rows, round(mae, 4) AS mae,
+       round(CASE WHEN n <= 1 THEN 1.0 WHEN var_y * n = 0 THEN (CASE WHEN ss_res = 0 THEN 1.0 ELSE 0.0 END)
+                  ELSE 1 - ss_res / (var_y * n) END, 4) AS r2
+FROM (SELECT user_id, count(*) AS n, avg(abs(y - yhat)) AS mae, sum((y - yhat) * (y - yhat)) AS ss_res,
+             var_pop(y) AS var_y FROM te GROUP BY user_id)""", *_FEAT_CTES, _TEST_CTE)
+ORACLE["forecast_seed"] = with_sales("""
+SELECT user_id, strftime(max(day), '%Y-%m-%d') AS last_day, CAST(arg_max(total_sales, day) AS DOUBLE) AS last_total,
+       string_agg(CAST(total_sales AS VARCHAR), ',' ORDER BY day) AS history_text
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS k FROM dense) WHERE k <= 14
+GROUP BY user_id""", DAILY_CTE, DENSE_CTE)
+_FALLBACK = """fb AS (
+  SELECT user_id, CAST(step AS BIGINT) AS step, start + CAST(step AS INTEGER) AS date,
+         round(greatest(5000.0 + step * 20.0 + 1000.0 * sin(6.283185307179586 * (step + (isodow(start) - 1)) / 7), 100.0), 4)
+           AS predicted
+  FROM (SELECT user_id, CAST(max(day) + 1 AS DATE) AS start FROM dense GROUP BY user_id),
+       (SELECT unnest(range(0, 30)) AS step))"""
+ORACLE["forecast_fallback"] = with_sales(
+    "SELECT user_id, step, strftime(date, '%Y-%m-%d') AS date, predicted FROM fb", DAILY_CTE, DENSE_CTE, _FALLBACK)
+
+_LOW_CTE = """low AS (SELECT user_id, rank, product_name, inventory_level FROM (
+  SELECT user_id, product_name, CAST(lvl AS BIGINT) AS inventory_level,
+         row_number() OVER (PARTITION BY user_id ORDER BY lvl ASC, product_name ASC) AS rank
+  FROM (SELECT user_id, product_name, arg_max(inventory_level, id) AS lvl
+        FROM sales WHERE inventory_level < 50 GROUP BY 1, 2)) WHERE rank <= 3)"""
+_R1 = """r1 AS (SELECT user_id, rank AS priority, 'low_stock' AS rule,
+  printf('CRITICAL: Stock for ''%s'' is critically low (%d units remaining). Reorder immediately.',
+         product_name, inventory_level) AS message FROM low)"""
+_R2 = """tc AS (SELECT user_id, round(CASE WHEN a > 0 THEN (b - a) / a * 100 ELSE 0.0 END, 4) AS pct FROM (
+    SELECT user_id, avg(predicted) FILTER (WHERE step < 15) AS a, avg(predicted) FILTER (WHERE step >= 15) AS b
+    FROM fb GROUP BY user_id)),
+r2 AS (SELECT user_id, CAST(10 AS BIGINT) AS priority, 'sales_trend' AS rule,
+  CASE WHEN pct > 5 THEN printf('SALES INSIGHT: Sales are projected to increase by %.1f%% over the next 15 days. Restock high-demand products.', pct)
+       ELSE printf('MARKET WARNING: Projected sales show a decrease of %.1f%% in the second half of the month. Consider promotional bundling.', abs(pct)) END AS message
+  FROM tc WHERE pct > 5 OR pct < -5)"""
+_SEGCOUNT = """sc AS (SELECT coalesce(n.user_id, c.user_id) AS user_id, coalesce(n.segment, c.segment) AS segment,
+    coalesce(c.customers, 0) AS customers
+  FROM (SELECT DISTINCT user_id, unnest(['Champions', 'Loyal Customers', 'At Risk', 'New/Promising']) AS segment FROM rules) n
+  FULL JOIN (SELECT user_id, segment, count(*) AS customers FROM rules GROUP BY 1, 2) c
+    ON n.user_id = c.user_id AND n.segment = c.segment)"""
+_R4 = """sp AS (SELECT user_id,
+    round(sum(CASE WHEN segment = 'Champions' THEN customers ELSE 0 END) / sum(customers) * 100, 4) AS cp,
+    round(sum(CASE WHEN segment = 'At Risk' THEN customers ELSE 0 END) / sum(customers) * 100, 4) AS rp
+  FROM sc GROUP BY user_id HAVING sum(customers) > 0),
+r4 AS (SELECT user_id, CAST(20 AS BIGINT) AS priority, 'champions' AS rule,
+    printf('MARKETING: High density of Champions (%.1f%%). Launch a premium VIP early-access campaign to maximize margins.', cp) AS message
+  FROM sp WHERE cp > 15
+  UNION ALL
+  SELECT user_id, CAST(21 AS BIGINT), 'at_risk',
+    printf('RETENTION ALERT: At-Risk customers represent %.1f%% of your base. Run a win-back discount campaign this weekend.', rp)
+  FROM sp WHERE rp > 25)"""
+ORACLE["insight_low_stock"] = with_sales("SELECT * FROM r1", _LOW_CTE, _R1)
+ORACLE["insight_trend"] = with_sales("SELECT * FROM r2", DAILY_CTE, DENSE_CTE, _FALLBACK, _R2)
+ORACLE["insight_segments"] = with_sales("SELECT * FROM r4", RFM_CTE, RULES_CTE, _SEGCOUNT, _R4)
+ORACLE["recommendations"] = with_sales("""
+SELECT * FROM fired
+UNION ALL
+SELECT q.user_id, CAST(90 + t.i AS BIGINT) AS priority, 'general' AS rule, t.message
+FROM (SELECT DISTINCT user_id FROM sales WHERE user_id NOT IN (SELECT user_id FROM fired)) q,
+     (SELECT 0 AS i, 'Monitor daily inventory levels to prevent stockouts of top-performing items.' AS message
+      UNION ALL SELECT 1, 'Run seasonal promotions during weekends to capture maximum local demand.'
+      UNION ALL SELECT 2, 'Segment customer email newsletters based on their past purchase categories.') t""",
+    _LOW_CTE, _R1, DAILY_CTE, DENSE_CTE, _FALLBACK, _R2, RFM_CTE, RULES_CTE, _SEGCOUNT, _R4,
+    "fired AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r4)")
