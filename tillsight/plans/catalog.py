@@ -169,7 +169,7 @@ from ..operators import timeseries as ts  # noqa: E402
 FILTER_COLUMNS = ["id", "user_id", "date", "category", "total_sales"]
 FILTER_CASES = {
     "filter_date_range": {"start_date": "1996-01-01", "end_date": "1998-12-31"},
-    "filter_dims_ci": {"region": "asia", "country": "nation_8", "payment_method": "upi",
+    "filter_dims_ci": {"region": "asia", "country": "nation_7", "payment_method": "upi",
                        "sales_channel": "ONLINE"},
     "filter_calendar": {"year": "1997", "quarter": "Q2", "month": "may", "day": "friday"},
     "filter_low_stock": {"low_stock": True},
@@ -619,3 +619,153 @@ def _recs(t):
         s, ins.low_stock_insights(m.low_stock_latest(s)),
         ins.trend_insights(fc.trend_change(fc.fallback_forecast(s))),
         ins.segment_insights(seg.segment_counts(seg.rule_segments(seg.rfm(s)))))
+
+
+# --- sources, sinks, reports, dashboard -----------------------------------------------
+
+from ..session import scratch_path  # noqa: E402
+from ..sinks import writers as wr  # noqa: E402
+from ..sources.raw import landing_manifest, read_raw_csv  # noqa: E402
+from ..sources.registry import list_datasets  # noqa: E402
+from . import dashboard as dash  # noqa: E402
+from . import reports as rep  # noqa: E402
+
+
+@query("src_csv_roundtrip")
+def _csv_roundtrip(t):
+    """Write every tenant's rows as CSV, read them back all-text, detect
+    and parse the numeric columns."""
+    path = scratch_path(t.spark, "csv")
+    out = output_frame(sales(t).select("id", "user_id", "product_name", "quantity", "total_sales", "state"))
+    out.write.option("header", True).csv(path)
+    back = read_raw_csv(t.spark, path)
+    numeric = cl.detect_numeric(back, back.columns)
+    return cl.cast_numeric(back, numeric).select(
+        F.col("id").cast("bigint").alias("id"), F.col("user_id").cast("bigint").alias("user_id"),
+        "product_name", F.col("quantity").cast("bigint").alias("quantity"), "total_sales", "state",
+        F.array_join(F.array_sort(F.array(*[F.lit(c) for c in numeric])), ",").alias("numeric_columns"))
+
+
+def _registry(t) -> DataFrame:
+    """A dataset registry derived from the sales fact: one upload per
+    (tenant, year), uploaded on 1 January of that year."""
+    c = sales(t).groupBy("user_id", "dataset_id").agg(F.count(F.lit(1)).alias("row_count"))
+    return c.select((F.col("dataset_id") * 10 + F.col("user_id")).alias("id"), "user_id", "dataset_id",
+                    F.format_string("sales_%d.csv", F.col("dataset_id")).alias("filename"),
+                    F.lit("retail").alias("sector"), F.lit("processed").alias("status"),
+                    F.col("row_count").cast("bigint").alias("row_count"),
+                    F.make_timestamp(F.col("dataset_id").cast("int"), F.lit(1), F.lit(1), F.lit(0), F.lit(0),
+                                     F.lit(0)).alias("uploaded_at"))
+
+
+@query("list_datasets")
+def _list_datasets(t):
+    return list_datasets(_registry(t), 3)
+
+
+@query("dataset_status_latest")
+def _status_latest(t):
+    """K4: an append-only status log (uploaded, then processed with the row
+    count, or failed for empty uploads) and the latest status per dataset."""
+    r = _registry(t)
+    path = scratch_path(t.spark, "registry")
+    ev1 = r.select((F.col("id")).alias("dataset_id"), "user_id", "filename", F.lit("uploaded").alias("status"),
+                   F.lit(None).cast("bigint").alias("row_count"), F.col("uploaded_at").alias("event_time"))
+    ev2 = r.select(F.col("id").alias("dataset_id"), "user_id", "filename",
+                   F.when(F.col("row_count") > 0, "processed").otherwise("failed").alias("status"),
+                   "row_count", (F.col("uploaded_at") + F.expr("interval 5 minutes")).alias("event_time"))
+    wr.append_status(ev1, path)
+    wr.append_status(ev2, path)
+    return wr.latest_status(t.spark.read.parquet(path))
+
+
+@query("load_replace")
+def _load_replace(t):
+    """K3: load the sales table, then reload tenant 2's 1995 upload with
+    only its lines above 25 units: only that partition changes."""
+    path = scratch_path(t.spark, "sales_table")
+    s = sales(t)
+    wr.load_sales(s, path)
+    again = s.where((F.col("user_id") == 2) & (F.col("dataset_id") == 1995) & (F.col("quantity") > 25))
+    wr.load_sales(again, path)
+    back = wr.read_sales(t.spark, path)
+    return back.groupBy("user_id", "dataset_id").agg(F.count(F.lit(1)).alias("rows"),
+                                                     F.sum("total_sales").alias("revenue"))
+
+
+@query("purge_tenant")
+def _purge(t):
+    """K8: drop tenant 5's partition folder; rows left per tenant."""
+    path = scratch_path(t.spark, "sales_table")
+    wr.load_sales(sales(t), path)
+    wr.purge_tenant(t.spark, path, 5)
+    return wr.read_sales(t.spark, path).groupBy("user_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("export_csv")
+def _export(t):
+    """K5: tenant 4's CSV export, read back."""
+    path = scratch_path(t.spark, "export")
+    wr.export_csv(sales(t), 4, path)
+    back = read_raw_csv(t.spark, path)
+    return back.select(F.col("id").cast("bigint").alias("id"), "date", "product_name",
+                       F.col("total_sales").cast("double").alias("total_sales"))
+
+
+@query("export_filtered")
+def _export_filtered(t):
+    """K6: filtered ledger export, every field quoted, nulls as ''."""
+    path = scratch_path(t.spark, "export_filtered")
+    wr.export_filtered_csv(sales(t), FILTER_CASES["filter_dims_ci"] | {"country": "", "region": "asia"}, path)
+    back = t.spark.read.option("header", True).option("emptyValue", "").csv(path)
+    return back.select(F.col("id").cast("bigint").alias("id"), "customer_id",
+                       F.coalesce("state", F.lit("")).alias("state"))
+
+
+@query("landing_manifest")
+def _landing(t):
+    """Admission of the files in a landing folder (CSV exports are
+    accepted, parquet part files are not)."""
+    base = scratch_path(t.spark, "landing")
+    s = sales(t)
+    output_frame(s.select("id", "product_name")).write.option("header", True).csv(f"{base}/csv")
+    s.select("id", "user_id").write.parquet(f"{base}/parquet")
+    return landing_manifest(t.spark, base).select(
+        "ext", "accepted", "reason").groupBy("ext", "accepted", "reason").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("write_cleaned")
+def _write_cleaned(t):
+    """K1: the cleaned copy of the damaged upload, written and read back."""
+    path = scratch_path(t.spark, "cleaned")
+    wr.write_copy(dirty_cleaned(t).drop("_row"), path)
+    return t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("write_processed")
+def _write_processed(t):
+    """K2: the processed (canonical) copy, written as CSV and read back."""
+    path = scratch_path(t.spark, "processed")
+    canon = etl.transform_upload(dirty_ordered(t), user_id=7, dataset_id=1, now=NOW)[1]
+    wr.write_copy(canon, path, fmt="csv")
+    return t.spark.read.option("header", True).csv(path).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("report_summary")
+def _rep_summary(t):
+    return rep.report_summary(sales(t))
+
+
+@query("report_transactions")
+def _rep_tx(t):
+    return rep.report_transactions(sales(t))
+
+
+@query("report_forecast")
+def _rep_fc(t):
+    return rep.report_forecast(fc.fallback_forecast(sales(t)))
+
+
+@query("dashboard_payload")
+def _dash(t):
+    return dash.dashboard_payload(sales(t))

@@ -271,7 +271,7 @@ _FILTER_OUT = "SELECT id, user_id, strftime(date, '%Y-%m-%d %H:%M:%S') AS date,
 ORACLE["filter_date_range"] = with_sales(_FILTER_OUT + """
 WHERE (date IS NULL OR date >= TIMESTAMP '1996-01-01') AND (date IS NULL OR date <= TIMESTAMP '1998-12-31')""")
 ORACLE["filter_dims_ci"] = with_sales(_FILTER_OUT + """
-WHERE lower(coalesce(region, '')) = 'asia' AND lower(coalesce(country, 'India')) = 'nation_8'
+WHERE lower(coalesce(region, '')) = 'asia' AND lower(coalesce(country, 'India')) = 'nation_7'
   AND lower(coalesce(payment_method, '')) = 'upi' AND lower(coalesce(sales_channel, '')) = 'online'""")
 ORACLE["filter_calendar"] = with_sales(_FILTER_OUT + """
 WHERE CAST(year(date) AS VARCHAR) = '1997' AND 'Q' || CAST(quarter(date) AS VARCHAR) = 'Q2'
@@ -799,3 +799,62 @@ FROM (SELECT DISTINCT user_id FROM sales WHERE user_id NOT IN (SELECT user_id FR
       UNION ALL SELECT 2, 'Segment customer email newsletters based on their past purchase categories.') t""",
     _LOW_CTE, _R1, DAILY_CTE, DENSE_CTE, _FALLBACK, _R2, RFM_CTE, RULES_CTE, _SEGCOUNT, _R4,
     "fired AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r4)")
+
+
+# --- sources, sinks, reports --------------------------------------------------------------
+
+ORACLE["src_csv_roundtrip"] = with_sales("""
+SELECT id, user_id, product_name, CAST(quantity AS BIGINT) AS quantity, CAST(total_sales AS DOUBLE) AS total_sales,
+       CAST(NULL AS DOUBLE) AS state, 'id,quantity,state,total_sales,user_id' AS numeric_columns FROM sales""")
+_REG = """reg AS (SELECT dataset_id * 10 + user_id AS id, user_id, dataset_id, printf('sales_%d.csv', dataset_id) AS filename,
+    'retail' AS sector, 'processed' AS status, count(*) AS row_count, make_timestamp(dataset_id, 1, 1, 0, 0, 0) AS uploaded_at
+  FROM sales GROUP BY user_id, dataset_id)"""
+ORACLE["list_datasets"] = with_sales("""
+SELECT id, user_id, dataset_id, filename, sector, status, row_count, strftime(uploaded_at, '%Y-%m-%d %H:%M:%S') AS uploaded_at
+FROM reg WHERE user_id = 3""", _REG)
+ORACLE["dataset_status_latest"] = with_sales("""
+SELECT id AS dataset_id, user_id, filename, CASE WHEN row_count > 0 THEN 'processed' ELSE 'failed' END AS status,
+       row_count, strftime(uploaded_at + INTERVAL 5 MINUTE, '%Y-%m-%d %H:%M:%S') AS event_time FROM reg""", _REG)
+ORACLE["load_replace"] = with_sales("""
+SELECT user_id, dataset_id, count(*) AS rows, CAST(sum(total_sales) AS DOUBLE) AS revenue FROM sales
+WHERE NOT (user_id = 2 AND dataset_id = 1995 AND quantity <= 25) GROUP BY 1, 2""")
+ORACLE["purge_tenant"] = with_sales("SELECT user_id, count(*) AS rows FROM sales WHERE user_id <> 5 GROUP BY 1")
+ORACLE["export_csv"] = with_sales("""
+SELECT id, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, product_name, CAST(total_sales AS DOUBLE) AS total_sales
+FROM sales WHERE user_id = 4""")
+ORACLE["export_filtered"] = with_sales("""
+SELECT id, customer_id, coalesce(state, '') AS state FROM sales
+WHERE lower(coalesce(region, '')) = 'asia' AND lower(coalesce(payment_method, '')) = 'upi'
+  AND lower(coalesce(sales_channel, '')) = 'online'""")
+ORACLE["write_cleaned"] = with_clean("SELECT count(*) AS rows FROM d0", 3)
+ORACLE["write_processed"] = with_clean("SELECT count(*) AS rows FROM d0", 3)
+
+_KPI_CTES = [*GROWTH_CTES, """b AS (
+  SELECT user_id, sum(total_sales) AS rev, CAST(sum(quantity) AS BIGINT) AS total_sales,
+         count(DISTINCT customer_id) AS total_customers, count(DISTINCT product_name) AS total_products,
+         sum(total_profit) AS prof, avg(inventory_level) AS avg_inv
+  FROM sales GROUP BY user_id)""", f"""k AS (
+  SELECT b.user_id, CAST(round(rev, 2) AS DOUBLE) AS total_revenue, total_sales, total_customers, total_products,
+         CAST(round(prof, 2) AS DOUBLE) AS total_profit, round(avg_inv, 2) AS avg_inventory,
+         coalesce(g.sales_growth, 0.0) AS sales_growth, {pct('prof', 'rev')} AS profit_margin
+  FROM b LEFT JOIN g USING (user_id))"""]
+_C = "'₹' || format('{{:,.2f}}', {x})"
+_N = "format('{{:,}}', CAST(trunc({x}) AS BIGINT))"
+ORACLE["report_summary"] = with_sales("\nUNION ALL\n".join(
+    f"SELECT user_id, CAST({i + 1} AS BIGINT) AS position, '{label}' AS metric, "
+    + (_C.format(x=c) if kind == "currency" else _N.format(x=c) if kind == "count" else f"CAST({c} AS VARCHAR) || '%'")
+    + " AS value FROM k"
+    for i, (label, c, kind) in enumerate([
+        ("Total Revenue", "total_revenue", "currency"), ("Total Units Sold", "total_sales", "count"),
+        ("Total Customers", "total_customers", "count"), ("Total Products Tracked", "total_products", "count"),
+        ("Total Profit", "total_profit", "currency"), ("Net Profit Margin (%)", "profit_margin", "percent"),
+        ("Average Stock Inventory Level", "avg_inventory", "count"),
+        ("Month-Over-Month Sales Growth (%)", "sales_growth", "percent")])), *_KPI_CTES)
+ORACLE["report_transactions"] = with_sales("""
+SELECT user_id, id, dataset_id, strftime(date, '%Y-%m-%d') AS date, product_name, category, sub_category,
+       CAST(quantity AS BIGINT) AS quantity, unit_price, CAST(total_sales AS DOUBLE) AS total_sales,
+       CAST(total_profit AS DOUBLE) AS total_profit, customer_id, customer_segment, region,
+       CAST(inventory_level AS BIGINT) AS inventory_level FROM sales""")
+ORACLE["report_forecast"] = with_sales("""
+SELECT user_id, strftime(date, '%Y-%m-%d') AS date, predicted AS predicted_sales_revenue FROM fb""",
+                                       DAILY_CTE, DENSE_CTE, _FALLBACK)

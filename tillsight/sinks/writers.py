@@ -42,6 +42,11 @@ def log_status(spark: SparkSession, registry_dir: str, rows: list[tuple]) -> Non
     df.write.mode("append").parquet(registry_dir)
 
 
+def append_status(events: DataFrame, registry_dir: str) -> None:
+    """K4 for event frames computed by Spark (same columns as ``log_status``)."""
+    events.write.mode("append").parquet(registry_dir)
+
+
 def latest_status(registry: DataFrame) -> DataFrame:
     """K4: the latest event per dataset (ties: the later status name)."""
     last = registry.groupBy("dataset_id").agg(
