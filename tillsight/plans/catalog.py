@@ -769,3 +769,77 @@ def _rep_fc(t):
 @query("dashboard_payload")
 def _dash(t):
     return dash.dashboard_payload(sales(t))
+
+
+# --- training, persistence, upload flow, stream ------------------------------------------
+
+from ..streaming.ingest import ingest_landing  # noqa: E402
+from . import training as tr  # noqa: E402
+
+
+@query("training_status")
+def _train_status(t):
+    """Fit, save and report both models."""
+    return tr.train_models(sales(t), scratch_path(t.spark, "models"), max_iter=FIT_ITERATIONS,
+                           kmeans_iterations=10)
+
+
+@query("segment_scored_saved")
+def _scored_saved(t):
+    """Score with the saved k-means model, loaded back."""
+    models = scratch_path(t.spark, "models")
+    s = sales(t)
+    r = seg.rfm(s)
+    stats = seg.tenant_stats(r)
+    _, model = seg.kmeans_segments(seg.scale_rfm(r, stats), iterations=10)
+    tr.save_models(models, None, model, stats)
+    return tr.score_with_saved(s, models)
+
+
+@query("forecast_saved_or_fallback")
+def _fc_saved(t):
+    """Without a saved regressor the fallback forecast is used."""
+    return tr.forecast_with_saved(sales(t), scratch_path(t.spark, "models-empty"))
+
+
+@query("upload_flow")
+def _upload_flow(t):
+    """ETL of the damaged upload into the sales table, then the
+    dashboard of the loaded tenant."""
+    table = scratch_path(t.spark, "sales_table")
+    status = etl.run_etl(dirty_ordered(t), user_id=7, dataset_id=1, now=NOW, table_dir=table)
+    loaded = wr.read_sales(t.spark, table)
+    payload = dash.dashboard_payload(loaded)
+    return status.crossJoin(payload.select(F.length("payload").alias("payload_chars")))   # 1 x 1 rows
+
+
+@query("stream_file_ingest")
+def _stream(t):
+    """Two CSV uploads (per-tenant exports) dropped in a landing folder and
+    ingested by the stream, one upload per micro-batch."""
+    base = scratch_path(t.spark, "stream")
+    cols = ["Order Date", "Product Name", "Category", "Quantity", "Sales", "Customer ID", "Region", "Stock Level"]
+    s = sales(t)
+    for uid in (0, 1):
+        part = s.where(F.col("user_id") == uid).select(
+            F.date_format("date", "yyyy-MM-dd").alias(cols[0]), F.col("product_name").alias(cols[1]),
+            F.col("category").alias(cols[2]), F.col("quantity").cast("string").alias(cols[3]),
+            F.col("total_sales").cast("string").alias(cols[4]), F.col("customer_id").alias(cols[5]),
+            F.col("region").alias(cols[6]), F.col("inventory_level").cast("string").alias(cols[7]))
+        part.coalesce(1).write.option("header", True).csv(f"{base}/staging/u{uid}")
+    # move the finished uploads into the landing folder (atomic renames)
+    jvm = t.spark.sparkContext._jvm
+    conf = t.spark.sparkContext._jsc.hadoopConfiguration()
+    for uid in (0, 1):
+        src = jvm.org.apache.hadoop.fs.Path(f"{base}/staging/u{uid}")
+        fs = src.getFileSystem(conf)
+        for st in fs.listStatus(src):
+            name = st.getPath().getName()
+            if name.endswith(".csv"):
+                fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{base}/landing"))
+                fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(f"{base}/landing/upload_{uid}.csv"))
+    q = ingest_landing(t.spark, f"{base}/landing", cols, f"{base}/table", f"{base}/checkpoint", user_id=9,
+                       now=NOW)
+    q.awaitTermination()
+    return wr.read_sales(t.spark, f"{base}/table").groupBy("user_id", "dataset_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("product_name").alias("products"))

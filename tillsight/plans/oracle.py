@@ -858,3 +858,5 @@ SELECT user_id, id, dataset_id, strftime(date, '%Y-%m-%d') AS date, product_name
 ORACLE["report_forecast"] = with_sales("""
 SELECT user_id, strftime(date, '%Y-%m-%d') AS date, predicted AS predicted_sales_revenue FROM fb""",
                                        DAILY_CTE, DENSE_CTE, _FALLBACK)
+
+ORACLE["forecast_saved_or_fallback"] = ORACLE["forecast_fallback"]
