@@ -42,14 +42,26 @@ def parse_number(c) -> Column:
     return F.expr(f"try_cast({c} as double)") if isinstance(c, str) else c.try_cast("double")
 
 
-DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd",
-                "yyyy/MM/dd", "MM/dd/yyyy", "dd-MM-yyyy"]
+# (shape, format): a text is only handed to the format whose shape it has,
+# so rows do not pay for failed parse attempts.
+DATE_FORMATS = [
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$", "yyyy-M-d H:mm:ss"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}$", "yyyy-M-d'T'H:mm:ss"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
+]
 
 
 def parse_timestamp(c, formats=DATE_FORMATS) -> Column:
-    """First format that parses wins; text that fits none gives null."""
-    text = col(c).cast("string")
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    """Text -> timestamp by the format its shape selects; text of no known
+    shape, or an impossible date, gives null."""
+    text = F.trim(col(c).cast("string"))
+    out = F.lit(None).cast("timestamp")
+    for shape, fmt in reversed(formats):
+        out = F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt))).otherwise(out)
+    return out
 
 
 def ci_equals(c, value: str, null_as: str = "") -> Column:

@@ -12,6 +12,7 @@ fixes which copy of a duplicate is kept and the order of forward fills.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import parse_number, strip_ws
@@ -26,10 +27,18 @@ def data_columns(df: DataFrame, order_col: str = ORDER_COL, by=()) -> list[str]:
 
 
 def _join_stats(df: DataFrame, stats: DataFrame, by) -> DataFrame:
-    """Attach per-upload statistics (one row per upload, or one row)."""
+    """Attach per-upload statistics.
+
+    Several uploads (``by``): join the one-row-per-upload statistics back.
+    A single upload: its statistics are one row with one value per column
+    (bounded by the header, not the data); it is fetched and applied as
+    literals, which keeps the plan of the following passes linear instead
+    of nesting every earlier statistics join into each later aggregate."""
     if by:
         return df.join(stats, list(by), "left")
-    return df.crossJoin(F.broadcast(stats))   # a single statistics row
+    rows = stats.collect()
+    vals = rows[0].asDict() if rows else {f.name: None for f in stats.schema.fields}
+    return df.select("*", *[F.lit(vals[f.name]).cast(f.dataType).alias(f.name) for f in stats.schema.fields])
 
 
 def drop_exact_duplicates(df: DataFrame, order_col: str = ORDER_COL) -> DataFrame:
@@ -129,9 +138,6 @@ def impute_mode(df: DataFrame, cols: list[str], by=(), fallback: str = MODE_FALL
     modes = column_modes(df, cols, by)
     wide = modes.groupBy(*by).pivot("column", cols).agg(F.first("value"))
     wide = wide.select(*by, *[F.col(f"`{c}`").alias(f"_mode_{c}") for c in cols])
-    if not by:
-        # a single upload: one row (possibly none if every column is empty)
-        wide = df.sparkSession.range(1).join(wide, how="left").drop("id")
     j = _join_stats(df, wide, by)
     return j.select(*[(F.coalesce(F.col(f"`{c}`"), F.col(f"`_mode_{c}`"), F.lit(fallback)) if c in cols
                        else F.col(f"`{c}`")).alias(c) for c in df.columns])
@@ -173,7 +179,8 @@ def cap_outliers(df: DataFrame, cols: list[str], by=(), k: float = IQR_K, exact:
 def clean_upload(df: DataFrame, order_col: str = ORDER_COL, by=(), exact_quantiles: bool = True
                  ) -> tuple[DataFrame, list[str]]:
     """C1-C8 in order. Returns the cleaned frame and its numeric columns."""
-    df = trim_headers(drop_exact_duplicates(df, order_col))
+    # The upload is read by several statistics passes: de-duplicate once.
+    df = trim_headers(drop_exact_duplicates(df, order_col)).persist(StorageLevel.MEMORY_AND_DISK)
     cols = data_columns(df, order_col, by)
     numeric = detect_numeric(df, cols)
     df = cast_numeric(df, numeric)

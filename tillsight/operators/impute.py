@@ -15,7 +15,7 @@ from ..schema import (DEFAULT_INVENTORY, DEFAULT_QUANTITY, DEFAULT_UNIT_PRICE, L
                       SYNTH_INVENTORY_HIGH, SYNTH_INVENTORY_LOW)
 
 ORDER_COL = "_row"
-FFILL_CHUNK = 1 << 20   # rows per forward-fill chunk (bounds one window partition)
+FFILL_CHUNK = 1 << 17   # rows per forward-fill chunk (bounds one window partition)
 
 
 def _num(c: str) -> Column:
@@ -47,19 +47,13 @@ def forward_fill(df: DataFrame, column: str, order_col: str = ORDER_COL, by=(),
     earlier value.
     """
     ck = F.floor(F.col(order_col) / F.lit(chunk)).cast("bigint")
-    d = df.withColumn("_chunk", ck)
     w_in = Window.partitionBy(*by, "_chunk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_local", F.last(column, ignorenulls=True).over(w_in))
-    tails = (d.where(F.col(column).isNotNull())
-             .groupBy(*by, "_chunk").agg(F.max_by(column, order_col).alias("_tail")))
+    d = df.withColumn("_chunk", ck).withColumn("_local", F.last(column, ignorenulls=True).over(w_in))
+    # the filled value of a chunk's last row is its last non-null value (or null)
+    tails = d.groupBy(*by, "_chunk").agg(F.max_by("_local", order_col).alias("_tail"))
     w_c = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = tails.withColumn("_carry", F.last("_tail", ignorenulls=True).over(w_c))
-    # chunks without any value still need the carry of the chunks before them
-    chunks = d.select(*by, "_chunk").distinct()
-    carry_all = (chunks.join(carry, [*by, "_chunk"], "left")
-                 .withColumn("_c2", F.last(F.coalesce("_tail", "_carry"), ignorenulls=True).over(w_c))
-                 .select(*by, "_chunk", F.col("_c2").alias("_carry")))
-    return (d.join(carry_all, [*by, "_chunk"], "left")
+    carry = tails.select(*by, "_chunk", F.last("_tail", ignorenulls=True).over(w_c).alias("_carry"))
+    return (d.join(carry, [*by, "_chunk"], "left")
             .withColumn(column, F.coalesce("_local", "_carry"))
             .drop("_chunk", "_local", "_carry"))
 

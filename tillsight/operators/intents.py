@@ -75,40 +75,69 @@ def match_entities(messages: DataFrame, sales: DataFrame, dims=("category", "reg
                     .alias("len"))
             .select("msg_id", "user_id", "len", F.substring("lt", F.col("pos"), F.col("len")).alias("lv")))
     hits = subs.join(vals, ["user_id", "len", "lv"])
-    found = hits.groupBy("msg_id", "user_id").pivot("dim", list(dims)).agg(F.min("value"))
-    return (messages.select("msg_id", "user_id").join(found, ["msg_id", "user_id"], "left")
+    return (hits.groupBy("msg_id", "user_id").pivot("dim", list(dims)).agg(F.min("value"))
             .select("msg_id", "user_id", *[F.col(d).alias(f"matched_{d}") for d in dims]))
 
 
+def entity_table(messages: DataFrame, sales: DataFrame, dims=("category", "region")) -> DataFrame:
+    """J4 for every message: matched values, null where nothing matched."""
+    return messages.select("msg_id", "user_id").join(match_entities(messages, sales, dims),
+                                                     ["msg_id", "user_id"], "left")
+
+
 def _tagged(messages: DataFrame, sales: DataFrame) -> DataFrame:
+    """Tagged messages; sales questions also carry their matched category
+    and region. Entity matching runs on the sales questions only."""
     t = tag_intents(messages)
-    m = match_entities(t.where(F.col("intent") == "sales"), sales)
+    m = match_entities(t.where(F.col("intent") == "sales").select("msg_id", "user_id", "text"), sales)
     return t.join(m, ["msg_id", "user_id"], "left")
 
 
+def combine_by_tenant(parts: list[DataFrame], key: str = "user_id") -> DataFrame:
+    """One row per tenant from several per-tenant frames, assembled with a
+    union and one aggregation instead of a chain of joins (a join chain on a
+    partition column would nest a pruning subquery per level)."""
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p, allowMissingColumns=True)
+    cols = [c for c in u.columns if c != key]
+    return u.groupBy(key).agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
+
+
+def sales_answer_table(sales: DataFrame) -> DataFrame:
+    """Per tenant: revenue per lower-cased category and region, and the
+    tenant total with units, keyed by (user_id, kind, key). One scan."""
+    long = sales.select("user_id", "total_sales", "quantity", F.explode(F.array(
+        F.struct(F.lit("category").alias("kind"), F.lower("category").alias("key")),
+        F.struct(F.lit("region").alias("kind"), F.lower("region").alias("key")),
+        F.struct(F.lit("total").alias("kind"), F.lit("").alias("key")))).alias("k"))
+    return (long.groupBy("user_id", "k.kind", "k.key")
+            .agg(F.sum("total_sales").alias("ans_sales"), F.sum("quantity").alias("ans_units")))
+
+
+def _sales_answers(tagged: DataFrame, sales: DataFrame) -> DataFrame:
+    """Adds kind, target, total and units to tagged messages with a single
+    join against the per-tenant answer table."""
+    kind = (F.when(F.col("matched_category").isNotNull(), "category")
+            .when(F.col("matched_region").isNotNull(), "region").otherwise("total"))
+    target = F.when(kind == "category", F.col("matched_category")).when(kind == "region", F.col("matched_region"))
+    t = tagged.withColumn("kind", kind).withColumn("target", target) \
+        .withColumn("key", F.coalesce(F.lower("target"), F.lit("")))
+    a = sales_answer_table(sales)
+    j = t.join(a, ["user_id", "kind", "key"], "left")
+    return j.select(*tagged.columns, "kind", "target",
+                    as_double(F.coalesce("ans_sales", F.lit(0))).alias("sales_value"),
+                    F.when(F.col("kind") == "total", F.coalesce("ans_units", F.lit(0))).cast("bigint")
+                    .alias("sales_units"))
+
+
 def answer_sales(messages: DataFrame, sales: DataFrame) -> DataFrame:
     """Q1a-c: revenue for the named category, else the named region, else
     total revenue and units; one row per sales question."""
     t = _tagged(messages, sales).where(F.col("intent") == "sales")
-    by_cat = (sales.groupBy(F.col("user_id").alias("cu"), F.lower("category").alias("lc"))
-              .agg(F.sum("total_sales").alias("cat_sales")))
-    by_reg = (sales.groupBy(F.col("user_id").alias("ru"), F.lower("region").alias("lr"))
-              .agg(F.sum("total_sales").alias("reg_sales")))
-    tot = sales.groupBy("user_id").agg(F.sum("total_sales").alias("tot_sales"),
-                                       F.sum("quantity").alias("tot_units"))
-    j = (t.join(by_cat, (F.col("user_id") == F.col("cu")) & (F.lower("matched_category") == F.col("lc")), "left")
-         .join(by_reg, (F.col("user_id") == F.col("ru")) & (F.lower("matched_region") == F.col("lr")), "left")
-         .join(tot, "user_id", "left"))
-    kind = (F.when(F.col("matched_category").isNotNull(), "category")
-            .when(F.col("matched_region").isNotNull(), "region").otherwise("total"))
-    value = (F.when(kind == "category", F.coalesce("cat_sales", F.lit(0)))
-             .when(kind == "region", F.coalesce("reg_sales", F.lit(0)))
-             .otherwise(F.coalesce("tot_sales", F.lit(0))))
-    return j.select("msg_id", "user_id", kind.alias("kind"),
-                    F.when(kind == "category", F.col("matched_category"))
-                    .when(kind == "region", F.col("matched_region")).alias("target"),
-                    as_double(value).alias("total_sales"),
-                    F.when(kind == "total", F.coalesce("tot_units", F.lit(0))).cast("bigint").alias("units_sold"))
+    return _sales_answers(t, sales).select("msg_id", "user_id", "kind", "target",
+                                           F.col("sales_value").alias("total_sales"),
+                                           F.col("sales_units").alias("units_sold"))
 
 
 def tenant_answers(sales: DataFrame) -> DataFrame:
@@ -211,9 +240,7 @@ def _lines(df: DataFrame, order: list[str], line: Column, alias: str) -> DataFra
 def reply_text(messages: DataFrame, sales: DataFrame) -> DataFrame:
     """Q10: the reply text of every question (currency with two decimals and
     thousands separators; lists rendered one line per row)."""
-    t = _tagged(messages, sales)
-    sa = answer_sales(messages, sales).select("msg_id", "user_id", "kind", "target", F.col("total_sales").alias("sv"),
-                                               F.col("units_sold").alias("su"))
+    tagged = _sales_answers(_tagged(messages, sales), sales)
     a = tenant_answers(sales)
     r = product_ranking(sales)
     prod = _lines(r.where(~F.col("worst")), ["rank"], F.format_string(
@@ -228,10 +255,10 @@ def reply_text(messages: DataFrame, sales: DataFrame) -> DataFrame:
                  F.format_string("- **%s**: Total Sales: %s\n", F.col("category"), currency("s")), "cat_lines")
     reg = _lines(sales.groupBy("user_id", "region").agg(F.sum("total_sales").alias("s")), ["region"],
                  F.format_string("- **%s**: %s\n", F.col("region"), currency("s")), "reg_lines")
-    j = (t.select("msg_id", "user_id", "intent", "worst")
-         .join(sa, ["msg_id", "user_id"], "left")
-         .join(a, "user_id", "left").join(prod, "user_id", "left").join(worst, "user_id", "left")
-         .join(seg, "user_id", "left").join(cat, "user_id", "left").join(reg, "user_id", "left"))
+    per_tenant = combine_by_tenant([a, prod, worst, seg, cat, reg])
+    j = (tagged.select("msg_id", "user_id", "intent", "worst", "kind", "target",
+                       F.col("sales_value").alias("sv"), F.col("sales_units").alias("su"))
+         .join(per_tenant, "user_id", "left"))
     i = F.col("intent")
     stock = F.format_string("Your average inventory stock level is **%d** units. ",
                             F.col("average_stock").cast("bigint"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..schema import LEDGER_PAGE_SIZE
@@ -29,10 +30,12 @@ def with_positions(df: DataFrame, order: list[Column], name: str = "pos") -> Dat
     starting offset.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    tagged = (df.orderBy(*order)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+    sorted_ = (df.orderBy(*order)
+               .withColumn("_pid", F.spark_partition_id())
+               .withColumn("_mid", F.monotonically_increasing_id())
+               .persist(StorageLevel.MEMORY_AND_DISK))   # the checkpoint write reads this, not a re-sort
+    tagged = sorted_.checkpoint(eager=True)
+    sorted_.unpersist()
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.withColumn(
         "_start", F.coalesce(F.sum("_n").over(

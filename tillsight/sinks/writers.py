@@ -24,14 +24,25 @@ def write_copy(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def load_sales(df: DataFrame, table_dir: str) -> None:
-    """K3: replace the rows of the written (user, dataset) partitions only."""
-    (df.select(*SALES_COLUMNS).write.mode("overwrite")
+    """K3: replace the rows of the written (user, dataset) partitions only.
+
+    The ``rebalance`` hint lets AQE size the write tasks per partition
+    value: small partitions are merged into one file, a hot tenant's
+    partition is split over several tasks instead of one."""
+    (df.select(*SALES_COLUMNS).hint("rebalance", *PARTITION_COLUMNS).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic")
      .partitionBy(*PARTITION_COLUMNS).parquet(table_dir))
 
 
-def read_sales(spark: SparkSession, table_dir: str) -> DataFrame:
-    return spark.read.parquet(table_dir)
+def read_sales(spark: SparkSession, table_dir: str, schema=None) -> DataFrame:
+    """The sales table with its stored column types (partition values are
+    read as bigint, not inferred) in canonical column order."""
+    if schema is None:
+        first = spark.read.parquet(table_dir)
+        fields = [f for f in first.schema.fields if f.name not in PARTITION_COLUMNS]
+        from pyspark.sql import types as T
+        schema = T.StructType(fields + [T.StructField(c, T.LongType()) for c in PARTITION_COLUMNS])
+    return spark.read.schema(schema).parquet(table_dir).select(*SALES_COLUMNS)
 
 
 def log_status(spark: SparkSession, registry_dir: str, rows: list[tuple]) -> None:
