@@ -46,23 +46,41 @@ def with_positions(df: DataFrame, order: list[Column], name: str = "pos") -> Dat
             .drop("_pid", "_mid", "_start"))
 
 
-def ledger_sorted(df: DataFrame, column: str, ascending: bool = True) -> DataFrame:
-    return with_positions(df, sort_key(df, column, ascending))
+def positions_by(df: DataFrame, by: list[str], order: list[Column], name: str = "pos") -> DataFrame:
+    """Dense 1-based position within each ``by`` group (e.g. per tenant).
+
+    One global distributed sort on (group, order); each group's first global
+    position comes from a one-row-per-group aggregate joined back, so a
+    tenant holding a third of the rows is still spread over many tasks."""
+    if not by:
+        return with_positions(df, order, name)
+    g = with_positions(df, [*[F.col(b).asc() for b in by], *order], "_gpos")
+    first = g.groupBy(*by).agg(F.min("_gpos").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    return (g.join(first, by).withColumn(name, F.col("_gpos") - F.col("_first") + 1)
+            .drop("_gpos", "_first"))
+
+
+def ledger_sorted(df: DataFrame, column: str, ascending: bool = True, by=("user_id",)) -> DataFrame:
+    """L4 for every tenant's ledger at once: position of each row."""
+    by = [b for b in by if b in df.columns]
+    return positions_by(df, by, sort_key(df, column, ascending)).drop("_n")
 
 
 def ledger_page(df: DataFrame, column: str, ascending: bool = True, page: int = 1,
-                page_size: int = LEDGER_PAGE_SIZE) -> DataFrame:
-    """One page of the sorted ledger; a page past the end shows the last
-    page. Adds the ``x to y of n`` caption. Positions come from
-    :func:`with_positions`, so deep pages cost the same as the first one."""
-    pos = with_positions(df, sort_key(df, column, ascending))
-    n = pos.agg(F.count(F.lit(1)).alias("n"))
-    pages = F.greatest(F.ceil(F.col("n") / F.lit(page_size)), F.lit(1))
+                page_size: int = LEDGER_PAGE_SIZE, by=("user_id",)) -> DataFrame:
+    """Page ``page`` of every tenant's sorted ledger; a page past the
+    end shows the last page. Adds the ``x to y of n`` caption. Positions
+    come from a distributed sort, so deep pages cost the same as page 1."""
+    by = [b for b in by if b in df.columns]
+    pos = positions_by(df, by, sort_key(df, column, ascending))
+    if not by:
+        pos = pos.crossJoin(F.broadcast(pos.agg(F.count(F.lit(1)).alias("_n"))))   # one row
+    pages = F.greatest(F.ceil(F.col("_n") / F.lit(page_size)), F.lit(1))
     cur = F.least(F.lit(page), pages)
-    bounds = n.select("n", ((cur - 1) * page_size + 1).alias("lo"), (cur * page_size).alias("hi"))
-    out = pos.join(F.broadcast(bounds), (F.col("pos") >= F.col("lo")) & (F.col("pos") <= F.col("hi")))
-    caption = F.format_string("%d to %d of %d", F.col("lo"), F.least(F.col("hi"), F.col("n")), F.col("n"))
-    return out.withColumn("caption", caption).drop("lo", "hi", "n")
+    lo, hi = (cur - 1) * page_size + 1, cur * page_size
+    out = pos.where((F.col("pos") >= lo) & (F.col("pos") <= hi))
+    caption = F.format_string("%d to %d of %d", lo, F.least(hi, F.col("_n")), F.col("_n"))
+    return out.withColumn("caption", caption).drop("_n")
 
 
 DISTINCT_DIMS = [("category", "category"), ("region", "region"),

@@ -210,22 +210,22 @@ def _options(t):
 
 @query("ledger_sorted")
 def _ledger_sorted(t):
-    """L4: tenant 2's ledger sorted by customer (case-insensitive), descending."""
-    s = sales(t).where(F.col("user_id") == 2).select("id", "customer_id", "product_name", "total_sales")
+    """L4: every tenant's ledger sorted by customer (case-insensitive), descending."""
+    s = sales(t).select("id", "user_id", "customer_id", "product_name", "total_sales")
     return led.ledger_sorted(s, "customer_id", ascending=False)
 
 
 @query("ledger_page")
 def _ledger_page(t):
-    """Page 3 of tenant 1's ledger sorted by revenue."""
-    s = sales(t).where(F.col("user_id") == 1).select("id", "product_name", "total_sales")
+    """Page 3 of every tenant's ledger sorted by revenue."""
+    s = sales(t).select("id", "user_id", "product_name", "total_sales")
     return led.ledger_page(s, "total_sales", ascending=True, page=3)
 
 
 @query("ledger_page_clamped")
 def _ledger_page_clamped(t):
-    """A page past the end shows the last page."""
-    s = sales(t).where(F.col("user_id") == 1).select("id", "product_name", "total_sales")
+    """A page past the end shows each tenant's last page."""
+    s = sales(t).select("id", "user_id", "product_name", "total_sales")
     return led.ledger_page(s, "product_name", ascending=True, page=10 ** 9)
 
 
@@ -726,12 +726,12 @@ def _purge(t):
 
 @query("export_csv")
 def _export(t):
-    """K5: tenant 4's CSV export, read back."""
+    """K5: every tenant's CSV export in one job (a folder per tenant), read back."""
     path = scratch_path(t.spark, "export")
-    wr.export_csv(sales(t), 4, path)
-    back = read_raw_csv(t.spark, path)
-    return back.select(F.col("id").cast("bigint").alias("id"), "date", "product_name",
-                       F.col("total_sales").cast("double").alias("total_sales"))
+    wr.export_csv_all(sales(t), path)
+    back = t.spark.read.option("header", True).csv(path)
+    return back.select(F.col("user_id").cast("bigint").alias("user_id"), F.col("id").cast("bigint").alias("id"),
+                       "date", "product_name", F.col("total_sales").cast("double").alias("total_sales"))
 
 
 @query("export_filtered")

@@ -292,18 +292,19 @@ SELECT DISTINCT user_id, dim, value FROM (
 WHERE value IS NOT NULL AND value <> ''""")
 
 ORACLE["ledger_sorted"] = with_sales("""
-SELECT id, customer_id, product_name, CAST(total_sales AS DOUBLE) AS total_sales,
-       row_number() OVER (ORDER BY lower(coalesce(customer_id, '')) DESC NULLS LAST, id ASC) AS pos
-FROM sales WHERE user_id = 2""")
-
-_PAGE = """p AS (SELECT id, product_name, CAST(total_sales AS DOUBLE) AS total_sales,
-                 row_number() OVER (ORDER BY {key}, id ASC) AS pos
-          FROM sales WHERE user_id = 1),
-  b AS (SELECT n, (cur - 1) * 8 + 1 AS lo, cur * 8 AS hi FROM
-        (SELECT n, least({page}, greatest(CAST(ceil(n / 8.0) AS BIGINT), 1)) AS cur FROM (SELECT count(*) AS n FROM p)))"""
+SELECT id, user_id, customer_id, product_name, CAST(total_sales AS DOUBLE) AS total_sales,
+       row_number() OVER (PARTITION BY user_id ORDER BY lower(coalesce(customer_id, '')) DESC NULLS LAST, id ASC) AS pos
+FROM sales""")
+
+_PAGE = """p AS (SELECT id, user_id, product_name, CAST(total_sales AS DOUBLE) AS total_sales,
+                 row_number() OVER (PARTITION BY user_id ORDER BY {key}, id ASC) AS pos,
+                 count(*) OVER (PARTITION BY user_id) AS n
+          FROM sales),
+  b AS (SELECT DISTINCT user_id, n, (cur - 1) * 8 + 1 AS lo, cur * 8 AS hi FROM
+        (SELECT user_id, n, least({page}, greatest(CAST(ceil(n / 8.0) AS BIGINT), 1)) AS cur FROM p))"""
 _PAGE_BODY = """
-SELECT id, product_name, total_sales, pos, printf('%d to %d of %d', lo, least(hi, n), n) AS caption
-FROM p, b WHERE pos BETWEEN lo AND hi"""
+SELECT id, p.user_id, product_name, total_sales, pos, printf('%d to %d of %d', lo, least(hi, b.n), b.n) AS caption
+FROM p JOIN b ON p.user_id = b.user_id WHERE pos BETWEEN lo AND hi"""
 ORACLE["ledger_page"] = with_sales(_PAGE_BODY, _PAGE.format(key="total_sales ASC NULLS FIRST", page=3))
 ORACLE["ledger_page_clamped"] = with_sales(
     _PAGE_BODY, _PAGE.format(key="lower(coalesce(product_name, '')) ASC NULLS FIRST", page=10 ** 9))
@@ -820,8 +821,8 @@ SELECT user_id, dataset_id, count(*) AS rows, CAST(sum(total_sales) AS DOUBLE) A
 WHERE NOT (user_id = 2 AND dataset_id = 1995 AND quantity <= 25) GROUP BY 1, 2""")
 ORACLE["purge_tenant"] = with_sales("SELECT user_id, count(*) AS rows FROM sales WHERE user_id <> 5 GROUP BY 1")
 ORACLE["export_csv"] = with_sales("""
-SELECT id, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, product_name, CAST(total_sales AS DOUBLE) AS total_sales
-FROM sales WHERE user_id = 4""")
+SELECT user_id, id, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, product_name, CAST(total_sales AS DOUBLE) AS total_sales
+FROM sales""")
 ORACLE["export_filtered"] = with_sales("""
 SELECT id, customer_id, coalesce(state, '') AS state FROM sales
 WHERE lower(coalesce(region, '')) = 'asia' AND lower(coalesce(payment_method, '')) = 'upi'

@@ -78,6 +78,13 @@ def export_csv(sales: DataFrame, user_id: int, path: str, single_file: bool = Fa
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
+def export_csv_all(sales: DataFrame, path: str) -> None:
+    """K5 for all tenants in one job: ``path/user_id=<id>/`` per tenant
+    (a tenant without rows simply has no folder)."""
+    out = output_frame(sales.select("user_id", *ANALYTICS_COLUMNS))
+    out.write.mode("overwrite").option("header", True).partitionBy("user_id").csv(path)
+
+
 def export_filtered_csv(df: DataFrame, filters: dict, path: str) -> None:
     """K6: the filtered ledger with every field quoted and nulls as ''."""
     out = output_frame(apply_filters(df, filters))
