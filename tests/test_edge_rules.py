@@ -182,3 +182,10 @@ def test_entity_match_is_substring_smallest_name(spark):
     msgs = spark.createDataFrame([(1, 1, "revenue of green tea in asian stores")], "msg_id long, user_id long, text string")
     r = it.match_entities(msgs, s).collect()[0]
     assert r["matched_category"] == "Green Tea" and r["matched_region"] == "Asia"
+
+
+def test_header_trim_and_ids_kept_numeric(spark):
+    df = spark.createDataFrame([(1, " 5 ", "x")], "_row long, ` Qty ` string, `Name  ` string")
+    out, numeric = cl.clean_upload(df)
+    assert out.columns == ["Qty", "Name", "_row"] or set(out.columns) == {"Qty", "Name", "_row"}
+    assert numeric == ["Qty"]

@@ -865,3 +865,16 @@ def _stream(t):
     q.awaitTermination()
     return wr.read_sales(t.spark, f"{base}/table").groupBy("user_id", "dataset_id").agg(
         F.count(F.lit(1)).alias("rows"), F.countDistinct("product_name").alias("products"))
+
+
+@query("filter_week")
+def _filter_week(t):
+    """ISO week of the year (declared upstream without a predicate)."""
+    return flt.apply_filters(sales(t), {"week": 23}).select(*FILTER_COLUMNS)
+
+
+@query("forecast_fit_rf")
+def _fc_fit_rf(t):
+    """The random-forest alternative (100 trees, depth 8)."""
+    _, metrics = fc.fit_and_evaluate(sales(t), kind="rf")
+    return metrics

@@ -861,3 +861,5 @@ SELECT user_id, strftime(date, '%Y-%m-%d') AS date, predicted AS predicted_sales
                                        DAILY_CTE, DENSE_CTE, _FALLBACK)
 
 ORACLE["forecast_saved_or_fallback"] = ORACLE["forecast_fallback"]
+
+ORACLE["filter_week"] = with_sales(_FILTER_OUT + " WHERE weekofyear(date) = 23")
