@@ -11,12 +11,14 @@ from ..session import ensure_checkpoint_dir
 
 def sort_key(df: DataFrame, column: str, ascending: bool = True) -> list[Column]:
     """L4: text sorts case-insensitively with null as ''; numbers numerically.
-    ``id`` is the tie-break so the order is total."""
+    Ties break on ``id``, then on every other column (ids of different rows
+    may repeat), so the order is total over distinct rows."""
     dt = df.schema[column].dataType
     key = (F.lower(F.coalesce(F.col(column), F.lit(""))) if isinstance(dt, T.StringType)
            else F.col(column))
     key = key.asc_nulls_first() if ascending else key.desc_nulls_last()
-    return [key, F.col("id").asc()]
+    rest = [F.col(c).asc_nulls_first() for c in df.columns if c not in ("id",)]
+    return [key, F.col("id").asc_nulls_first(), *rest]
 
 
 def with_positions(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame:

@@ -231,10 +231,11 @@ def pareto_products(sales: DataFrame, cutoff_pct: float = 80.0, by=TENANT) -> Da
 
 def low_stock_latest(sales: DataFrame, n: int = 3, order_key: str = "id", by=TENANT) -> DataFrame:
     """Per product, the last stock level among rows under the threshold
-    (last = highest ``order_key``); the ``n`` lowest per tenant."""
+    (last = highest ``order_key``, then highest level on a tie of keys);
+    the ``n`` lowest per tenant."""
     low = sales.where(F.col("inventory_level") < LOW_STOCK_THRESHOLD)
     last = low.groupBy(*_by(by), "product_name").agg(
-        F.max_by("inventory_level", order_key).alias("inventory_level"))
+        F.max_by("inventory_level", F.struct(order_key, "inventory_level")).alias("inventory_level"))
     w = Window.partitionBy(*_by(by)).orderBy(F.asc("inventory_level"), F.asc("product_name"))
     return (last.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
             .select(*_by(by), F.col("rank").cast("bigint").alias("rank"), "product_name",

@@ -232,7 +232,7 @@ ORACLE["low_stock_latest"] = with_sales("""
 SELECT user_id, rank, product_name, inventory_level FROM (
   SELECT user_id, product_name, CAST(lvl AS BIGINT) AS inventory_level,
          row_number() OVER (PARTITION BY user_id ORDER BY lvl ASC, product_name ASC) AS rank
-  FROM (SELECT user_id, product_name, arg_max(inventory_level, id) AS lvl
+  FROM (SELECT user_id, product_name, arg_max(inventory_level, (id, inventory_level)) AS lvl
         FROM sales WHERE inventory_level < 50 GROUP BY 1, 2))
 WHERE rank <= 3""")
 
@@ -293,11 +293,13 @@ WHERE value IS NOT NULL AND value <> ''""")
 
 ORACLE["ledger_sorted"] = with_sales("""
 SELECT id, user_id, customer_id, product_name, CAST(total_sales AS DOUBLE) AS total_sales,
-       row_number() OVER (PARTITION BY user_id ORDER BY lower(coalesce(customer_id, '')) DESC NULLS LAST, id ASC) AS pos
+       row_number() OVER (PARTITION BY user_id ORDER BY lower(coalesce(customer_id, '')) DESC NULLS LAST, id ASC NULLS FIRST,
+                          customer_id ASC NULLS FIRST, product_name ASC NULLS FIRST, total_sales ASC NULLS FIRST) AS pos
 FROM sales""")
 
 _PAGE = """p AS (SELECT id, user_id, product_name, CAST(total_sales AS DOUBLE) AS total_sales,
-                 row_number() OVER (PARTITION BY user_id ORDER BY {key}, id ASC) AS pos,
+                 row_number() OVER (PARTITION BY user_id ORDER BY {key}, id ASC NULLS FIRST,
+                                    product_name ASC NULLS FIRST, total_sales ASC NULLS FIRST) AS pos,
                  count(*) OVER (PARTITION BY user_id) AS n
           FROM sales),
   b AS (SELECT DISTINCT user_id, n, (cur - 1) * 8 + 1 AS lo, cur * 8 AS hi FROM
@@ -759,7 +761,7 @@ ORACLE["forecast_fallback"] = with_sales(
 _LOW_CTE = """low AS (SELECT user_id, rank, product_name, inventory_level FROM (
   SELECT user_id, product_name, CAST(lvl AS BIGINT) AS inventory_level,
          row_number() OVER (PARTITION BY user_id ORDER BY lvl ASC, product_name ASC) AS rank
-  FROM (SELECT user_id, product_name, arg_max(inventory_level, id) AS lvl
+  FROM (SELECT user_id, product_name, arg_max(inventory_level, (id, inventory_level)) AS lvl
         FROM sales WHERE inventory_level < 50 GROUP BY 1, 2)) WHERE rank <= 3)"""
 _R1 = """r1 AS (SELECT user_id, rank AS priority, 'low_stock' AS rule,
   printf('CRITICAL: Stock for ''%s'' is critically low (%d units remaining). Reorder immediately.',
