@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import parse_number, strip_ws
 from ..schema import ID_LIKE_HEADER_PARTS, IQR_K, MODE_FALLBACK, NULL_TOKENS
+from .quantiles import exact_quantiles
 
 ORDER_COL = "_row"
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -150,18 +151,24 @@ def is_id_like(name: str) -> bool:
 
 def cap_outliers(df: DataFrame, cols: list[str], by=(), k: float = IQR_K, exact: bool = True) -> DataFrame:
     """Clip to [q1 - k iqr, q3 + k iqr] when iqr > 0; headers containing
-    id/zip/code are skipped. Quartiles use linear interpolation (exact,
-    per upload); ``exact=False`` uses ``percentile_approx`` instead."""
+    id/zip/code are skipped. Quartiles use linear interpolation, exact and
+    distributed (:func:`exact_quantiles`); ``exact=False`` uses
+    ``percentile_approx`` instead."""
     cols = [c for c in cols if not is_id_like(c)]
     if not cols:
         return df
-    aggs = []
-    for c in cols:
-        x = F.col(f"`{c}`").cast("double")
-        q = (F.percentile(x, [0.25, 0.75]) if exact
-             else F.percentile_approx(x, [0.25, 0.75], 10000).cast("array<double>"))
-        aggs.append(q.alias(f"_q_{c}"))
-    stats = df.groupBy(*by).agg(*aggs)
+    if exact:
+        # exact quartiles from a distributed sort per column (no task holds
+        # a whole column), one row per upload each
+        stats = None
+        for c in cols:
+            q = exact_quantiles(df, c, [0.25, 0.75], by).select(
+                *by, F.array("q0", "q1").alias(f"_q_{c}"))
+            stats = q if stats is None else (stats.join(q, list(by), "full") if by else stats.crossJoin(q))
+    else:
+        stats = df.groupBy(*by).agg(*[
+            F.percentile_approx(F.col(f"`{c}`").cast("double"), [0.25, 0.75], 10000).cast("array<double>")
+            .alias(f"_q_{c}") for c in cols])
     j = _join_stats(df, stats, by)
     out = []
     for c in df.columns:

@@ -171,12 +171,14 @@ def answer_profit(messages: DataFrame, sales: DataFrame) -> DataFrame:
 def product_ranking(sales: DataFrame, n: int = 5) -> DataFrame:
     """Top and bottom ``n`` products by revenue per tenant (long form)."""
     p = sales.groupBy("user_id", "product_name").agg(F.sum("total_sales").alias("s"), F.sum("quantity").alias("q"))
-    top = Window.partitionBy("user_id").orderBy(F.desc("s"), "product_name")
-    bot = Window.partitionBy("user_id").orderBy(F.asc("s"), "product_name")
-    p = p.withColumn("rt", F.row_number().over(top)).withColumn("rb", F.row_number().over(bot))
-    t = p.where(F.col("rt") <= n).select("user_id", F.lit(False).alias("worst"), F.col("rt").alias("rank"), "product_name", "s", "q")
-    b = p.where(F.col("rb") <= n).select("user_id", F.lit(True).alias("worst"), F.col("rb").alias("rank"), "product_name", "s", "q")
-    return t.unionByName(b)
+    out = []
+    for worst, order in [(False, F.desc("s")), (True, F.asc("s"))]:
+        # each ranking has its own window directly under its filter, so both
+        # get a per-partition group limit (n rows per tenant and mapper)
+        w = Window.partitionBy("user_id").orderBy(order, "product_name")
+        out.append(p.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+                   .select("user_id", F.lit(worst).alias("worst"), "rank", "product_name", "s", "q"))
+    return out[0].unionByName(out[1])
 
 
 def answer_products(messages: DataFrame, sales: DataFrame, worst: bool | None = None) -> DataFrame:

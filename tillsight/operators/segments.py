@@ -17,6 +17,7 @@ from ..functions.columns import as_double
 from ..schema import (DEFAULT_SEGMENT, RULE_AT_RISK_RECENCY, RULE_LOYAL_FREQUENCY, RULE_Q25_SINGLE,
                       RULE_Q75_SINGLE, SEGMENT_NAMES)
 from ..session import ensure_checkpoint_dir
+from .quantiles import exact_quantiles
 
 TENANT = ("user_id",)
 FEATURES = ["recency", "frequency", "monetary"]
@@ -61,17 +62,18 @@ def rule_segments(r: DataFrame, by=TENANT, exact: bool = True) -> DataFrame:
     Champions: monetary >= q75; Loyal Customers: below q75 and frequency > 5;
     At Risk: below q25 and recency > 60 (a later rule overrides an earlier
     one); else Standard. A tenant with one customer uses q75 = 1000 and
-    q25 = 100. ``exact=False`` uses ``percentile_approx``, which does not
-    hold a tenant's values in memory.
+    q25 = 100. Quartiles are exact and distributed (a range sort, not one
+    task per tenant); ``exact=False`` uses ``percentile_approx``.
     """
     if exact:
-        q = F.percentile("monetary", [0.25, 0.75])
+        qs = exact_quantiles(r, "monetary", [0.25, 0.75], by)
     else:
-        q = F.percentile_approx("monetary", [0.25, 0.75], 10000).cast("array<double>")
-    qs = r.groupBy(*by).agg(q.alias("q"), F.count(F.lit(1)).alias("n"))
+        qs = r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[
+            F.percentile_approx("monetary", q, 10000).cast("double").alias(f"q{i}")
+            for i, q in enumerate([0.25, 0.75])])
     qs = qs.select(*by,
-                   F.when(F.col("n") > 1, F.col("q")[0]).otherwise(RULE_Q25_SINGLE).alias("q25"),
-                   F.when(F.col("n") > 1, F.col("q")[1]).otherwise(RULE_Q75_SINGLE).alias("q75"))
+                   F.when(F.col("n") > 1, F.col("q0")).otherwise(RULE_Q25_SINGLE).alias("q25"),
+                   F.when(F.col("n") > 1, F.col("q1")).otherwise(RULE_Q75_SINGLE).alias("q75"))
     m, f, rc = F.col("monetary"), F.col("frequency"), F.col("recency")
     seg = (F.when((m < F.col("q25")) & (rc > RULE_AT_RISK_RECENCY), SEGMENT_NAMES[2])
            .when((m < F.col("q75")) & (f > RULE_LOYAL_FREQUENCY), SEGMENT_NAMES[1])
