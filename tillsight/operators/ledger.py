@@ -103,3 +103,31 @@ def union_datasets(frames: list[DataFrame]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
+
+
+def running_totals(df: DataFrame, by: list[str], order: list[Column], value: str,
+                   rank: str = "rank", total: str = "cum") -> DataFrame:
+    """Rank and running sum of ``value`` within each ``by`` group, in
+    ``order``, without a window that holds a whole group.
+
+    One distributed range sort on (group, order); each partition computes
+    its local running count and sum per group, and a table with one row per
+    (partition, group) supplies the totals of the earlier partitions."""
+    ensure_checkpoint_dir(df.sparkSession)
+    sorted_ = (df.orderBy(*[F.col(b).asc() for b in by], *order)
+               .withColumn("_pid", F.spark_partition_id())
+               .withColumn("_mid", F.monotonically_increasing_id())
+               .persist(StorageLevel.MEMORY_AND_DISK))
+    tagged = sorted_.checkpoint(eager=True)
+    sorted_.unpersist()
+    w_local = Window.partitionBy("_pid", *by).orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    local = (tagged.withColumn("_lc", F.count(F.lit(1)).over(w_local))
+             .withColumn("_ls", F.sum(value).over(w_local)))
+    parts = tagged.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_pc"), F.sum(value).alias("_ps"))
+    w_prev = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = parts.select("_pid", *by, F.coalesce(F.sum("_pc").over(w_prev), F.lit(0)).alias("_oc"),
+                        F.sum("_ps").over(w_prev).alias("_os"))
+    out = local.join(offs, ["_pid", *by])
+    return (out.withColumn(rank, (F.col("_oc") + F.col("_lc")).cast("bigint"))
+            .withColumn(total, F.coalesce(F.col("_os") + F.col("_ls"), F.col("_ls")))
+            .drop("_pid", "_mid", "_lc", "_ls", "_oc", "_os"))

@@ -218,14 +218,16 @@ def ledger_kpis(sales: DataFrame, by=TENANT) -> DataFrame:
 def pareto_products(sales: DataFrame, cutoff_pct: float = 80.0, by=TENANT) -> DataFrame:
     """Products by revenue (descending) with cumulative share of the
     tenant total; ``in_head`` marks the products up to ``cutoff_pct``.
-    The running sum is taken after aggregation, over products only."""
+
+    The running sum is taken after aggregation, with a distributed running
+    total (a range sort; no window holds a tenant's whole product list)."""
+    from .ledger import running_totals
     prod = sales.groupBy(*_by(by), "product_name").agg(F.sum("total_sales").alias("s"))
-    wt = Window.partitionBy(*_by(by))
-    wc = wt.orderBy(F.desc("s"), F.asc("product_name")).rowsBetween(Window.unboundedPreceding, 0)
-    p = prod.withColumn("cum", F.sum("s").over(wc)).withColumn("tot", F.sum("s").over(wt))
+    tot = prod.groupBy(*_by(by)).agg(F.sum("s").alias("tot"))
+    r = running_totals(prod, _by(by), [F.desc("s"), F.asc("product_name")], "s", "rank", "cum")
+    p = r.join(tot, _by(by)) if by else r.crossJoin(F.broadcast(tot))   # one row per tenant / one row
     share = pct_of("cum", "tot")
-    return p.select(*_by(by), "product_name", as_double("s").alias("sales"),
-                    F.row_number().over(wt.orderBy(F.desc("s"), F.asc("product_name"))).cast("bigint").alias("rank"),
+    return p.select(*_by(by), "product_name", as_double("s").alias("sales"), "rank",
                     share.alias("cum_share"), (share <= cutoff_pct).alias("in_head"))
 
 
