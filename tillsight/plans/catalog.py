@@ -837,8 +837,9 @@ def _upload_flow(t):
 
 @query("stream_file_ingest")
 def _stream(t):
-    """Two CSV uploads (per-tenant exports) dropped in a landing folder and
-    ingested by the stream, one upload per micro-batch."""
+    """Two tenants' exports, written in parallel as CSV part files, dropped
+    in a landing folder (each part file is one upload) and ingested by the
+    stream, one upload per micro-batch."""
     base = scratch_path(t.spark, "stream")
     cols = ["Order Date", "Product Name", "Category", "Quantity", "Sales", "Customer ID", "Region", "Stock Level"]
     s = sales(t)
@@ -848,18 +849,20 @@ def _stream(t):
             F.col("category").alias(cols[2]), F.col("quantity").cast("string").alias(cols[3]),
             F.col("total_sales").cast("string").alias(cols[4]), F.col("customer_id").alias(cols[5]),
             F.col("region").alias(cols[6]), F.col("inventory_level").cast("string").alias(cols[7]))
-        part.coalesce(1).write.option("header", True).csv(f"{base}/staging/u{uid}")
+        # written in parallel (no single-task write of a tenant's slice); every
+        # part file becomes one upload
+        part.write.option("header", True).csv(f"{base}/staging/u{uid}")
     # move the finished uploads into the landing folder (atomic renames)
     jvm = t.spark.sparkContext._jvm
     conf = t.spark.sparkContext._jsc.hadoopConfiguration()
     for uid in (0, 1):
         src = jvm.org.apache.hadoop.fs.Path(f"{base}/staging/u{uid}")
         fs = src.getFileSystem(conf)
-        for st in fs.listStatus(src):
-            name = st.getPath().getName()
-            if name.endswith(".csv"):
-                fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{base}/landing"))
-                fs.rename(st.getPath(), jvm.org.apache.hadoop.fs.Path(f"{base}/landing/upload_{uid}.csv"))
+        fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{base}/landing"))
+        names = sorted(st.getPath().getName() for st in fs.listStatus(src))
+        for i, name in enumerate(n for n in names if n.endswith(".csv")):
+            fs.rename(jvm.org.apache.hadoop.fs.Path(f"{base}/staging/u{uid}/{name}"),
+                      jvm.org.apache.hadoop.fs.Path(f"{base}/landing/upload_{uid}_{i:05d}.csv"))
     q = ingest_landing(t.spark, f"{base}/landing", cols, f"{base}/table", f"{base}/checkpoint", user_id=9,
                        now=NOW)
     q.awaitTermination()
