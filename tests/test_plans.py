@@ -57,3 +57,11 @@ def test_tenant_filter_prunes_partitions(spark):
 def test_low_stock_filter_pushed_to_parquet(spark):
     p = plan(E.queries()["filter_low_stock"](spark, SMALL))
     assert "PushedFilters" in p
+
+
+def test_dashboard_leaves_sales_scan_uncached(spark):
+    """Building the dashboard must not cache the shared fact table: later
+    queries still read Parquet with pushed filters."""
+    E.queries()["dashboard_payload"](spark, SMALL).count()
+    p = plan(E.queries()["filter_low_stock"](spark, SMALL))
+    assert "InMemoryRelation" not in p and "PushedFilters" in p
