@@ -158,13 +158,15 @@ def cap_outliers(df: DataFrame, cols: list[str], by=(), k: float = IQR_K, exact:
     if not cols:
         return df
     if exact:
-        # exact quartiles from a distributed sort per column (no task holds
-        # a whole column), one row per upload each
-        stats = None
-        for c in cols:
-            q = exact_quantiles(df, c, [0.25, 0.75], by).select(
-                *by, F.array("q0", "q1").alias(f"_q_{c}"))
-            stats = q if stats is None else (stats.join(q, list(by), "full") if by else stats.crossJoin(q))
+        # exact quartiles of every column from one distributed sort of the
+        # unpivoted values (no task holds a whole column), pivoted back to
+        # one row per upload
+        long = df.select(*by, F.explode(F.array(*[
+            F.struct(F.lit(c).alias("_col"), F.col(f"`{c}`").cast("double").alias("_x")) for c in cols]))
+            .alias("_kv")).select(*by, "_kv._col", "_kv._x")
+        q = exact_quantiles(long, "_x", [0.25, 0.75], [*by, "_col"])
+        wide = q.groupBy(*by).pivot("_col", cols).agg(F.first(F.array("q0", "q1")))
+        stats = wide.select(*by, *[F.col(f"`{c}`").alias(f"_q_{c}") for c in cols])
     else:
         stats = df.groupBy(*by).agg(*[
             F.percentile_approx(F.col(f"`{c}`").cast("double"), [0.25, 0.75], 10000).cast("array<double>")
