@@ -48,3 +48,21 @@ def test_shares_and_period_sums_agree(spark, rows):
     daily = sum(r["value"] for r in m.sales_trend(s, "daily").collect())
     monthly = sum(r["value"] for r in m.sales_trend(s, "monthly").collect())
     assert abs(daily - total) < 1e-6 and abs(monthly - total) < 1e-6
+
+
+def test_exact_quantiles_with_a_hot_repeated_value(spark):
+    """A third of the rows share one group and one value; the quartiles
+    still equal linear-interpolation quartiles (numpy's default)."""
+    import numpy as np
+    from tillsight.operators.quantiles import exact_quantiles
+    rng = np.random.default_rng(7)
+    rows = [(0, 5.0)] * 3000 + [(0, float(x)) for x in rng.integers(0, 50, 2000)] + \
+           [(g, float(x)) for g in (1, 2) for x in rng.integers(0, 1000, 2000)]
+    df = spark.createDataFrame(rows, "g long, x double").repartition(8)
+    got = {r["g"]: (r["q0"], r["q1"], r["n"]) for r in
+           exact_quantiles(df, "x", [0.25, 0.75], ["g"]).collect()}
+    for g in (0, 1, 2):
+        xs = np.array([x for k, x in rows if k == g])
+        q1, q3 = np.percentile(xs, [25, 75])
+        assert got[g][2] == len(xs)
+        assert abs(got[g][0] - q1) < 1e-9 and abs(got[g][1] - q3) < 1e-9

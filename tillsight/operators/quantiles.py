@@ -18,11 +18,17 @@ def exact_quantiles(df: DataFrame, value: str, qs: list[float], by=(), prefix: s
     """One row per group with columns ``{prefix}0, {prefix}1, ...`` (one per
     quantile in ``qs``) and ``n``; groups without values are absent."""
     by = list(by)
-    v = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    # ``_t`` is a unique tie-break: the range partitioner can then split a
+    # long run of one repeated value (e.g. a hot tenant's most common
+    # amount) over several tasks. Equal values make any order among ties
+    # give the same quantiles.
+    v = (df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+         .withColumn("_t", F.monotonically_increasing_id()))
+    order = [F.col("_v").asc(), F.col("_t").asc()]
     if by:
-        pos = positions_by(v, by, [F.col("_v").asc()], "_p")
+        pos = positions_by(v, by, order, "_p")
     else:
-        pos = positions_by(v, [], [F.col("_v").asc()], "_p")
+        pos = positions_by(v, [], order, "_p")
         pos = pos.crossJoin(F.broadcast(v.agg(F.count(F.lit(1)).alias("_n"))))   # one row
     aggs = [F.first("_n").alias("n")]
     for i, q in enumerate(qs):
