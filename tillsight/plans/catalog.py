@@ -351,6 +351,7 @@ from ..operators import impute as imp  # noqa: E402
 from ..operators.mapping import map_columns  # noqa: E402
 from . import etl  # noqa: E402
 
+UPLOAD_ROWS = 200_000   # rows per landed upload file (about 20 MB of CSV)
 NOW = "2024-01-01 00:00:00"
 DIRTY_ORDER = ["row_seq", "order_date", "qty", "category", "sales", "customer_id"]
 TEXT_COLS = ["order_date", "category", "sales", "customer_id"]
@@ -837,32 +838,34 @@ def _upload_flow(t):
 
 @query("stream_file_ingest")
 def _stream(t):
-    """Two tenants' exports, written in parallel as CSV part files, dropped
-    in a landing folder (each part file is one upload) and ingested by the
-    stream, one upload per micro-batch."""
+    """Every tenant's export, written as CSV part files in one parallel job,
+    dropped in a landing folder (each part file is one upload) and ingested
+    by the stream, one upload per micro-batch.
+
+    The ``rebalance`` hint lets AQE size the write tasks, so a hot tenant is
+    written by several tasks; ``maxRecordsPerFile`` keeps each upload near
+    the 20 MB admission size (S2)."""
     base = scratch_path(t.spark, "stream")
     cols = ["Order Date", "Product Name", "Category", "Quantity", "Sales", "Customer ID", "Region", "Stock Level"]
-    s = sales(t)
-    for uid in (0, 1):
-        part = s.where(F.col("user_id") == uid).select(
-            F.date_format("date", "yyyy-MM-dd").alias(cols[0]), F.col("product_name").alias(cols[1]),
-            F.col("category").alias(cols[2]), F.col("quantity").cast("string").alias(cols[3]),
-            F.col("total_sales").cast("string").alias(cols[4]), F.col("customer_id").alias(cols[5]),
-            F.col("region").alias(cols[6]), F.col("inventory_level").cast("string").alias(cols[7]))
-        # written in parallel (no single-task write of a tenant's slice); every
-        # part file becomes one upload
-        part.write.option("header", True).csv(f"{base}/staging/u{uid}")
+    out = sales(t).select(
+        "user_id",
+        F.date_format("date", "yyyy-MM-dd").alias(cols[0]), F.col("product_name").alias(cols[1]),
+        F.col("category").alias(cols[2]), F.col("quantity").cast("string").alias(cols[3]),
+        F.col("total_sales").cast("string").alias(cols[4]), F.col("customer_id").alias(cols[5]),
+        F.col("region").alias(cols[6]), F.col("inventory_level").cast("string").alias(cols[7]))
+    (out.hint("rebalance", "user_id").write.option("header", True).option("maxRecordsPerFile", UPLOAD_ROWS)
+     .partitionBy("user_id").csv(f"{base}/staging"))
     # move the finished uploads into the landing folder (atomic renames)
     jvm = t.spark.sparkContext._jvm
     conf = t.spark.sparkContext._jsc.hadoopConfiguration()
-    for uid in (0, 1):
-        src = jvm.org.apache.hadoop.fs.Path(f"{base}/staging/u{uid}")
-        fs = src.getFileSystem(conf)
-        fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{base}/landing"))
-        names = sorted(st.getPath().getName() for st in fs.listStatus(src))
+    Path = jvm.org.apache.hadoop.fs.Path
+    fs = Path(base).getFileSystem(conf)
+    fs.mkdirs(Path(f"{base}/landing"))
+    for d in sorted((st.getPath().getName() for st in fs.listStatus(Path(f"{base}/staging"))
+                     if st.isDirectory())):
+        names = sorted(st.getPath().getName() for st in fs.listStatus(Path(f"{base}/staging/{d}")))
         for i, name in enumerate(n for n in names if n.endswith(".csv")):
-            fs.rename(jvm.org.apache.hadoop.fs.Path(f"{base}/staging/u{uid}/{name}"),
-                      jvm.org.apache.hadoop.fs.Path(f"{base}/landing/upload_{uid}_{i:05d}.csv"))
+            fs.rename(Path(f"{base}/staging/{d}/{name}"), Path(f"{base}/landing/upload_{d.split('=')[-1]}_{i:05d}.csv"))
     q = ingest_landing(t.spark, f"{base}/landing", cols, f"{base}/table", f"{base}/checkpoint", user_id=9,
                        now=NOW)
     q.awaitTermination()
