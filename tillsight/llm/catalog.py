@@ -6,10 +6,14 @@ the digest columns of the operator's contract.
 
 from __future__ import annotations
 
-from tillsight.llm import chat, decontaminate
+from tillsight.llm import bwt, chat, decontaminate, passages
 from tillsight.llm.common import table
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return bwt.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark, sf_dir):
     return decontaminate.contamination_report(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -23,5 +27,10 @@ def op7_chat_format(spark, sf_dir):
     return chat.conversation_report(rows.unionByName(extra))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontaminate, op7_chat_format)}
+def op10_substring_dedup(spark, sf_dir):
+    return passages.repeat_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_suffix_dedup, op4_decontaminate, op7_chat_format, op10_substring_dedup)}
 ORACLE: dict[str, str] = {}

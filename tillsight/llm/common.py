@@ -152,19 +152,41 @@ def unpack(body: bytes, *types) -> list[np.ndarray]:
     return out
 
 
-def restore(part_of: np.ndarray, answers: dict[int, np.ndarray], dtype) -> np.ndarray:
-    """Undo ``by_part``: the answers of all buckets, in the order of the entries sent."""
-    out = np.zeros(len(part_of), dtype)
-    order = np.argsort(part_of, kind="stable")
-    ends = np.flatnonzero(np.diff(part_of[order], append=-1)) + 1
-    start = 0
-    for end in ends:
-        own = order[start:end]
-        out[own] = answers[int(part_of[own[0]])][:len(own)]
-        start = end
-    return out
-
-
 def exchange(blocks_df: DataFrame, answer: Callable[[pa.Table], pa.Table]) -> DataFrame:
     """Let every bucket see its blocks from all groups and answer each block."""
     return blocks_df.groupBy("part").applyInArrow(answer, BLOCK_SCHEMA)
+
+
+def local_counts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, the index of the value of each entry, and the counts."""
+    return np.unique(h, return_inverse=True, return_counts=True)
+
+
+def among(h: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Whether each value occurs in a sorted array."""
+    if not len(ordered):
+        return np.zeros(len(h), bool)
+    at = np.searchsorted(ordered, h)
+    at[at == len(ordered)] = 0
+    return ordered[at] == h
+
+
+def repeated_keys(group: pa.Table) -> pa.Table:
+    """Answer of a key bucket: to each group, those of its keys that another group has too."""
+    grp, part = group.column("grp").to_pylist(), group.column("part").to_pylist()
+    keys = [unpack(b, U64)[0] for b in group.column("body").to_pylist()]
+    values, _, counts = local_counts(np.concatenate(keys))
+    shared = values[counts > 1]
+    out = []
+    for g, p, own in zip(grp, part, keys):
+        own = own[among(own, shared)]
+        if len(own):
+            out.append((g, p, len(own).to_bytes(8, "little") + own.tobytes()))
+    return blocks(out)
+
+
+def answered(answers: pa.Table, *types) -> list[np.ndarray]:
+    """All answers to a group, joined column by column."""
+    found = [unpack(b, *types) for b in answers.column("body").to_pylist()]
+    return [np.concatenate([np.empty(0, t), *(x[i] for x in found)]).astype(t)
+            for i, t in enumerate(types)]
