@@ -6,7 +6,7 @@ the digest columns of the operator's contract.
 
 from __future__ import annotations
 
-from tillsight.llm import bwt, chat, decontaminate, passages
+from tillsight.llm import bwt, chat, decontaminate, minhash, passages
 from tillsight.llm.common import table
 
 
@@ -27,10 +27,15 @@ def op7_chat_format(spark, sf_dir):
     return chat.conversation_report(rows.unionByName(extra))
 
 
+def op8_minhash_dedup(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark, sf_dir):
     return passages.repeat_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_suffix_dedup, op4_decontaminate, op7_chat_format, op10_substring_dedup)}
+    op1_suffix_dedup, op4_decontaminate, op7_chat_format, op8_minhash_dedup,
+    op10_substring_dedup)}
 ORACLE: dict[str, str] = {}
