@@ -6,7 +6,7 @@ the digest columns of the operator's contract.
 
 from __future__ import annotations
 
-from tillsight.llm import bwt, chat, decontaminate, minhash, passages
+from tillsight.llm import bwt, chat, decontaminate, encode, langid, minhash, passages, toxicity
 from tillsight.llm.common import table
 
 
@@ -14,6 +14,15 @@ def op1_suffix_dedup(spark, sf_dir):
     return bwt.repeat_report(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"),
+                                    table(spark, sf_dir, "labels"))
+
+
+def op3_sentencepiece(spark, sf_dir):
+    return encode.encoding_report(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark, sf_dir):
     return decontaminate.contamination_report(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -31,11 +40,15 @@ def op8_minhash_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark, sf_dir):
+    return langid.language_report(table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark, sf_dir):
     return passages.repeat_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_suffix_dedup, op4_decontaminate, op7_chat_format, op8_minhash_dedup,
-    op10_substring_dedup)}
+    op1_suffix_dedup, op2_toxicity, op3_sentencepiece, op4_decontaminate, op7_chat_format, op8_minhash_dedup,
+    op9_language_id, op10_substring_dedup)}
 ORACLE: dict[str, str] = {}
