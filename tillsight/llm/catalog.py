@@ -6,7 +6,8 @@ the digest columns of the operator's contract.
 
 from __future__ import annotations
 
-from tillsight.llm import bwt, chat, decontaminate, encode, langid, minhash, passages, toxicity
+from tillsight.llm import bwt, chat, decontaminate, encode, langid, minhash, ngrams, passages, \
+    toxicity
 from tillsight.llm.common import table
 
 
@@ -28,6 +29,10 @@ def op4_decontaminate(spark, sf_dir):
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_lm_score(spark, sf_dir):
+    return ngrams.scoring_report(table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.sql("""SELECT -1 AS conv_id, t AS turn, r AS role, '</s>[INST] ok [/INST]' AS text
@@ -49,6 +54,7 @@ def op10_substring_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_suffix_dedup, op2_toxicity, op3_sentencepiece, op4_decontaminate, op7_chat_format, op8_minhash_dedup,
+    op1_suffix_dedup, op2_toxicity, op3_sentencepiece, op4_decontaminate,
+    op5_lm_score, op7_chat_format, op8_minhash_dedup,
     op9_language_id, op10_substring_dedup)}
 ORACLE: dict[str, str] = {}
