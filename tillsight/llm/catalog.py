@@ -7,7 +7,7 @@ the digest columns of the operator's contract.
 from __future__ import annotations
 
 from tillsight.llm import bwt, chat, decontaminate, encode, langid, minhash, ngrams, passages, \
-    toxicity
+    quantise, toxicity
 from tillsight.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op5_lm_score(spark, sf_dir):
     return ngrams.scoring_report(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark, sf_dir):
+    return quantise.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_chat_format(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.sql("""SELECT -1 AS conv_id, t AS turn, r AS role, '</s>[INST] ok [/INST]' AS text
@@ -55,6 +59,6 @@ def op10_substring_dedup(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_toxicity, op3_sentencepiece, op4_decontaminate,
-    op5_lm_score, op7_chat_format, op8_minhash_dedup,
+    op5_lm_score, op6_embedding_dedup, op7_chat_format, op8_minhash_dedup,
     op9_language_id, op10_substring_dedup)}
 ORACLE: dict[str, str] = {}
