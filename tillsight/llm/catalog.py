@@ -9,6 +9,7 @@ from __future__ import annotations
 from tillsight.llm import bwt, chat, decontaminate, encode, langid, minhash, ngrams, passages, \
     quantise, toxicity
 from tillsight.llm.common import table
+from tillsight.llm.oracle import ORACLE  # noqa: F401
 
 
 def op1_suffix_dedup(spark, sf_dir):
@@ -61,4 +62,3 @@ QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_toxicity, op3_sentencepiece, op4_decontaminate,
     op5_lm_score, op6_embedding_dedup, op7_chat_format, op8_minhash_dedup,
     op9_language_id, op10_substring_dedup)}
-ORACLE: dict[str, str] = {}

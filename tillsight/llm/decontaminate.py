@@ -152,7 +152,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
-        (F.size("hit_words") > 0).alias("contaminated"), "spans")
+        (F.size("hit_words") > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
