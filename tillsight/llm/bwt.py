@@ -79,10 +79,10 @@ class Segments:
         n = len(self.text)
         self.lo = self.hi = np.empty(0, np.int64)
         self.anchor = self.key = np.empty(0, U64)
-        if n < length:
-            return
         power, self.inverse = _power_tables(n + 1)
         self.sums = np.zeros(n + 1, U64)
+        if n < length:
+            return
         np.cumsum((self.text.astype(U64) + U64(1)) * power[:n], out=self.sums[1:])
         h = mix((self.sums[anchor:] - self.sums[:-anchor]) * self.inverse[:n - anchor + 1])
         least = (h & ~_PLACE) | np.arange(len(h), dtype=U64)
