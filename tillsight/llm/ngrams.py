@@ -235,11 +235,12 @@ class Tokens:
 
 
 def score_texts(docs: DataFrame, held, mu: float = MU, group_bytes: int = GROUP_BYTES,
-                hot_context: int = HOT_CONTEXT) -> DataFrame:
+                hot_context: int = HOT_CONTEXT,
+                bucket_bytes: int = BYTES_PER_BUCKET) -> DataFrame:
     """doc_id, held_out and scores of every document; rows where ``held`` is true are
     not trained on."""
     size = text_bytes(docs)
-    parts = max(1, size // BYTES_PER_BUCKET)
+    parts = max(1, size // bucket_bytes)
     grouped = in_groups(docs.select("doc_id", "text", held.alias("held_out")), size, group_bytes)
     groups = grouped.groupBy("grp")
 
