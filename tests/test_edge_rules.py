@@ -2,8 +2,11 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F, types as T
 
+from tillsight.functions.columns import parse_timestamp
+
 from tillsight.operators import clean as cl
 from tillsight.operators import filters as flt
 from tillsight.operators import impute as imp
@@ -12,8 +15,13 @@ from tillsight.operators import ledger as led
 from tillsight.operators import metrics as m
 from tillsight.operators import segments as seg
 from tillsight.operators import timeseries as ts
+from tillsight.operators.clean import clean_upload
+from tillsight.operators.impute import impute_date, impute_quantity
 from tillsight.operators.mapping import resolve_mapping
 from tillsight.schema import SALES_SCHEMA
+from tillsight.session import ensure_checkpoint_dir
+from tillsight.sinks.writers import write_copy
+from tillsight.sources.raw import read_raw_csv
 
 
 def sales_frame(spark, rows):
@@ -160,7 +168,7 @@ def test_segment_counts_include_all_names(spark):
 
 def test_kmeans_fewer_customers_than_clusters(spark):
     s = sales_frame(spark, [{"customer_id": c, "total_sales": v} for c, v in [("a", 1.0), ("b", 50.0), ("c", 900.0)]])
-    out, model = seg.kmeans_segments(seg.scale_rfm(seg.rfm(s)), k=4, iterations=3)
+    out, model = seg.kmeans_segments(seg.scale_rfm(seg.rfm(s)), k=4)
     rows = out.collect()
     assert len(rows) == 3 and model.count() == 3
     top = [r for r in rows if r["customer_id"] == "c"][0]
@@ -189,3 +197,60 @@ def test_header_trim_and_ids_kept_numeric(spark):
     out, numeric = cl.clean_upload(df)
     assert out.columns == ["Qty", "Name", "_row"] or set(out.columns) == {"Qty", "Name", "_row"}
     assert numeric == ["Qty"]
+
+
+def test_dates_of_many_shapes(spark):
+    texts = ["2024-01-05T10:00:00Z", "2024-01-05 10:00", "2024-01-05 10:00:00.5", "Jan 5, 2024",
+             "05.01.2024", "20240105", "January 5 2024", "5 Jan 2024", "2024-01-05T10:00:00+02:00",
+             "2024-13-05", "soon", "2024-01-05 25:00"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    got = [r[0] for r in df.orderBy("i").select(F.date_format(parse_timestamp("x"), "yyyy-MM-dd HH:mm:ss.S")).collect()]
+    day = "2024-01-05 "
+    assert got == [day + "10:00:00.0", day + "10:00:00.0", day + "10:00:00.5", *[day + "00:00:00.0"] * 5,
+                   day + "08:00:00.0", None, None, None]
+
+
+def test_day_first_is_decided_by_the_column(spark):
+    rows = [("a", "25/12/2023"), ("a", "05/01/2024"), ("b", "12/25/2023"), ("b", "05/01/2024"),
+            ("c", "05/01/2024 08:30")]
+    df = spark.createDataFrame([(u, i, d) for i, (u, d) in enumerate(rows)], "u string, _row long, date string")
+    got = impute_date(df, "2024-06-01 00:00:00", by=("u",))
+    days = {(r["u"], r["_row"]): str(r["date"])[:16] for r in got.collect()}
+    assert days == {("a", 0): "2023-12-25 00:00", ("a", 1): "2024-01-05 00:00", ("b", 2): "2023-12-25 00:00",
+                    ("b", 3): "2024-05-01 00:00", ("c", 4): "2024-05-01 08:30"}
+
+
+def test_numbers_that_do_not_fit(spark):
+    df = spark.createDataFrame([("NaN",), ("inf",), ("1e20",), ("7.9",), ("x",), (None,)], "q string")
+    assert [r[0] for r in df.select(impute_quantity("q")).collect()] == [1, 1, 1, 7, 1, 1]
+    filled, _ = clean_upload(spark.createDataFrame([(1, "NaN"), (2, "3")], "_row long, v string"))
+    assert sorted(r["v"] for r in filled.collect()) == [3.0, 3.0]
+
+
+def test_types_are_per_upload(spark):
+    rows = [(1, i, str(i)) for i in range(1, 6)] + [(1, 6, None)] + [(2, i, "two" if i == 3 else "4") for i in range(1, 6)]
+    df = spark.createDataFrame(rows, "u long, _row long, v string")
+    got = {(r["u"], r["_row"]): r["v"] for r in clean_upload(df, by=("u",))[0].collect()}
+    assert got[1, 6] == "3.0" and got[1, 1] == "1.0" and got[2, 3] == "two"
+
+
+def test_csv_with_quotes_and_line_breaks(spark, tmp_path):
+    texts = ['TV 40" flat, black', "two\nlines", "plain", '"', "a,b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    write_copy(df, f"{tmp_path}/copy", "csv")
+    back = read_raw_csv(spark, f"{tmp_path}/copy")
+    assert {int(r["i"]): r["t"] for r in back.collect()} == dict(enumerate(texts))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+        getConf = staticmethod(lambda: {})  # noqa: N815
+
+    class Session:
+        sparkContext = Context()  # noqa: N815
+        conf = {}
+
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(Session())

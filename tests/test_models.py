@@ -1,9 +1,14 @@
 """Model-backed operators: row counts and basic properties."""
 
+import json
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from tests.conftest import SMALL
+from tillsight.operators import segments as seg
+from tillsight.plans.catalog import sales
+from tillsight.sources.tables import Tables
 
 
 def test_forecast_30_days_per_tenant(spark):
@@ -19,9 +24,37 @@ def test_fit_metrics_one_row_per_tenant(spark):
     assert df.count() == df.select("user_id").distinct().count() > 0
 
 
-def test_training_status_reports_both_models(spark):
-    rows = {r["model"]: r["status"] for r in E.queries()["training_status"](spark, SMALL).collect()}
-    assert rows == {"forecast": "success", "segmentation": "success"}
+def test_training_status_reports_both_models_per_tenant(spark):
+    rows = E.queries()["training_status"](spark, SMALL).collect()
+    tenants = {r["user_id"] for r in E.queries()["rfm"](spark, SMALL).select("user_id").distinct().collect()}
+    assert {r["status"] for r in rows} == {"success"}
+    for model in ("forecast", "segmentation"):
+        assert {r["user_id"] for r in rows if r["model"] == model} == tenants
+    customers = {r["user_id"]: r["n"] for r in E.queries()["rfm"](spark, SMALL).groupBy("user_id")
+                 .agg(F.count("*").alias("n")).collect()}
+    for r in rows:
+        if r["model"] == "segmentation":
+            assert r["customer_count"] == customers[r["user_id"]]
+            assert sum(json.loads(r["customers_by_segment"]).values()) == r["customer_count"]
+            assert 1 <= r["clusters"] <= 4
+        else:
+            assert r["model_type"] == "gbt" and r["mae"] >= 0 and r["data_points"] > 0
+
+
+def test_kmeans_stops_at_a_fixed_point(spark):
+    """Every customer's centroid is the nearest, and centroids are the means."""
+    scaled = seg.scale_rfm(seg.rfm(sales(Tables(spark, SMALL))))
+    out, model = seg.kmeans_segments(scaled, tolerance=0.0)
+    got = out.join(scaled, ["user_id", "customer_id"]).toPandas()
+    cents = model.toPandas()
+    for (user, cluster), rows in got.groupby(["user_id", "cluster"]):
+        c = cents[(cents.user_id == user) & (cents.cluster == cluster)].iloc[0]
+        for f in seg.FEATURES:
+            assert abs(rows[f"{f}_z"].mean() - c[f"c_{f}"]) < 1e-9
+    for r in got.itertuples():
+        own = cents[cents.user_id == r.user_id]
+        d = sum((own[f"c_{f}"] - getattr(r, f"{f}_z")) ** 2 for f in seg.FEATURES)
+        assert d[own.cluster == r.cluster].iloc[0] <= d.min() + 1e-12
 
 
 def test_kmeans_segments_cover_customers(spark):

@@ -1,5 +1,5 @@
-"""Structured Streaming ingest: one upload per micro-batch, and a restarted
-query resumes after the last committed file (no upload is loaded twice)."""
+"""Structured Streaming ingest: many uploads per micro-batch, typed and cleaned each
+on its own, and a restarted query resumes (no upload is loaded twice)."""
 
 import os
 
@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from conftest import SMALL
 from tillsight.plans.catalog import sales
+from tillsight.plans.etl import file_order, transform_upload
 from tillsight.sinks.writers import read_sales
+from tillsight.sources.raw import read_raw_csv
 from tillsight.sources.tables import Tables
 from tillsight.streaming.ingest import ingest_landing
 
@@ -15,30 +17,56 @@ COLS = ["Order Date", "Product Name", "Category", "Quantity", "Sales", "Customer
 NOW = "2024-01-01 00:00:00"
 
 
-def _write_upload(spark, s, uid, path):
+def _write_upload(spark, s, uid, folder, edit=lambda p: p):
     part = s.where(F.col("user_id") == uid).select(
         F.date_format("date", "yyyy-MM-dd").alias(COLS[0]), F.col("product_name").alias(COLS[1]),
         F.col("category").alias(COLS[2]), F.col("quantity").cast("string").alias(COLS[3]),
         F.col("total_sales").cast("string").alias(COLS[4]), F.col("customer_id").alias(COLS[5]),
         F.col("region").alias(COLS[6]), F.col("inventory_level").cast("string").alias(COLS[7]))
-    part.toPandas().to_csv(path, index=False)   # test fixture: a few hundred rows
-    return part.distinct().count()
+    path = f"{folder}/user_id={uid}/dataset_id=1"
+    os.makedirs(path)
+    rows = edit(part.distinct().toPandas())   # test fixture: a few hundred rows
+    rows.to_csv(f"{path}/upload.csv", index=False)
+    return rows
 
 
-def test_stream_ingest_one_upload_per_batch_and_resume(spark, tmp_path):
+def test_stream_ingest_many_uploads_and_resume(spark, tmp_path):
     s = sales(Tables(spark, SMALL))
     landing, table, ckpt = (str(tmp_path / n) for n in ("landing", "table", "ckpt"))
-    os.makedirs(landing)
-    n0 = _write_upload(spark, s, 0, f"{landing}/upload_0.csv")
-    ingest_landing(spark, landing, COLS, table, ckpt, user_id=9, now=NOW).awaitTermination()
-    first = read_sales(spark, table).groupBy("user_id", "dataset_id").count().collect()
-    assert [(r["user_id"], r["dataset_id"]) for r in first] == [(9, 1)]
-    assert 0 < first[0]["count"] <= n0
-
-    # a second upload arrives; the restarted query only loads the new file
-    _write_upload(spark, s, 1, f"{landing}/upload_1.csv")
-    ingest_landing(spark, landing, COLS, table, ckpt, user_id=9, now=NOW).awaitTermination()
-    after = {r["dataset_id"]: r["count"] for r in
-             read_sales(spark, table).groupBy("dataset_id").count().collect()}
-    assert set(after) == {1, 2}
-    assert after[1] == first[0]["count"]
+    n = {u: len(_write_upload(spark, s, u, landing)) for u in (0, 1)}
+    ingest_landing(spark, landing, COLS, table, ckpt, now=NOW).awaitTermination()
+    counts = lambda: {r["user_id"]: r["count"] for r in
+                      read_sales(spark, table).groupBy("user_id").count().collect()}
+    assert counts() == n
+    # a third upload arrives; the restarted query only loads the new files
+    n[2] = len(_write_upload(spark, s, 2, landing))
+    ingest_landing(spark, landing, COLS, table, ckpt, now=NOW).awaitTermination()
+    assert counts() == n
+
+
+def test_stream_types_each_upload_on_its_own(spark, tmp_path):
+    """A bad amount in one upload leaves the other's amounts numeric; missing-value
+    tokens, quotes and line breaks read as in the batch path."""
+    s = sales(Tables(spark, SMALL))
+    landing, table, ckpt = (str(tmp_path / n) for n in ("landing", "table", "ckpt"))
+
+    def spoil(rows):
+        rows.loc[0, "Sales"] = "twelve"
+        return rows
+
+    def mark(rows):
+        rows.loc[0, "Product Name"] = 'TV 40" flat,\nblack'
+        rows.loc[1, "Quantity"] = "N/A"
+        return rows
+
+    _write_upload(spark, s, 0, landing, spoil)
+    given = _write_upload(spark, s, 1, landing, mark)
+    ingest_landing(spark, landing, COLS, table, ckpt, now=NOW).awaitTermination()
+    loaded = read_sales(spark, table).where("user_id = 1")
+    assert loaded.where(F.col("product_name") == 'TV 40" flat,\nblack').count() == 1
+    raw = read_raw_csv(spark, f"{landing}/user_id=1/dataset_id=1")
+    _, batch, _ = transform_upload(file_order(raw), 1, 1, NOW)
+    columns = ["product_name", "quantity", "customer_id"]
+    revenue = F.round("total_sales", 2).alias("revenue")
+    rows = lambda df: sorted(map(tuple, df.select(*columns, revenue).collect()))
+    assert len(given) == loaded.count() and rows(loaded) == rows(batch)

@@ -38,30 +38,67 @@ def strip_ws(c) -> Column:
 
 
 def parse_number(c) -> Column:
-    """Number from text; unparseable text gives null (never an error)."""
-    return F.expr(f"try_cast({c} as double)") if isinstance(c, str) else c.try_cast("double")
+    """Number from text; unparseable text and NaN give null (never an error)."""
+    x = col(c).try_cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def whole_number(c) -> Column:
+    """Number truncated to int; null where it does not fit."""
+    return col(c).try_cast("int")
 
 
 # (shape, format): a text is only handed to the format whose shape it has,
-# so rows do not pay for failed parse attempts.
+# so rows do not pay for failed parse attempts. The shapes are those of the
+# date part; a time of day may follow it (see ``parse_timestamp``).
 DATE_FORMATS = [
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$", "yyyy-M-d H:mm:ss"),
-    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{2}:\d{2}$", "yyyy-M-d'T'H:mm:ss"),
     (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
     (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (r"^\d{8}$", "yyyyMMdd"),
     (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
+    (r"^[A-Za-z]{3} \d{1,2},? \d{4}$", "MMM d yyyy"),
+    (r"^[A-Za-z]{4,} \d{1,2},? \d{4}$", "MMMM d yyyy"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+    (r"^\d{1,2} [A-Za-z]{4,} \d{4}$", "d MMMM yyyy"),
 ]
+SLASH_DATE = r"^\d{1,2}/\d{1,2}/\d{4}"
+TIME_OF_DAY = r"[ T](\d{1,2}):(\d{2})(?::(\d{2})(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?$"
+
+
+def is_day_first(c) -> Column:
+    """Aggregate: whether a column's ``a/b/yyyy`` dates are day/month. They
+    are if some first number exceeds 12 and no second number does; month
+    first otherwise."""
+    text = F.trim(col(c).cast("string"))
+    part = lambda i: F.when(text.rlike(SLASH_DATE), F.split(text, "[/ T]")[i].cast("int"))
+    return F.coalesce(F.max(part(0)) > 12, F.lit(False)) & F.coalesce(F.max(part(1)) <= 12, F.lit(False))
 
 
-def parse_timestamp(c, formats=DATE_FORMATS) -> Column:
-    """Text -> timestamp by the format its shape selects; text of no known
-    shape, or an impossible date, gives null."""
+def parse_timestamp(c, formats=DATE_FORMATS, day_first: Column | None = None) -> Column:
+    """Text -> timestamp: the date part by the format its shape selects, plus
+    a time of day (minutes, seconds, fraction, and an offset that is taken
+    off) if one follows. ``a/b/yyyy`` is month first unless ``day_first``.
+    Text of no known shape, or an impossible date, gives null."""
     text = F.trim(col(c).cast("string"))
-    out = F.lit(None).cast("timestamp")
-    for shape, fmt in reversed(formats):
-        out = F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt))).otherwise(out)
-    return out
+    day = F.regexp_replace(text, TIME_OF_DAY, "")
+    plain = F.regexp_replace(day, ",", "")
+    parse = lambda fmt: F.try_to_timestamp(plain, F.lit(fmt))
+    slash = parse("M/d/yyyy")
+    if day_first is not None:
+        slash = F.when(day_first, parse("d/M/yyyy")).otherwise(slash)
+    out = F.when(day.rlike(SLASH_DATE + "$"), slash)
+    for shape, fmt in formats:
+        out = out.when(day.rlike(shape), parse(fmt))
+    part = lambda i: F.coalesce(F.regexp_extract(text, TIME_OF_DAY, i).try_cast("double"), F.lit(0.0))
+    zone = F.regexp_replace(F.regexp_extract(text, TIME_OF_DAY, 5), ":", "")
+    sign = F.when(zone.startswith("-"), -1).otherwise(1)
+    offset = F.when(F.length(zone) == 5, sign * (F.substring(zone, 2, 2).cast("int") * 60
+                                                 + F.substring(zone, 4, 2).cast("int"))).otherwise(0)
+    valid = (part(1) < 24) & (part(2) < 60) & (part(3) < 60)
+    seconds = (part(1) * 60 + part(2) - offset) * 60 + part(3) + part(4)
+    timed = F.timestamp_micros(F.unix_micros(out) + (seconds * 1e6).cast("bigint"))
+    return F.when(~text.rlike(TIME_OF_DAY), out).when(valid, timed)
 
 
 def ci_equals(c, value: str, null_as: str = "") -> Column:

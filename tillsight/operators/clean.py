@@ -12,11 +12,11 @@ fixes which copy of a duplicate is kept and the order of forward fills.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.columns import parse_number, strip_ws
 from ..schema import ID_LIKE_HEADER_PARTS, IQR_K, MODE_FALLBACK, NULL_TOKENS
+from ..session import stored
 from .quantiles import exact_quantiles
 
 ORDER_COL = "_row"
@@ -57,10 +57,10 @@ def trim_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[str(c).strip() for c in df.columns])
 
 
-def numeric_profile(df: DataFrame, cols: list[str]) -> DataFrame:
-    """C4 as data: per column, non-null and number-parseable counts in one
-    pass. A column is numeric iff every non-null value parses (an all-null
-    column counts as numeric)."""
+def numeric_profile(df: DataFrame, cols: list[str], by=()) -> DataFrame:
+    """C4 as data: per upload and column, non-null and number-parseable counts
+    in one pass. A column is numeric iff every non-null value parses (an
+    all-null column counts as numeric)."""
     aggs = []
     for c in cols:
         dt = df.schema[c].dataType
@@ -68,12 +68,12 @@ def numeric_profile(df: DataFrame, cols: list[str]) -> DataFrame:
         if isinstance(dt, NUMERIC_TYPES) or isinstance(dt, T.BooleanType):
             ok = nn
         else:
-            ok = F.count(parse_number(F.col(f"`{c}`").cast("string")))
+            ok = F.count(F.col(f"`{c}`").cast("string").try_cast("double"))   # NaN reads as a missing number
         aggs += [nn.alias(f"nn_{c}"), ok.alias(f"ok_{c}")]
-    row = df.agg(*aggs)
+    row = df.groupBy(*by).agg(*aggs)
     stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`nn_{c}`").cast("bigint").alias("non_null"),
                                          F.col(f"`ok_{c}`").cast("bigint").alias("parseable")) for c in cols]))
-    p = row.select(stack.alias("p")).select("p.*")
+    p = row.select(*by, stack.alias("p")).select(*by, "p.*")
     return p.withColumn("is_numeric", F.col("non_null") == F.col("parseable"))
 
 
@@ -89,6 +89,24 @@ def detect_numeric(df: DataFrame, cols: list[str]) -> list[str]:
     return [c for c in cols if c in typed or c in found]
 
 
+def mixed_columns(df: DataFrame, cols: list[str], by) -> tuple[list[str], list[str], DataFrame]:
+    """Columns numeric in every upload, columns numeric in some only, and one
+    row per upload with a flag ``_is_<column>`` for each of the latter. Only
+    one row per column reaches the driver."""
+    typed = [c for c in cols if isinstance(df.schema[c].dataType, NUMERIC_TYPES)]
+    text = [c for c in cols if c not in typed and isinstance(df.schema[c].dataType, T.StringType)]
+    if not text:
+        return typed, [], df.select(*by).distinct()
+    profile = numeric_profile(df, text, by)
+    seen = {r["column"]: (r["every"], r["some"]) for r in profile.groupBy("column").agg(
+        F.every("is_numeric").alias("every"), F.some("is_numeric").alias("some")).collect()}
+    numeric = [c for c in cols if c in typed or seen.get(c, (False, False))[0]]
+    mixed = [c for c in text if c in seen and seen[c][1] and not seen[c][0]]
+    flags = (profile.groupBy(*by).pivot("column", mixed).agg(F.every("is_numeric"))
+             if mixed else profile.select(*by).distinct())
+    return numeric, mixed, flags.select(*by, *[F.col(f"`{c}`").alias(f"_is_{c}") for c in mixed])
+
+
 def cast_numeric(df: DataFrame, numeric: list[str]) -> DataFrame:
     return df.select(*[(parse_number(F.col(f"`{c}`").cast("string")) if c in numeric and
                         isinstance(df.schema[c].dataType, T.StringType) else F.col(f"`{c}`")).alias(c)
@@ -187,15 +205,40 @@ def cap_outliers(df: DataFrame, cols: list[str], by=(), k: float = IQR_K, exact:
 
 def clean_upload(df: DataFrame, order_col: str = ORDER_COL, by=(), exact_quantiles: bool = True
                  ) -> tuple[DataFrame, list[str]]:
-    """C1-C8 in order. Returns the cleaned frame and its numeric columns."""
+    """C1-C8 in order. Returns the cleaned frame and its numeric columns.
+
+    With several uploads (``by``), a column's type is that of its own upload:
+    where it is numeric, its numbers are filled and capped, elsewhere its
+    texts are filled; a column that is both keeps a text type."""
     # The upload is read by several statistics passes: de-duplicate once.
-    df = trim_headers(drop_exact_duplicates(df, order_col)).persist(StorageLevel.MEMORY_AND_DISK)
+    df = stored(trim_headers(drop_exact_duplicates(df, order_col)), "deduplicated")
     cols = data_columns(df, order_col, by)
-    numeric = detect_numeric(df, cols)
+    if by:
+        numeric, mixed, flags = mixed_columns(df, cols, by)
+        if mixed:
+            numbers = [f"_num_{c}" for c in mixed]
+            d = df.join(flags, list(by), "left")
+            d = d.select(*df.columns, *[F.col(f"`_is_{c}`") for c in mixed],
+                         *[F.when(F.col(f"`_is_{c}`"), parse_number(F.col(f"`{c}`"))).alias(n)
+                           for c, n in zip(mixed, numbers)])
+            keep = [c for c in d.columns if c.startswith("_is_")]
+            both, _ = _clean_columns(d, cols + numbers, numeric + numbers, keep, by, exact_quantiles)
+            return both.select(*[
+                F.when(F.col(f"`_is_{c}`"), F.col(f"`_num_{c}`").cast("string"))
+                .otherwise(F.col(f"`{c}`")).alias(c) if c in mixed else F.col(f"`{c}`")
+                for c in df.columns]), numeric
+    else:
+        numeric = detect_numeric(df, cols)
+    return _clean_columns(df, cols, numeric, [], by, exact_quantiles)
+
+
+def _clean_columns(df: DataFrame, cols: list[str], numeric: list[str], keep: list[str], by,
+                   exact_quantiles: bool) -> tuple[DataFrame, list[str]]:
+    """C3-C8 once the numeric columns are known; ``keep`` passes untouched."""
     df = cast_numeric(df, numeric)
     bools = [c for c in cols if isinstance(df.schema[c].dataType, T.BooleanType)]
     fill = [c for c in numeric if c not in bools]
-    text = [c for c in cols if c not in numeric and c not in bools]
+    text = [c for c in cols if c not in numeric and c not in bools and c not in keep]
     df = impute_mean(df, fill, by)
     df = impute_mode(normalise_text(df, text), text, by)
     df = cap_outliers(df, fill, by, exact=exact_quantiles)

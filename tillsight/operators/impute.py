@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.columns import parse_number, parse_timestamp
+from ..functions.columns import is_day_first, parse_number, parse_timestamp, whole_number
 from ..schema import (DEFAULT_INVENTORY, DEFAULT_QUANTITY, DEFAULT_UNIT_PRICE, LABEL_DEFAULTS,
                       NONPOSITIVE_UNIT_PRICE, PASSTHROUGH_COLUMNS, PROFIT_RATE, SALES_SCHEMA,
                       SYNTH_INVENTORY_HIGH, SYNTH_INVENTORY_LOW)
@@ -22,7 +22,7 @@ def _num(c: str) -> Column:
     return parse_number(F.col(c).cast("string")) if c else F.lit(None).cast("double")
 
 
-def parse_dates(df: DataFrame, column: str = "date") -> Column:
+def parse_dates(df: DataFrame, column: str = "date", day_first: Column | None = None) -> Column:
     """Text -> timestamp over a list of formats; numbers are epoch nanoseconds
     (so a zero-filled column gives 1970-01-01)."""
     dt = df.schema[column].dataType
@@ -33,7 +33,7 @@ def parse_dates(df: DataFrame, column: str = "date") -> Column:
         return c.cast("timestamp")
     if isinstance(dt, (T.DoubleType, T.FloatType, T.LongType, T.IntegerType, T.DecimalType)):
         return F.timestamp_micros((c.cast("double") / 1000).cast("bigint"))
-    return parse_timestamp(c)
+    return parse_timestamp(c, day_first=day_first)
 
 
 def forward_fill(df: DataFrame, column: str, order_col: str = ORDER_COL, by=(),
@@ -61,7 +61,12 @@ def forward_fill(df: DataFrame, column: str, order_col: str = ORDER_COL, by=(),
 def impute_date(df: DataFrame, now: str, order_col: str = ORDER_COL, by=()) -> DataFrame:
     """Parse; unparseable -> previous valid date in row order; none
     before -> ``now``."""
-    d = df.withColumn("date", parse_dates(df, "date"))
+    if isinstance(df.schema["date"].dataType, T.StringType):
+        order = df.groupBy(*by).agg(is_day_first("date").alias("_day_first"))   # one row per upload
+        d = df.join(order, list(by)) if by else df.crossJoin(F.broadcast(order))
+        d = d.withColumn("date", parse_dates(d, "date", F.col("_day_first"))).drop("_day_first")
+    else:
+        d = df.withColumn("date", parse_dates(df, "date"))
     d = forward_fill(d, "date", order_col, by)
     return d.withColumn("date", F.coalesce("date", F.to_timestamp(F.lit(now))))
 
@@ -75,7 +80,7 @@ def backfill_dates(df: DataFrame, end: str, position_col: str, n_col: str) -> Da
 
 def impute_quantity(c: str | None) -> Column:
     """Number, missing -> 1, truncated to int, <= 0 -> 1."""
-    q = F.coalesce(_num(c), F.lit(float(DEFAULT_QUANTITY))).cast("int")
+    q = F.coalesce(whole_number(_num(c)), F.lit(DEFAULT_QUANTITY))
     return F.when(q <= 0, F.lit(1)).otherwise(q)
 
 
@@ -104,7 +109,7 @@ def label_defaults(cols: dict[str, Column]) -> dict[str, Column]:
 
 def impute_inventory(c: str) -> Column:
     """Number, missing -> 100, int, < 0 -> 0."""
-    v = F.coalesce(_num(c), F.lit(float(DEFAULT_INVENTORY))).cast("int")
+    v = F.coalesce(whole_number(_num(c)), F.lit(DEFAULT_INVENTORY))
     return F.when(v < 0, F.lit(0)).otherwise(v)
 
 
@@ -142,16 +147,18 @@ def impute_fields(mapped: DataFrame, present: set[str], now: str, order_col: str
     return d.withColumn("inventory_level", inv)
 
 
-def canonicalise(df: DataFrame, user_id: int, dataset_id: int, id_col: str = ORDER_COL) -> DataFrame:
-    """The stored schema: typed columns plus id, dataset_id, user_id."""
+def canonicalise(df: DataFrame, user_id: int | None = None, dataset_id: int | None = None,
+                 id_col: str = ORDER_COL) -> DataFrame:
+    """The stored schema: typed columns plus id, dataset_id, user_id
+    (taken from the frame's own columns where no value is given)."""
     cols = []
     for f in SALES_SCHEMA.fields:
         if f.name == "id":
             c = F.col(id_col).cast("bigint")
         elif f.name == "dataset_id":
-            c = F.lit(dataset_id).cast("bigint")
+            c = (F.col("dataset_id") if dataset_id is None else F.lit(dataset_id)).cast("bigint")
         elif f.name == "user_id":
-            c = F.lit(user_id).cast("bigint")
+            c = (F.col("user_id") if user_id is None else F.lit(user_id)).cast("bigint")
         elif f.name in PASSTHROUGH_COLUMNS:
             c = F.col(f.name).cast("string")
         else:

@@ -3,20 +3,19 @@
 RFM reduces line items to one row per (tenant, customer) with a map-side
 combined aggregate. Tenant-level statistics (reference date, means,
 standard deviations, quartiles) are one row per tenant, joined back on the
-tenant key. K-means runs for all tenants together: each Lloyd step is a
-join of customers with their tenant's (at most k) centroids and a groupBy,
-so no customer pairs are formed and no tenant is fitted on the driver.
+tenant key. K-means runs for all tenants together: a step attaches the
+tenant's (at most k) centroids as one array, picks the nearest in a projection
+and takes one aggregate, until no tenant's centroids move.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.columns import as_double
 from ..schema import (DEFAULT_SEGMENT, RULE_AT_RISK_RECENCY, RULE_LOYAL_FREQUENCY, RULE_Q25_SINGLE,
                       RULE_Q75_SINGLE, SEGMENT_NAMES)
-from ..session import ensure_checkpoint_dir
+from ..session import discard, stored
 from .quantiles import exact_quantiles
 
 TENANT = ("user_id",)
@@ -92,41 +91,49 @@ def segment_counts(segmented: DataFrame, by=TENANT) -> DataFrame:
             .select(*by, "segment", F.coalesce("customers", F.lit(0)).cast("bigint").alias("customers")))
 
 
-def _nearest(points: DataFrame, centroids: DataFrame, by, key) -> DataFrame:
-    d = sum((F.col(f"{c}_z") - F.col(f"c_{c}")) ** 2 for c in FEATURES)
-    return (points.join(centroids, list(by))
-            .groupBy(*by, *key)
-            .agg(F.min_by("cluster", F.struct(d, F.col("cluster"))).alias("cluster")))
+def _nearest(points: DataFrame, centroids: DataFrame, by) -> DataFrame:
+    """``points`` with the nearest cluster (ties: the lower number). The
+    centroids are one row per tenant: joined by size, and a hot tenant's
+    points are split by the skew-join rule if they are not broadcast."""
+    held = centroids.groupBy(*by).agg(F.collect_list(F.struct(
+        "cluster", *[f"c_{c}" for c in FEATURES])).alias("_c"))   # at most k entries
+    d = lambda x: sum((F.col(f"{c}_z") - x[f"c_{c}"]) ** 2 for c in FEATURES)
+    best = F.array_min(F.transform("_c", lambda x: F.struct(d(x).alias("d"), x["cluster"].alias("n"))))
+    return points.join(held, list(by), "left").withColumn("cluster", best["n"]).drop("_c")
 
 
-def kmeans_segments(scaled: DataFrame, k: int = 4, iterations: int = 20, seed: int = 42,
-                    by=TENANT, key=("customer_id",)) -> tuple[DataFrame, DataFrame]:
+def kmeans_segments(scaled: DataFrame, k: int = 4, tolerance: float = 1e-4, most_steps: int = 300,
+                    seed: int = 42, by=TENANT, key=("customer_id",)) -> tuple[DataFrame, DataFrame]:
     """K-means with k = min(k, customers) per tenant, all tenants in one
-    job per iteration; clusters named by mean monetary value, descending.
-
-    Returns ``(assignments, model)``; ``model`` holds per tenant and cluster
-    the centroid and segment name (see :func:`score_segments`).
-    Initial centroids are the k customers with the smallest seeded hash
-    (a per-tenant group limit, so only k rows per tenant are shuffled).
+    job per step; clusters named by mean monetary value, descending.
+
+    Steps go on until the squared movement of every tenant's centroids is at
+    most ``tolerance`` (z-scored features have unit variance); ``most_steps``
+    stops a tenant that never settles. Returns ``(assignments, model)``;
+    ``model`` holds per tenant and cluster the centroid and segment name (see
+    :func:`score_segments`). Initial centroids are the k customers with the
+    smallest seeded hash (a per-tenant group limit, so only k rows per tenant
+    are shuffled).
     """
-    spark = scaled.sparkSession
-    ensure_checkpoint_dir(spark)
-    pts = scaled.select(*by, *key, *[f"{c}_z" for c in FEATURES], "monetary")
-    pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
+    pts = stored(scaled.select(*by, *key, *[f"{c}_z" for c in FEATURES], "monetary"), "points")
     w = Window.partitionBy(*by).orderBy(F.xxhash64(*key, F.lit(seed)), *key)
-    cents = (pts.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
-             .select(*by, (F.col("rn") - 1).alias("cluster"),
-                     *[F.col(f"{c}_z").alias(f"c_{c}") for c in FEATURES]))
-    cents = cents.checkpoint()
-    for _ in range(iterations):
-        assigned = _nearest(pts, cents, by, key)
-        new = (pts.join(assigned, [*by, *key])
-               .groupBy(*by, "cluster")
+    cents = stored(pts.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+                   .select(*by, (F.col("rn") - 1).alias("cluster"),
+                           *[F.col(f"{c}_z").alias(f"c_{c}") for c in FEATURES]), "centroids")
+    for _ in range(most_steps):
+        new = (_nearest(pts, cents, by).groupBy(*by, "cluster")
                .agg(*[F.avg(f"{c}_z").alias(f"n_{c}") for c in FEATURES]))
-        cents = (cents.join(new, [*by, "cluster"], "left")
-                 .select(*by, "cluster", *[F.coalesce(f"n_{c}", f"c_{c}").alias(f"c_{c}") for c in FEATURES])
-                 .checkpoint())
-    assigned = pts.join(_nearest(pts, cents, by, key), [*by, *key])
+        moved = sum((F.coalesce(f"n_{c}", f"c_{c}") - F.col(f"c_{c}")) ** 2 for c in FEATURES)
+        after = stored(cents.join(new, [*by, "cluster"], "left")
+                       .select(*by, "cluster", *[F.coalesce(f"n_{c}", f"c_{c}").alias(f"c_{c}")
+                                                 for c in FEATURES], moved.alias("moved")), "centroids")
+        discard(cents)
+        cents = after
+        most = cents.groupBy(*by).agg(F.sum("moved").alias("m")).agg(F.max("m")).first()[0]
+        if most is None or most <= tolerance:
+            break
+    cents = cents.drop("moved")
+    assigned = _nearest(pts, cents, by)
     means = assigned.groupBy(*by, "cluster").agg(F.avg("monetary").alias("m"))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("m"), "cluster"))
     names = F.array(*[F.lit(s) for s in SEGMENT_NAMES])
@@ -140,8 +147,7 @@ def kmeans_segments(scaled: DataFrame, k: int = 4, iterations: int = 20, seed: i
 def score_segments(scaled: DataFrame, model: DataFrame, by=TENANT, key=("customer_id",)) -> DataFrame:
     """Nearest saved centroid per customer; a cluster without a name
     (or a tenant without a model) gets the default segment."""
-    near = _nearest(scaled, model.select(*by, "cluster", *[f"c_{c}" for c in FEATURES]), by, key)
+    near = _nearest(scaled, model.select(*by, "cluster", *[f"c_{c}" for c in FEATURES]), by)
     names = model.select(*by, "cluster", "segment")
-    return (scaled.select(*by, *key).join(near, [*by, *key], "left")
-            .join(names, [*by, "cluster"], "left")
+    return (near.select(*by, *key, "cluster").join(names, [*by, "cluster"], "left")
             .select(*by, *key, "cluster", F.coalesce("segment", F.lit(DEFAULT_SEGMENT)).alias("segment")))

@@ -194,6 +194,7 @@ FILTER_CASES = {
                        "sales_channel": "ONLINE"},
     "filter_calendar": {"year": "1997", "quarter": "Q2", "month": "may", "day": "friday"},
     "filter_low_stock": {"low_stock": True},
+    "filter_supplier_category": {"supplier": "SUPPLIER#000000003", "product_category": "economy"},
     "filter_all_combined": {"start_date": "1995-06-01", "end_date": "2000-12-31",
                             "business_category": "medium", "brand": "brand#4",
                             "customer_type": "champions", "store": "store 4",
@@ -203,6 +204,21 @@ for _k, _f in FILTER_CASES.items():
     query(_k)(lambda t, f=_f: flt.apply_filters(sales(t), f).select(*FILTER_COLUMNS))
 
 
+@query("filter_product")
+def _filter_product(t):
+    """the first product by name, in capitals."""
+    name = sales(t).agg(F.upper(F.min("product_name"))).first()[0]   # one value
+    return flt.apply_filters(sales(t), {"product": name}).select(*FILTER_COLUMNS)
+
+
+@query("filter_state_city")
+def _filter_state_city(t):
+    """F7/F8 over sales whose state and city are the region and country (the
+    test tables hold none)."""
+    placed = sales(t).withColumn("state", F.col("region")).withColumn("city", F.col("country"))
+    return flt.apply_filters(placed, {"state": "asia", "city": "nation_7"}).select(*FILTER_COLUMNS)
+
+
 @query("filter_options")
 def _options(t):
     return flt.filter_options(sales(t))
@@ -332,7 +348,7 @@ def _seg_counts(t):
 @query("kmeans_clusters")
 def _kmeans(t):
     """Batch k-means (rows-only check: cluster ids depend on the init)."""
-    out, _ = seg.kmeans_segments(seg.scale_rfm(seg.rfm(sales(t))), iterations=10)
+    out, _ = seg.kmeans_segments(seg.scale_rfm(seg.rfm(sales(t))))
     return out
 
 
@@ -340,7 +356,7 @@ def _kmeans(t):
 def _seg_model(t):
     """Fit, then score customers against the fitted model."""
     scaled = seg.scale_rfm(seg.rfm(sales(t)))
-    _, model = seg.kmeans_segments(scaled, iterations=10)
+    _, model = seg.kmeans_segments(scaled)
     return seg.score_segments(scaled, model)
 
 
@@ -351,7 +367,6 @@ from ..operators import impute as imp  # noqa: E402
 from ..operators.mapping import map_columns  # noqa: E402
 from . import etl  # noqa: E402
 
-UPLOAD_ROWS = 200_000   # rows per landed upload file (about 20 MB of CSV)
 NOW = "2024-01-01 00:00:00"
 DIRTY_ORDER = ["row_seq", "order_date", "qty", "category", "sales", "customer_id"]
 TEXT_COLS = ["order_date", "category", "sales", "customer_id"]
@@ -587,9 +602,6 @@ def _reply(t):
 from ..operators import insights as ins  # noqa: E402
 from . import forecast as fc  # noqa: E402
 
-FIT_ITERATIONS = 20   # boosting rounds in the registered queries (100 in the library default)
-
-
 @query("forecast_metrics")
 def _fc_metrics(t):
     return fc.naive_metrics(sales(t))
@@ -608,7 +620,7 @@ def _fc_fallback(t):
 @query("forecast_fit_metrics")
 def _fc_fit(t):
     """Boosted trees over all tenants' series; hold-out MAE/R^2."""
-    _, metrics = fc.fit_and_evaluate(sales(t), max_iter=FIT_ITERATIONS)
+    _, metrics = fc.fit_and_evaluate(sales(t))
     return metrics
 
 
@@ -616,7 +628,7 @@ def _fc_fit(t):
 def _fc_30(t):
     """P5: 30-day recursive forecast of every tenant with the fitted model."""
     s = sales(t)
-    model = fc.fit_forecaster(fc.training_frame(s).where(F.col("split") == "train"), max_iter=FIT_ITERATIONS)
+    model = fc.fit_forecaster(fc.training_frame(s).where(F.col("split") == "train"))
     return fc.recursive_forecast(model, s)
 
 
@@ -802,9 +814,18 @@ from . import training as tr  # noqa: E402
 
 @query("training_status")
 def _train_status(t):
-    """Fit, save and report both models."""
-    return tr.train_models(sales(t), scratch_path(t.spark, "models"), max_iter=FIT_ITERATIONS,
-                           kmeans_iterations=10)
+    """Fit, save and report both models, per tenant."""
+    out = tr.train_models(sales(t), scratch_path(t.spark, "models"))
+    return out.withColumn("customers_by_segment", F.to_json("customers_by_segment"))
+
+
+@query("forecast_saved")
+def _fc_saved_model(t):
+    """P5/K9: save the regressor, load it back, forecast with it."""
+    models, s = scratch_path(t.spark, "models"), sales(t)
+    model = fc.fit_forecaster(fc.training_frame(s).where(F.col("split") == "train"))
+    tr.save_models(models, model, None, None)
+    return tr.forecast_with_saved(s, models)
 
 
 @query("segment_scored_saved")
@@ -814,7 +835,7 @@ def _scored_saved(t):
     s = sales(t)
     r = seg.rfm(s)
     stats = seg.tenant_stats(r)
-    _, model = seg.kmeans_segments(seg.scale_rfm(r, stats), iterations=10)
+    _, model = seg.kmeans_segments(seg.scale_rfm(r, stats))
     tr.save_models(models, None, model, stats)
     return tr.score_with_saved(s, models)
 
@@ -838,39 +859,24 @@ def _upload_flow(t):
 
 @query("stream_file_ingest")
 def _stream(t):
-    """Every tenant's export, written as CSV part files in one parallel job,
-    dropped in a landing folder (each part file is one upload) and ingested
-    by the stream, one upload per micro-batch.
-
-    The ``rebalance`` hint lets AQE size the write tasks, so a hot tenant is
-    written by several tasks; ``maxRecordsPerFile`` keeps each upload near
-    the 20 MB admission size (S2)."""
+    """Every tenant's years as uploads (one folder per upload, any number of
+    files), landed as CSV and ingested by the stream: rows, products and units
+    per upload."""
     base = scratch_path(t.spark, "stream")
     cols = ["Order Date", "Product Name", "Category", "Quantity", "Sales", "Customer ID", "Region", "Stock Level"]
     out = sales(t).select(
-        "user_id",
+        "user_id", "dataset_id",
         F.date_format("date", "yyyy-MM-dd").alias(cols[0]), F.col("product_name").alias(cols[1]),
         F.col("category").alias(cols[2]), F.col("quantity").cast("string").alias(cols[3]),
         F.col("total_sales").cast("string").alias(cols[4]), F.col("customer_id").alias(cols[5]),
         F.col("region").alias(cols[6]), F.col("inventory_level").cast("string").alias(cols[7]))
-    (out.hint("rebalance", "user_id").write.option("header", True).option("maxRecordsPerFile", UPLOAD_ROWS)
-     .partitionBy("user_id").csv(f"{base}/staging"))
-    # move the finished uploads into the landing folder (atomic renames)
-    jvm = t.spark.sparkContext._jvm
-    conf = t.spark.sparkContext._jsc.hadoopConfiguration()
-    Path = jvm.org.apache.hadoop.fs.Path
-    fs = Path(base).getFileSystem(conf)
-    fs.mkdirs(Path(f"{base}/landing"))
-    for d in sorted((st.getPath().getName() for st in fs.listStatus(Path(f"{base}/staging"))
-                     if st.isDirectory())):
-        names = sorted(st.getPath().getName() for st in fs.listStatus(Path(f"{base}/staging/{d}")))
-        for i, name in enumerate(n for n in names if n.endswith(".csv")):
-            fs.rename(Path(f"{base}/staging/{d}/{name}"), Path(f"{base}/landing/upload_{d.split('=')[-1]}_{i:05d}.csv"))
-    q = ingest_landing(t.spark, f"{base}/landing", cols, f"{base}/table", f"{base}/checkpoint", user_id=9,
-                       now=NOW)
+    (out.hint("rebalance", "user_id", "dataset_id").write.options(**wr.CSV_OPTIONS)
+     .partitionBy("user_id", "dataset_id").csv(f"{base}/landing"))
+    q = ingest_landing(t.spark, f"{base}/landing", cols, f"{base}/table", f"{base}/checkpoint", now=NOW)
     q.awaitTermination()
     return wr.read_sales(t.spark, f"{base}/table").groupBy("user_id", "dataset_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.countDistinct("product_name").alias("products"))
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("product_name").alias("products"),
+        F.sum("quantity").alias("units"))
 
 
 @query("filter_week")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..operators.clean import ORDER_COL, clean_upload
 from ..operators.impute import canonicalise, impute_fields
-from ..operators.ledger import with_positions
+from ..operators.ledger import positions_by, with_positions
 from ..operators.mapping import map_columns
 
 
@@ -29,17 +29,29 @@ def file_order(df: DataFrame) -> DataFrame:
     return with_row_order(tagged, [F.col("_file"), F.col("_mid")]).drop("_file", "_mid")
 
 
-def transform_upload(raw: DataFrame, user_id: int, dataset_id: int, now: str,
-                     exact_quantiles: bool = True) -> tuple[DataFrame, DataFrame, dict]:
+UPLOAD_KEY = ("user_id", "dataset_id")
+
+
+def transform_upload(raw: DataFrame, user_id: int | None, dataset_id: int | None, now: str,
+                     exact_quantiles: bool = True, by=()) -> tuple[DataFrame, DataFrame, dict]:
     """Returns (cleaned, canonical, mapping) for a raw upload that carries
-    ``_row``."""
-    cleaned, _ = clean_upload(raw, ORDER_COL, exact_quantiles=exact_quantiles)
-    mapped, mapping = map_columns(cleaned, keep=(ORDER_COL,))
+    ``_row``; with ``by=UPLOAD_KEY``, for many uploads of one header at once
+    (types and statistics per upload)."""
+    cleaned, _ = clean_upload(raw, ORDER_COL, by, exact_quantiles=exact_quantiles)
+    mapped, mapping = map_columns(cleaned, keep=(ORDER_COL, *by))
     present = {k for k, v in mapping.items() if v}
-    canonical = canonicalise(impute_fields(mapped, present, now), user_id, dataset_id)
+    canonical = canonicalise(impute_fields(mapped, present, now, by=by), user_id, dataset_id)
     return cleaned, canonical, mapping
 
 
+def upload_order(df: DataFrame, by=UPLOAD_KEY) -> DataFrame:
+    """``_row``: position of each row within its upload (file, then place in it)."""
+    tagged = (df.withColumn("_file", F.input_file_name())
+              .withColumn("_mid", F.monotonically_increasing_id()))
+    return positions_by(tagged, list(by), [F.col("_file"), F.col("_mid")], ORDER_COL).drop(
+        "_file", "_mid", "_n")
+
+
 def run_etl(raw: DataFrame, user_id: int, dataset_id: int, now: str, table_dir: str,
             cleaned_dir: str | None = None, processed_dir: str | None = None,
             fmt: str = "parquet") -> DataFrame:

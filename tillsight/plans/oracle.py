@@ -277,6 +277,12 @@ ORACLE["filter_calendar"] = with_sales(_FILTER_OUT + """
 WHERE CAST(year(date) AS VARCHAR) = '1997' AND 'Q' || CAST(quarter(date) AS VARCHAR) = 'Q2'
   AND lower(monthname(date)) = 'may' AND lower(dayname(date)) = 'friday'""")
 ORACLE["filter_low_stock"] = with_sales(_FILTER_OUT + " WHERE inventory_level < 50")
+ORACLE["filter_product"] = with_sales(_FILTER_OUT + """
+WHERE lower(product_name) = (SELECT lower(min(product_name)) FROM sales)""")
+ORACLE["filter_supplier_category"] = with_sales(_FILTER_OUT + """
+WHERE lower(coalesce(supplier, '')) = 'supplier#000000003' AND lower(coalesce(category, '')) = 'economy'""")
+ORACLE["filter_state_city"] = with_sales(_FILTER_OUT + """
+WHERE lower(coalesce(region, '')) = 'asia' AND lower(coalesce(country, '')) = 'nation_7'""")
 ORACLE["filter_all_combined"] = with_sales(_FILTER_OUT + """
 WHERE (date IS NULL OR date >= TIMESTAMP '1995-06-01') AND (date IS NULL OR date <= TIMESTAMP '2000-12-31')
   AND lower(coalesce(category, '')) = 'medium' AND lower(coalesce(brand, '')) = 'brand#4'
@@ -702,8 +708,26 @@ def _sql_text(s: str) -> str:
     return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
+# The reply texts, stated here apart from the code that is checked.
+REPLY_FORECAST = (
+    "To see detailed sales forecasts and customer segment recommendations, please head to the **AI Assistant** "
+    "dashboard tab or check the ML charts in the **Analytics** page. I predict future sales using historical "
+    "autoregressive trends and K-Means segmentation.")
+REPLY_HELP = """I can help you analyze your retail metrics! Try asking questions like:
+
+- *What is our total revenue?*
+- *How much profit did we make?*
+- *What are our best selling products?*
+- *Which categories perform the best?*
+- *Are there any low stock inventory warnings?*
+- *Show me a breakdown of our customer segments.*"""
+REPLY_NO_DATA = (
+    "It looks like you haven't uploaded a dataset yet. Please go to the Dashboard or Settings page to upload your "
+    "retail data, and then I'll be happy to answer your business questions!")
+REPLY_STOCK_OK = "Inventory status is stable with no low stock warnings."
+
+
 def _reply_sql() -> str:
-    from ..operators.intents import REPLY_FORECAST, REPLY_HELP, REPLY_NO_DATA, REPLY_STOCK_OK
     nl2 = "chr(10) || chr(10)"
     return f"""
 SELECT t.msg_id, t.user_id, t.intent, CASE
@@ -865,3 +889,15 @@ SELECT user_id, strftime(date, '%Y-%m-%d') AS date, predicted AS predicted_sales
 ORACLE["forecast_saved_or_fallback"] = ORACLE["forecast_fallback"]
 
 ORACLE["filter_week"] = with_sales(_FILTER_OUT + " WHERE weekofyear(date) = 23")
+
+
+# --- streaming ---------------------------------------------------------------------
+
+# Rows of an upload after its exact duplicates are dropped; the fixture's quantities lie
+# inside the outlier bounds, so their sums are unchanged.
+ORACLE["stream_file_ingest"] = with_sales("""
+SELECT user_id, dataset_id, count(*) AS rows, count(DISTINCT product_name) AS products,
+       CAST(sum(quantity) AS BIGINT) AS units
+FROM (SELECT DISTINCT user_id, dataset_id, strftime(date, '%Y-%m-%d') AS day, product_name, category, quantity,
+             total_sales, customer_id, region, inventory_level FROM sales)
+GROUP BY user_id, dataset_id""")

@@ -11,6 +11,8 @@ from ..functions.columns import output_frame
 from ..operators.filters import apply_filters
 from ..schema import ANALYTICS_COLUMNS, SALES_COLUMNS
 
+# A quote inside a quoted field is doubled, as readers of plain CSV expect.
+CSV_OPTIONS = {"header": True, "escape": '"'}
 PARTITION_COLUMNS = ["user_id", "dataset_id"]
 
 
@@ -19,7 +21,7 @@ def write_copy(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     w = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         df = output_frame(df)
-        w = df.write.mode("overwrite").format(fmt).option("header", True)
+        w = df.write.mode("overwrite").format(fmt).options(**CSV_OPTIONS)
     w.save(path)
 
 
@@ -75,21 +77,21 @@ def export_csv(sales: DataFrame, user_id: int, path: str, single_file: bool = Fa
     out = output_frame(t)
     if single_file:
         out = out.coalesce(1)
-    out.write.mode("overwrite").option("header", True).csv(path)
+    out.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 def export_csv_all(sales: DataFrame, path: str) -> None:
     """K5 for all tenants in one job: ``path/user_id=<id>/`` per tenant
     (a tenant without rows simply has no folder)."""
     out = output_frame(sales.select("user_id", *ANALYTICS_COLUMNS))
-    out.write.mode("overwrite").option("header", True).partitionBy("user_id").csv(path)
+    out.write.mode("overwrite").options(**CSV_OPTIONS).partitionBy("user_id").csv(path)
 
 
 def export_filtered_csv(df: DataFrame, filters: dict, path: str) -> None:
     """K6: the filtered ledger with every field quoted and nulls as ''."""
     out = output_frame(apply_filters(df, filters))
     out = out.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in out.columns])
-    out.write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
+    out.write.mode("overwrite").options(**CSV_OPTIONS).option("quoteAll", True).csv(path)
 
 
 def purge_tenant(spark: SparkSession, table_dir: str, user_id: int) -> bool:

@@ -11,12 +11,22 @@ CSV_NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "
                  "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
+# Quoted fields may hold commas, line breaks and doubled quotes. A file with
+# line breaks in fields is read by one task; admission bounds its size.
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "multiLine": True, "inferSchema": False}
+
+
+def missing_to_null(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Missing-value tokens of text columns as null."""
+    columns = df.columns if columns is None else columns
+    return df.select(*[F.when(~F.col(f"`{c}`").isin(*CSV_NA_TOKENS), F.col(f"`{c}`")).alias(c)
+                       if c in columns else F.col(f"`{c}`") for c in df.columns])
+
+
 def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
     """Every column as text (type detection happens in cleaning), header
     row, missing-value tokens as null."""
-    df = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    return df.select(*[F.when(F.col(f"`{c}`").isin(*CSV_NA_TOKENS), F.lit(None).cast("string"))
-                       .otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    return missing_to_null(spark.read.options(**CSV_OPTIONS).csv(path))
 
 
 def landing_manifest(spark: SparkSession, folder: str, max_mb: int = MAX_UPLOAD_MB) -> DataFrame:

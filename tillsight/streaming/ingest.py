@@ -1,35 +1,36 @@
 """Upload ingest as a stream (optional form of the upload flow).
 
-New CSV files in a landing folder are read with an explicit all-text schema,
-one file per micro-batch (cleaning statistics are per upload), and each
-batch runs the ETL and loads its rows into the partitioned sales table.
-``trigger(availableNow=True)`` processes what is there and stops; progress is
-kept in the checkpoint folder, so a restarted job resumes after the last
-committed file.
+The landing folder holds one folder per upload,
+``user_id=<tenant>/dataset_id=<upload>/``, with any number of CSV files of one
+header; a folder is moved into place when it is complete. A micro-batch takes all
+new files: types, statistics and row order are per upload, so many uploads are
+cleaned and loaded by the same few jobs, and the tenant comes from the folder.
+``trigger(availableNow=True)`` processes what is there and stops; progress is kept in
+the checkpoint folder, so a restarted job resumes after the last committed batch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
-from ..plans.etl import transform_upload, with_row_order
+from ..plans.etl import UPLOAD_KEY, transform_upload, upload_order
 from ..sinks.writers import load_sales
+from ..sources.raw import CSV_OPTIONS, missing_to_null
 
 
 def ingest_landing(spark: SparkSession, landing_dir: str, columns: list[str], table_dir: str, checkpoint: str,
-                   user_id: int, now: str, first_dataset_id: int = 1):
+                   now: str):
     """Start the stream and return the query handle (call
     ``awaitTermination()`` on it). ``columns`` is the header of the files."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    stream = (spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", 1)
-              .csv(landing_dir))
+    schema = T.StructType([*(T.StructField(c, T.StringType()) for c in columns),
+                           *(T.StructField(c, T.LongType()) for c in UPLOAD_KEY)])
+    stream = spark.readStream.schema(schema).options(**CSV_OPTIONS).csv(landing_dir)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        tagged = batch.withColumn("_file", F.input_file_name()).withColumn("_mid", F.monotonically_increasing_id())
-        raw = with_row_order(tagged, [F.col("_file"), F.col("_mid")]).drop("_file", "_mid")
-        _, canonical, _ = transform_upload(raw, user_id, first_dataset_id + batch_id, now)
+        raw = missing_to_null(upload_order(batch), columns)
+        _, canonical, _ = transform_upload(raw, None, None, now, by=UPLOAD_KEY)
         load_sales(canonical, table_dir)
 
     return (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
