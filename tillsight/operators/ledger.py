@@ -9,6 +9,9 @@ from ..schema import LEDGER_PAGE_SIZE
 from ..session import ensure_checkpoint_dir
 
 
+EARLY_ROWS = 10_000   # ledger rows per tenant that a group limit keeps in one window
+
+
 def sort_key(df: DataFrame, column: str, ascending: bool = True) -> list[Column]:
     """L4: text sorts case-insensitively with null as ''; numbers numerically.
     Ties break on ``id``, then on every other column (ids of different rows
@@ -71,10 +74,20 @@ def ledger_sorted(df: DataFrame, column: str, ascending: bool = True, by=("user_
 def ledger_page(df: DataFrame, column: str, ascending: bool = True, page: int = 1,
                 page_size: int = LEDGER_PAGE_SIZE, by=("user_id",)) -> DataFrame:
     """Page ``page`` of every tenant's sorted ledger; a page past the
-    end shows the last page. Adds the ``x to y of n`` caption. Positions
-    come from a distributed sort, so deep pages cost the same as page 1."""
+    end shows the last page. Adds the ``x to y of n`` caption.
+
+    Pages among the first ``EARLY_ROWS`` rows come from a ranking that every
+    task cuts to those rows before the shuffle (a group limit), plus a count
+    per tenant. Later pages take positions from a distributed sort, so they
+    all cost the same. Both give the same page."""
     by = [b for b in by if b in df.columns]
-    pos = positions_by(df, by, sort_key(df, column, ascending))
+    order = sort_key(df, column, ascending)
+    if by and page * page_size <= EARLY_ROWS:
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        first = df.withColumn("pos", rank).where(F.col("pos") <= page * page_size)
+        pos = first.join(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by)
+    else:
+        pos = positions_by(df, by, order)
     if not by:
         pos = pos.crossJoin(F.broadcast(pos.agg(F.count(F.lit(1)).alias("_n"))))   # one row
     pages = F.greatest(F.ceil(F.col("_n") / F.lit(page_size)), F.lit(1))
