@@ -1,12 +1,12 @@
 """Toxicity by maximum-scoring segments.
 
-*Tokens* are words and, for words that the model does not hold, their first four
-characters. A token's score is its log-odds between toxic and clean documents, counted
-once per document, with a Dirichlet prior of half a document per token (in proportion
-to class sizes it is uninformative); the score is taken one standard error towards
-zero. The model holds at most ``max_tokens`` tokens, those with the largest |z| of at
-least ``least_z`` (a documented, bounded model); any other token scores 0. Each token
-costs half a nat, so a passage must earn its length.
+*Tokens* are words and their first four characters; a word scores the higher of both. A
+token's score is its log-odds between toxic and clean documents, counted once per
+document, with a Dirichlet prior of half a document per token, taken one standard error
+towards zero. The model holds at most ``max_tokens`` tokens (a documented bound): those
+that mark toxic documents, occur in at least four documents and in one toxic document of
+500, score at least two nats and have the largest z of at least ``least_z``; any other
+token scores 0. Each token costs half a nat, so a passage must earn its length.
 
 *Segments.* One linear scan finds all maximal scoring segments (Ruzzo and Tompa). For
 most texts a vectorised running minimum shows that no segment can be significant; the
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from tillsight.llm.common import WordIds, held_out, in_slices, texts_of
 
 MAX_ROWS, MAX_TOKENS = 60_000, 100_000
-LEAST_Z, LEAST_DOCS = 2.5, 2
+LEAST_Z, LEAST_DOCS, LEAST_SHARE, LEAST_SCORE = 2.5, 4, 0.002, 2.0
 PRIOR, COST, PREFIX = 0.5, 0.5, 4
 SIGNIFICANT = 0.05
 RESULT = {"score": "double", "predicted": "int",
@@ -63,13 +63,7 @@ def tokenise(texts: list[bytes]) -> tuple[list[bytes], list[np.ndarray]]:
 
 def word_values(words: list[bytes], model: dict[bytes, float]) -> np.ndarray:
     get = model.get
-    out = np.empty(len(words))
-    for i, w in enumerate(words):
-        s = get(w)
-        if s is None:
-            s = get(prefix_of(w), 0.0)
-        out[i] = s
-    return out - COST
+    return np.array([max(get(w, 0.0), get(prefix_of(w), 0.0)) for w in words]) - COST
 
 
 def best_segment(s: np.ndarray) -> float:
@@ -198,11 +192,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS,
     error = F.sqrt(1 / (y1 + PRIOR) + 1 / (y0 + PRIOR))
     kept = (rows.where(fold != 4).mapInArrow(count, "token binary, toxic int, clean int")
             .groupBy("token").agg(F.sum("toxic").alias("y1"), F.sum("clean").alias("y0"))
-            .where(y1 + y0 >= LEAST_DOCS).select("token", odds.alias("odds"), error.alias("error"))
-            .withColumn("z", F.abs("odds") / F.col("error")).where(F.col("z") >= least_z)
+            .where((y1 + y0 >= LEAST_DOCS) & (y1 >= LEAST_SHARE * n1)).select("token", odds.alias("odds"), error.alias("error"))
+            .withColumn("z", F.col("odds") / F.col("error"))
+            .where((F.col("z") >= least_z) & (F.col("odds") - F.col("error") >= LEAST_SCORE))
             .orderBy(F.desc("z"), "token").limit(max_tokens).collect())
-    model["scores"] = {bytes(r["token"]): float(np.sign(r["odds"]) * (abs(r["odds"]) - r["error"]))
-                       for r in kept}
+    model["scores"] = {bytes(r["token"]): r["odds"] - r["error"] for r in kept}
     shared = spark.sparkContext.broadcast(model["scores"])
 
     def measure(batches):
