@@ -46,7 +46,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
-    return encode.encode(docs.select(*columns, "text")).select(
+    return encode.encode(docs, keep=columns).select(
         *columns, F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

@@ -28,7 +28,7 @@ from tillsight.llm.common import WordIds, in_slices
 from tillsight.llm.pieces import SPACE, VOCABULARY, Lattice, by_length, load, ragged
 
 UNKNOWN_PENALTY = 10.0
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 #: Stands for a U+2581 of the text itself: a lone surrogate, which no text can hold.
 _LITERAL = "\ud800"
 
@@ -153,21 +153,30 @@ def _schema(df: DataFrame, columns: list[str], name: str, kind: str) -> str:
                      + [f"{name} {kind}"])
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The documents with ``ids``."""
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, keep: list[str] | None = None,
+           check: bool = False) -> DataFrame:
+    """The documents' columns (or those to ``keep``) with ``ids``; with ``check`` also
+    ``restored``: whether decoding the ids gave the text back."""
     shared = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
-    columns = [c for c in docs.columns if c != "ids"]
+    new = ["ids", "restored"] if check else ["ids"]
+    columns = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    given = docs.select(*dict.fromkeys([*columns, "text"]))
 
     def run(batches):
         encoder = _encoder(shared)
         for batch in in_slices(batches, "text", SLICE_BYTES):
-            ids, numbers = encoder.texts([t or "" for t in batch.column("text").to_pylist()])
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            ids, numbers = encoder.texts(texts)
             ends = np.concatenate([[0], np.cumsum(numbers)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), lists],
-                                             [*columns, "ids"])
+            out = [pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))]
+            if check:
+                out.append(pa.array([t.encode() == back for t, back in
+                                     zip(texts, encoder.decode(ids, numbers))], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *out],
+                                             [*columns, *new])
 
-    return docs.select(columns).mapInArrow(run, _schema(docs, columns, "ids", "array<int>"))
+    schema = _schema(docs, columns, "ids", "array<int>") + ", restored boolean" * check
+    return given.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -192,7 +201,7 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def encoding_report(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, n_tokens, ids and whether decoding them gives the text back."""
-    back = decode(encode(docs.select("doc_id", "text"), vocabulary), vocabulary)
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                       (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("restored"))
+    """doc_id, n_tokens, ids and whether decoding them gives the text back. Encoding and
+    decoding share one pass, so that texts and ids travel to Python and back once."""
+    done = encode(docs, vocabulary, keep=["doc_id"], check=True)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "restored")
