@@ -18,6 +18,7 @@ from tillsight.operators import timeseries as ts
 from tillsight.operators.clean import clean_upload
 from tillsight.operators.impute import impute_date, impute_quantity
 from tillsight.operators.mapping import resolve_mapping
+from tillsight.plans.forecast import fallback_forecast
 from tillsight.schema import SALES_SCHEMA
 from tillsight.session import ensure_checkpoint_dir
 from tillsight.sinks.writers import write_copy
@@ -254,3 +255,18 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError):
         ensure_checkpoint_dir(Session())
+
+
+def test_mapped_ids_are_not_filled_or_capped(spark):
+    rows = [(i, str(i % 3), "5") for i in range(1, 20)] + [(20, "9000", "7"), (21, None, "6")]
+    df = spark.createDataFrame(rows, "_row long, `Customer ID` string, Quantity string")
+    kept = {r["_row"]: r["Customer ID"] for r in clean_upload(df)[0].collect()}
+    assert kept[20] == 9000.0 and kept[21] is None
+    strict = {r["_row"]: r["Customer ID"] for r in clean_upload(df, strict_reference=True)[0].collect()}
+    assert strict[21] is not None
+
+
+def test_forecast_start_date(spark):
+    s = sales_frame(spark, [{"id": 1}, {"id": 2, "date": dt.datetime(2024, 1, 9)}])
+    first = lambda **kw: str(fallback_forecast(s, **kw).agg(F.min("date")).first()[0])
+    assert first() == "2024-01-10" and first(start_date="2025-03-01") == "2025-03-01"

@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from ..functions.columns import parse_number, strip_ws
 from ..schema import ID_LIKE_HEADER_PARTS, IQR_K, MODE_FALLBACK, NULL_TOKENS
 from ..session import stored
+from .mapping import resolve_mapping
 from .quantiles import exact_quantiles
 
 ORDER_COL = "_row"
+ID_COLUMNS = ("customer_id", "order_id")   # standard columns that name a customer or an order
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -203,16 +205,21 @@ def cap_outliers(df: DataFrame, cols: list[str], by=(), k: float = IQR_K, exact:
     return j.select(*out)
 
 
-def clean_upload(df: DataFrame, order_col: str = ORDER_COL, by=(), exact_quantiles: bool = True
-                 ) -> tuple[DataFrame, list[str]]:
+def clean_upload(df: DataFrame, order_col: str = ORDER_COL, by=(), exact_quantiles: bool = True,
+                 strict_reference: bool = False) -> tuple[DataFrame, list[str]]:
     """C1-C8 in order. Returns the cleaned frame and its numeric columns.
 
+    Numeric columns that map to a customer or order id are neither filled with
+    a mean nor capped (D12), unless ``strict_reference`` asks for it.
+
     With several uploads (``by``), a column's type is that of its own upload:
     where it is numeric, its numbers are filled and capped, elsewhere its
     texts are filled; a column that is both keeps a text type."""
     # The upload is read by several statistics passes: de-duplicate once.
     df = stored(trim_headers(drop_exact_duplicates(df, order_col)), "deduplicated")
     cols = data_columns(df, order_col, by)
+    mapped = resolve_mapping(cols)
+    ids = [] if strict_reference else [mapped[c] for c in ID_COLUMNS if mapped.get(c)]
     if by:
         numeric, mixed, flags = mixed_columns(df, cols, by)
         if mixed:
@@ -222,22 +229,22 @@ def clean_upload(df: DataFrame, order_col: str = ORDER_COL, by=(), exact_quantil
                          *[F.when(F.col(f"`_is_{c}`"), parse_number(F.col(f"`{c}`"))).alias(n)
                            for c, n in zip(mixed, numbers)])
             keep = [c for c in d.columns if c.startswith("_is_")]
-            both, _ = _clean_columns(d, cols + numbers, numeric + numbers, keep, by, exact_quantiles)
+            both, _ = _clean_columns(d, cols + numbers, numeric + numbers, keep + [c for c in ids if c in numeric], by, exact_quantiles)
             return both.select(*[
                 F.when(F.col(f"`_is_{c}`"), F.col(f"`_num_{c}`").cast("string"))
                 .otherwise(F.col(f"`{c}`")).alias(c) if c in mixed else F.col(f"`{c}`")
                 for c in df.columns]), numeric
     else:
         numeric = detect_numeric(df, cols)
-    return _clean_columns(df, cols, numeric, [], by, exact_quantiles)
+    return _clean_columns(df, cols, numeric, [c for c in ids if c in numeric], by, exact_quantiles)
 
 
 def _clean_columns(df: DataFrame, cols: list[str], numeric: list[str], keep: list[str], by,
                    exact_quantiles: bool) -> tuple[DataFrame, list[str]]:
-    """C3-C8 once the numeric columns are known; ``keep`` passes untouched."""
+    """C3-C8 once the numeric columns are known; ``keep`` is not filled or capped."""
     df = cast_numeric(df, numeric)
     bools = [c for c in cols if isinstance(df.schema[c].dataType, T.BooleanType)]
-    fill = [c for c in numeric if c not in bools]
+    fill = [c for c in numeric if c not in bools and c not in keep]
     text = [c for c in cols if c not in numeric and c not in bools and c not in keep]
     df = impute_mean(df, fill, by)
     df = impute_mode(normalise_text(df, text), text, by)

@@ -656,6 +656,17 @@ def _recs(t):
         ins.segment_insights(seg.segment_counts(seg.rule_segments(seg.rfm(s)))))
 
 
+@query("recommendations_fitted")
+def _recs_fitted(t):
+    """R1-R6 with the trend of the fitted forecast (no oracle: a model output)."""
+    s = sales(t)
+    model = fc.fit_forecaster(fc.training_frame(s).where(F.col("split") == "train"))
+    return ins.recommendations(
+        s, ins.low_stock_insights(m.low_stock_latest(s)),
+        ins.trend_insights(fc.trend_change(fc.recursive_forecast(model, s))),
+        ins.segment_insights(seg.segment_counts(seg.rule_segments(seg.rfm(s)))))
+
+
 # --- sources, sinks, reports, dashboard -----------------------------------------------
 
 from ..session import scratch_path  # noqa: E402
@@ -848,13 +859,10 @@ def _fc_saved(t):
 
 @query("upload_flow")
 def _upload_flow(t):
-    """ETL of the damaged upload into the sales table, then the
-    dashboard of the loaded tenant."""
-    table = scratch_path(t.spark, "sales_table")
-    status = etl.run_etl(dirty_ordered(t), user_id=7, dataset_id=1, now=NOW, table_dir=table)
-    loaded = wr.read_sales(t.spark, table)
-    payload = dash.dashboard_payload(loaded)
-    return status.crossJoin(payload.select(F.length("payload").alias("payload_chars")))   # 1 x 1 rows
+    """The damaged upload through ETL, copies, load, training, status and
+    dashboard."""
+    return tr.run_upload(dirty_ordered(t), user_id=7, dataset_id=1, now=NOW,
+                         base=scratch_path(t.spark, "upload"))
 
 
 @query("stream_file_ingest")
