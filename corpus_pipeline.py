@@ -34,10 +34,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = passages.without_repeats(docs)
-    if "n_chars" in docs.columns:
+    if "n_chars" in docs.columns and docs.schema["n_chars"].dataType.simpleString() in ("int", "bigint"):
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.char_length("text").cast(kind))
-    return out.select(docs.columns)
+    return out
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,6 +93,19 @@ def test_stages_take_odd_and_empty_tables(spark, odd, empty):
             assert n <= docs.count() and (n > 0) == (docs is odd)
 
 
+def test_stages_keep_extra_columns_whatever_their_names(spark, odd):
+    from pyspark.sql import functions as F
+    names = ["grp", "score", "predicted", "passages", "n_words", "n_removed", "kept_text", "hit_words",
+             "items", "spans", "lo", "root", "kept", "part", "body", "_rest", "a.b", "n items"]
+    docs = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    docs = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names])
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+
+
 def test_every_operator_is_registered():
     names = entry.queries()
     for n in range(1, 11):

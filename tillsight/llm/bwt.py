@@ -27,7 +27,7 @@ whole segments and hot windows (64 bits, besides the anchor's).
 
 Edge cases: a null text is empty; texts below 200 bytes stay whole; repeated rows
 are documents of their own; matches never cross documents; an empty table gives no
-rows; extra columns pass through, those named like a result column are replaced.
+rows; extra columns pass through, those named ``grp`` or like a result column are replaced.
 The kept bytes are a binary column, since a cut may fall inside a character.
 """
 
@@ -40,7 +40,8 @@ from pyspark.sql import functions as F
 
 from tillsight.llm.common import (
     BLOCK_SCHEMA, GROUP_BYTES, U64, among, answered, blocks, bucket_of, by_part, exchange,
-    in_groups, in_order, local_counts, mix, repeated_keys, text_bytes, texts_of, unpack)
+    in_groups, in_order, local_counts, mix, quoted, repeated_keys, text_bytes, texts_of, unpack,
+    with_results)
 
 LENGTH, ANCHOR = 200, 64
 #: Segments that one bucket gets on average, at 69 bytes of text a segment.
@@ -231,8 +232,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     """Documents with n_bytes, n_removed, n_spans (maximal removed runs) and kept."""
     size = text_bytes(docs)
     parts = max(1, size // (BUCKET_SEGMENTS * BYTES_PER_SEGMENT))
-    columns = [c for c in docs.columns if c not in RESULT]
-    grouped = in_groups(docs.select(columns), size, group_bytes)
+    columns = [c for c in docs.columns if c not in RESULT and c != "grp"]
+    docs = docs.select(*map(quoted, columns))
+    grouped = in_groups(docs, size, group_bytes)
     # buckets of one exchange: below ``parts`` by anchor, beyond it by another key
     alone, same_first, same = 0, 3, 1  # of a segment, against the other groups
 
@@ -395,9 +397,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     first = exchange(of_group.applyInArrow(summary_blocks, BLOCK_SCHEMA), summaries)
     second = exchange(of_group.cogroup(first.groupBy("grp"))
                       .applyInArrow(transform_blocks, BLOCK_SCHEMA), merged)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}"
-                        for f in docs.select(columns).schema]
-                       + [f"{c} {t}" for c, t in RESULT.items()])
+    schema = with_results(docs, columns, RESULT)
     return (of_group.cogroup(first.unionByName(second).groupBy("grp"))
             .applyInArrow(removed, schema))
 

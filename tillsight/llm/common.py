@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U64 = np.uint64
 #: Bytes of text that one group holds on average.
@@ -34,6 +35,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def with_results(df: DataFrame, columns: list[str], results: dict[str, str]) -> T.StructType:
+    """Schema of some columns of ``df`` and of result columns given as name and type."""
+    kept = [f for f in df.schema if f.name in columns]
+    return T.StructType(kept + [T.StructField(c, T._parse_datatype_string(t))
+                                for c, t in results.items()])
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns as one struct, whose names clash with nothing."""
+    rest = [F.col(quoted(c)) for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*rest or [F.lit(0)]).alias("_rest"))
+
+
+def unpacked(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from a packed frame."""
+    return df.select(*[F.col(c) if c in ("doc_id", "text") else
+                       F.col("_rest").getField(c).alias(c) for c in docs.columns])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values in place, so that all bits depend on all bits."""
     x ^= x >> U64(32)

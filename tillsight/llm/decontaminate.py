@@ -14,7 +14,7 @@ Edge cases: a null or empty text, or one without words, has no words, no hits an
 no items; a null or wordless item has no windows; repeated items and repeated item
 ids count once per id; a null item id counts as the id ''. Empty tables give empty
 or clean results. Extra columns of the documents pass through unchanged, except
-that columns named like a result column are replaced.
+that columns named like a result column are replaced (``drop_contaminated`` keeps them).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import in_slices
+from tillsight.llm.common import in_slices, packed, quoted, unpacked, with_results
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
@@ -125,21 +125,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     for b in range(n):
         rows = [(r["i"], r["t"].encode()) for r in items.where(F.col("b") == b).collect()]
         shared = spark.sparkContext.broadcast(rows)
-        kinds = docs.select(columns).schema
         step = _scanner(shared, f"{shared._jbroadcast.id()}", window, columns)
-        schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kinds]
-                           + [f"{c} {t}" for c, t in RESULT.items()])
         if out is None:
-            out = docs.select(columns).mapInArrow(step, schema)
+            out = docs.select(*map(quoted, columns)).mapInArrow(
+                step, with_results(docs, columns, RESULT))
         else:  # a further block of a large benchmark: add its hits to those found
             held = [F.col(c).alias(f"_{c}") for c in ("hit_words", "items", "spans")]
-            columns_b = [*columns, "_hit_words", "_items", "_spans"]
-            step = _scanner(shared, f"{shared._jbroadcast.id()}", window, columns_b)
-            wide = out.select(*columns, *held)
-            schema_b = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in wide.schema]
-                                 + [f"{c} {t}" for c, t in RESULT.items()])
+            wide = out.select(*map(quoted, columns), *held)
+            step = _scanner(shared, f"{shared._jbroadcast.id()}", window, wide.columns)
+            schema_b = with_results(wide, wide.columns, RESULT)
             out = wide.mapInArrow(step, schema_b).select(
-                *columns, "n_words",
+                *map(quoted, columns), "n_words",
                 *(F.array_sort(F.array_union(c, f"_{c}")).alias(c)
                   for c in ("hit_words", "items", "spans")))
     return out
@@ -157,5 +153,5 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents without any benchmark window, with their own columns only."""
-    found = find_contamination(docs, benchmark)
-    return found.where(F.size("hit_words") == 0).select(docs.columns)
+    found = find_contamination(packed(docs), benchmark)
+    return unpacked(found.where(F.size("hit_words") == 0), docs)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import WordIds, in_slices
+from tillsight.llm.common import WordIds, in_slices, quoted, with_results
 from tillsight.llm.pieces import SPACE, VOCABULARY, Lattice, by_length, load, ragged
 
 UNKNOWN_PENALTY = 10.0
@@ -147,12 +147,6 @@ def _encoder(shared) -> Encoder:
     return _made[key]
 
 
-def _schema(df: DataFrame, columns: list[str], name: str, kind: str) -> str:
-    kinds = df.select(columns).schema
-    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kinds]
-                     + [f"{name} {kind}"])
-
-
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, keep: list[str] | None = None,
            check: bool = False) -> DataFrame:
     """The documents' columns (or those to ``keep``) with ``ids``; with ``check`` also
@@ -160,7 +154,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, keep: list[str] | None
     shared = docs.sparkSession.sparkContext.broadcast(load(vocabulary))
     new = ["ids", "restored"] if check else ["ids"]
     columns = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    given = docs.select(*dict.fromkeys([*columns, "text"]))
+    given = docs.select(*map(quoted, dict.fromkeys([*columns, "text"])))
 
     def run(batches):
         encoder = _encoder(shared)
@@ -175,8 +169,8 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, keep: list[str] | None
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *out],
                                              [*columns, *new])
 
-    schema = _schema(docs, columns, "ids", "array<int>") + ", restored boolean" * check
-    return given.mapInArrow(run, schema)
+    types = {"ids": "array<int>", "restored": "boolean"}
+    return given.mapInArrow(run, with_results(docs, columns, {c: types[c] for c in new}))
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -196,8 +190,8 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                     [*(batch.column(c) for c in columns),
                      pa.array(texts, pa.binary()).cast(pa.string())], [*columns, "decoded"])
 
-    return encoded.select(columns).mapInArrow(
-        run, _schema(encoded, columns, "decoded", "string"))
+    return encoded.select(*map(quoted, columns)).mapInArrow(
+        run, with_results(encoded, columns, {"decoded": "string"}))
 
 
 def encoding_report(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

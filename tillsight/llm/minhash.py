@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.llm.common import (
-    U64, WordIds, in_slices, mix, texts_of, window_hash)
+    U64, WordIds, in_slices, mix, quoted, texts_of, window_hash)
 from tillsight.llm.graph import components, stored
 
 SHINGLE = 5
@@ -227,4 +227,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
     return (named.dropDuplicates(["doc_id", "text"])
-            .unionByName(docs.where("doc_id IS NULL")).select(docs.columns))
+            .unionByName(docs.where("doc_id IS NULL")).select(*map(quoted, docs.columns)))

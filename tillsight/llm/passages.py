@@ -17,7 +17,8 @@ Equality is that of 64-bit hashes of word hashes.
 Edge cases: a null or empty text has no words and keeps the empty text; texts of
 fewer than 35 words keep all their words; repeated rows count as documents of
 their own (so both lose what they share); an empty table gives no rows; extra
-columns pass through, those named like a result column are replaced.
+columns pass through, those named ``grp`` or like a result column are replaced (by
+``without_repeats`` they are kept).
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from tillsight.llm.common import (
     BLOCK_SCHEMA, GROUP_BYTES, U64, WordIds, among, answered, blocks, bucket_of, by_part,
-    exchange, in_groups, in_order, local_counts, repeated_keys, text_bytes, texts_of,
-    window_hash)
+    exchange, in_groups, in_order, local_counts, packed, quoted, repeated_keys, text_bytes,
+    texts_of, unpacked, window_hash, with_results)
 
 WINDOW = 35
 #: A perfect difference set modulo 21.
@@ -93,8 +94,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW,
         raise ValueError(f"a window needs at least {PERIOD} words")
     size = text_bytes(docs)
     parts = max(1, size // (BUCKET_KEYS * BYTES_PER_KEY))
-    columns = [c for c in docs.columns if c not in RESULT]
-    grouped = in_groups(docs.select(columns), size, group_bytes)
+    columns = [c for c in docs.columns if c not in RESULT and c != "grp"]
+    docs = docs.select(*map(quoted, columns))
+    grouped = in_groups(docs, size, group_bytes)
 
     def anchor_blocks(key, table):
         _, h = Words(in_order(table)).anchors(window)
@@ -132,9 +134,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW,
     windows = (grouped.groupBy("grp").cogroup(repeated.groupBy("grp"))
                .applyInArrow(window_blocks, BLOCK_SCHEMA))
     repeated = exchange(windows, repeated_keys)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}"
-                        for f in docs.select(columns).schema]
-                       + [f"{c} {t}" for c, t in RESULT.items()])
+    schema = with_results(docs, columns, RESULT)
     return (grouped.groupBy("grp").cogroup(repeated.groupBy("grp"))
             .applyInArrow(removed, schema))
 
@@ -147,6 +147,6 @@ def repeat_report(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents' own columns; texts that lost words hold their kept words."""
-    found = remove_repeats(docs)
+    found = remove_repeats(packed(docs))
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(docs.columns)
+    return unpacked(found.withColumn("text", text), docs)

@@ -27,7 +27,8 @@ Edge cases: a null or empty text has no tokens, no passages and the score of evi
 with no labelled rows of both classes every score is the share of toxic rows, or 0;
 several labels of an id count as toxic if one is; a null label is no label; rows of null
 doc_id have no label; repeated rows are scored alike; an empty table gives no rows.
-Extra columns pass through, those named like a result column are replaced.
+Extra columns pass through, those named like a result column are replaced (by
+``drop_toxic`` they are kept).
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import WordIds, held_out, in_slices, texts_of
+from tillsight.llm.common import (
+    WordIds, held_out, in_slices, packed, quoted, texts_of, unpacked, with_results)
 
 MAX_ROWS, MAX_TOKENS = 60_000, 100_000
 LEAST_Z, LEAST_DOCS, LEAST_SHARE, LEAST_SCORE = 2.5, 4, 0.002, 2.0
@@ -266,10 +268,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                      ("first", pa.int32()), ("last", pa.int32()), ("p", pa.float64())])))],
                 [*columns, *RESULT])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}"
-                        for f in docs.select(columns).schema]
-                       + [f"{c} {t}" for c, t in RESULT.items()])
-    return docs.select(columns).mapInArrow(run, schema)
+    return docs.select(*map(quoted, columns)).mapInArrow(run, with_results(docs, columns, RESULT))
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -280,4 +279,4 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents not predicted toxic, with their own columns."""
-    return score(docs, fit(docs, labels)).where("predicted = 0").select(docs.columns)
+    return unpacked(score(packed(docs), fit(docs, labels)).where("predicted = 0"), docs)
