@@ -43,8 +43,8 @@ def test_matches_oracle(spark, duck, key):
 def test_queries_without_oracle_return_rows(spark):
     """Model and file-system outputs: rows, and no column that is null throughout."""
     for key in sorted(set(QUERIES) - set(ORACLE)):
-        if key in ("forecast_30d", "training_status", "forecast_fit_metrics"):
-            continue   # model fits: covered by test_models
+        if key in ("forecast_30d", "training_status", "forecast_fit_metrics", "recommendations_fitted"):
+            continue   # model fits: covered by test_models and, for the rules, by the oracles
         rows = E.queries()[key](spark, SMALL).collect()
         assert rows, key
         for c in rows[0].asDict():
