@@ -123,8 +123,13 @@ def fit(docs: DataFrame, vocabulary: str = VOCABULARY, per_language: int = PER_L
     langs = sorted(shares)
     if not langs:
         return [], np.zeros(0), np.zeros((len(base), 0)), pieces["pieces"]
+    # hashes are uniform: twice the share that is needed surely holds the least ones, so
+    # only that many rows of a language are ranked, whatever the table's size
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    most = F.create_map(*[F.lit(x) for l in langs for x in
+                          (l, min(1.0, 2 * (per_language + 50) / shares[l]) * 2.0 ** 64 - 2.0 ** 63)])
     chosen = (usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+              .where(F.col("h").cast("double") <= most[F.col("lang")])
               .withColumn("rank", rank).where(F.col("rank") <= per_language)
               .select("doc_id", "lang").distinct())
     sample = (usable.select("doc_id", "lang", "text")
