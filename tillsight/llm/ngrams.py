@@ -88,7 +88,8 @@ class EliasFano:
     def __init__(self, buffer: memoryview, at: int):
         n, low, n_low, n_high = np.frombuffer(buffer, np.int64, 4, at).tolist()
         self.n, self.low_bits = n, low
-        self.low = np.frombuffer(buffer, np.uint8, n_low, at + 32)
+        self.low = np.frombuffer(buffer, np.uint8, n_low, at + 32).view(U64)
+        self.mask = U64((1 << low) - 1)
         self.high = np.frombuffer(buffer, np.uint8, n_high, at + 32 + n_low)
         self.end = at + 32 + n_low + n_high
         bits = np.unpackbits(self.high)
@@ -103,21 +104,27 @@ class EliasFano:
         high = (values >> low).astype(np.int64)
         bits = np.zeros(n + (int(high[-1]) if n else 0) + 1, np.uint8)
         bits[high + np.arange(n)] = 1
-        lows = (values[:, None] >> np.arange(low)[None, :] & 1).astype(np.uint8)
-        low_body, high_body = np.packbits(lows.reshape(-1)).tobytes(), np.packbits(bits).tobytes()
+        part = values.astype(U64) & U64((1 << low) - 1)
+        bit = np.arange(n, dtype=np.int64) * low
+        word, shift = bit >> 6, (bit & 63).astype(U64)
+        words = np.zeros((n * low >> 6) + 2, U64)  # one word more, so that any two can be read
+        np.bitwise_or.at(words, word, part << shift)
+        over = np.flatnonzero((bit & 63) + low > 64)
+        np.bitwise_or.at(words, word[over] + 1, part[over] >> (U64(64) - shift[over]))
+        low_body, high_body = words.tobytes(), np.packbits(bits).tobytes()
         head = np.array([n, low, len(low_body), len(high_body)], np.int64)
         return head.tobytes() + low_body + high_body
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at the given places."""
-        out = self.places[i] - i
-        for b in range(self.low_bits - 1, -1, -1):
-            bit = i * self.low_bits + b
-            out_bit = self.low[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1
-            if b == self.low_bits - 1:
-                low = np.zeros(len(i), np.int64)
-            low |= out_bit.astype(np.int64) << b
-        return (out << self.low_bits) | low if self.low_bits else out
+        high = self.places[i] - i
+        if not self.low_bits:
+            return high
+        bit = i * self.low_bits
+        word, shift = bit >> 6, (bit & 63).astype(U64)
+        # the next word's part; two shifts, since a shift by 64 is undefined
+        low = self.low[word] >> shift | self.low[word + 1] << U64(1) << (U64(63) - shift)
+        return high << self.low_bits | (low & self.mask).astype(np.int64)
 
     def successor(self, value: np.ndarray, first: np.ndarray | None = None,
                   last: np.ndarray | None = None) -> np.ndarray:
