@@ -110,7 +110,7 @@ def linked(queries: np.ndarray, members: np.ndarray, code: np.ndarray, rest: np.
            centre: np.ndarray, index: dict, cosine: float):
     """Yield (query number, linked members) of a chunk of a list."""
     reach = np.sqrt(max(0.0, 2 - 2 * cosine))
-    q_unit = unit(queries)
+    q_unit, m_unit = unit(queries), unit(members)
     q_norm, m_norm = (np.sqrt((x ** 2).sum(1)) for x in (queries, members))
     for a in range(0, len(queries), QUERY_BLOCK):
         q = q_unit[a:a + QUERY_BLOCK] - centre
@@ -120,6 +120,11 @@ def linked(queries: np.ndarray, members: np.ndarray, code: np.ndarray, rest: np.
             look_up = ((part[:, None] - book[None]) ** 2).sum(2)
             distance += look_up[:, code[:, i]]
         near = np.sqrt(np.maximum(0, distance)) <= reach + rest[None] + 1e-9
+        if not near.any():
+            continue
+        # most of what the codes let pass is far: products of the block sort it out, and
+        # the components' own sums decide what is left
+        near &= q_unit[a:a + QUERY_BLOCK] @ m_unit.T >= cosine - 1e-9
         for j in np.flatnonzero(near.any(1)):
             m = np.flatnonzero(near[j])
             dot = (members[m] * queries[a + j]).sum(1)
