@@ -22,6 +22,9 @@ from tillsight.llm.graph import stored
 
 #: Models and groups of texts have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
+#: Near duplicates share this much of their 5-word shingles (op8's own limit is 85); the
+#: bands, of three permutations, miss a pair at 0.8 with probability 3e-6.
+NEAR_PERCENT, NEAR_BANDS, NEAR_BAND_PERMUTATIONS = 80, 42, 3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.keep_one(docs)
+    return minhash.keep_one(docs, NEAR_PERCENT, NEAR_BANDS, NEAR_BAND_PERMUTATIONS)
 
 
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

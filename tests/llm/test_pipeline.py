@@ -9,7 +9,7 @@ from tillsight.llm.common import table
 
 from .conftest import SMALL
 from .test_dedup_exact import brute_words
-from .test_near import brute_texts
+from .test_near import brute_texts, roots, shingles
 from .test_tokens import brute_hits
 
 
@@ -47,6 +47,21 @@ def test_one_of_each_group_stays(steps):
     assert set(kept) == {ids[i] for i in range(len(ids)) if root[i] == i}
 
 
+def test_one_of_each_group_stays_at_80_percent(spark):
+    docs = table(spark, SMALL, "documents")
+    given = {r.doc_id: r for r in docs.collect()}
+    ids = sorted(given)
+    sets = [shingles(given[i].text) for i in ids]
+    root = roots(len(ids), [
+        (a, b) for a in range(len(ids)) for b in range(a) if sets[a] and sets[b]
+        and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    want = {ids[i] for i in range(len(ids)) if root[i] == i}
+    at_85 = brute_texts([given[i].text for i in ids])[1]
+    assert len(want) < sum(at_85[i] == i for i in range(len(ids)))
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SMALL).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(want)
+
+
 def test_repeated_passages_go(steps):
     import hashlib
     from collections import Counter

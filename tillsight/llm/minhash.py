@@ -6,7 +6,8 @@ its one shingle. Each of 128 permutations yields two signature values, the least
 greatest hash, so 256 values cost 128 hash evaluations a shingle; either agrees with the
 probability of the sets' similarity, and their errors partly cancel. 32 bands of four
 permutations (8 values) make candidates: a pair at similarity 0.85 is missed with
-probability 4e-5, one at 0.9 with 2e-8.
+probability 4e-5, one at 0.9 with 2e-8. A lower limit needs shorter bands: 42 bands of
+three permutations miss a pair at 0.8 with probability 3e-6 (32 of four with 3e-3).
 
 1. Documents with equal sets are one class (128-bit hash of the set); a third of all
    rows may be copies of one text and are still one class.
@@ -179,9 +180,10 @@ def _confirm(percent: int):
 
 
 def near_duplicates(docs: DataFrame, percent: int = SIMILARITY_PERCENT,
-                    family_block: int = FAMILY_BLOCK) -> DataFrame:
+                    family_block: int = FAMILY_BLOCK, bands: int = BANDS,
+                    band_permutations: int = BAND_PERMUTATIONS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
-    sketches = stored(sketch(docs), "sketches")
+    sketches = stored(sketch(docs, bands, band_permutations), "sketches")
     classes = stored(sketches.where("lo IS NOT NULL").groupBy("hi", "lo").agg(
         F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands")), "classes")
     keyed = classes.select(F.col("lo").alias("node"), F.explode("bands").alias("key"))
@@ -221,10 +223,12 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY_PERCENT,
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = SIMILARITY_PERCENT, bands: int = BANDS,
+             band_permutations: int = BAND_PERMUTATIONS) -> DataFrame:
     """One document of each group, with its own columns. Rows repeated with their id
     leave one; rows without an id pass."""
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    found = near_duplicates(docs, percent, bands=bands, band_permutations=band_permutations)
+    kept = found.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
     return (named.dropDuplicates(["doc_id", "text"])
             .unionByName(docs.where("doc_id IS NULL")).select(*map(quoted, docs.columns)))
