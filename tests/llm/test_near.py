@@ -126,6 +126,53 @@ def test_embeddings_against_brute_force(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
 
 
+def test_dense_list_in_blocks_against_brute_force(spark, monkeypatch):
+    """Tight and loose blobs and copies; no task holds more than its blocks."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(420, 24))
+    for a, b, spread in ((20, 120, 0.02), (120, 220, 0.12), (220, 320, 0.33)):
+        x[a:b] = x[1] + rng.normal(size=(b - a, 24)) * spread
+    x[320:340] = x[20]
+    v = x.astype(np.float32).astype(float)
+    norm = np.sqrt((v ** 2).sum(1))
+    near = (v[:, None] * v[None]).sum(2) / (norm[:, None] * norm[None]) >= 0.9
+    np.fill_diagonal(near, False)
+    root = roots(420, list(zip(*np.nonzero(near))))
+    df = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(v)],
+                               "vec_id long, embedding array<float>")
+    monkeypatch.setattr(quantise, "CHUNK", 32)
+    monkeypatch.setattr(quantise, "ASK_BLOCK", 16)
+    tables, keep = {}, quantise.stored
+    monkeypatch.setattr(quantise, "stored", lambda d, n: tables.setdefault(n, keep(d, n)))
+    got = {r.vec_id: r for r in quantise.near_duplicates(df).collect()}
+    for i in range(420):
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (
+            near[i].sum(), root[i], root[i] == i)
+    balls = tables["balls"].where("radius > 0")
+    assert 0 < balls.where("node = ball").count() < balls.count() / 8
+    assert tables["cut_links"].count()
+
+
+def test_asked_side_is_cut_into_blocks(spark, monkeypatch):
+    """Sizes of the cogroups' sides as Python receives them."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1, 16)) + rng.normal(size=(600, 16)) * 0.3
+    df = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)],
+                               "vec_id long, embedding array<float>")
+    monkeypatch.setattr(quantise, "CHUNK", 32)
+    monkeypatch.setattr(quantise, "ASK_BLOCK", 32, raising=False)
+    sizes, whole = [], PandasCogroupedOps.applyInArrow
+
+    def spy(self, f, kind):
+        for g in (self._gd1, self._gd2):
+            sizes.append(g.count().agg(F.max("count")).first()[0] or 0)
+        return whole(self, f, kind)
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", spy)
+    quantise.near_duplicates(df).count()
+    assert max(sizes) <= 3 * 32
+
+
 def test_embeddings_empty_and_repeated(spark):
     kind = "vec_id long, embedding array<float>, n_links string"
     assert quantise.near_duplicates(spark.createDataFrame([], kind)).collect() == []

@@ -15,9 +15,20 @@ within r plus that rest is compared by its exact cosine in double precision. Nei
 bound loses a link.
 
 Equal vectors are one class (128-bit hash of the components) with a count. A list is cut
-into chunks of at most ``CHUNK`` classes, each a task of its own, so a list that holds a
-third of all vectors is spread; a chunk returns per query a number of links and one link
-per connected part of the chunk, never the pairs.
+into chunks of about ``CHUNK`` classes. In each, ``BALL`` or more classes within half of r
+of one of them, the leader, become a *ball*: all of it is linked. Queries first meet the
+leaders and the classes in no ball. A ball that lies within r as a whole adds its number
+and one link; one that lies beyond r adds nothing; only queries whose limit cuts a ball go
+on to that ball's chunk. So a tight blob of a third of all vectors costs each query one
+leader per ``CHUNK`` of its classes. A dense list that is no tight blob stays quadratic in
+its size, since every link counts in n_links.
+
+Memory of a task: up to ``LISTS`` neighbouring lists of together at most ``CHUNK`` leaders
+and single classes are held by one task, a longer list chunk by chunk; the queries that
+probe them arrive once, in blocks of about ``ASK_BLOCK``, so a task holds about ASK_BLOCK + CHUNK vectors (each
+three times: bytes, components, unit length) and products of QUERY_BLOCK x CHUNK. A query's
+hits are reduced as they are found to a number and one link per connected part of the
+chunk; pairs are never listed.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components,
 or have another length than most, link with nothing (n_links 0, component_id their
@@ -28,8 +39,11 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +53,9 @@ from tillsight.llm.graph import components, stored
 COSINE = 0.9
 SAMPLE = 20_000
 MOST_LISTS, SUBSPACES, CODES = 1024, 16, 256
-CHUNK, QUERY_BLOCK = 2048, 128
+CHUNK, ASK_BLOCK, QUERY_BLOCK = 2048, 8192, 128
+#: Lists of a task at most; classes of a ball at least.
+LISTS, BALL = 8, 8
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -106,12 +122,49 @@ def _vectors(column, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, size)
 
 
+def gathered(x: np.ndarray, reach: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leader and radius of the ball of each unit vector; in no ball, itself and 0."""
+    leader, radius = np.arange(len(x)), np.zeros(len(x))
+    near = x @ x.T >= 1 - (reach / 2 - 1e-6) ** 2 / 2
+    free = np.ones(len(x), bool)
+    for i in np.argsort(-near.sum(1), kind="stable"):
+        if not free[i]:
+            continue
+        own = np.flatnonzero(near[i] & free)
+        if len(own) < least:
+            continue
+        free[own] = False
+        leader[own] = i
+        radius[own] = np.sqrt(((x[own] - x[i]) ** 2).sum(1)).max() + 1e-9
+    return leader, radius
+
+
+def parts(x: np.ndarray, cosine: float) -> np.ndarray:
+    """The least index that each unit vector is connected with by sure links."""
+    root = np.arange(len(x))
+    near = x @ x.T >= cosine + 1e-9
+    rows = np.flatnonzero(near.sum(1) > 1)
+    changed = True
+    while changed:
+        changed = False
+        for i in rows:
+            m = np.flatnonzero(near[i])
+            low = min(root[i], root[m].min())
+            if root[i] != low or (root[m] != low).any():
+                changed = True
+                root[i] = low
+                root[m] = low
+    return root
+
+
 def linked(queries: np.ndarray, members: np.ndarray, code: np.ndarray, rest: np.ndarray,
-           centre: np.ndarray, index: dict, cosine: float):
-    """Yield (query number, linked members) of a chunk of a list."""
+           radius: np.ndarray, centre: np.ndarray, index: dict, cosine: float, allowed=None):
+    """Yield (query number, linked members, members whose ball the limit cuts) of a chunk;
+    ``allowed`` tells which members some queries are asked about."""
     reach = np.sqrt(max(0.0, 2 - 2 * cosine))
     q_unit, m_unit = unit(queries), unit(members)
     q_norm, m_norm = (np.sqrt((x ** 2).sum(1)) for x in (queries, members))
+    single = radius == 0
     for a in range(0, len(queries), QUERY_BLOCK):
         q = q_unit[a:a + QUERY_BLOCK] - centre
         distance = np.zeros((len(q), len(members)))
@@ -119,18 +172,25 @@ def linked(queries: np.ndarray, members: np.ndarray, code: np.ndarray, rest: np.
             part = q[:, cut]
             look_up = ((part[:, None] - book[None]) ** 2).sum(2)
             distance += look_up[:, code[:, i]]
-        near = np.sqrt(np.maximum(0, distance)) <= reach + rest[None] + 1e-9
+        near = np.sqrt(np.maximum(0, distance)) <= reach + (radius + rest)[None] + 1e-9
+        if allowed is not None:
+            near &= allowed(a, a + len(q))
         if not near.any():
             continue
         # most of what the codes let pass is far: products of the block sort it out, and
         # the components' own sums decide what is left
-        near &= q_unit[a:a + QUERY_BLOCK] @ m_unit.T >= cosine - 1e-9
+        product = q_unit[a:a + QUERY_BLOCK] @ m_unit.T
+        near &= product >= np.where(single, cosine, 1 - (reach + radius) ** 2 / 2) - 1e-9
         for j in np.flatnonzero(near.any(1)):
             m = np.flatnonzero(near[j])
+            whole = m[~single[m]]
+            far = np.sqrt(np.maximum(0, 2 - 2 * product[j, whole])) + radius[whole]
+            inside = far <= reach - 1e-9
+            m = m[single[m]]
             dot = (members[m] * queries[a + j]).sum(1)
             m = m[dot / (m_norm[m] * q_norm[a + j]) >= cosine]
-            if len(m):
-                yield a + j, m
+            if len(m) or len(whole):
+                yield a + j, np.concatenate([m, whole[inside]]), whole[~inside]
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -183,81 +243,179 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     members = stored(classes.select("lo", "copies", "body").mapInArrow(
         code, "node long, copies long, body binary, list int, code binary, rest double"), "coded")
-    # at most MOST_LISTS rows
-    chunks = {r["list"]: -(-r["n"] // CHUNK) for r in
-              members.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    # numbers per list: at most MOST_LISTS rows each
+    def cut(counts: DataFrame, most: int) -> dict:
+        return {r["list"]: -(-r["n"] // most) for r in
+                counts.groupBy("list").agg(F.sum("n").alias("n")).collect()}
+
+    homes = cut(members.select("list", F.lit(1).alias("n")), CHUNK)
+    many = F.create_map(*[F.lit(x) for p in homes.items() for x in p]) if homes else None
+    members = members.withColumn("home", F.pmod(F.xxhash64("node"), many[F.col("list")])
+                                 .cast("int") if homes else F.lit(0))
+    least, held_kind = BALL, ("node long, copies long, body binary, list int, code binary, "
+                              "rest double, home int, ball long, radius double")
+
+    def gather(held):
+        held = held.sort_by("node").combine_chunks()
+        nodes, copies = (held.column(c).to_numpy() for c in ("node", "copies"))
+        leader, radius = gathered(unit(_vectors(held.column("body"), length)), reach, least)
+        weight = np.bincount(leader, copies, len(nodes)).astype(np.int64)
+        return (held.append_column("ball", pa.array(nodes[leader]))
+                .append_column("radius", pa.array(radius))
+                .append_column("weight", pa.array(weight)))
+
+    balls = stored(members.groupBy("list", "home").applyInArrow(
+        gather, held_kind + ", weight long"), "balls")
+    leaders = balls.where("node = ball")
+    # first chunk of each list, or -1, and the number of chunks from there
+    leads = cut(leaders.select("list", F.lit(1).alias("n")), 1)
+    first_of, pieces, room, lists_left = np.full(max(leads, default=0) + 1, -1), {}, 0, 0
+    at = 0
+    for l, n in sorted(leads.items()):
+        if n > room or not lists_left:
+            at += pieces[at] if at in pieces else 0
+            pieces[at] = -(-n // CHUNK)
+            room, lists_left = CHUNK if n <= CHUNK else 0, LISTS
+        first_of[l] = at
+        room, lists_left = max(0, room - n), lists_left - 1
+
+    def probed(batch):
+        x = unit(_vectors(batch.column("body"), length))
+        own = batch.column("list").to_numpy()
+        for a in range(0, len(x), 256):
+            for i, near in enumerate(probes(x[a:a + 256], own[a:a + 256], index.value, reach)):
+                near = near[near < len(first_of)]
+                near = near[first_of[near] >= 0]
+                firsts, starts = np.unique(first_of[near], return_index=True)
+                yield a + i, firsts.tolist(), np.split(near, starts[1:])
+
+    def number(batches):
+        for batch in batches:
+            n = Counter(f for _, firsts, _ in probed(batch) for f in firsts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(n), pa.int32()), pa.array(list(n.values()), pa.int64())],
+                ["list", "n"])
+
+    blocks = cut(balls.select("body", "list").mapInArrow(number, "list int, n long"), ASK_BLOCK)
+
+    def dealt(nodes, number):
+        return (nodes.astype(np.uint64) >> np.uint64(9)).astype(np.int64) % number
 
     def ask(batches):
+        names = ["node", "copies", "ball", "body"]
+
+        def out(batch, rows):
+            row, lists, chunk, block = zip(*rows)
+            pick = pa.array(row, pa.int32())
+            return pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(pick) for c in names), pa.array(lists, pa.list_(pa.int32())),
+                 pa.array(chunk, pa.int32()), pa.array(block, pa.int32())],
+                [*names, "lists", "chunk", "block"])
+
         for batch in batches:
-            x = unit(_vectors(batch.column("body"), length))
-            own = np.array(batch.column("list").to_pylist())
-            for a in range(0, len(x), 256):
-                to = probes(x[a:a + 256], own[a:a + 256], index.value, reach)
-                row, lists, chunk = [], [], []
-                for i, near in enumerate(to):
-                    for l in near.tolist():
-                        for c in range(chunks.get(l, 0)):
-                            row.append(a + i)
-                            lists.append(l)
-                            chunk.append(c)
-                pick = pa.array(row, pa.int32())
+            nodes, rows = batch.column("node").to_numpy(), []
+            for i, firsts, near in probed(batch):
+                for f, lists in zip(firsts, near):
+                    block = dealt(nodes[i], blocks[f])
+                    for c in range(f, f + pieces[f]):
+                        rows.append((i, lists, c, block))
+                        if len(rows) == 10_000:
+                            yield out(batch, rows)
+                            rows = []
+            if rows:
+                yield out(batch, rows)
+
+    def hold(batches):
+        for batch in batches:
+            nodes, lists = batch.column("node").to_numpy(), batch.column("list").to_pylist()
+            for a in range(0, len(nodes), 256):
+                rows = [(i, f + dealt(nodes[i], pieces[f]), b)
+                        for i in range(a, min(a + 256, len(nodes)))
+                        for f in [int(first_of[lists[i]])] for b in range(blocks.get(f, 0))]
+                row, *keys = zip(*rows) if rows else ((),) * 3
+                out = batch.take(pa.array(row, pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node").take(pick), batch.column("body").take(pick),
-                     pa.array(lists, pa.int32()), pa.array(chunk, pa.int32())],
-                    ["node", "body", "list", "chunk"])
+                    [*out.columns, *(pa.array(k, pa.int32()) for k in keys)],
+                    [*out.schema.names, "chunk", "block"])
+
+    def side(held):
+        held = held.sort_by("node").combine_chunks()
+        nodes, radius, rest = (held.column(c).to_numpy() for c in ("node", "radius", "rest"))
+        codes = np.frombuffer(b"".join(held.column("code").to_pylist()),
+                              np.uint8).reshape(len(nodes), -1)
+        return held, nodes, radius, codes, rest, _vectors(held.column("body"), length)
+
+    out_kind = "a long, b array<long>, n long, body binary, list int, home int, balls array<long>"
 
     def compare(key, asked, held):
-        out = {"a": [], "b": [], "n": []}
+        rows = []
+        if asked.num_rows and held.num_rows:
+            held, nodes, radius, codes, rest, members = side(held)
+            weight, home = (held.column(c).to_numpy() for c in ("weight", "home"))
+            own, copies, ball = (asked.column(c).to_numpy() for c in ("node", "copies", "ball"))
+            root = parts(unit(members), cosine)
+            queries, body = _vectors(asked.column("body"), length), asked.column("body")
+            in_list = held.column("list").to_numpy()
+            to_list, who = (f(asked.column("lists").combine_chunks()).to_numpy()
+                            for f in (pc.list_flatten, pc.list_parent_indices))
+            for l in np.unique(in_list).tolist():
+                at, of = np.flatnonzero(in_list == l), who[to_list == l]
+                for q, m, open_ in linked(queries[of], members[at], codes[at], rest[at], radius[at],
+                                          index.value["centre"][l], index.value, cosine):
+                    q, m, open_ = of[q], at[m], at[open_]
+                    n = int(weight[m].sum()) - (int(copies[q]) if (nodes[m] == ball[q]).any() else 0)
+                    to = nodes[np.unique(root[m[nodes[m] != own[q]]])]
+                    if n or len(to):
+                        rows.append((int(own[q]), to.tolist(), n, None, None, None, None))
+                    for h in np.unique(home[open_]).tolist():
+                        rows.append((int(own[q]), None, None, body[q].as_py(), l, h,
+                                     nodes[open_[home[open_] == h]].tolist()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 7, (
+            pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.int32(), pa.int32(),
+            pa.list_(pa.int64())))], ["a", "b", "n", "body", "list", "home", "balls"])
+
+    def compare_cut(key, asked, held):
+        rows = []
         if asked.num_rows and held.num_rows:
-            nodes = np.array(held.column("node").to_pylist())
-            order = np.argsort(nodes)
-            held = held.take(pa.array(order))
-            nodes = nodes[order]
-            copies = np.array(held.column("copies").to_pylist())
-            codes = np.frombuffer(b"".join(held.column("code").to_pylist()),
-                                  np.uint8).reshape(len(nodes), -1)
-            own = np.array(asked.column("node").to_pylist())
-            found = list(linked(_vectors(asked.column("body"), length),
-                                _vectors(held.column("body"), length), codes,
-                                held.column("rest").to_numpy(),
-                                index.value["centre"][key[0].as_py()], index.value, cosine))
-            # connected parts of the chunk, from the members' own queries
-            at = {v: i for i, v in enumerate(nodes.tolist())}
-            root = np.arange(len(nodes))
-            changed = True
-            inner = [(at[own[q]], m) for q, m in found if own[q] in at]
-            while changed:
-                changed = False
-                for i, m in inner:
-                    low = min(root[i], root[m].min())
-                    if root[i] != low or (root[m] != low).any():
-                        changed = True
-                        root[i] = low
-                        root[m] = low
-                root = root[root]
-            for q, m in found:
-                other = m[nodes[m] != own[q]]
-                if not len(other):
-                    continue
-                out["a"].append(own[q])
-                out["b"].append(nodes[np.unique(root[other])].tolist())
-                out["n"].append(int(copies[other].sum()))
-        return pa.table({"a": pa.array(out["a"], pa.int64()),
-                         "b": pa.array(out["b"], pa.list_(pa.int64())),
-                         "n": pa.array(out["n"], pa.int64())})
-
-    asked = members.select("node", "body", "list").mapInArrow(
-        ask, "node long, body binary, list int, chunk int")
-    many = F.create_map(*[F.lit(x) for p in chunks.items() for x in p]) if chunks else None
-    held = members.withColumn("chunk", F.pmod(F.xxhash64("node"), many[F.col("list")])
-                              .cast("int") if chunks else F.lit(0))
-    links = stored(asked.groupBy("list", "chunk").cogroup(held.groupBy("list", "chunk"))
-                   .applyInArrow(compare, "a long, b array<long>, n long"), "vector_links")
+            held, nodes, radius, codes, rest, members = side(held)
+            ball, copies = (held.column(c).to_numpy() for c in ("ball", "copies"))
+            asked_balls = asked.column("balls").to_pylist()
+            allowed = lambda a, z: np.array([np.isin(ball, b) for b in asked_balls[a:z]])
+            own = asked.column("a").to_pylist()
+            for q, m, _ in linked(_vectors(asked.column("body"), length), members, codes, rest,
+                                  np.zeros(len(nodes)), index.value["centre"][key[0].as_py()],
+                                  index.value, cosine, allowed):
+                rows.append((own[q], np.unique(ball[m]).tolist(), int(copies[m].sum())))
+        a, b, n = zip(*rows) if rows else ((),) * 3
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.list_(pa.int64())),
+                         "n": pa.array(n, pa.int64())})
+
+    asked = balls.select("node", "copies", "ball", "body", "list").mapInArrow(
+        ask, "node long, copies long, ball long, body binary, lists array<int>, "
+             "chunk int, block int")
+    held = leaders.mapInArrow(hold, held_kind + ", weight long, chunk int, block int")
+    key = ["chunk", "block"]
+    first = stored(asked.groupBy(*key).cogroup(held.groupBy(*key))
+                   .applyInArrow(compare, out_kind), "vector_links")
+
+    # balls that a query's limit cuts
+    again = first.where("home IS NOT NULL")
+    counts = again.groupBy("list", "home").agg(
+        F.ceil(F.count("*") / ASK_BLOCK).cast("int").alias("blocks"))
+    asked = (again.select("a", "body", "list", "home", "balls").join(counts, ["list", "home"])
+             .withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")))
+    counts = counts.select(*[F.col(c).alias(c) for c in counts.columns])  # not the asked side's
+    held = (balls.where("radius > 0").join(counts, ["list", "home"])
+            .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    key = ["list", "home", "block"]
+    second = stored(asked.groupBy(*key).cogroup(held.groupBy(*key))
+                    .applyInArrow(compare_cut, "a long, b array<long>, n long"), "cut_links")
+    links = first.where("home IS NULL").select("a", "b", "n").union(second)
     found = components(links.select("a", F.explode("b").alias("b")))
-    number = links.groupBy("a").agg(F.sum("n").alias("n"))
+    numbers = links.groupBy("a").agg(F.sum("n").alias("n"))
     named = (classes.select("hi", "lo", "vec_id", "copies")
              .join(found.select(F.col("node").alias("lo"), "root"), "lo", "left")
-             .join(number.withColumnRenamed("a", "lo"), "lo", "left")
+             .join(numbers.withColumnRenamed("a", "lo"), "lo", "left")
              .withColumn("root", F.coalesce("root", "lo")))
     least = named.groupBy("root").agg(F.min("vec_id").alias("component_id"))
     of_class = named.join(least, "root").select(
