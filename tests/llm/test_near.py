@@ -63,6 +63,27 @@ def test_families_against_brute_force(spark, block):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (n[i], root[i], root[i] == i)
 
 
+def test_family_of_long_texts_in_blocks_of_bytes(spark, monkeypatch):
+    """Rows repeated with their id travel once, and a task's texts keep to the bound."""
+    base = words(2000, 3).split()
+    texts = [" ".join(base[:i * 40] + [f"new{i}"] + base[i * 40 + 1:]) for i in range(40)]
+    rows = list(enumerate(texts)) + [(3, texts[3])] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bound, tasks, whole = 8 * len(texts[0]), [], minhash.family_texts
+
+    def spy(*given):
+        out = whole(*given)
+        tasks.extend(out.groupBy("root", "i", "j").agg(
+            F.sum(F.octet_length("text")).alias("size"), F.count("*").alias("n"),
+            F.countDistinct("lo").alias("classes")).collect())
+        return out
+    monkeypatch.setattr(minhash, "family_texts", spy)
+    got = minhash.near_duplicates(df, family_bytes=bound).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} == {0}
+    assert len(tasks) > 1 and all(t.n == t.classes for t in tasks)
+    assert max(t.size for t in tasks) < 4 * bound < sum(map(len, texts))
+
+
 def test_min_max_values_estimate_similarity():
     rng = np.random.default_rng(1)
     both = rng.integers(0, 1 << 63, 900, dtype=np.uint64)

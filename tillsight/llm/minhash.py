@@ -15,8 +15,11 @@ three permutations miss a pair at 0.8 with probability 3e-6 (32 of four with 3e-
    components of these ties are *families*. Nobody is compared with everybody here.
 3. Families are confirmed on full sets: a search from class to class compares a class
    only with those not yet reached, so a family of near copies takes few passes.
-   Families beyond ``family_block`` classes are cut into blocks, and each pair of blocks
-   is one task; it returns at most one link per class, enough to keep all connections.
+   Families beyond ``family_block`` classes or ``family_bytes`` of text are cut into
+   blocks, and each pair of blocks is one task; it returns at most one link per class,
+   enough to keep all connections. One text of each class travels there. Blocks are dealt
+   by hash, so a task holds about twice ``family_bytes`` of text at most, or one pair of
+   texts where these are longer.
 4. Components of the confirmed links, and of the classes, give each document its group.
 
 Edge cases: a null or empty text, or one of white space, has no shingles and is alone
@@ -41,8 +44,8 @@ from tillsight.llm.graph import components, stored
 SHINGLE = 5
 BANDS, BAND_PERMUTATIONS = 32, 4
 SIMILARITY_PERCENT = 85
-#: Classes of a family that one task compares with each other.
-FAMILY_BLOCK = 2000
+#: Classes of a family, and bytes of their texts, that one task compares with each other.
+FAMILY_BLOCK, FAMILY_BYTES = 2000, 16 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -103,7 +106,8 @@ def set_ids(sets: list[np.ndarray]) -> tuple[list[int | None], list[int | None]]
 
 def sketch(docs: DataFrame, bands: int = BANDS,
            band_permutations: int = BAND_PERMUTATIONS) -> DataFrame:
-    """doc_id, n_shingles, hi and lo (hash of the set) and bands (keys) per document."""
+    """doc_id, n_shingles, hi and lo (hash of the set), bands (keys), size (bytes of the
+    text) and text_hash per document."""
     from pyspark.sql.pandas.types import to_arrow_type
     kind = docs.schema["doc_id"].dataType
 
@@ -121,12 +125,14 @@ def sketch(docs: DataFrame, bands: int = BANDS,
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(to_arrow_type(kind)),
                  pa.array([len(s) for s in sets], pa.int64()), pa.array(hi, pa.int64()),
-                 pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "hi", "lo", "bands"])
+                 pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
+                 batch.column("size"), batch.column("text_hash")],
+                ["doc_id", "n_shingles", "hi", "lo", "bands", "size", "text_hash"])
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return docs.select("doc_id", "text", F.octet_length("text").cast("long").alias("size"),
+                       F.xxhash64("text").alias("text_hash")).mapInArrow(
         run, f"doc_id {kind.simpleString()}, n_shingles long, hi long, lo long, "
-             "bands array<long>")
+             "bands array<long>, size long, text_hash long")
 
 
 def confirmed_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -171,7 +177,7 @@ def _confirm(percent: int):
         sets = shingle_sets(texts_of(group.column("text")))
         _, lo = set_ids(sets)
         nodes = group.column("lo").to_pylist()
-        at = {n: i for i, n in enumerate(lo) if n == nodes[i]}  # one row per class
+        at = {n: i for i, n in enumerate(lo) if n == nodes[i]}
         names = sorted(at)
         links = confirmed_links([sets[at[n]] for n in names], percent) if names else []
         return pa.table({"a": pa.array([names[i] for i, _ in links], pa.int64()),
@@ -179,13 +185,38 @@ def _confirm(percent: int):
     return run
 
 
+def family_texts(docs: DataFrame, classes: DataFrame, families: DataFrame,
+                 family_block: int, family_bytes: int) -> DataFrame:
+    """root, i, j (a pair of blocks), lo and text: one row per class in each of its tasks."""
+    first = F.col("first")
+    members = (families.join(classes.select(F.col("lo").alias("node"), "first"), "node")
+               .where("first IS NOT NULL"))
+    # blocks of each family; a family of at most one block is one task
+    sizes = members.groupBy("root").agg(F.ceil(F.greatest(
+        F.count("*") / family_block, F.sum("first.size") / family_bytes)).cast("int").alias("n"))
+    members = (members.join(sizes, "root")
+               .select("root", "node", "n", first["doc_id"].alias("doc_id"),
+                       first["text_hash"].alias("text_hash"),
+                       F.pmod(F.xxhash64("node"), F.col("n")).cast("int").alias("block")))
+    texts = (docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+             .join(members, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]))
+    other = F.expr("explode(sequence(0, n - 1))")
+    return (texts.select("root", "node", "text", "block", "n", other.alias("other"))
+            .where("n = 1 OR block <> other")  # a pair of blocks also holds either's own pairs
+            .select("root", F.least("block", "other").alias("i"),
+                    F.greatest("block", "other").alias("j"), F.col("node").alias("lo"), "text"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = SIMILARITY_PERCENT,
                     family_block: int = FAMILY_BLOCK, bands: int = BANDS,
-                    band_permutations: int = BAND_PERMUTATIONS) -> DataFrame:
+                    band_permutations: int = BAND_PERMUTATIONS,
+                    family_bytes: int = FAMILY_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     sketches = stored(sketch(docs, bands, band_permutations), "sketches")
     classes = stored(sketches.where("lo IS NOT NULL").groupBy("hi", "lo").agg(
-        F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands")), "classes")
+        F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"),
+        F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "size", "text_hash")))
+        .alias("first")), "classes")
     keyed = classes.select(F.col("lo").alias("node"), F.explode("bands").alias("key"))
     buckets = (keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
                .where("least <> most").select("key", "least"))
@@ -193,20 +224,7 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY_PERCENT,
             .select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
     families = stored(components(ties), "families")
 
-    # blocks of each family; a family of at most one block is one task
-    sizes = families.groupBy("root").agg(F.ceil(F.count("*") / family_block)
-                                         .cast("int").alias("n"))
-    members = (families.join(sizes, "root")
-               .join(classes.select(F.col("lo").alias("node"), "doc_id"), "node")
-               .where("doc_id IS NOT NULL")
-               .withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")))
-    other = F.expr("explode(sequence(0, n - 1))")
-    tasks = (members.select("root", "node", "doc_id", "block", "n", other.alias("other"))
-             .where("n = 1 OR block <> other")  # a pair of blocks also holds either's own pairs
-             .select(F.col("node").alias("lo"), "doc_id", "root",
-                     F.least("block", "other").alias("i"),
-                     F.greatest("block", "other").alias("j")))
-    texts = docs.select("doc_id", "text").join(tasks, "doc_id")
+    texts = family_texts(docs, classes, families, family_block, family_bytes)
     links = stored(texts.groupBy("root", "i", "j")
                    .applyInArrow(_confirm(percent), "a long, b long"), "confirmed")
     found = components(links)
