@@ -9,7 +9,7 @@ from tillsight.llm.common import table
 
 from .conftest import SMALL
 from .test_dedup_exact import brute_words
-from .test_near import brute_texts, roots, shingles
+from .test_near import roots, shingles
 from .test_tokens import brute_hits
 
 
@@ -40,26 +40,29 @@ def test_toxic_documents_go(spark, steps):
     assert all(kept[i] == given[i] for i in kept)
 
 
-def test_one_of_each_group_stays(steps):
+def one_of_each(texts, percent):
+    """Indices of the texts that are the first of their group of near copies."""
+    sets = [shingles(t) for t in texts]
+    root = roots(len(texts), [
+        (a, b) for a in range(len(texts)) for b in range(a) if sets[a] and sets[b]
+        and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])])
+    return {i for i in range(len(texts)) if root[i] == i}
+
+
+def test_one_of_each_group_stays_at_80_percent(spark, steps):
     _, given, _, kept = steps[1]
     ids = sorted(given)
-    _, root = brute_texts([given[i].text for i in ids])
-    assert set(kept) == {ids[i] for i in range(len(ids)) if root[i] == i}
+    assert set(kept) == {ids[i] for i in one_of_each([given[i].text for i in ids], 80)}
+    assert all(kept[i] == given[i] for i in kept)
 
 
-def test_one_of_each_group_stays_at_80_percent(spark):
+def test_pairs_between_80_and_85_percent_are_near_copies(spark):
     docs = table(spark, SMALL, "documents")
-    given = {r.doc_id: r for r in docs.collect()}
-    ids = sorted(given)
-    sets = [shingles(given[i].text) for i in ids]
-    root = roots(len(ids), [
-        (a, b) for a in range(len(ids)) for b in range(a) if sets[a] and sets[b]
-        and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
-    want = {ids[i] for i in range(len(ids)) if root[i] == i}
-    at_85 = brute_texts([given[i].text for i in ids])[1]
-    assert len(want) < sum(at_85[i] == i for i in range(len(ids)))
+    rows = docs.orderBy("doc_id").collect()
+    want = one_of_each([r.text for r in rows], 80)
+    assert len(want) < len(one_of_each([r.text for r in rows], 85))
     kept = corpus_pipeline.drop_near_copies(spark, docs, SMALL).collect()
-    assert sorted(r.doc_id for r in kept) == sorted(want)
+    assert sorted(r.doc_id for r in kept) == sorted(rows[i].doc_id for i in want)
 
 
 def test_repeated_passages_go(steps):

@@ -117,10 +117,22 @@ def texts_of(column) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Return freed memory to the system. A Python worker serves one stage after the other
+    and keeps what its allocators hold, which would add to the next stage's needs."""
+    import ctypes
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to return
+        pass
+
+
 def in_slices(batches: Iterator[pa.RecordBatch], column: str,
               slice_bytes: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that a slice's texts hold about ``slice_bytes``."""
     for batch in batches:
+        give_back()
         sizes = [0 if v is None else v for v in
                  pc.binary_length(batch.column(column)).to_pylist()]
         start, total = 0, 0
@@ -146,6 +158,7 @@ def in_groups(docs: DataFrame, total_bytes: int, group_bytes: int = GROUP_BYTES)
 
 def in_order(group: pa.Table) -> pa.Table:
     """Rows of a group in an order that does not depend on their arrival."""
+    give_back()
     return group.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
 
 

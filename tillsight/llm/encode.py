@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import WordIds, in_slices, quoted, with_results
+from tillsight.llm.common import WordIds, give_back, in_slices, quoted, with_results
 from tillsight.llm.pieces import SPACE, VOCABULARY, Lattice, by_length, load, ragged
 
 UNKNOWN_PENALTY = 10.0
@@ -168,6 +168,8 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, keep: list[str] | None
                                      zip(texts, encoder.decode(ids, numbers))], pa.bool_()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *out],
                                              [*columns, *new])
+            del texts, ids, numbers, out
+            give_back()
 
     types = {"ids": "array<int>", "restored": "boolean"}
     return given.mapInArrow(run, with_results(docs, columns, {c: types[c] for c in new}))

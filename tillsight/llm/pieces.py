@@ -17,7 +17,7 @@ from tillsight.llm.common import U64, mix
 SPACE = "▁"
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Cells (words times characters) of one matrix.
-CELLS = 1 << 19
+CELLS = 1 << 16
 ZIPF_OFFSET = 10
 
 _FACTOR = U64(0x9E3779B97F4A7C15)
