@@ -6,8 +6,8 @@ the digest columns of the operator's contract.
 
 from __future__ import annotations
 
-from tillsight.llm import bwt, chat, decontaminate, encode, langid, minhash, ngrams, passages, \
-    quantise, toxicity
+from tillsight.llm import bitslice, bwt, chat, decontaminate, encode, langid, minhash, ngrams, \
+    passages, quantise, toxicity
 from tillsight.llm.common import table
 from tillsight.llm.oracle import ORACLE  # noqa: F401
 
@@ -58,7 +58,11 @@ def op10_substring_dedup(spark, sf_dir):
     return passages.repeat_report(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark, sf_dir):
+    return bitslice.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_toxicity, op3_sentencepiece, op4_decontaminate,
     op5_lm_score, op6_embedding_dedup, op7_chat_format, op8_minhash_dedup,
-    op9_language_id, op10_substring_dedup)}
+    op9_language_id, op10_substring_dedup, op11_ranked_search)}

@@ -116,7 +116,29 @@ SELECT w.doc_id, len(w.w)::BIGINT AS n_words, (len(w.w) - coalesce(kept.n, 0))::
 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 """
 
+_OP11 = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_NORMAL}') AS w
+                        FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS length FROM d WHERE len(w) > 0),
+b AS (SELECT item_id, text, t, count(*) AS q
+      FROM (SELECT item_id, text, unnest(regexp_extract_all({_LOWER}, '{_NORMAL}')) AS t
+            FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+p AS (SELECT r, doc_id, n, t, count(*) AS tf
+      FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d)
+      WHERE t IN (SELECT t FROM b) GROUP BY ALL),
+f AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight
+      FROM (SELECT t, count(*) AS df FROM p GROUP BY t), s),
+x AS (SELECT item_id, text, r, doc_id, sum(q * weight * ((1000000000 * tf)
+             // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // length))))::BIGINT AS score
+      FROM p JOIN b USING (t) JOIN f USING (t), s GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id, text
+                                   ORDER BY score DESC, doc_id NULLS LAST) AS rank
+      FROM x WHERE score > 0) WHERE rank <= 20
+"""
+
 ORACLE = {
     "op1_suffix_dedup": _OP1, "op4_decontaminate": _OP4, "op6_embedding_dedup": _OP6,
     "op7_chat_format": _OP7, "op8_minhash_dedup": _OP8, "op10_substring_dedup": _OP10,
+    "op11_ranked_search": _OP11,
 }
