@@ -7,7 +7,7 @@ the digest columns of the operator's contract.
 from __future__ import annotations
 
 from tillsight.llm import bitslice, bwt, chat, decontaminate, encode, langid, minhash, ngrams, \
-    passages, quantise, toxicity
+    packing, passages, quantise, toxicity
 from tillsight.llm.common import table
 from tillsight.llm.oracle import ORACLE  # noqa: F401
 
@@ -62,7 +62,12 @@ def op11_ranked_search(spark, sf_dir):
     return bitslice.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_best_fit_packing(spark, sf_dir):
+    return packing.packing_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_toxicity, op3_sentencepiece, op4_decontaminate,
     op5_lm_score, op6_embedding_dedup, op7_chat_format, op8_minhash_dedup,
-    op9_language_id, op10_substring_dedup, op11_ranked_search)}
+    op9_language_id, op10_substring_dedup, op11_ranked_search,
+    op12_best_fit_packing)}
