@@ -6,8 +6,8 @@ the digest columns of the operator's contract.
 
 from __future__ import annotations
 
-from tillsight.llm import bitslice, bwt, chat, decontaminate, encode, langid, minhash, ngrams, \
-    packing, passages, quantise, toxicity
+from tillsight.llm import bitslice, bwt, chat, crosstoken, decontaminate, encode, langid, minhash, \
+    ngrams, packing, passages, quantise, toxicity
 from tillsight.llm.common import table
 from tillsight.llm.oracle import ORACLE  # noqa: F401
 
@@ -66,8 +66,12 @@ def op12_best_fit_packing(spark, sf_dir):
     return packing.packing_report(table(spark, sf_dir, "documents"))
 
 
+def op13_cross_tokenizer(spark, sf_dir):
+    return crosstoken.alignment_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_toxicity, op3_sentencepiece, op4_decontaminate,
     op5_lm_score, op6_embedding_dedup, op7_chat_format, op8_minhash_dedup,
     op9_language_id, op10_substring_dedup, op11_ranked_search,
-    op12_best_fit_packing)}
+    op12_best_fit_packing, op13_cross_tokenizer)}

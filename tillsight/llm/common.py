@@ -52,10 +52,10 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.struct(*rest or [F.lit(0)]).alias("_rest"))
 
 
-def unpacked(df: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` from a packed frame."""
+def unpacked(df: DataFrame, docs: DataFrame, results=()) -> DataFrame:
+    """The columns of ``docs``, and result columns, from a packed frame."""
     return df.select(*[F.col(c) if c in ("doc_id", "text") else
-                       F.col("_rest").getField(c).alias(c) for c in docs.columns])
+                       F.col("_rest").getField(c).alias(c) for c in docs.columns], *results)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
