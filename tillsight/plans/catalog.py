@@ -670,6 +670,7 @@ def _recs_fitted(t):
 # --- sources, sinks, reports, dashboard -----------------------------------------------
 
 from ..session import scratch_path  # noqa: E402
+from ..sinks import uploads as uplog  # noqa: E402
 from ..sinks import writers as wr  # noqa: E402
 from ..sources.raw import landing_manifest, read_raw_csv  # noqa: E402
 from ..sources.registry import list_datasets  # noqa: E402
@@ -711,18 +712,22 @@ def _list_datasets(t):
 
 @query("dataset_status_latest")
 def _status_latest(t):
-    """K4: an append-only status log (uploaded, then processed with the row
-    count, or failed for empty uploads) and the latest status per dataset."""
-    r = _registry(t)
+    """K4: the upload log: uploaded, processing, then processed with the row count
+    (failed for empty uploads); an upload that is processed cannot be uploaded again,
+    so that event is refused. The latest state per dataset, after compaction."""
+    r = _registry(t).withColumn("dataset_id", F.col("id"))
     path = scratch_path(t.spark, "registry")
-    ev1 = r.select((F.col("id")).alias("dataset_id"), "user_id", "filename", F.lit("uploaded").alias("status"),
-                   F.lit(None).cast("bigint").alias("row_count"), F.col("uploaded_at").alias("event_time"))
-    ev2 = r.select(F.col("id").alias("dataset_id"), "user_id", "filename",
-                   F.when(F.col("row_count") > 0, "processed").otherwise("failed").alias("status"),
-                   "row_count", (F.col("uploaded_at") + F.expr("interval 5 minutes")).alias("event_time"))
-    wr.append_status(ev1, path)
-    wr.append_status(ev2, path)
-    return wr.latest_status(t.spark.read.parquet(path))
+    event = lambda status, rows, minutes: r.select(
+        "user_id", "dataset_id", "filename", status.alias("status"), rows.cast("bigint").alias("row_count"),
+        F.lit(None).cast("string").alias("error"),
+        (F.col("uploaded_at") + F.make_dt_interval(mins=F.lit(minutes))).alias("event_time"))
+    none = F.lit(None)
+    uplog.record(event(F.lit("uploaded"), none, 0), path)
+    uplog.record(event(F.lit("processing"), none, 1), path)
+    uplog.record(event(F.when(F.col("row_count") > 0, "processed").otherwise("failed"), F.col("row_count"), 5), path)
+    uplog.record(event(F.lit("uploaded"), none, 9), path)
+    uplog.compact(t.spark, path)
+    return uplog.read_log(t.spark, path).drop("error", "seq")
 
 
 @query("load_replace")
@@ -741,11 +746,24 @@ def _load_replace(t):
 
 @query("purge_tenant")
 def _purge(t):
-    """K8: drop tenant 5's partition folder; rows left per tenant."""
-    path = scratch_path(t.spark, "sales_table")
-    wr.load_sales(sales(t), path)
-    wr.purge_tenant(t.spark, path, 5)
-    return wr.read_sales(t.spark, path).groupBy("user_id").agg(F.count(F.lit(1)).alias("rows"))
+    """K8: forget tenant 5, after a first purge was cut short: rows, logged uploads and
+    segment models left per tenant."""
+    base, s = scratch_path(t.spark, "purge"), sales(t)
+    wr.load_sales(s, f"{base}/sales")
+    events = _registry(t).select("user_id", "dataset_id", "filename", F.lit("uploaded").alias("status"),
+                                 F.lit(None).cast("bigint").alias("row_count"),
+                                 F.lit(None).cast("string").alias("error"), F.col("uploaded_at").alias("event_time"))
+    uplog.record(events, f"{base}/registry")
+    r = seg.rfm(s)
+    stats = seg.tenant_stats(r)
+    _, model = seg.kmeans_segments(seg.scale_rfm(r, stats))
+    model_store.publish(t.spark, f"{base}/models", NOW, segments=model, scaler=stats)
+    t.spark.range(1).write.parquet(f"{base}/tombstones/user_id=5")   # what an interrupted purge leaves
+    tr.resume_purges(t.spark, base)
+    rows = wr.read_sales(t.spark, f"{base}/sales").groupBy("user_id").agg(F.count(F.lit(1)).alias("rows"))
+    logged = uplog.read_log(t.spark, f"{base}/registry").groupBy("user_id").agg(F.count(F.lit(1)).alias("uploads"))
+    models = model_store.current(t.spark, f"{base}/models").groupBy("user_id").agg(F.count(F.lit(1)).alias("models"))
+    return rows.join(logged, "user_id", "full").join(models, "user_id", "full")
 
 
 @query("export_csv")
@@ -770,12 +788,13 @@ def _export_filtered(t):
 
 @query("landing_manifest")
 def _landing(t):
-    """Admission of the files in a landing folder (CSV exports are
-    accepted, parquet part files are not)."""
+    """Admission of the files in a landing folder: CSV files (one per
+    upload) are accepted, parquet files (one per tenant) are not."""
     base = scratch_path(t.spark, "landing")
     s = sales(t)
-    output_frame(s.select("id", "product_name")).write.option("header", True).csv(f"{base}/csv")
-    s.select("id", "user_id").write.parquet(f"{base}/parquet")
+    (output_frame(s.select("id", "user_id", "dataset_id", "product_name")).repartition("user_id", "dataset_id")
+     .write.option("header", True).partitionBy("user_id", "dataset_id").csv(f"{base}/csv"))
+    s.select("id", "user_id").repartition("user_id").write.partitionBy("user_id").parquet(f"{base}/parquet")
     return landing_manifest(t.spark, base).select(
         "ext", "accepted", "reason").groupBy("ext", "accepted", "reason").agg(F.count(F.lit(1)).alias("files"))
 
@@ -820,6 +839,7 @@ def _dash(t):
 # --- training, persistence, upload flow, stream ------------------------------------------
 
 from ..streaming.ingest import ingest_landing  # noqa: E402
+from . import model_store  # noqa: E402
 from . import training as tr  # noqa: E402
 
 
@@ -835,7 +855,7 @@ def _fc_saved_model(t):
     """P5/K9: save the regressor, load it back, forecast with it."""
     models, s = scratch_path(t.spark, "models"), sales(t)
     model = fc.fit_forecaster(fc.training_frame(s).where(F.col("split") == "train"))
-    tr.save_models(models, model, None, None)
+    model_store.publish(t.spark, models, NOW, model, s.select("user_id"))
     return tr.forecast_with_saved(s, models)
 
 
@@ -847,7 +867,7 @@ def _scored_saved(t):
     r = seg.rfm(s)
     stats = seg.tenant_stats(r)
     _, model = seg.kmeans_segments(seg.scale_rfm(r, stats))
-    tr.save_models(models, None, model, stats)
+    model_store.publish(t.spark, models, NOW, segments=model, scaler=stats)
     return tr.score_with_saved(s, models)
 
 
@@ -857,34 +877,78 @@ def _fc_saved(t):
     return tr.forecast_with_saved(sales(t), scratch_path(t.spark, "models-empty"))
 
 
+@query("model_store_segments")
+def _model_store(t):
+    """Tenants trained in separate runs, one of them twice: the customers that
+    each tenant's own model scores, and the versions left once unused ones are swept."""
+    models, s = scratch_path(t.spark, "models"), sales(t)
+    r = seg.rfm(s)
+    for tenants in ([0, 2, 4, 6], [1, 3, 5], [2]):   # tenant 7 is never trained
+        own = r.where(F.col("user_id").isin(tenants))
+        stats = seg.tenant_stats(own)
+        _, model = seg.kmeans_segments(seg.scale_rfm(own, stats))
+        model_store.publish(t.spark, models, NOW, segments=model, scaler=stats)
+    model_store.sweep(t.spark, models)
+    used = model_store.current(t.spark, models, model_store.SEGMENTATION)
+    scored = tr.score_with_saved(s, models).groupBy("user_id").agg(F.count(F.lit(1)).alias("customers"))
+    shared = used.groupBy("version").agg(F.count(F.lit(1)).alias("tenants_of_run"))
+    return (scored.join(used.join(shared, "version").drop("version"), "user_id", "left")
+            .withColumn("tenants_of_run", F.coalesce("tenants_of_run", F.lit(0))))
+
+
 @query("upload_flow")
 def _upload_flow(t):
-    """The damaged upload through ETL, copies, load, training, status and
-    dashboard."""
-    return tr.run_upload(dirty_ordered(t), user_id=7, dataset_id=1, now=NOW,
-                         base=scratch_path(t.spark, "upload"))
+    """The damaged upload through ETL, copies, load, training, states and
+    dashboard: the statuses, the rows of the copies and of the log, and the categories
+    of the dashboard."""
+    base = scratch_path(t.spark, "upload")
+    out = tr.run_upload(dirty_ordered(t), user_id=7, dataset_id=1, now=NOW, base=base)
+    copies = [t.spark.read.parquet(f"{base}/{name}/user_id=7/dataset_id=1").agg(
+        F.count(F.lit(1)).alias(f"{name}_rows")) for name in ("cleaned", "processed")]
+    logged = uplog.latest(uplog.read_log(t.spark, f"{base}/registry")).select(
+        F.col("status").alias("logged_status"), F.col("row_count").alias("logged_rows"))
+    categories = F.json_array_length(F.get_json_object("payload", "$.category_distribution"))
+    return (out.select("status", "row_count", "user_id", "forecast", "segmentation", categories.alias("categories"))
+            .crossJoin(copies[0]).crossJoin(copies[1]).crossJoin(logged))   # one row each
+
+
+# Headers of landed uploads: name in the file -> column, in file order.
+UPLOAD_HEADERS = [
+    {"Order Date": "date", "Product Name": "product_name", "Category": "category", "Quantity": "quantity",
+     "Sales": "total_sales", "Customer ID": "customer_id", "Region": "region", "Stock Level": "inventory_level"},
+    {"Quantity": "quantity", "Stock Level": "inventory_level", "Product Name": "product_name", "Sales": "total_sales",
+     "Region": "region", "Order Date": "date", "Customer ID": "customer_id", "Category": "category"},
+    {"item": "product_name", "revenue": "total_sales", "territory": "region", "client": "customer_id",
+     "qty": "quantity", "stock": "inventory_level", "dept": "category", "sale date": "date"},
+]
 
 
 @query("stream_file_ingest")
 def _stream(t):
     """Every tenant's years as uploads (one folder per upload, any number of
-    files), landed as CSV and ingested by the stream: rows, products and units
-    per upload."""
+    files), landed as CSV under three headers of different order and wording and
+    ingested by the stream: rows, products, units and revenue per upload, and its
+    state in the upload log."""
     base = scratch_path(t.spark, "stream")
-    cols = ["Order Date", "Product Name", "Category", "Quantity", "Sales", "Customer ID", "Region", "Stock Level"]
-    out = sales(t).select(
-        "user_id", "dataset_id",
-        F.date_format("date", "yyyy-MM-dd").alias(cols[0]), F.col("product_name").alias(cols[1]),
-        F.col("category").alias(cols[2]), F.col("quantity").cast("string").alias(cols[3]),
-        F.col("total_sales").cast("string").alias(cols[4]), F.col("customer_id").alias(cols[5]),
-        F.col("region").alias(cols[6]), F.col("inventory_level").cast("string").alias(cols[7]))
-    (out.hint("rebalance", "user_id", "dataset_id").write.options(**wr.CSV_OPTIONS)
-     .partitionBy("user_id", "dataset_id").csv(f"{base}/landing"))
-    q = ingest_landing(t.spark, f"{base}/landing", cols, f"{base}/table", f"{base}/checkpoint", now=NOW)
+    s = sales(t).select(
+        "user_id", "dataset_id", F.date_format("date", "yyyy-MM-dd").alias("date"), "product_name", "category",
+        F.col("quantity").cast("string").alias("quantity"), F.col("total_sales").cast("string").alias("total_sales"),
+        "customer_id", "region", F.col("inventory_level").cast("string").alias("inventory_level"))
+    for i, header in enumerate(UPLOAD_HEADERS):
+        own = s.where(F.pmod("dataset_id", F.lit(len(UPLOAD_HEADERS))) == i)
+        (own.select("user_id", "dataset_id", *[F.col(c).alias(name) for name, c in header.items()])
+         .hint("rebalance", "user_id", "dataset_id").write.mode("append").options(**wr.CSV_OPTIONS)
+         .partitionBy("user_id", "dataset_id").csv(f"{base}/landing"))
+    q = ingest_landing(t.spark, f"{base}/landing", f"{base}/table", f"{base}/checkpoint", now=NOW,
+                       log_dir=f"{base}/log")
     q.awaitTermination()
-    return wr.read_sales(t.spark, f"{base}/table").groupBy("user_id", "dataset_id").agg(
+    loaded = wr.read_sales(t.spark, f"{base}/table").groupBy("user_id", "dataset_id").agg(
         F.count(F.lit(1)).alias("rows"), F.countDistinct("product_name").alias("products"),
-        F.sum("quantity").alias("units"))
+        F.sum("quantity").alias("units"),
+        F.round(F.sum(F.col("total_sales").cast("decimal(18,4)")), 2).alias("revenue"))
+    states = uplog.latest(uplog.read_log(t.spark, f"{base}/log")).select(
+        "user_id", "dataset_id", "status", "row_count")
+    return loaded.join(states, ["user_id", "dataset_id"], "full")
 
 
 @query("filter_week")

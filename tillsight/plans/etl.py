@@ -13,6 +13,7 @@ from ..operators.clean import ORDER_COL, clean_upload
 from ..operators.impute import canonicalise, impute_fields
 from ..operators.ledger import positions_by, with_positions
 from ..operators.mapping import map_columns
+from ..sources.headers import FILE_COL, PLACE_COL, UPLOAD_KEY
 
 
 def with_row_order(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -29,9 +30,6 @@ def file_order(df: DataFrame) -> DataFrame:
     return with_row_order(tagged, [F.col("_file"), F.col("_mid")]).drop("_file", "_mid")
 
 
-UPLOAD_KEY = ("user_id", "dataset_id")
-
-
 def transform_upload(raw: DataFrame, user_id: int | None, dataset_id: int | None, now: str,
                      exact_quantiles: bool = True, by=()) -> tuple[DataFrame, DataFrame, dict]:
     """Returns (cleaned, canonical, mapping) for a raw upload that carries
@@ -45,11 +43,13 @@ def transform_upload(raw: DataFrame, user_id: int | None, dataset_id: int | None
 
 
 def upload_order(df: DataFrame, by=UPLOAD_KEY) -> DataFrame:
-    """``_row``: position of each row within its upload (file, then place in it)."""
-    tagged = (df.withColumn("_file", F.input_file_name())
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    return positions_by(tagged, list(by), [F.col("_file"), F.col("_mid")], ORDER_COL).drop(
-        "_file", "_mid", "_n")
+    """``_row``: position of each row within its upload (file, then place in it; frames
+    read by :func:`..sources.headers.read_by_name` carry both)."""
+    if FILE_COL not in df.columns:
+        df = (df.withColumn(FILE_COL, F.input_file_name())
+              .withColumn(PLACE_COL, F.monotonically_increasing_id()))
+    return positions_by(df, list(by), [F.col(FILE_COL), F.col(PLACE_COL)], ORDER_COL).drop(
+        FILE_COL, PLACE_COL, "_n")
 
 
 def run_etl(raw: DataFrame, user_id: int, dataset_id: int, now: str, table_dir: str,

@@ -845,7 +845,18 @@ SELECT id AS dataset_id, user_id, filename, CASE WHEN row_count > 0 THEN 'proces
 ORACLE["load_replace"] = with_sales("""
 SELECT user_id, dataset_id, count(*) AS rows, CAST(sum(total_sales) AS DOUBLE) AS revenue FROM sales
 WHERE NOT (user_id = 2 AND dataset_id = 1995 AND quantity <= 25) GROUP BY 1, 2""")
-ORACLE["purge_tenant"] = with_sales("SELECT user_id, count(*) AS rows FROM sales WHERE user_id <> 5 GROUP BY 1")
+ORACLE["purge_tenant"] = with_sales("""
+SELECT user_id, count(*) AS rows, count(DISTINCT dataset_id) AS uploads, CAST(1 AS BIGINT) AS models
+FROM sales WHERE user_id <> 5 GROUP BY 1""")
+ORACLE["model_store_segments"] = with_sales("""
+SELECT user_id, count(DISTINCT customer_id) AS customers,
+       CAST(CASE user_id WHEN 7 THEN 0 WHEN 2 THEN 1 ELSE 3 END AS BIGINT) AS tenants_of_run
+FROM sales GROUP BY 1""")
+ORACLE["upload_flow"] = with_clean("""
+SELECT 'processed' AS status, count(*) AS row_count, CAST(7 AS BIGINT) AS user_id, 'success' AS forecast,
+       'success' AS segmentation, count(DISTINCT coalesce(category, 'General')) AS categories,
+       count(*) AS cleaned_rows, count(*) AS processed_rows, 'processed' AS logged_status, count(*) AS logged_rows
+FROM imp2""")
 ORACLE["export_csv"] = with_sales("""
 SELECT user_id, id, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, product_name, CAST(total_sales AS DOUBLE) AS total_sales
 FROM sales""")
@@ -897,7 +908,14 @@ ORACLE["filter_week"] = with_sales(_FILTER_OUT + " WHERE weekofyear(date) = 23")
 # inside the outlier bounds, so their sums are unchanged.
 ORACLE["stream_file_ingest"] = with_sales("""
 SELECT user_id, dataset_id, count(*) AS rows, count(DISTINCT product_name) AS products,
-       CAST(sum(quantity) AS BIGINT) AS units
+       CAST(sum(quantity) AS BIGINT) AS units, CAST(round(sum(total_sales), 2) AS DOUBLE) AS revenue,
+       'processed' AS status, count(*) AS row_count
 FROM (SELECT DISTINCT user_id, dataset_id, strftime(date, '%Y-%m-%d') AS day, product_name, category, quantity,
              total_sales, customer_id, region, inventory_level FROM sales)
 GROUP BY user_id, dataset_id""")
+
+ORACLE["landing_manifest"] = with_sales("""
+SELECT '.csv' AS ext, true AS accepted, CAST(NULL AS VARCHAR) AS reason,
+       count(DISTINCT (user_id, dataset_id)) AS files FROM sales
+UNION ALL
+SELECT '.parquet', false, 'unsupported file type', count(DISTINCT user_id) FROM sales""")

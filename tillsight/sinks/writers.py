@@ -47,27 +47,6 @@ def read_sales(spark: SparkSession, table_dir: str, schema=None) -> DataFrame:
     return spark.read.schema(schema).parquet(table_dir).select(*SALES_COLUMNS)
 
 
-def log_status(spark: SparkSession, registry_dir: str, rows: list[tuple]) -> None:
-    """K4: append status events ``(dataset_id, user_id, filename, status,
-    row_count, event_time)``; the registry is an append-only log."""
-    df = spark.createDataFrame(rows, "dataset_id bigint, user_id bigint, filename string, status string, "
-                                     "row_count bigint, event_time timestamp")
-    df.write.mode("append").parquet(registry_dir)
-
-
-def append_status(events: DataFrame, registry_dir: str) -> None:
-    """K4 for event frames computed by Spark (same columns as ``log_status``)."""
-    events.write.mode("append").parquet(registry_dir)
-
-
-def latest_status(registry: DataFrame) -> DataFrame:
-    """K4: the latest event per dataset (ties: the later status name)."""
-    last = registry.groupBy("dataset_id").agg(
-        F.max_by(F.struct("user_id", "filename", "status", "row_count", "event_time"),
-                 F.struct("event_time", "status")).alias("l"))
-    return last.select("dataset_id", "l.*")
-
-
 def export_csv(sales: DataFrame, user_id: int, path: str, single_file: bool = False) -> None:
     """K5: a tenant's 14 analytics columns as CSV with header; an error when
     the tenant has no rows (checked with a one-row probe)."""
@@ -92,13 +71,3 @@ def export_filtered_csv(df: DataFrame, filters: dict, path: str) -> None:
     out = output_frame(apply_filters(df, filters))
     out = out.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in out.columns])
     out.write.mode("overwrite").options(**CSV_OPTIONS).option("quoteAll", True).csv(path)
-
-
-def purge_tenant(spark: SparkSession, table_dir: str, user_id: int) -> bool:
-    """K8: drop a tenant by deleting its ``user_id=`` partition folder (no
-    rewrite of other tenants' data). Returns whether anything was removed."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(f"{table_dir.rstrip('/')}/user_id={user_id}")
-    fs = p.getFileSystem(conf)
-    return bool(fs.exists(p) and fs.delete(p, True))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schema import ALLOWED_EXTENSIONS, MAX_UPLOAD_MB
 
@@ -29,16 +29,25 @@ def read_raw_csv(spark: SparkSession, path: str) -> DataFrame:
     return missing_to_null(spark.read.options(**CSV_OPTIONS).csv(path))
 
 
+READABLE_EXTENSIONS = [".csv"]   # of the allowed ones, those this library has a reader for
+
+
+def refusal(path: str = "path", length: str = "length", max_mb: int = MAX_UPLOAD_MB) -> Column:
+    """Why a file is refused; null if it is admitted."""
+    ext = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+    return (F.when(~ext.isin(*ALLOWED_EXTENSIONS), F.lit("unsupported file type"))
+            .when(~ext.isin(*READABLE_EXTENSIONS), F.concat(F.lit("no reader for "), ext, F.lit(" files")))
+            .when(F.col(length) > F.lit(max_mb * 1024 * 1024),
+                  F.format_string("file larger than %d MB", F.lit(max_mb))))
+
+
 def landing_manifest(spark: SparkSession, folder: str, max_mb: int = MAX_UPLOAD_MB) -> DataFrame:
     """One row per file with its extension and whether it is admitted
-    (extension in the allowed list, size <= max_mb). Only file metadata is
+    (allowed and readable type, size <= max_mb). Only file metadata is
     read: the ``content`` column is pruned."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
              .select("path", "length", "modificationTime"))
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
-    ok_ext = ext.isin(*ALLOWED_EXTENSIONS)
-    ok_size = F.col("length") <= F.lit(max_mb * 1024 * 1024)
-    reason = (F.when(~ok_ext, F.lit("unsupported file type"))
-              .when(~ok_size, F.format_string("file larger than %d MB", F.lit(max_mb))))
     return files.select("path", ext.alias("ext"), F.col("length").alias("bytes"),
-                        (ok_ext & ok_size).alias("accepted"), reason.alias("reason"))
+                        refusal(max_mb=max_mb).isNull().alias("accepted"),
+                        refusal(max_mb=max_mb).alias("reason"))

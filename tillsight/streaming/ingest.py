@@ -1,37 +1,94 @@
 """Upload ingest as a stream (optional form of the upload flow).
 
 The landing folder holds one folder per upload,
-``user_id=<tenant>/dataset_id=<upload>/``, with any number of CSV files of one
-header; a folder is moved into place when it is complete. A micro-batch takes all
-new files: types, statistics and row order are per upload, so many uploads are
-cleaned and loaded by the same few jobs, and the tenant comes from the folder.
+``user_id=<tenant>/dataset_id=<upload>/``, with any number of CSV files; a folder is
+moved into place when it is complete. Files may have any header, with columns in any
+order: a micro-batch reads the headers of its new files, groups the uploads by their
+column names, and cleans and loads all uploads of a group by the same few jobs. Types,
+statistics and row order are per upload, and the tenant comes from the folder.
+
+With an upload log, every upload's states are recorded. An upload with a file that is
+not admitted (type, size) is refused as a whole; a group that cannot be processed
+fails, and the other groups go on.
+
 ``trigger(availableNow=True)`` processes what is there and stops; progress is kept in
 the checkpoint folder, so a restarted job resumes after the last committed batch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..plans.etl import UPLOAD_KEY, transform_upload, upload_order
+from ..plans.etl import transform_upload, upload_order
+from ..sinks import uploads as log
 from ..sinks.writers import load_sales
-from ..sources.raw import CSV_OPTIONS, missing_to_null
+from ..sources.headers import UPLOAD_KEY, header_groups, read_by_name
+from ..sources.raw import missing_to_null, refusal
+
+FILES_PER_BATCH = 1000
+FILE_SCHEMA = ("path string, modificationTime timestamp, length bigint, content binary, "
+               "user_id bigint, dataset_id bigint")
+
 
+def _finish(spark, log_dir, keys, table_dir, when) -> None:
+    """``processed`` with the rows that were loaded, for some uploads at once."""
+    from ..sinks.writers import read_sales
+    wanted = log.events_of(spark, keys, "processed", when).drop("row_count")
+    rows = (read_sales(spark, table_dir).join(F.broadcast(wanted.select(*UPLOAD_KEY)), list(UPLOAD_KEY))
+            .groupBy(*UPLOAD_KEY).agg(F.count(F.lit(1)).alias("row_count")))   # keys: one batch's uploads
+    log.record(wanted.join(rows, list(UPLOAD_KEY), "left")
+               .withColumn("row_count", F.coalesce("row_count", F.lit(0))), log_dir)
 
-def ingest_landing(spark: SparkSession, landing_dir: str, columns: list[str], table_dir: str, checkpoint: str,
-                   now: str):
+
+def ingest_landing(spark: SparkSession, landing_dir: str, table_dir: str, checkpoint: str, now: str,
+                   log_dir: str | None = None, files_per_batch: int = FILES_PER_BATCH):
     """Start the stream and return the query handle (call
-    ``awaitTermination()`` on it). ``columns`` is the header of the files."""
-    schema = T.StructType([*(T.StructField(c, T.StringType()) for c in columns),
-                           *(T.StructField(c, T.LongType()) for c in UPLOAD_KEY)])
-    stream = spark.readStream.schema(schema).options(**CSV_OPTIONS).csv(landing_dir)
+    ``awaitTermination()`` on it)."""
+    when = dt.datetime.fromisoformat(now)
+    stream = (spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
+              .option("maxFilesPerTrigger", files_per_batch).load(landing_dir))
+
+    def note(keys, status, **values):
+        if log_dir and keys:
+            log.move(spark, log_dir, [(u, d, f"upload_{d}") for u, d in keys], status, when, **values)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
+        files = batch.select("path", "length", *UPLOAD_KEY, refusal().alias("reason"))
+        found = (files.groupBy(*UPLOAD_KEY).agg(F.min("reason").alias("reason"))
+                 .collect())   # one row per upload of the batch
+        good = [(r["user_id"], r["dataset_id"]) for r in found if r["reason"] is None]
+        if log_dir and found:
+            events = log.events_of(spark, [(r["user_id"], r["dataset_id"], f"upload_{r['dataset_id']}")
+                                           for r in found], "uploaded", when)
+            log.record(events, log_dir)   # an upload sent again is known already
+        for reason in sorted({r["reason"] for r in found if r["reason"]}):
+            note([(r["user_id"], r["dataset_id"]) for r in found if r["reason"] == reason], "failed", error=reason)
+        if not good:
             return
-        raw = missing_to_null(upload_order(batch), columns)
-        _, canonical, _ = transform_upload(raw, None, None, now, by=UPLOAD_KEY)
-        load_sales(canonical, table_dir)
+        chosen = spark.createDataFrame(good, "user_id bigint, dataset_id bigint")
+        groups = header_groups(batch.join(F.broadcast(chosen), list(UPLOAD_KEY)))
+        for names, headers in groups:
+            keys = sorted({key for paths in headers.values() for key in map(_key_of, paths)})
+            note(keys, "processing")
+            try:
+                raw = missing_to_null(upload_order(read_by_name(spark, names, headers, landing_dir)), list(names))
+                _, canonical, _ = transform_upload(raw, None, None, now, by=UPLOAD_KEY)
+                load_sales(canonical, table_dir)
+            except Exception as e:   # recorded: the other groups' uploads go on
+                if not log_dir:
+                    raise
+                note(keys, "failed", error=f"{type(e).__name__}: {e}")
+                continue
+            if log_dir:
+                _finish(spark, log_dir, [(u, d, f"upload_{d}") for u, d in keys], table_dir, when)
 
     return (stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+def _key_of(path: str) -> tuple[int, int]:
+    """The upload's key from the folders of a path."""
+    parts = dict(p.split("=", 1) for p in path.split("/") if "=" in p)
+    return int(parts["user_id"]), int(parts["dataset_id"])
