@@ -10,7 +10,7 @@ and takes one aggregate, until no tenant's centroids move.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import as_double
 from ..schema import (DEFAULT_SEGMENT, RULE_AT_RISK_RECENCY, RULE_LOYAL_FREQUENCY, RULE_Q25_SINGLE,
@@ -102,37 +102,102 @@ def _nearest(points: DataFrame, centroids: DataFrame, by) -> DataFrame:
     return points.join(held, list(by), "left").withColumn("cluster", best["n"]).drop("_c")
 
 
+SMALL_STATE = 100_000   # centroids that the driver carries between steps; more are stored
+
+
+def _carried(df: DataFrame, name: str, before: DataFrame | None = None) -> DataFrame:
+    """A step's centroids, cut from their lineage: a local table while they are few (the
+    size is checked by taking one row more), else a stored one."""
+    rows = df.take(SMALL_STATE + 1)
+    out = stored(df, name) if len(rows) > SMALL_STATE else df.sparkSession.createDataFrame(rows, df.schema)
+    if before is not None and hasattr(before, "stored_at"):
+        discard(before)
+    return out
+
+
+def _squared(x: Column, y: Column) -> Column:
+    return sum((x[f] - y[f]) ** 2 for f in FEATURES)
+
+
+def seed_centroids(points: DataFrame, k: int, restarts: int, seed: int, by=TENANT, key=("customer_id",),
+                   trials: int = 3) -> DataFrame:
+    """D-squared seeding for every tenant and restart in one job per round.
+
+    A round draws each new centroid with probability proportional to the squared distance
+    to the nearest centroid so far: of the exponential keys ``-ln(u) / weight`` the
+    smallest wins, which is one map-side reduced minimum. It takes ``trials`` candidates
+    (the smallest keys) and keeps the one that leaves the least inertia. ``u`` is a hash of
+    the customer, the restart and the round, so draws do not depend on partitioning.
+    One row per tenant and restart: ``run`` and ``cents``, an array of points; a tenant
+    with fewer distinct customers than k has fewer.
+    """
+    spot = F.struct(*[F.col(f"{c}_z").alias(c) for c in FEATURES])
+    pts = points.select(*by, *key, spot.alias("x"))
+    cents = None
+    for n in range(k):
+        if cents is None:
+            j = pts.select("*", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("run"))
+            weight = F.lit(1.0)
+        else:
+            j = pts.join(cents, list(by))   # tenants x restarts rows: joined by size
+            weight = F.array_min(F.transform("cents", lambda c: _squared(F.col("x"), c)))
+        j = j.withColumn("_w", weight)
+        u = (F.pmod(F.xxhash64(*key, "x", "run", F.lit(n), F.lit(seed)), F.lit(1 << 40)) + F.lit(0.5)) / float(1 << 40)
+        race = F.struct((-F.log(u) / F.col("_w")).alias("t"), F.col("x").alias("x"))
+        if cents is None:
+            first = j.groupBy(*by, "run").agg(F.min(race).alias("d"))
+            cents = _carried(first.select(*by, "run", F.array("d.x").alias("cents")), "seeds")
+            continue
+        rank = F.row_number().over(Window.partitionBy(*by, "run").orderBy("t", *key))
+        tried = (j.where(F.col("_w") > 0).select(*by, *key, "run", "x", race["t"].alias("t"))
+                 .withColumn("r", rank).where(F.col("r") <= trials))   # a group limit
+        tried = _carried(tried.groupBy(*by, "run").agg(F.array_sort(F.collect_list("x")).alias("tried")), "tried")
+        after = F.transform("tried", lambda c: F.least(F.col("_w"), _squared(F.col("x"), c)))
+        left = (j.join(tried, [*by, "run"]).select(*by, "run", F.posexplode(after).alias("i", "left"))
+                .groupBy(*by, "run", "i").agg(F.sum("left").alias("left")))
+        best = left.groupBy(*by, "run").agg(F.min_by("i", F.struct("left", "i")).alias("i"))
+        chosen = tried.join(best, [*by, "run"]).select(*by, "run", F.col("tried")[F.col("i")].alias("new"))
+        cents = _carried(cents.join(chosen, [*by, "run"], "left").select(
+            *by, "run", F.when(F.col("new").isNull(), F.col("cents"))
+            .otherwise(F.concat("cents", F.array("new"))).alias("cents")), "seeds", cents)
+    return cents
+
+
 def kmeans_segments(scaled: DataFrame, k: int = 4, tolerance: float = 1e-4, most_steps: int = 300,
-                    seed: int = 42, by=TENANT, key=("customer_id",)) -> tuple[DataFrame, DataFrame]:
-    """K-means with k = min(k, customers) per tenant, all tenants in one
-    job per step; clusters named by mean monetary value, descending.
+                    seed: int = 42, by=TENANT, key=("customer_id",), restarts: int = 4) -> tuple[DataFrame, DataFrame]:
+    """K-means with k = min(k, distinct customers) per tenant, all tenants and
+    restarts in one job per step; clusters named by mean monetary value, descending.
 
-    Steps go on until the squared movement of every tenant's centroids is at
+    Every tenant starts ``restarts`` times from :func:`seed_centroids` and keeps the run of
+    least inertia. Steps go on until the squared movement of every run's centroids is at
     most ``tolerance`` (z-scored features have unit variance); ``most_steps``
-    stops a tenant that never settles. Returns ``(assignments, model)``;
+    stops a run that never settles. Returns ``(assignments, model)``;
     ``model`` holds per tenant and cluster the centroid and segment name (see
-    :func:`score_segments`). Initial centroids are the k customers with the
-    smallest seeded hash (a per-tenant group limit, so only k rows per tenant
-    are shuffled).
+    :func:`score_segments`). A step joins the runs' centroids (one row per tenant and run,
+    by size) to the points and takes one map-side reduced aggregate.
     """
     pts = stored(scaled.select(*by, *key, *[f"{c}_z" for c in FEATURES], "monetary"), "points")
-    w = Window.partitionBy(*by).orderBy(F.xxhash64(*key, F.lit(seed)), *key)
-    cents = stored(pts.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
-                   .select(*by, (F.col("rn") - 1).alias("cluster"),
-                           *[F.col(f"{c}_z").alias(f"c_{c}") for c in FEATURES]), "centroids")
+    spots = pts.select(*by, F.struct(*[F.col(f"{c}_z").alias(c) for c in FEATURES]).alias("x"))
+    runs = seed_centroids(pts, k, restarts, seed, by, key)
+    near = F.array_min(F.transform("cents", lambda c, i: F.struct(_squared(F.col("x"), c).alias("d"), i.alias("n"))))
     for _ in range(most_steps):
-        new = (_nearest(pts, cents, by).groupBy(*by, "cluster")
-               .agg(*[F.avg(f"{c}_z").alias(f"n_{c}") for c in FEATURES]))
-        moved = sum((F.coalesce(f"n_{c}", f"c_{c}") - F.col(f"c_{c}")) ** 2 for c in FEATURES)
-        after = stored(cents.join(new, [*by, "cluster"], "left")
-                       .select(*by, "cluster", *[F.coalesce(f"n_{c}", f"c_{c}").alias(f"c_{c}")
-                                                 for c in FEATURES], moved.alias("moved")), "centroids")
-        discard(cents)
-        cents = after
-        most = cents.groupBy(*by).agg(F.sum("moved").alias("m")).agg(F.max("m")).first()[0]
+        sums = (spots.join(runs, list(by)).select(*by, "run", "x", near.alias("near"))
+                .groupBy(*by, "run", F.col("near.n").alias("n"))
+                .agg(F.struct(*[F.avg(F.col("x")[c]).alias(c) for c in FEATURES]).alias("mean")))
+        means = sums.groupBy(*by, "run").agg(F.map_from_entries(F.collect_list(F.struct("n", "mean"))).alias("means"))
+        moved = (runs.join(means, [*by, "run"], "left").select(
+            *by, "run", "cents", F.transform("cents", lambda c, i: F.coalesce(F.element_at("means", i), c)).alias("new")))
+        step = F.zip_with("cents", "new", _squared)
+        after = _carried(moved.select(*by, "run", F.col("new").alias("cents"), F.aggregate(
+            step, F.lit(0.0), lambda a, b: a + b).alias("moved")), "centroids", runs)
+        runs = after.drop("moved")
+        most = after.agg(F.max("moved")).first()[0]
         if most is None or most <= tolerance:
             break
-    cents = cents.drop("moved")
+    inertia = (spots.join(runs, list(by)).groupBy(*by, "run").agg(F.sum(near["d"]).alias("inertia")))
+    best = inertia.groupBy(*by).agg(F.min_by("run", F.struct("inertia", "run")).alias("run"))
+    cents = _carried(runs.join(best, [*by, "run"]).select(*by, F.posexplode("cents").alias("cluster", "c"))
+                     .select(*by, "cluster", *[F.col("c")[c].alias(f"c_{c}") for c in FEATURES]), "centroids")
     assigned = _nearest(pts, cents, by)
     means = assigned.groupBy(*by, "cluster").agg(F.avg("monetary").alias("m"))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("m"), "cluster"))
@@ -144,6 +209,22 @@ def kmeans_segments(scaled: DataFrame, k: int = 4, tolerance: float = 1e-4, most
     return out, model
 
 
+def kmeans_check(scaled: DataFrame, assigned: DataFrame, model: DataFrame, by=TENANT,
+                 key=("customer_id",)) -> DataFrame:
+    """What holds for any k-means result: per tenant, its customers, its clusters,
+    the customers that lie nearer to another centroid, and the clusters whose centroid is
+    off the mean of its customers (beyond the last step's tolerance)."""
+    j = assigned.join(scaled, [*by, *key])
+    own = _nearest(j.withColumnRenamed("cluster", "_own").drop("segment"), model, by)
+    far = own.groupBy(*by).agg(F.count(F.lit(1)).alias("customers"),
+                               F.count(F.when(F.col("cluster") != F.col("_own"), 1)).alias("misplaced"))
+    means = j.groupBy(*by, "cluster").agg(*[F.avg(f"{c}_z").alias(f"m_{c}") for c in FEATURES])
+    off = sum((F.col(f"m_{c}") - F.col(f"c_{c}")) ** 2 for c in FEATURES)
+    drift = (model.join(means, [*by, "cluster"]).groupBy(*by)
+             .agg(F.count(F.lit(1)).alias("clusters"), F.count(F.when(off > 1e-4, 1)).alias("off_centre")))
+    return far.join(drift, list(by))
+
+
 def score_segments(scaled: DataFrame, model: DataFrame, by=TENANT, key=("customer_id",)) -> DataFrame:
     """Nearest saved centroid per customer; a cluster without a name
     (or a tenant without a model) gets the default segment."""

@@ -352,6 +352,14 @@ def _kmeans(t):
     return out
 
 
+@query("kmeans_checked")
+def _kmeans_checked(t):
+    """What any k-means result must hold, per tenant: every customer is in one
+    cluster, none is misplaced, no centroid is off the mean of its customers."""
+    scaled = seg.scale_rfm(seg.rfm(sales(t)))
+    return seg.kmeans_check(scaled, *seg.kmeans_segments(scaled))
+
+
 @query("segment_model")
 def _seg_model(t):
     """Fit, then score customers against the fitted model."""

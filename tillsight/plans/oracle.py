@@ -437,6 +437,10 @@ SELECT user_id, customer_id, recency, frequency, monetary, """ + ",\n".join(
     f"round((CAST({c} AS DOUBLE) - avg(CAST({c} AS DOUBLE)) OVER (PARTITION BY user_id)) / "
     f"stddev_pop(CAST({c} AS DOUBLE)) OVER (PARTITION BY user_id), 4) ELSE 0.0 END AS {c}_z"
     for c in ["recency", "frequency", "monetary"]) + "\nFROM rfm", RFM_CTE)
+ORACLE["kmeans_checked"] = with_sales("""
+SELECT user_id, count(*) AS customers, CAST(0 AS BIGINT) AS misplaced,
+       least(4, count(DISTINCT (recency, frequency, monetary))) AS clusters, CAST(0 AS BIGINT) AS off_centre
+FROM rfm GROUP BY user_id""", RFM_CTE)
 ORACLE["segment_rules"] = with_sales("SELECT * FROM rules", RFM_CTE, RULES_CTE)
 ORACLE["segment_counts"] = with_sales("""
 SELECT coalesce(n.user_id, c.user_id) AS user_id, coalesce(n.segment, c.segment) AS segment,
