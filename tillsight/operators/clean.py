@@ -12,9 +12,9 @@ fixes which copy of a duplicate is kept and the order of forward fills.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F, types as T
 
-from ..functions.columns import parse_number, strip_ws
+from ..functions.columns import number_or_nan, parse_number, strip_ws
 from ..schema import ID_LIKE_HEADER_PARTS, IQR_K, MODE_FALLBACK, NULL_TOKENS
 from ..session import stored
 from .mapping import resolve_mapping
@@ -70,7 +70,7 @@ def numeric_profile(df: DataFrame, cols: list[str], by=()) -> DataFrame:
         if isinstance(dt, NUMERIC_TYPES) or isinstance(dt, T.BooleanType):
             ok = nn
         else:
-            ok = F.count(F.col(f"`{c}`").cast("string").try_cast("double"))   # NaN reads as a missing number
+            ok = F.count(number_or_nan(F.col(f"`{c}`")))   # NaN reads as a missing number
         aggs += [nn.alias(f"nn_{c}"), ok.alias(f"ok_{c}")]
     row = df.groupBy(*by).agg(*aggs)
     stack = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`nn_{c}`").cast("bigint").alias("non_null"),
@@ -169,8 +169,10 @@ def is_id_like(name: str) -> bool:
     return any(p in low for p in ID_LIKE_HEADER_PARTS)
 
 
-def cap_outliers(df: DataFrame, cols: list[str], by=(), k: float = IQR_K, exact: bool = True) -> DataFrame:
-    """Clip to [q1 - k iqr, q3 + k iqr] when iqr > 0; headers containing
+def cap_outliers(df: DataFrame, cols: list[str], by=(), k: float = IQR_K, exact: bool = True,
+                 observation: Observation | None = None) -> DataFrame:
+    """C8 (with ``observation``, the capped values of each column are counted by the same
+    pass): clip to [q1 - k iqr, q3 + k iqr] when iqr > 0; headers containing
     id/zip/code are skipped. Quartiles use linear interpolation, exact and
     distributed (:func:`exact_quantiles`); ``exact=False`` uses
     ``percentile_approx`` instead."""
@@ -192,6 +194,12 @@ def cap_outliers(df: DataFrame, cols: list[str], by=(), k: float = IQR_K, exact:
             F.percentile_approx(F.col(f"`{c}`").cast("double"), [0.25, 0.75], 10000).cast("array<double>")
             .alias(f"_q_{c}") for c in cols])
     j = _join_stats(df, stats, by)
+    if observation is not None:
+        beyond = lambda c: ((F.col(f"`_q_{c}`")[1] > F.col(f"`_q_{c}`")[0])
+                            & ((F.col(f"`{c}`") < F.col(f"`_q_{c}`")[0] - k * (F.col(f"`_q_{c}`")[1] - F.col(f"`_q_{c}`")[0]))
+                               | (F.col(f"`{c}`") > F.col(f"`_q_{c}`")[1] + k * (F.col(f"`_q_{c}`")[1] - F.col(f"`_q_{c}`")[0]))))
+        j = j.observe(observation, F.count(F.lit(1)).alias("rows"),
+                      *[F.count(F.when(beyond(c), 1)).alias(f"capped {c}") for c in cols])
     out = []
     for c in df.columns:
         if c in cols:
@@ -205,8 +213,44 @@ def cap_outliers(df: DataFrame, cols: list[str], by=(), k: float = IQR_K, exact:
     return j.select(*out)
 
 
+class CleaningProfile:
+    """What cleaning does, counted by the passes that do it: ``clean_upload`` with a
+    profile attaches many-column observations to its plan, so nothing is scanned again.
+    :meth:`rows` is to be called once the cleaned frame has been written."""
+
+    def __init__(self):
+        self.raw, self.unique, self.filled, self.capped, self.dates = (
+            Observation(f"{name}-{id(self)}") for name in ("raw", "unique", "filled", "capped", "dates"))
+        self.columns: list[str] = []
+        self.cappable: list[str] = []
+        self.dated = False
+
+    def rows(self, spark) -> DataFrame:
+        """metric, column, count: rows read, duplicates dropped and rows kept; per column
+        its missing values (null or a null token) when read and filled, and its capped
+        values; dates that could not be read (with the ETL's date rule)."""
+        raw, unique, filled = self.raw.get, self.unique.get, self.filled.get
+        out = [("rows_in", None, raw["rows"]), ("duplicates", None, raw["rows"] - unique["rows"]),
+               ("rows_out", None, filled["rows"])]
+        out += [("missing", c, raw[f"missing {c}"]) for c in self.columns]
+        out += [("filled", c, filled[f"filled {c}"]) for c in self.columns]
+        if self.cappable:
+            out += [("capped", c, self.capped.get[f"capped {c}"]) for c in self.cappable]
+        if self.dated:
+            out.append(("unread_dates", "date", self.dates.get["unread"]))
+        return spark.createDataFrame(out, "metric string, column string, count bigint")
+
+
+def _missing(df: DataFrame, c: str) -> Column:
+    """Whether cleaning sees a value as missing: null, or a text that is a null token."""
+    x = F.col(f"`{c}`")
+    if not isinstance(df.schema[c].dataType, T.StringType):
+        return x.isNull()
+    return x.isNull() | strip_ws(x).isin(*NULL_TOKENS)
+
+
 def clean_upload(df: DataFrame, order_col: str = ORDER_COL, by=(), exact_quantiles: bool = True,
-                 strict_reference: bool = False) -> tuple[DataFrame, list[str]]:
+                 strict_reference: bool = False, profile: CleaningProfile | None = None) -> tuple[DataFrame, list[str]]:
     """C1-C8 in order. Returns the cleaned frame and its numeric columns.
 
     Numeric columns that map to a customer or order id are neither filled with
@@ -216,8 +260,15 @@ def clean_upload(df: DataFrame, order_col: str = ORDER_COL, by=(), exact_quantil
     where it is numeric, its numbers are filled and capped, elsewhere its
     texts are filled; a column that is both keeps a text type."""
     # The upload is read by several statistics passes: de-duplicate once.
-    df = stored(trim_headers(drop_exact_duplicates(df, order_col)), "deduplicated")
-    cols = data_columns(df, order_col, by)
+    cols = data_columns(trim_headers(df), order_col, by)
+    if profile is not None:
+        profile.columns = cols
+        df = trim_headers(df).observe(profile.raw, F.count(F.lit(1)).alias("rows"),
+                                      *[F.count(F.when(_missing(df, c), 1)).alias(f"missing {c}") for c in cols])
+    df = trim_headers(drop_exact_duplicates(df, order_col))
+    if profile is not None:
+        df = df.observe(profile.unique, F.count(F.lit(1)).alias("rows"))
+    df = stored(df, "deduplicated")
     mapped = resolve_mapping(cols)
     ids = [] if strict_reference else [mapped[c] for c in ID_COLUMNS if mapped.get(c)]
     if by:
@@ -236,19 +287,24 @@ def clean_upload(df: DataFrame, order_col: str = ORDER_COL, by=(), exact_quantil
                 for c in df.columns]), numeric
     else:
         numeric = detect_numeric(df, cols)
-    return _clean_columns(df, cols, numeric, [c for c in ids if c in numeric], by, exact_quantiles)
+    return _clean_columns(df, cols, numeric, [c for c in ids if c in numeric], by, exact_quantiles, profile)
 
 
-def _clean_columns(df: DataFrame, cols: list[str], numeric: list[str], keep: list[str], by,
-                   exact_quantiles: bool) -> tuple[DataFrame, list[str]]:
+def _clean_columns(df: DataFrame, cols: list[str], numeric: list[str], keep: list[str], by, exact_quantiles: bool,
+                   profile: CleaningProfile | None = None) -> tuple[DataFrame, list[str]]:
     """C3-C8 once the numeric columns are known; ``keep`` is not filled or capped."""
     df = cast_numeric(df, numeric)
     bools = [c for c in cols if isinstance(df.schema[c].dataType, T.BooleanType)]
     fill = [c for c in numeric if c not in bools and c not in keep]
     text = [c for c in cols if c not in numeric and c not in bools and c not in keep]
-    df = impute_mean(df, fill, by)
-    df = impute_mode(normalise_text(df, text), text, by)
-    df = cap_outliers(df, fill, by, exact=exact_quantiles)
+    df = normalise_text(df, text)
+    if profile is not None:
+        profile.cappable = [c for c in fill if not is_id_like(c)]
+        df = df.observe(profile.filled, F.count(F.lit(1)).alias("rows"), *[
+            F.count(F.when(F.col(f"`{c}`").isNull() & F.lit(c in fill or c in text), 1)).alias(f"filled {c}")
+            for c in profile.columns])
+    df = impute_mode(impute_mean(df, fill, by), text, by)
+    df = cap_outliers(df, fill, by, exact=exact_quantiles, observation=profile and profile.capped)
     return df, numeric
 
 

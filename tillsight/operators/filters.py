@@ -7,6 +7,8 @@ table written with ``partitionBy("user_id", "dataset_id")``.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import all_of, ci_equals
@@ -52,6 +54,63 @@ def _col_or_empty(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
 
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october",
+          "november", "december"]
+
+
+def calendar_ranges(filters: dict, years: range) -> list[tuple[dt.date, dt.date]] | None:
+    """F18-F20 as date ranges [from, to): the months that year, quarter and month leave of
+    the years given, joined where they follow one another. None without such a filter or
+    where one of them names no calendar unit."""
+    f = {k: str(v) for k, v in filters.items() if k in ("year", "quarter", "month") and v not in (None, "")}
+    if not f:
+        return None
+    months = set(range(1, 13))
+    if "quarter" in f:
+        if f["quarter"] not in ("Q1", "Q2", "Q3", "Q4"):
+            return None
+        q = int(f["quarter"][1])
+        months &= {3 * q - 2, 3 * q - 1, 3 * q}
+    if "month" in f:
+        if f["month"].lower() not in MONTHS:
+            return None
+        months &= {MONTHS.index(f["month"].lower()) + 1}
+    if "year" in f:
+        if not (f["year"].isdigit() and 1 <= int(f["year"]) < 9999):
+            return None
+        years = [int(f["year"])]
+    out: list[tuple[dt.date, dt.date]] = []
+    for y in years:
+        for m in sorted(months):
+            start, end = dt.date(y, m, 1), dt.date(y + m // 12, m % 12 + 1, 1)
+            if out and out[-1][1] == start:
+                out[-1] = (out[-1][0], end)
+            else:
+                out.append((start, end))
+    return out
+
+
+def calendar_condition(df: DataFrame, filters: dict) -> Column | None:
+    """F18-F20 as comparisons of the date itself, which a Parquet scan prunes by. Without a
+    year, the table's least and greatest date bound the years (one aggregate of the date)."""
+    years = range(0)
+    f = {k: v for k, v in filters.items() if v not in (None, "")}
+    if "year" not in f and calendar_ranges(f, range(1)) is not None:
+        least, greatest = df.agg(F.year(F.min("date")), F.year(F.max("date"))).first()
+        if least is None:
+            return None
+        years = range(least, greatest + 1)
+    ranges = calendar_ranges(f, years)
+    if ranges is None:
+        return None
+    at = lambda d: F.to_timestamp(F.lit(d.isoformat()))
+    out = F.lit(False)
+    for i, (start, end) in enumerate(ranges):
+        own = (F.col("date") >= at(start)) & (F.col("date") < at(end))
+        out = own if i == 0 else out | own
+    return out
+
+
 def filter_conditions(df: DataFrame, filters: dict) -> list[Column]:
     """F1-F24 as a list of Columns; empty or missing values switch a filter off."""
     f = {k: v for k, v in (filters or {}).items() if v not in (None, "")}
@@ -72,12 +131,16 @@ def filter_conditions(df: DataFrame, filters: dict) -> list[Column]:
         status = (_col_or_empty(df, "inventory_status") if "inventory_status" in df.columns
                   else stock_tier("inventory_level"))
         conds.append(ci_equals(status, f["inventory_status"]))
-    if "year" in f:                # F18
-        conds.append(F.year(d).cast("string") == F.lit(str(f["year"])))
-    if "quarter" in f:             # F19
-        conds.append(F.concat(F.lit("Q"), F.quarter(d).cast("string")) == F.lit(f["quarter"]))
-    if "month" in f:               # F20
-        conds.append(F.lower(F.date_format(d, "MMMM")) == F.lit(str(f["month"]).lower()))
+    calendar = calendar_condition(df, f)
+    if calendar is not None:       # F18-F20: ranges of the date
+        conds.append(calendar)
+    else:
+        if "year" in f:            # F18
+            conds.append(F.year(d).cast("string") == F.lit(str(f["year"])))
+        if "quarter" in f:         # F19
+            conds.append(F.concat(F.lit("Q"), F.quarter(d).cast("string")) == F.lit(f["quarter"]))
+        if "month" in f:           # F20
+            conds.append(F.lower(F.date_format(d, "MMMM")) == F.lit(str(f["month"]).lower()))
     if "day" in f:                 # F21
         conds.append(F.lower(F.date_format(d, "EEEE")) == F.lit(str(f["day"]).lower()))
     if "week" in f:                # F22 (declared but unused upstream; ISO week here)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.columns import is_day_first, parse_number, parse_timestamp, whole_number
+from ..functions.columns import date_orders, parse_number, parse_timestamp, whole_number
 from ..schema import (DEFAULT_INVENTORY, DEFAULT_QUANTITY, DEFAULT_UNIT_PRICE, LABEL_DEFAULTS,
                       NONPOSITIVE_UNIT_PRICE, PASSTHROUGH_COLUMNS, PROFIT_RATE, SALES_SCHEMA,
                       SYNTH_INVENTORY_HIGH, SYNTH_INVENTORY_LOW)
@@ -58,15 +58,18 @@ def forward_fill(df: DataFrame, column: str, order_col: str = ORDER_COL, by=(),
             .drop("_chunk", "_local", "_carry"))
 
 
-def impute_date(df: DataFrame, now: str, order_col: str = ORDER_COL, by=()) -> DataFrame:
+def impute_date(df: DataFrame, now: str, order_col: str = ORDER_COL, by=(), profile=None) -> DataFrame:
     """Parse; unparseable -> previous valid date in row order; none
-    before -> ``now``."""
+    before -> ``now``. A cleaning profile counts the dates that could not be read."""
     if isinstance(df.schema["date"].dataType, T.StringType):
-        order = df.groupBy(*by).agg(is_day_first("date").alias("_day_first"))   # one row per upload
+        order = df.groupBy(*by).agg(date_orders("date").alias("_day_first"))   # one row per upload
         d = df.join(order, list(by)) if by else df.crossJoin(F.broadcast(order))
         d = d.withColumn("date", parse_dates(d, "date", F.col("_day_first"))).drop("_day_first")
     else:
         d = df.withColumn("date", parse_dates(df, "date"))
+    if profile is not None:
+        profile.dated = True
+        d = d.observe(profile.dates, F.count(F.when(F.col("date").isNull(), 1)).alias("unread"))
     d = forward_fill(d, "date", order_col, by)
     return d.withColumn("date", F.coalesce("date", F.to_timestamp(F.lit(now))))
 
@@ -122,11 +125,11 @@ def synth_inventory(order_col: str = ORDER_COL, seed: int = 42) -> Column:
 
 
 def impute_fields(mapped: DataFrame, present: set[str], now: str, order_col: str = ORDER_COL,
-                  by=(), seed: int = 42) -> DataFrame:
+                  by=(), seed: int = 42, profile=None) -> DataFrame:
     """I1-I11 on a mapped frame. The date rule needs a row order; when the
     date column is absent, rows get consecutive days ending at ``now``."""
     if "date" in present:
-        d = impute_date(mapped, now, order_col, by)
+        d = impute_date(mapped, now, order_col, by, profile)
     else:
         # ``order_col`` is a dense 1-based position per upload (see
         # plans.etl.with_row_order), so only the row count is aggregated.

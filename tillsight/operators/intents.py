@@ -26,7 +26,24 @@ REPLY_HELP = ("I can help you analyze your retail metrics! Try asking questions
               "- *Show me a breakdown of our customer segments.*")
 REPLY_NO_DATA = ("It looks like you haven't uploaded a dataset yet. Please go to the Dashboard or Settings page "
                  "to upload your retail data, and then I'll be happy to answer your business questions!")
+REPLY_STOCK = "Your average inventory stock level is **%d** units. "
+REPLY_STOCK_LOW = ("⚠️ **Attention**: There are **%d** products with critically low stock "
+                   "(under 50 units).")
 REPLY_STOCK_OK = "Inventory status is stable with no low stock warnings."
+REPLY_SALES_CATEGORY = "The total sales revenue generated for the **%s** category is **%s**."
+REPLY_SALES_REGION = "The total sales revenue generated in the **%s** region is **%s**."
+REPLY_TOTAL = "Your platform total revenue is **%s** across **%s** total units sold."
+REPLY_PROFIT = "Your net profit is **%s** on a profit margin of **%.2f%%**."
+REPLY_WORST = "Here are the **least-performing products** based on sales volume:\n\n"
+REPLY_TOP = "Here are the **top-performing products** based on sales volume:\n\n"
+REPLY_PRODUCT_LINE = "%d. **%s** - Revenue: %s (%s units)\n"
+REPLY_CUSTOMERS = ("You have **%s** unique customer identifiers recorded. Here is their segmentation "
+                   "breakdown:\n\n")
+REPLY_SEGMENT_LINE = "- **%s**: %s customers\n"
+REPLY_CATEGORIES = "Here is the sales performance across your product categories:\n\n"
+REPLY_CATEGORY_LINE = "- **%s**: Total Sales: %s\n"
+REPLY_REGIONS = "Here is your regional sales breakdown:\n\n"
+REPLY_REGION_LINE = "- **%s**: %s\n"
 
 
 def _contains_any(text: Column, words) -> Column:
@@ -55,28 +72,49 @@ def dimension_values(sales: DataFrame, dims=("category", "region")) -> DataFrame
             .distinct().withColumn("lv", F.lower("value")).withColumn("len", F.length("lv")))
 
 
+GRAM = 3   # length of the grams of the entity index
+
+
+def grams(text: Column, n: Column | int) -> Column:
+    """The distinct substrings of length ``n``; none of a shorter text."""
+    n = F.lit(n) if isinstance(n, int) else n
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, n)))
+                  ).otherwise(F.array().cast("array<string>"))
+
+
+def rarest_grams(values: DataFrame) -> DataFrame:
+    """An inverted index of the values: each under the one of its grams that fewest of the
+    tenant's values hold (ties: the smallest). A value shorter than a gram is its own."""
+    n = F.least(F.col("len"), F.lit(GRAM))
+    each = values.select("*", F.explode(grams(F.col("lv"), n)).alias("gram"))
+    held = each.select("user_id", "gram", "lv").distinct().groupBy("user_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    return (each.join(held, ["user_id", "gram"]).groupBy("user_id", "dim", "value", "lv")
+            .agg(F.min_by("gram", F.struct("n", "gram")).alias("gram")))
+
+
+def match_texts(texts: DataFrame, sales: DataFrame, dims=("category", "region")) -> DataFrame:
+    """J4 on distinct texts (user_id, lt): for each dimension, the tenant's value (smallest
+    name on ties) that occurs in the text as a substring.
+
+    A text is exploded into its distinct grams, of the lengths that the index uses, and
+    meets the values listed under one of them; only these are searched in the text."""
+    index = rarest_grams(dimension_values(sales, dims))
+    lengths = index.agg(F.array_sort(F.collect_set(F.length("gram"))).alias("lengths"))   # one row, GRAM entries
+    found = (texts.crossJoin(F.broadcast(lengths))
+             .select("user_id", "lt", F.explode(F.flatten(F.transform("lengths", lambda n: grams(F.col("lt"), n))))
+                     .alias("gram"))
+             .join(index, ["user_id", "gram"]).where(F.col("lt").contains(F.col("lv"))))
+    return (found.groupBy("user_id", "lt").pivot("dim", list(dims)).agg(F.min("value"))
+            .select("user_id", "lt", *[F.col(d).alias(f"matched_{d}") for d in dims]))
+
+
 def match_entities(messages: DataFrame, sales: DataFrame, dims=("category", "region")) -> DataFrame:
-    """For each message and dimension, the tenant's value (smallest name
-    on ties) that occurs in the lower-cased text as a substring.
-
-    Exact and shuffle-based: every substring of the text with a length
-    between the shortest and the longest value is exploded and equi-joined
-    with the values on (tenant, substring). The length bounds are a one-row
-    aggregate, joined as a scalar."""
-    vals = dimension_values(sales, dims)
-    bounds = vals.agg(F.min("len").alias("lo"), F.max("len").alias("hi"))
-    low = F.lower(F.col("text"))
-    subs = (messages.select("msg_id", "user_id", low.alias("lt"))
-            .crossJoin(F.broadcast(bounds))   # one row
-            .select("msg_id", "user_id", "lt", F.explode(F.sequence(F.lit(1), F.greatest(F.length("lt"), F.lit(1))))
-                    .alias("pos"), "lo", "hi")
-            .select("msg_id", "user_id", "lt", "pos",
-                    F.explode(F.sequence("lo", F.greatest(F.col("lo"), F.least("hi", F.length("lt") - F.col("pos") + 1))))
-                    .alias("len"))
-            .select("msg_id", "user_id", "len", F.substring("lt", F.col("pos"), F.col("len")).alias("lv")))
-    hits = subs.join(vals, ["user_id", "len", "lv"])
-    return (hits.groupBy("msg_id", "user_id").pivot("dim", list(dims)).agg(F.min("value"))
-            .select("msg_id", "user_id", *[F.col(d).alias(f"matched_{d}") for d in dims]))
+    """J4 for messages: each distinct text of a tenant is matched once."""
+    m = messages.select("msg_id", "user_id", F.lower("text").alias("lt"))
+    texts = m.select("user_id", "lt").where("lt IS NOT NULL").distinct()
+    return m.join(match_texts(texts, sales, dims), ["user_id", "lt"]).drop("lt").select(
+        "msg_id", "user_id", *[f"matched_{d}" for d in dims])
 
 
 def entity_table(messages: DataFrame, sales: DataFrame, dims=("category", "region")) -> DataFrame:
@@ -239,60 +277,66 @@ def _lines(df: DataFrame, order: list[str], line: Column, alias: str) -> DataFra
             .select("user_id", F.array_join(F.transform("xs", lambda x: x["l"]), "").alias(alias)))
 
 
-def reply_text(messages: DataFrame, sales: DataFrame) -> DataFrame:
-    """Q10: the reply text of every question (currency with two decimals and
-    thousands separators; lists rendered one line per row)."""
-    tagged = _sales_answers(_tagged(messages, sales), sales)
-    a = tenant_answers(sales)
+def _numbered(r: DataFrame, alias: str) -> DataFrame:
+    return _lines(r, ["rank"], F.format_string(REPLY_PRODUCT_LINE, F.col("rank"), F.col("product_name"),
+                                               currency("s"), thousands("q")), alias)
+
+
+def tenant_replies(sales: DataFrame) -> DataFrame:
+    """Q10: the replies that a tenant's questions can get, apart from sales questions:
+    one row per (tenant, topic), where a topic is an intent or ``worst``."""
     r = product_ranking(sales)
-    prod = _lines(r.where(~F.col("worst")), ["rank"], F.format_string(
-        "%d. **%s** - Revenue: %s (%s units)\n", F.col("rank"), F.col("product_name"), currency("s"), thousands("q")),
-        "top_lines")
-    worst = _lines(r.where(F.col("worst")), ["rank"], F.format_string(
-        "%d. **%s** - Revenue: %s (%s units)\n", F.col("rank"), F.col("product_name"), currency("s"), thousands("q")),
-        "worst_lines")
     seg = _lines(segment_customer_counts(sales), ["segment"], F.format_string(
-        "- **%s**: %s customers\n", F.col("segment"), thousands("customers")), "seg_lines")
+        REPLY_SEGMENT_LINE, F.col("segment"), thousands("customers")), "seg_lines")
     cat = _lines(sales.groupBy("user_id", "category").agg(F.sum("total_sales").alias("s")), ["category"],
-                 F.format_string("- **%s**: Total Sales: %s\n", F.col("category"), currency("s")), "cat_lines")
+                 F.format_string(REPLY_CATEGORY_LINE, F.col("category"), currency("s")), "cat_lines")
     reg = _lines(sales.groupBy("user_id", "region").agg(F.sum("total_sales").alias("s")), ["region"],
-                 F.format_string("- **%s**: %s\n", F.col("region"), currency("s")), "reg_lines")
-    per_tenant = combine_by_tenant([a, prod, worst, seg, cat, reg])
-    j = (tagged.select("msg_id", "user_id", "intent", "worst", "kind", "target",
-                       F.col("sales_value").alias("sv"), F.col("sales_units").alias("su"))
-         .join(per_tenant, "user_id", "left"))
+                 F.format_string(REPLY_REGION_LINE, F.col("region"), currency("s")), "reg_lines")
+    t = combine_by_tenant([tenant_answers(sales), _numbered(r.where(~F.col("worst")), "top_lines"),
+                           _numbered(r.where(F.col("worst")), "worst_lines"), seg, cat, reg])
+    lines = lambda c: F.coalesce(c, F.lit(""))
+    stock_tail = F.when(F.col("low_stock_count") > 0, F.format_string(REPLY_STOCK_LOW, F.col("low_stock_count"))
+                        ).otherwise(F.lit(REPLY_STOCK_OK))
+    replies = {
+        "profit": F.format_string(REPLY_PROFIT, currency("total_profit"), F.col("profit_margin_percent")),
+        "worst": F.concat(F.lit(REPLY_WORST), lines("worst_lines")),
+        "product": F.concat(F.lit(REPLY_TOP), lines("top_lines")),
+        "customer": F.concat(F.format_string(REPLY_CUSTOMERS, thousands("customers")), lines("seg_lines")),
+        "inventory": F.concat(F.format_string(REPLY_STOCK, F.col("average_stock").cast("bigint")), stock_tail),
+        "category": F.concat(F.lit(REPLY_CATEGORIES), lines("cat_lines")),
+        "region": F.concat(F.lit(REPLY_REGIONS), lines("reg_lines")),
+        "forecast": F.lit(REPLY_FORECAST), "help": F.lit(REPLY_HELP)}
+    return t.select("user_id", F.explode(F.array(*[F.struct(F.lit(k).alias("topic"), v.alias("reply"))
+                                                  for k, v in replies.items()])).alias("r")).select("user_id", "r.*")
+
+
+def sales_replies(sales: DataFrame) -> DataFrame:
+    """Q10: the reply to every sales question a tenant can ask: one row per (tenant, kind,
+    lower-cased name), the name of the total being ''."""
+    a = sales_answer_table(sales)
+    value = currency(as_double(F.coalesce("ans_sales", F.lit(0))))
+    units = thousands(F.coalesce("ans_units", F.lit(0)).cast("bigint"))
+    return a.select("user_id", "kind", "key", value.alias("value"),
+                    F.format_string(REPLY_TOTAL, value, units).alias("total"))
+
+
+def reply_text(messages: DataFrame, sales: DataFrame) -> DataFrame:
+    """Q10: the reply text of every question (currency with two decimals and thousands
+    separators; lists rendered one line per row). A reply is composed once for each
+    tenant and topic; a question is joined with its reply only."""
+    t = _tagged(messages, sales)
     i = F.col("intent")
-    stock = F.format_string("Your average inventory stock level is **%d** units. ",
-                            F.col("average_stock").cast("bigint"))
-    stock_tail = F.when(F.col("low_stock_count") > 0, F.format_string(
-        "⚠️ **Attention**: There are **%d** products with critically low stock (under 50 units).",
-        F.col("low_stock_count"))).otherwise(F.lit(REPLY_STOCK_OK))
-    reply = (
-        F.when(F.col("total_revenue").isNull(), F.lit(REPLY_NO_DATA))
-        .when((i == "sales") & (F.col("kind") == "category"), F.format_string(
-            "The total sales revenue generated for the **%s** category is **%s**.", F.col("target"), currency("sv")))
-        .when((i == "sales") & (F.col("kind") == "region"), F.format_string(
-            "The total sales revenue generated in the **%s** region is **%s**.", F.col("target"), currency("sv")))
-        .when(i == "sales", F.format_string(
-            "Your platform total revenue is **%s** across **%s** total units sold.", currency("sv"),
-            thousands("su")))
-        .when(i == "profit", F.format_string(
-            "Your net profit is **%s** on a profit margin of **%.2f%%**.", currency("total_profit"),
-            F.col("profit_margin_percent")))
-        .when((i == "product") & F.col("worst"), F.concat(
-            F.lit("Here are the **least-performing products** based on sales volume:\n\n"),
-            F.coalesce("worst_lines", F.lit(""))))
-        .when(i == "product", F.concat(
-            F.lit("Here are the **top-performing products** based on sales volume:\n\n"),
-            F.coalesce("top_lines", F.lit(""))))
-        .when(i == "customer", F.concat(F.format_string(
-            "You have **%s** unique customer identifiers recorded. Here is their segmentation breakdown:\n\n",
-            thousands("customers")), F.coalesce("seg_lines", F.lit(""))))
-        .when(i == "inventory", F.concat(stock, stock_tail))
-        .when(i == "category", F.concat(F.lit("Here is the sales performance across your product categories:\n\n"),
-                                        F.coalesce("cat_lines", F.lit(""))))
-        .when(i == "region", F.concat(F.lit("Here is your regional sales breakdown:\n\n"),
-                                      F.coalesce("reg_lines", F.lit(""))))
-        .when(i == "forecast", F.lit(REPLY_FORECAST))
-        .otherwise(F.lit(REPLY_HELP)))
+    kind = (F.when(F.col("matched_category").isNotNull(), "category")
+            .when(F.col("matched_region").isNotNull(), "region").otherwise("total"))
+    target = F.coalesce("matched_category", "matched_region")
+    t = t.select("msg_id", "user_id", "intent", F.when((i == "product") & F.col("worst"), "worst").otherwise(i)
+                 .alias("topic"), F.when(i == "sales", kind).alias("kind"), target.alias("target"),
+                 F.when(i == "sales", F.coalesce(F.lower(target), F.lit(""))).alias("key"))
+    known = sales.select("user_id").distinct().withColumn("_known", F.lit(True))
+    j = (t.join(tenant_replies(sales), ["user_id", "topic"], "left")
+         .join(sales_replies(sales), ["user_id", "kind", "key"], "left").join(known, "user_id", "left"))
+    reply = (F.when(F.col("_known").isNull(), F.lit(REPLY_NO_DATA))
+             .when(F.col("kind") == "category", F.format_string(REPLY_SALES_CATEGORY, F.col("target"), F.col("value")))
+             .when(F.col("kind") == "region", F.format_string(REPLY_SALES_REGION, F.col("target"), F.col("value")))
+             .when(F.col("kind") == "total", F.col("total")).otherwise(F.col("reply")))
     return j.select("msg_id", "user_id", "intent", reply.alias("reply"))

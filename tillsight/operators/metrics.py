@@ -74,8 +74,12 @@ def kpi_summary(sales: DataFrame, by=TENANT, exact_distinct: bool = True) -> Dat
         F.avg("inventory_level").alias("avg_inv"),
     )
     g = mom_growth(sales, by).select(*_by(by), "sales_growth")
-    out = base.join(g, _by(by), "left") if by else base.crossJoin(g)
-    return out.select(
+    return kpi_columns(base.join(g, _by(by), "left") if by else base.crossJoin(g), by)
+
+
+def kpi_columns(base: DataFrame, by=TENANT) -> DataFrame:
+    """The KPI values from a tenant's sums (rev, prof, avg_inv), counts and growth."""
+    return base.select(
         *_by(by),
         as_double(F.round("rev", 2)).alias("total_revenue"),
         "total_sales", "total_customers", "total_products",

@@ -29,6 +29,11 @@ def rfm(sales: DataFrame, by=TENANT, customer: str = "customer_id") -> DataFrame
            .groupBy(*by, customer)
            .agg(F.max("date").alias("last_date"), F.count("id").alias("frequency"),
                 F.sum("total_sales").alias("monetary")))
+    return rfm_of(per, by, customer)
+
+
+def rfm_of(per: DataFrame, by=TENANT, customer: str = "customer_id") -> DataFrame:
+    """G1 from one row per customer: last_date, frequency and monetary."""
     ref = per.groupBy(*by).agg(F.max("last_date").alias("ref_date"))
     return (per.join(ref, list(by))
             .select(*by, customer,

@@ -185,8 +185,10 @@ def _season(t):
 # --- filters, ledger, set operations ------------------------------------------
 
 from ..operators import ledger as led  # noqa: E402
+from ..operators import rank_index as rix  # noqa: E402
 from ..operators import timeseries as ts  # noqa: E402
 
+DEEP_RANGES = 24   # ranges of the registered query's rank index
 FILTER_COLUMNS = ["id", "user_id", "date", "category", "total_sales"]
 FILTER_CASES = {
     "filter_date_range": {"start_date": "1996-01-01", "end_date": "1998-12-31"},
@@ -245,6 +247,16 @@ def _ledger_page_clamped(t):
     return led.ledger_page(s, "product_name", ascending=True, page=10 ** 9)
 
 
+@query("ledger_page_deep")
+def _ledger_page_deep(t):
+    """A page beyond the early rows, from a rank index of the ledger sorted by product:
+    the page that starts at three quarters of the average tenant's rows, for every tenant."""
+    s = sales(t).select("id", "user_id", "product_name", "total_sales")
+    index = rix.build_rank_index(s, "product_name", scratch_path(t.spark, "rank-index"), ranges=DEEP_RANGES)
+    rows = index.ranges.agg(F.sum("n"), F.countDistinct("user_id")).first()   # one row
+    return rix.indexed_page(index, page=int(rows[0] * 3 // (4 * rows[1] * 8)) + 1)
+
+
 @query("distinct_dims")
 def _distinct(t):
     return led.distinct_dims(sales(t))
@@ -399,6 +411,24 @@ def dirty_mapped(t):
     return mapped, {k for k, v in mapping.items() if v}
 
 
+def shaped_dates(t: Tables) -> DataFrame:
+    """An upload per tenant: its orders with dates written in a shape of each row's own.
+    Tenants 0 to 3 write numeric dates with the day first, the others with the month."""
+    o = t.orders.select((F.col("o_custkey") % 8).alias("user_id"), F.col("o_orderkey").alias("_row"),
+                        F.col("o_orderdate").cast("timestamp").alias("d"))
+    day, month = F.date_format("d", "dd"), F.date_format("d", "MM")
+    one, two = (F.when(F.col("user_id") < 4, a).otherwise(b) for a, b in ((day, month), (month, day)))
+    year, short = F.date_format("d", "yyyy"), F.date_format("d", "yy")
+    iso, shapes = F.date_format("d", "yyyy-MM-dd"), F.col("_row") % 12
+    texts = [iso, F.concat_ws("/", one, two, year), F.concat_ws("-", one, two, year), F.concat_ws(".", one, two, year),
+             F.concat_ws("/", one, two, short), F.date_format("d", "d-MMM-yyyy"), F.date_format("d", "MMMM d, yyyy"),
+             F.date_format("d", "yyyyMMdd"), F.concat(iso, F.lit(" 10:05 PM")),
+             F.concat(F.concat_ws("/", one, two, year), F.lit(" 12:30 am")),
+             F.concat(F.date_format("d", "d MMM yy"), F.lit(" 3:04:05 p.m.")), F.concat(iso, F.lit("T23:00:00-02:00"))]
+    text = F.element_at(F.array(*texts), (shapes + 1).cast("int"))
+    return o.select("user_id", "_row", text.alias("date"))
+
+
 @query("clean_dedup")
 def _c_dedup(t):
     return dirty_deduped(t)
@@ -441,6 +471,16 @@ def _c_prof(t):
     return cl.clean_profile(dirty_ordered(t), dirty_cleaned(t))
 
 
+@query("clean_profile_observed")
+def _c_prof_observed(t):
+    """Rows, duplicates, missing, filled and capped values and unread dates, counted
+    by the passes that clean the upload while its processed copy is written."""
+    profile = cl.CleaningProfile()
+    canonical = etl.transform_upload(dirty_ordered(t), user_id=7, dataset_id=1, now=NOW, profile=profile)[1]
+    wr.write_copy(canonical, scratch_path(t.spark, "processed"))
+    return profile.rows(t.spark)
+
+
 @query("map_columns")
 def _map(t):
     return dirty_mapped(t)[0]
@@ -452,6 +492,28 @@ def _i_ffill(t):
     return imp.impute_date(mapped, NOW).select("_row", "date")
 
 
+@query("impute_date_shapes")
+def _i_shapes(t):
+    """I1/T11 over many uploads at once, one per tenant, whose dates are written in twelve
+    shapes: each upload's own day order, two-digit years, month names, hours with AM/PM."""
+    return imp.impute_date(shaped_dates(t), NOW, by=("user_id",)).select("user_id", "_row", "date")
+
+
+@query("clean_code_columns")
+def _c_codes(t):
+    """C4: columns of product codes that look like numbers with a suffix, an exponent or
+    a hexadecimal prefix, beside plain numbers: only the latter are numeric."""
+    k, low = F.col("p_partkey"), F.col("p_partkey") % 3
+    suffix = F.when(low == 0, "d").when(low == 1, "F").otherwise("L")
+    codes = t.part.select(
+        F.concat(k.cast("string"), suffix).alias("code"), F.concat(F.lit("0x"), F.hex(k)).alias("hex"),
+        F.concat(F.lit(" "), k.cast("string"), F.lit(".50 ")).alias("amount"),
+        F.concat(k.cast("string"), F.lit("e2")).alias("scaled"),
+        F.when(low == 0, "NaN").otherwise(k.cast("string")).alias("gaps"),
+        F.when(k == 1, "1d").otherwise(k.cast("string")).alias("one_code"))
+    return cl.numeric_profile(codes, codes.columns)
+
+
 @query("impute_date_backfill")
 def _i_backfill(t):
     """The same upload without its date column (dense row positions)."""
@@ -683,6 +745,7 @@ from ..sinks import writers as wr  # noqa: E402
 from ..sources.raw import landing_manifest, read_raw_csv  # noqa: E402
 from ..sources.registry import list_datasets  # noqa: E402
 from . import dashboard as dash  # noqa: E402
+from . import partials as part  # noqa: E402
 from . import reports as rep  # noqa: E402
 
 
@@ -844,6 +907,24 @@ def _dash(t):
     return dash.dashboard_payload(sales(t))
 
 
+@query("dashboard_parts")
+def _dash_parts(t):
+    """The bundle's values, one row each."""
+    return dash.payload_rows(dash.dashboard_payload(sales(t), as_json=False))
+
+
+@query("dashboard_incremental")
+def _dash_incremental(t):
+    """K10 from partial aggregates: load every upload, load tenant 2's 1995 upload again
+    with only its lines above 25 units, and read the bundle from the partial rows."""
+    base, s = scratch_path(t.spark, "incremental"), sales(t)
+    part.load_with_partials(s, f"{base}/sales", f"{base}/partials")
+    again = s.where((F.col("user_id") == 2) & (F.col("dataset_id") == 1995) & (F.col("quantity") > 25))
+    part.load_with_partials(again, f"{base}/sales", f"{base}/partials")
+    return dash.payload_rows(part.dashboard_of_partials(
+        part.read_partials(t.spark, f"{base}/partials"), as_json=False))
+
+
 # --- training, persistence, upload flow, stream ------------------------------------------
 
 from ..streaming.ingest import ingest_landing  # noqa: E402

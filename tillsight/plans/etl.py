@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from ..operators.clean import ORDER_COL, clean_upload
+from ..operators.clean import ORDER_COL, CleaningProfile, clean_upload
 from ..operators.impute import canonicalise, impute_fields
 from ..operators.ledger import positions_by, with_positions
 from ..operators.mapping import map_columns
@@ -31,14 +31,15 @@ def file_order(df: DataFrame) -> DataFrame:
 
 
 def transform_upload(raw: DataFrame, user_id: int | None, dataset_id: int | None, now: str,
-                     exact_quantiles: bool = True, by=()) -> tuple[DataFrame, DataFrame, dict]:
+                     exact_quantiles: bool = True, by=(), profile: CleaningProfile | None = None
+                     ) -> tuple[DataFrame, DataFrame, dict]:
     """Returns (cleaned, canonical, mapping) for a raw upload that carries
     ``_row``; with ``by=UPLOAD_KEY``, for many uploads of one header at once
     (types and statistics per upload)."""
-    cleaned, _ = clean_upload(raw, ORDER_COL, by, exact_quantiles=exact_quantiles)
+    cleaned, _ = clean_upload(raw, ORDER_COL, by, exact_quantiles=exact_quantiles, profile=profile)
     mapped, mapping = map_columns(cleaned, keep=(ORDER_COL, *by))
     present = {k for k, v in mapping.items() if v}
-    canonical = canonicalise(impute_fields(mapped, present, now, by=by), user_id, dataset_id)
+    canonical = canonicalise(impute_fields(mapped, present, now, by=by, profile=profile), user_id, dataset_id)
     return cleaned, canonical, mapping
 
 

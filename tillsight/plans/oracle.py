@@ -317,6 +317,10 @@ ORACLE["ledger_page"] = with_sales(_PAGE_BODY, _PAGE.format(key="total_sales ASC
 ORACLE["ledger_page_clamped"] = with_sales(
     _PAGE_BODY, _PAGE.format(key="lower(coalesce(product_name, '')) ASC NULLS FIRST", page=10 ** 9))
 
+ORACLE["ledger_page_deep"] = with_sales(_PAGE_BODY, _PAGE.format(
+    key="lower(coalesce(product_name, '')) ASC NULLS FIRST",
+    page="(SELECT count(*) * 3 // (32 * count(DISTINCT user_id)) + 1 FROM sales)"))
+
 ORACLE["distinct_dims"] = with_sales("""
 SELECT DISTINCT user_id, dim, value FROM (
   SELECT user_id, 'category' AS dim, category AS value FROM sales
@@ -530,6 +534,30 @@ SELECT 'rows' AS metric, CAST(NULL AS VARCHAR) AS column, (SELECT count(*) FROM
     f" (SELECT count(*) FILTER (WHERE {c} IS NULL) FROM c_cap)\n"
     for c in ["row_seq", "order_date", "qty", "category", "sales", "customer_id"]), 8)
 
+_ALL = ["row_seq", "qty", "order_date", "category", "sales", "customer_id"]
+
+
+def _observed_sql() -> str:
+    gone = lambda c: (f"{c} IS NULL" if c in ("row_seq", "qty") else
+                      f"({c} IS NULL OR {_strip(c)} IN ('nan', '', 'None', 'NULL', 'Unknown'))")
+    one = lambda metric, column, value: f"SELECT '{metric}' AS metric, {column} AS column, ({value}) AS count"
+    out = [one("rows_in", "NULL", "SELECT count(*) FROM raw"),
+           one("duplicates", "NULL", "SELECT (SELECT count(*) FROM raw) - count(*) FROM d0"),
+           one("rows_out", "NULL", "SELECT count(*) FROM d0")]
+    for c in _ALL:
+        out.append(one("missing", f"'{c}'", f"SELECT count(*) FROM raw WHERE {gone(c)}"))
+        out.append(one("filled", f"'{c}'", f"SELECT count(*) FROM d0 WHERE {gone(c)}"))
+    for c, lo, hi in (("qty", "q1", "q3"),):
+        out.append(one("capped", f"'{c}'", f"SELECT count(*) FROM c_mode, q WHERE {hi} > {lo} AND ({c} < {lo} - 1.5 * "
+                       f"({hi} - {lo}) OR {c} > {hi} + 1.5 * ({hi} - {lo}))"))
+    out.append(one("capped", "'row_seq'", "SELECT count(*) FROM c_mode, q WHERE r3 > r1 AND (row_seq < r1 - 1.5 * "
+                   "(r3 - r1) OR row_seq > r3 + 1.5 * (r3 - r1))"))
+    out.append(one("unread_dates", "'date'", "SELECT count(*) FROM mp WHERE try_strptime(date, '%Y-%m-%d') IS NULL"))
+    return "\nUNION ALL\n".join(out)
+
+
+ORACLE["clean_profile_observed"] = with_clean(_observed_sql())
+
 _NULLS = ", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in [
     "product_name", "sub_category", "unit_price", "total_profit", "customer_segment", "region", "store_name",
     "country", "state", "city", "brand", "supplier", "customer_type", "payment_method", "sales_channel",
@@ -537,6 +565,15 @@ _NULLS = ", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in [
 ORACLE["map_columns"] = with_clean(
     f"SELECT _row, date, quantity, category, total_sales, customer_id, {_NULLS} FROM mp", 9)
 ORACLE["impute_date_ffill"] = with_clean("SELECT _row, strftime(date, '%Y-%m-%d %H:%M:%S') AS date FROM imp", 10)
+ORACLE["impute_date_shapes"] = """
+SELECT CAST(o_custkey % 8 AS BIGINT) AS user_id, o_orderkey AS _row, strftime(CAST(o_orderdate AS DATE) + CASE o_orderkey % 12
+         WHEN 8 THEN INTERVAL 1325 MINUTE WHEN 9 THEN INTERVAL 30 MINUTE WHEN 10 THEN INTERVAL 54245 SECOND
+         WHEN 11 THEN INTERVAL 25 HOUR ELSE INTERVAL 0 HOUR END, '%Y-%m-%d %H:%M:%S') AS date FROM orders"""
+ORACLE["clean_code_columns"] = """
+SELECT c AS column, count(*) AS non_null, CASE WHEN c IN ('code', 'hex') THEN 0 WHEN c = 'one_code'
+         THEN count(*) FILTER (p_partkey <> 1) ELSE count(*) END AS parseable,
+       c NOT IN ('code', 'hex') AND NOT (c = 'one_code' AND count(*) FILTER (p_partkey = 1) > 0) AS is_numeric
+FROM part, (VALUES ('code'), ('hex'), ('amount'), ('scaled'), ('gaps'), ('one_code')) v(c) GROUP BY c"""
 ORACLE["impute_date_backfill"] = with_clean("""
 SELECT _row, customer_id, strftime(TIMESTAMP '2024-01-01 00:00:00' - to_days(CAST(count(*) OVER () - _row AS INTEGER)),
                                    '%Y-%m-%d %H:%M:%S') AS date
@@ -923,3 +960,33 @@ SELECT '.csv' AS ext, true AS accepted, CAST(NULL AS VARCHAR) AS reason,
        count(DISTINCT (user_id, dataset_id)) AS files FROM sales
 UNION ALL
 SELECT '.parquet', false, 'unsupported file type', count(DISTINCT user_id) FROM sales""")
+
+
+def _parts_sql() -> str:
+    """The dashboard's values from the statements of its parts."""
+    out = []
+    for part, key, order, label, values in [
+            ("sales_trend", "trend_daily", "label", "label", ["value"]),
+            ("monthly_revenue", "trend_monthly", "label", "label", ["value"]),
+            ("category_distribution", "category_distribution", "sales DESC, category", "category",
+             ["sales", "percentage"]),
+            ("top_products", "top_products", "rank", "product_name", ["sales", "quantity", "profit"]),
+            ("worst_products", "worst_products", "rank", "product_name", ["sales", "quantity", "profit"]),
+            ("regional_sales", "regional_sales", "value DESC, region", "region", ["value"])]:
+        cols = ", ".join(f"CAST({values[i] if i < len(values) else 'NULL'} AS DOUBLE) AS {n}"
+                         for i, n in enumerate("abc"))
+        out.append(f"SELECT user_id, '{part}' AS part, row_number() OVER (PARTITION BY user_id ORDER BY {order}) AS pos, "
+                   f"{label} AS label, {cols} FROM ({ORACLE[key]})")
+    for name in ["total_revenue", "total_sales", "total_customers", "total_products", "total_profit",
+                 "avg_inventory", "sales_growth", "profit_margin"]:
+        out.append(f"SELECT user_id, 'kpis', 0, '{name}', CAST({name} AS DOUBLE), NULL, NULL "
+                   f"FROM ({ORACLE['kpi_summary']})")
+    out.append("SELECT user_id, 'customer_segments', 0, segment, CAST(customers AS DOUBLE), NULL, NULL "
+               f"FROM ({ORACLE['segment_counts']})")
+    return "\nUNION ALL\n".join(out)
+
+
+ORACLE["dashboard_parts"] = _parts_sql()
+_LAST_JOIN = "JOIN region ON n_regionkey = r_regionkey)"
+ORACLE["dashboard_incremental"] = ORACLE["dashboard_parts"].replace(
+    _LAST_JOIN, _LAST_JOIN[:-1] + " WHERE NOT (l_suppkey % 8 = 2 AND year(o_orderdate) = 1995 AND l_quantity <= 25))")
