@@ -95,7 +95,7 @@ def calendar_condition(df: DataFrame, filters: dict) -> Column | None:
     year, the table's least and greatest date bound the years (one aggregate of the date)."""
     years = range(0)
     f = {k: v for k, v in filters.items() if v not in (None, "")}
-    if "year" not in f and calendar_ranges(f, range(1)) is not None:
+    if "year" not in f and calendar_ranges(f, range(1, 2)) is not None:
         least, greatest = df.agg(F.year(F.min("date")), F.year(F.max("date"))).first()
         if least is None:
             return None
