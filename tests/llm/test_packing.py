@@ -28,19 +28,38 @@ def whole(library, text):
 
 
 @pytest.mark.parametrize("specials_are_text", [False, True])
-def test_ids_by_words_equal_those_of_whole_texts(library, small, specials_are_text):
+@pytest.mark.parametrize("plain", [True, False])
+def test_ids_equal_those_of_the_library(library, small, specials_are_text, plain):
     texts = ODD + [r.text or "" for r in small.collect()]
     library.encode_special_tokens = specials_are_text
-    bpe = wordwise.ByteBpe(wordwise.public_path(wordwise.BYTE_BPE), specials_are_text)
-    got = packing.encode_texts(bpe, texts)
-    assert [x.tolist() for x in got] == [whole(library, t) for t in texts]
+    bpe = wordwise.ByteBpe(wordwise.public_path(wordwise.BYTE_BPE), specials_are_text, plain)
+    assert bool(bpe.fast) == plain
+    want = [whole(library, t) for t in texts]
+    assert [x.tolist() for x in bpe.whole(texts)] == want
+    if specials_are_text:   # by words, with the blank before a text
+        cut = wordwise.Slice([t for t in texts if t])
+        flat, numbers = bpe.encode(cut.names)
+        parts = np.split(flat, np.cumsum(numbers)[:-1])
+        assert [[int(i) for w in each for i in parts[w]] for each in cut.each] == [
+            whole(library, " " + t) for t in texts if t]
     library.encode_special_tokens = False
 
 
+def test_ids_equal_those_of_the_library_for_every_character(library):
+    bpe = wordwise.ByteBpe(wordwise.public_path(wordwise.BYTE_BPE))
+    assert bpe.fast
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for a in range(0, len(codes), 40_000):
+        texts = ["a{0}b {0}{0} 1{0}2 {0}\n{0}'s".format(chr(c)) for c in codes[a:a + 40_000]]
+        got = bpe.whole(texts)
+        assert [x.tolist() for x in got] == [
+            d.ids for d in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_pieces_by_words_equal_those_of_whole_texts(small):
     bpe = wordwise.PieceBpe(wordwise.public_path(wordwise.PIECE_BPE))
     texts = [t for t in ODD + [r.text or "" for r in small.collect()] if t and "▁" not in t]
-    cut = wordwise.Slice(texts, leading_blank=True)
+    cut = wordwise.Slice(texts)
     flat, numbers = bpe.encode(cut.names)
     parts = np.split(flat, np.cumsum(numbers)[:-1])
     for text, each in zip(texts, cut.each):
@@ -98,7 +117,7 @@ def test_one_size_over_many_ranges(spark):
     """Hot sizes: thousands of equal pieces, a few rows a range, so that most matches cross ranges."""
     sizes = [300] * 900 + [700] * 500 + [1] * 700 + [1025] * 120 + [2047] * 20 + [2048] * 9
     pieces = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "pid long, length long")
-    placed = packing.place(pieces, range_rows=150).collect()
+    placed = packing.place(pieces, range_rows=150, few=5).collect()
     assert sorted(r.pid for r in placed) == list(range(len(sizes)))
     used = defaultdict(list)
     for r in placed:
@@ -117,9 +136,27 @@ def test_sweep_gives_each_piece_its_successor():
     items = sorted([(-g, 0, i) for i, g in enumerate(gaps)] + [(-s, 1, i) for i, s in enumerate(sizes)])
     size = np.array([-x[0] for x in items])
     is_gap = np.array([x[1] == 0 for x in items])
-    piece, gap, _ = packing._spread(packing.sweep(packing._runs(is_gap, size), single=True))
-    pairs = sorted((int(size[p]), int(size[g])) for p, g in zip(piece, gap))
+    found = packing.Matches(packing.sweep(packing._runs(is_gap, size), single=True))
+    piece = np.flatnonzero(~is_gap)
+    has, gap, offset = found.pieces(piece)
+    pairs = sorted((int(size[p]), int(size[g])) for p, g in zip(piece[has], gap[has]))
     assert pairs == [(10, 20), (30, 100), (45, 50), (50, 50), (60, 90)]  # 5 has no gap left
+    assert (offset[has] == -size[gap[has]]).all()
+    took, tokens = found.taken(np.flatnonzero(is_gap))
+    assert took.all() and sorted(tokens) == [10, 30, 45, 50, 60]
+
+
+def test_several_pieces_share_a_gap():
+    size, is_gap = np.array([100, 30, 30, 30, 30, 30]), np.array([True] + [False] * 5)
+    found = packing.Matches(packing.sweep(packing._runs(is_gap, size)))
+    has, gap, offset = found.pieces(np.arange(1, 6))
+    assert has.tolist() == [True] * 3 + [False] * 2 and offset[:3].tolist() == [-100, -70, -40]
+    assert found.taken(np.array([0]))[1].tolist() == [90]
+
+
+def test_last_pieces_by_plain_best_fit():
+    placed = packing.best_fit([(1, 60), (2, 50), (3, 40), (4, 30), (5, 10), (6, 100)], [(35, 5), (8, 6)], 100, -7)
+    assert placed == [(6, -7, 0), (1, -8, 0), (2, -9, 0), (3, -8, 60), (4, 5, 65), (5, -9, 50)]
 
 
 def test_empty_table_and_other_columns(spark, empty, odd):

@@ -9,12 +9,13 @@ range; what is left of each range is swept across ranges by its runs of equal si
 which there are at most as many as sizes and tasks. Pieces that want the same gap are
 told apart by their rank: the first takes it (after the first rounds: as many of one size
 as fit together), the next ones go to the next gap. Then the gaps shrink, and the next
-round begins. When nothing fits any more, nine tenths of the sequences are opened that
-the waiting tokens fill at least; all of them once few pieces wait.
+round begins. When hardly anything fits any more, more sequences are opened: 85 percent
+of those that the waiting tokens fill at least. The last pieces, a few thousand at most,
+are packed by plain best fit into as many of the greatest gaps and into new sequences.
 
-State (pieces waiting, gaps) is stored between rounds, so a lost executor costs its own
-tasks only. A round holds no task's or the driver's memory but one range of sizes and
-the runs.
+A round is one shuffle, and its result is stored, so a lost executor costs its own tasks
+only. A task holds one range of pieces and gaps, the driver the runs left over and the
+last pieces.
 
 Edge cases: a null or empty text is its end id alone; repeated rows and null ids are
 documents of their own; pieces of equal size are packed in any, but reproducible, order;
@@ -24,7 +25,9 @@ are read.
 
 from __future__ import annotations
 
+import bisect
 import zlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.llm.common import in_slices
-from tillsight.llm.graph import discard, stored
-from tillsight.llm.pieces import ragged
-from tillsight.llm.wordwise import BYTE_BPE, Slice, byte_bpe, public_path
+from tillsight.llm.graph import stored
+from tillsight.llm.wordwise import BYTE_BPE, byte_bpe, public_path
+from tillsight.session import scratch_path
 
 SEQUENCE, END_ID = 2048, 0
 SLICE_BYTES = 6 << 20
@@ -43,18 +46,9 @@ SLICE_BYTES = 6 << 20
 RANGE_ROWS = 500_000
 #: Rounds in which a gap takes one piece only: single pieces leave room for better ones.
 SINGLE_ROUNDS = 3
-#: Share of the needed sequences that is opened at a time while more pieces than this wait.
-OPEN_SHARE, FEW = 0.9, 2000
-
-
-def encode_texts(bpe, texts: list[str]) -> list[np.ndarray]:
-    """Ids of each text. Texts that hold a special token's string are encoded as they are."""
-    special = [any(s in t for s in bpe.specials) for t in texts]
-    words = Slice(["" if s else t for s, t in zip(special, texts)], leading_blank=False)
-    flat, numbers = bpe.encode(words.names)
-    starts = np.cumsum(numbers) - numbers
-    return [np.array(bpe.one(t), np.int32) if s else flat[ragged(starts[w], numbers[w])]
-            for s, t, w in zip(special, texts, words.each)]
+#: Share of the needed sequences that is opened when less than this share of the pieces
+#: (or gaps, if fewer) were matched; pieces that are left to the end.
+OPEN_SHARE, LEAST_SHARE, FEW = 0.85, 0.1, 2000
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENCE,
@@ -67,7 +61,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str | None = None, sequence: int = S
         bpe, pid = byte_bpe(path), TaskContext.get().partitionId() << 40
         for batch in in_slices(batches, "text", SLICE_BYTES):
             row, piece, start, ids = [], [], [], []
-            for r, own in enumerate(encode_texts(bpe, [t or "" for t in batch.column("text").to_pylist()])):
+            for r, own in enumerate(bpe.whole([t or "" for t in batch.column("text").to_pylist()])):
                 own = np.append(own, np.int32(end_id))
                 first = (len(own) - 1) % sequence + 1
                 for n, a in enumerate([0, *range(first, len(own), sequence)]):
@@ -90,12 +84,12 @@ def cut_pieces(docs: DataFrame, vocabulary: str | None = None, sequence: int = S
              "ids array<int>, ids_crc32 long")
 
 
-def sweep(runs, single: bool = False) -> list[tuple[int, int, int, int]]:
+def sweep(runs, single: bool = False) -> list[tuple[int, ...]]:
     """Successors of runs (is_gap, size, first, count) in falling order of size, gaps first.
 
-    Returns (first piece, pieces, first gap, pieces per gap): of a run of pieces, the i-th
-    goes to the gap ``first gap + i // pieces per gap``. The gaps met last are the smallest
-    that hold the piece, so they lie on top of a stack.
+    Returns (first piece, pieces, size, first gap, pieces per gap, free): of a run of
+    pieces, the i-th goes to the gap ``first gap + i // pieces per gap``. The gaps met last
+    are the smallest that hold the piece, so they lie on top of a stack.
     """
     stack, out = [], []
     for is_gap, size, first, count in runs:
@@ -107,7 +101,7 @@ def sweep(runs, single: bool = False) -> list[tuple[int, int, int, int]]:
             fit = 1 if single else free // size
             gaps = min(n, -(-count // fit))
             taken = min(count, gaps * fit)
-            out.append((first, taken, start + n - gaps, fit))
+            out.append((first, taken, size, start + n - gaps, fit, free))
             first, count = first + taken, count - taken
             stack[-1][2] -= gaps
             if not stack[-1][2]:
@@ -122,139 +116,211 @@ def _runs(is_gap: np.ndarray, size: np.ndarray):
     return zip(is_gap[edge].tolist(), size[edge].tolist(), edge.tolist(), count.tolist())
 
 
-def _spread(found) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Piece, gap and place in the gap (0, 1, ...) of every match of a sweep."""
-    if not found:
-        return (np.empty(0, np.int64),) * 3
-    first, count, gap, fit = np.array(found, np.int64).T
-    piece = ragged(first, count)
-    number = piece - np.repeat(first, count)
-    fit = np.repeat(fit, count)
-    return piece, np.repeat(gap, count) + number // fit, number % fit
+class Matches:
+    """What a sweep found, for look-ups by the numbers of pieces and gaps."""
+
+    def __init__(self, found: list[tuple[int, ...]]):
+        self.first, self.count, self.size, self.gap, self.fit, self.free = np.array(
+            found, np.int64).reshape(-1, 6).T
+        self.gaps = -(-self.count // self.fit)
+        self.by_gap = np.argsort(self.gap)
+
+    def pieces(self, number: np.ndarray):
+        """For each piece whether it has a gap, the gap, and its offset in what was free."""
+        if not len(self.first):
+            return np.zeros(len(number), bool), number, number
+        at = np.maximum(np.searchsorted(self.first, number, "right") - 1, 0)
+        i = number - self.first[at]
+        return ((i >= 0) & (i < self.count[at]), self.gap[at] + i // self.fit[at],
+                (i % self.fit[at]) * self.size[at] - self.free[at])
+
+    def taken(self, number: np.ndarray):
+        """For each gap whether it took pieces, and their tokens."""
+        if not len(self.first):
+            return np.zeros(len(number), bool), number
+        place = np.searchsorted(self.gap[self.by_gap], number, "right") - 1
+        at = self.by_gap[np.maximum(place, 0)]
+        i = number - self.gap[at]
+        pieces = np.minimum(self.fit[at], self.count[at] - i * self.fit[at])
+        return (i >= 0) & (i < self.gaps[at]), pieces * self.size[at]
+
+
+SWEPT = "part int, state int, id long, size long, bin long, offset long, rank long"
+PLACED, LEFT_PIECE, LEFT_GAP, SHRUNK, PIECE_RUN, GAP_RUN, MATCHED = 0, 1, 2, 3, -1, -2, -3
+
+
+def _table(part: int, state: int, **columns) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    zero = np.zeros(n, np.int64)
+    return pa.RecordBatch.from_pydict({
+        "part": np.full(n, part, np.int32), "state": np.full(n, state, np.int32),
+        **{c: columns.get(c, zero).astype(np.int64) for c in ("id", "size", "bin", "offset", "rank")}})
 
 
-def _local_sweep(batches, single: bool):
-    """Sweep one range. Rows: pieces with their gap (bin, free, place), or without one;
-    gaps not taken. Rows left over carry their rank among the range's own."""
+def _local_sweep(batches, single: bool, sequence: int):
+    """Sweep one range: its placed pieces, the pieces and gaps left over with their rank
+    among the range's own, what is left of gaps that took pieces, and, for the sweep
+    across ranges, one row per run left over and one with the number of matches."""
     parts = [b for b in batches if b.num_rows]
     if not parts:
         return
     table = pa.Table.from_batches(parts)
-    is_gap = table.column("is_gap").to_numpy()
-    size = table.column("size").to_numpy()
-    name = table.column("id").to_numpy()
-    piece, gap, place = _spread(sweep(_runs(is_gap, size), single))
-    bin_of = np.zeros(len(size), np.int64)
-    free, at = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
-    bin_of[piece], free[piece], at[piece] = name[gap], size[gap], place
-    state = np.where(is_gap, 2, 1)  # 0: piece with a gap, 1: piece left, 2: gap left
-    state[piece] = 0
-    used = np.zeros(len(size), bool)
-    used[gap] = True
-    rank = np.zeros(len(size), np.int64)
-    for s in (1, 2):
-        left = (state == s) & ~used
-        rank[left] = np.arange(left.sum())
-    kept = ~used
-    part = TaskContext.get().partitionId()
-    columns = {"part": np.full(kept.sum(), part, np.int32), "state": state[kept].astype(np.int32),
-               "id": name[kept], "size": size[kept], "bin": bin_of[kept], "free": free[kept],
-               "place": at[kept], "rank": rank[kept]}
-    for batch in pa.table(columns).to_batches(max_chunksize=100_000):
-        yield batch
-
-
-def _across(summary, single: bool) -> tuple[dict, dict, list]:
-    """Offsets of each range's left-over pieces and gaps in one numbering each, and the
-    sweep over the runs of all ranges."""
-    base, runs, total = ({}, {}), [], [0, 0]
-    for r in summary:
-        kind = r["state"] - 1
-        base[kind].setdefault(r["part"], total[kind])
-        runs.append((bool(kind), r["size"], total[kind], r["n"]))
-        total[kind] += r["n"]
-    return base[0], base[1], sweep(runs, single)
-
-
-def _match_left(swept: DataFrame, summary, single: bool) -> DataFrame | None:
-    """Pieces left in one range with gaps left in another: (id, size, bin, free, place)."""
-    pieces_at, gaps_at, found = _across(summary, single)
-    if not found:
-        return None
-    shared = swept.sparkSession.sparkContext.broadcast((pieces_at, gaps_at, found))
-
-    def numbered(batches):
-        pieces_at, gaps_at, found = shared.value
-        first, count, gap, fit = np.array(found, np.int64).T
-        by_gap = np.argsort(gap)
-        gap_from, gap_to = gap[by_gap], (gap + -(-count // fit))[by_gap]
-        for batch in batches:
-            part, state = (batch.column(c).to_numpy() for c in ("part", "state"))
-            n = batch.column("rank").to_numpy() + np.array(
-                [(gaps_at if s == 2 else pieces_at)[p] for p, s in zip(part.tolist(), state.tolist())], np.int64)
-            piece = state == 1
-            start = np.where(piece, np.searchsorted(first, n, "right"),
-                             np.searchsorted(gap_from, n, "right")) - 1
-            inside = (start >= 0) & np.where(piece, n < (first + count)[start], n < gap_to[start])
-            i = n - first[start]
-            to = np.where(piece, gap[start] + i // fit[start], n)
-            place = np.where(piece, i % fit[start], 0)
-            batch = batch.append_column("to", pa.array(to)).append_column("turn", pa.array(place))
-            yield batch.select(["state", "id", "size", "to", "turn"]).filter(pa.array(inside))
-
-    left = swept.where("state > 0").mapInArrow(
-        numbered, "state int, id long, size long, to long, turn long")
-    gaps = left.where("state = 2").select("to", F.col("id").alias("bin"), F.col("size").alias("free"))
-    return (left.where("state = 1").join(gaps, "to")
-            .select("id", "size", "bin", "free", F.col("turn").alias("place")))
-
-
-def place(pieces: DataFrame, sequence: int = SEQUENCE, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """pid, sequence_id and offset of pieces (pid, length), each at most ``sequence`` long."""
+    is_gap, size, name = (table.column(c).to_numpy() for c in ("is_gap", "size", "id"))
+    found = Matches(sweep(_runs(is_gap, size), single))
+    part, row = TaskContext.get().partitionId(), np.arange(len(size))
+    pieces, gaps = row[~is_gap], row[is_gap]
+    has, gap, offset = found.pieces(pieces)
+    yield _table(part, PLACED, id=name[pieces[has]], size=size[pieces[has]], bin=name[gap[has]],
+                 offset=offset[has] + sequence)
+    took, tokens = found.taken(gaps)
+    left = size[gaps] - tokens
+    shrunk = took & (left > 0)
+    yield _table(part, SHRUNK, id=name[gaps[shrunk]], size=left[shrunk])
+    for state, run, rest in ((LEFT_PIECE, PIECE_RUN, pieces[~has]), (LEFT_GAP, GAP_RUN, gaps[~took])):
+        yield _table(part, state, id=name[rest], size=size[rest], rank=np.arange(len(rest)))
+        sizes, counts = np.unique(size[rest], return_counts=True)
+        yield _table(part, run, size=sizes, rank=counts)
+    yield _table(part, MATCHED, size=np.array([size[pieces[has]].sum()]), rank=np.array([has.sum()]),
+                 id=np.array([shrunk.sum()]))
+
+
+class Round:
+    """A swept round and the sweep over its runs, of which there are at most as many as
+    sizes and ranges."""
+
+    def __init__(self, swept: DataFrame, single: bool):
+        rows = swept.where("state < 0").select("part", "state", "size", "rank", "id").collect()
+        base, runs, total = ({}, {}), [], [0, 0]
+        for r in sorted((r for r in rows if r["state"] != MATCHED),
+                        key=lambda r: (r["part"], -r["size"], r["state"])):
+            kind = int(r["state"] == GAP_RUN)
+            base[kind].setdefault(r["part"], total[kind])
+            runs.append((bool(kind), r["size"], total[kind], r["rank"]))
+            total[kind] += r["rank"]
+        found = sweep(runs, single)
+        local = [r for r in rows if r["state"] == MATCHED]
+        self.swept, self.across = swept, (base, found)
+        self.matched = sum(r["rank"] for r in local) + sum(f[1] for f in found)
+        self.tokens = sum(r["size"] for r in local) + sum(f[1] * f[2] for f in found)
+        self.gaps = sum(r["id"] for r in local) + total[1]   # at most: some are filled across ranges
+        self.least = min((r["size"] for r in rows if r["state"] == PIECE_RUN), default=0)
+
+    def rest(self) -> DataFrame:
+        """Pieces, and gaps that may hold one, of the next round: (is_gap, size, id)."""
+        shared = self.swept.sparkSession.sparkContext.broadcast([self.across])
+        least = max(1, self.least)
+
+        def run(batches):
+            for batch, state, number, found in _numbered(batches, shared.value, None):
+                size, piece, gap = batch.column("size").to_numpy().copy(), state == LEFT_PIECE, state == LEFT_GAP
+                keep = ~piece
+                keep[piece] = ~found.pieces(number[piece])[0]
+                took, tokens = found.taken(number[gap])
+                size[gap] -= np.where(took, tokens, 0)
+                keep &= size >= least
+                yield pa.RecordBatch.from_arrays([pa.array(~piece), pa.array(size), batch.column("id")],
+                                                 ["is_gap", "size", "id"]).filter(pa.array(keep))
+
+        return self.swept.where(F.col("state").between(LEFT_PIECE, SHRUNK)).mapInArrow(
+            run, "is_gap boolean, size long, id long")
+
+
+def _numbered(batches, rounds: list, column: str | None):
+    """Rows left over in a range with their number over all ranges of their round, and the
+    round's matches. Batches are cut by round where ``column`` names it."""
+    for whole in batches:
+        own = whole.column(column).to_numpy() if column else np.zeros(whole.num_rows, np.int64)
+        for r in np.unique(own).tolist():
+            batch = whole.filter(pa.array(own == r)) if column else whole
+            base, found = rounds[r]
+            state, part = batch.column("state").to_numpy(), batch.column("part").to_numpy()
+            first = np.array([base[int(s == LEFT_GAP)].get(p, 0) for p, s in
+                              zip(part.tolist(), state.tolist())], np.int64)
+            yield batch, state, batch.column("rank").to_numpy() + first, Matches(found)
+
+
+def _placed(swept: DataFrame, rounds: list, sequence: int) -> DataFrame:
+    """(id, bin, offset) of all rounds' pieces: those placed within a range, and those that
+    meet their gap by its number across ranges."""
+    inside = swept.where(F.col("state") == PLACED).select("id", "bin", "offset")
+    if not any(found for _, found in rounds):
+        return inside
+    shared = swept.sparkSession.sparkContext.broadcast(rounds)
+
+    def run(batches):
+        for batch, state, own, found in _numbered(batches, shared.value, "round"):
+            piece = state == LEFT_PIECE
+            has, to, offset = found.pieces(own)
+            took, _ = found.taken(own)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(piece), batch.column("round"), batch.column("id"), pa.array(np.where(piece, to, own)),
+                 pa.array(offset + sequence)], ["piece", "round", "id", "to", "offset"]).filter(
+                     pa.array(np.where(piece, has, took)))
+
+    left = swept.where(F.col("state").isin(LEFT_PIECE, LEFT_GAP)).mapInArrow(
+        run, "piece boolean, round int, id long, to long, offset long")
+    pieces = left.where("piece").select("round", "to", "id", "offset")
+    gaps = left.where("NOT piece").select(F.col("round").alias("r"), F.col("to").alias("g"), F.col("id").alias("bin"))
+    across = pieces.join(gaps, (F.col("round") == F.col("r")) & (F.col("to") == F.col("g")))
+    return inside.union(across.select("id", "bin", "offset"))
+
+
+def best_fit(pieces: list[tuple[int, int]], gaps: list[tuple[int, int]], sequence: int,
+             first: int) -> list[tuple[int, int, int]]:
+    """(id, bin, offset) of a few pieces (id, size), the greatest first, each in the
+    smallest gap (size, bin) that holds it; new bins are numbered ``first``, ``first - 1``,
+    ..."""
+    gaps, out = sorted(gaps), []
+    for i, size in sorted(pieces, key=lambda p: (-p[1], p[0])):
+        at = bisect.bisect_left(gaps, (size,))
+        if at < len(gaps):
+            free, own = gaps.pop(at)
+        else:
+            free, own, first = sequence, first, first - 1
+        out.append((i, own, sequence - free))
+        if free > size:
+            bisect.insort(gaps, (free - size, own))
+    return out
+
+
+def place(pieces: DataFrame, sequence: int = SEQUENCE, range_rows: int = RANGE_ROWS,
+          few: int = FEW) -> DataFrame:
+    """pid, sequence_id and offset of pieces (pid, length), each at most ``sequence`` long.
+
+    A round is one shuffle: the range sort of what the round before left."""
     spark = pieces.sparkSession
     full = pieces.where(F.col("length") == sequence).select(
         "pid", F.col("pid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    waiting = pieces.where(F.col("length") < sequence).select(
-        F.col("pid").alias("id"), F.col("length").alias("size"))
-    gaps, opened, placed, rounds = None, 0, full, 0
-    while True:
-        single, rounds = rounds < SINGLE_ROUNDS, rounds + 1
-        left = waiting.agg(F.count("*"), F.sum("size")).first()
-        if not left[0]:
-            return placed
-        if gaps is None:  # the start, or nothing fits any more
-            new = -(-left[1] // sequence)
-            new = new if left[0] <= FEW else max(1, int(OPEN_SHARE * new))
-            gaps = spark.range(opened, opened + new).select(
-                (-F.col("id") - 1).alias("id"), F.lit(sequence).cast("long").alias("size"))
-            opened += new
-        n = max(1, -(-(left[0] + gaps.count()) // range_rows))
-        pool = waiting.withColumn("is_gap", F.lit(False)).unionByName(gaps.withColumn("is_gap", F.lit(True)))
+    pool = pieces.where(F.col("length") < sequence).select(
+        F.lit(False).alias("is_gap"), F.col("length").alias("size"), F.col("pid").alias("id"))
+    left, tokens = pool.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    folder, rounds, opened, gaps, stuck = scratch_path(spark, "swept"), [], 0, 0, True
+    while left > few:
+        if stuck:   # the start, or hardly anything fits any more
+            new = max(1, int(OPEN_SHARE * -(-tokens // sequence)))
+            pool = pool.union(spark.range(opened, opened + new).select(
+                F.lit(True), F.lit(sequence).cast("long"), (-F.col("id") - 1)))
+            opened, gaps = opened + new, gaps + new
+        single = len(rounds) < SINGLE_ROUNDS
+        n = max(1, -(-(left + gaps) // range_rows))
         order = [F.desc("size"), F.desc("is_gap"), F.asc("id")]
-        swept = stored(pool.repartitionByRange(n, *order).sortWithinPartitions(*order)
-                       .select("is_gap", "size", "id")
-                       .mapInArrow(lambda b: _local_sweep(b, single), "part int, state int, id long, size long, bin long, "
-                                                 "free long, place long, rank long"), "swept")
-        # one row per size and range at most, since a range holds neighbouring sizes
-        summary = (swept.where("state > 0").groupBy("part", "size", "state").agg(F.count("*").alias("n"))
-                   .orderBy("part", F.desc("size"), F.desc("state")).collect())
-        across = _match_left(swept, summary, single)
-        found = swept.where("state = 0").select("id", "size", "bin", "free", "place")
-        found = stored(found if across is None else found.union(across), "placed")
-        taken = found.groupBy("bin").agg(F.sum("size").alias("size"), F.max("free").alias("free"))
-        if found.isEmpty():
-            gaps = None
-            continue
-        placed = placed.union(found.select(
-            F.col("id").alias("pid"), F.col("bin").alias("sequence_id"),
-            (sequence - F.col("free") + F.col("place") * F.col("size")).alias("offset")))
-        before = waiting, gaps
-        waiting = stored(waiting.join(found, "id", "left_anti"), "waiting")
-        gaps = stored(gaps.join(taken.select(F.col("bin").alias("id")), "id", "left_anti").union(
-            taken.where("free > size").select("bin", F.col("free") - F.col("size"))), "gaps")
-        for old in (swept, *before):
-            if hasattr(old, "stored_at"):
-                discard(old)
+        path = f"{folder}/round={len(rounds)}"
+        pool.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(
+            partial(_local_sweep, single=single, sequence=sequence), SWEPT).write.parquet(path)
+        done = Round(spark.read.schema(SWEPT).parquet(path), single)
+        stuck = done.matched <= LEAST_SHARE * min(left, gaps)
+        rounds.append(done.across)
+        left, tokens, gaps, pool = left - done.matched, tokens - done.tokens, done.gaps, done.rest()
+    if left:   # few pieces, and as many gaps
+        rest = [(r["id"], r["size"]) for r in pool.where("NOT is_gap").collect()]
+        greatest = pool.where("is_gap").orderBy(F.desc("size"), "id").limit(few).collect()
+        last = best_fit(rest, [(r["size"], r["id"]) for r in greatest], sequence, -opened - 1)
+        full = full.union(spark.createDataFrame(last, "pid long, sequence_id long, offset long"))
+    if not rounds:
+        return full
+    swept = spark.read.schema(f"{SWEPT}, round int").parquet(folder)
+    return full.union(_placed(swept, rounds, sequence).select(
+        F.col("id").alias("pid"), F.col("bin").alias("sequence_id"), "offset"))
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENCE,
