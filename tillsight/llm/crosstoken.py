@@ -3,10 +3,10 @@
 A text, with a blank before it, is encoded by a byte-level vocabulary (A) and by a piece
 vocabulary (B). The token-byte incidence matrices A and B (a row a token, a column a byte
 of the text) are held in compressed sparse rows. Gustavson's row products A·Bᵀ give the
-overlap links: pairs of tokens with the number of bytes they share. Bytes at which a
-token of A and one of B both end cut the text into groups; the products of the
-group-incidence matrices (a row a token, a column a group) give the shared-group links:
-all pairs of tokens of a group. Corpus-wide, an id pair counts the documents that hold it
+overlap links: pairs of tokens with the number of bytes they share. Where no link reaches
+over, a token of A and one of B end at the same byte, and a group ends. The products of
+the group-incidence matrices (a row a token, a column a group) give the shared-group
+links: all pairs of tokens of a group. Corpus-wide, an id pair counts the documents that hold it
 linked.
 
 Texts of a slice share their distinct words (``wordwise``), and every word's end is the
@@ -32,12 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import U64, in_slices, packed, quoted, unpack, unpacked, with_results
+from tillsight.llm.common import U64, in_slices, packed, quoted, unpacked, with_results
 from tillsight.llm.graph import stored
 from tillsight.llm.pieces import ragged
 from tillsight.llm.wordwise import BYTE_BPE, PIECE_BPE, Slice, byte_bpe, piece_bpe, public_path
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 #: Terms of a product formed at a time.
 CELLS = 1 << 22
 
@@ -97,36 +97,33 @@ class Words:
 
     def __init__(self, names: list[str], bpe, pieces):
         spelt = [n.encode() for n in names]
+        length = np.array([len(s) for s in spelt], np.int64)
         self.a, many_a = bpe.encode(names)
         self.b, many_b = pieces.encode(names)
         size_a, size_b = bpe.size[self.a], pieces.size[self.b]
-        stop = np.cumsum([len(s) for s in spelt])
         # words whose tokens do not spell them; their tokens leave
-        good = np.array([
-            b"".join([bpe.raw[i] for i in x]) == s == b"".join([pieces.raw[i] for i in y])
-            for s, x, y in zip(spelt, np.split(self.a, np.cumsum(many_a)[:-1]),
-                               np.split(self.b, np.cumsum(many_b)[:-1]))] if names else [], bool)
+        flat = np.frombuffer(b"".join(spelt), np.uint8)
+        good = (spells(bpe, self.a, many_a, flat, length) & spells(pieces, self.b, many_b, flat, length))
         self.good = good
         keep_a, keep_b = np.repeat(good, many_a), np.repeat(good, many_b)
         self.a, size_a, many_a = self.a[keep_a], size_a[keep_a], many_a * good
         self.b, size_b, many_b = self.b[keep_b], size_b[keep_b], many_b * good
         self.many_a, self.many_b = many_a, many_b
-        n_bytes = int(size_a.sum())
-        end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
-        both = end_a[np.isin(end_a, end_b)]  # where a group ends
-        self.group_a, self.group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
-        word_end = np.cumsum([len(s) * g for s, g in zip(spelt, good)]) if names else stop
-        self.n_groups = np.diff(np.searchsorted(both, word_end, "right"), prepend=0)
-        self.bytes = n_bytes
-        self._sizes = size_a, size_b
-        self.groups = len(both)
-
-    def overlaps(self) -> Csr:
-        """A·Bᵀ of the token-byte incidence matrices: bytes that two tokens share."""
-        size_a, size_b = self._sizes
-        every = np.arange(self.bytes)
-        return Csr.incidence(size_a, every, self.bytes).times(
-            Csr.incidence(size_b, every, self.bytes).transpose())
+        # A·Bᵀ of the token-byte incidence matrices: bytes that two tokens share
+        every = np.arange(int(size_a.sum()))
+        self.overlaps = Csr.incidence(size_a, every, len(every)).times(
+            Csr.incidence(size_b, every, len(every)).transpose())
+        # a group ends where a token of A and the next one overlap no common token of B
+        row = np.repeat(np.arange(len(self.a)), np.diff(self.overlaps.indptr))
+        first = self.overlaps.indices[self.overlaps.indptr[:-1]]
+        last = self.overlaps.indices[self.overlaps.indptr[1:] - 1]
+        self.group_a = np.concatenate([np.zeros(min(1, len(first)), np.int64), np.cumsum(first[1:] > last[:-1])])
+        self.group_b = np.zeros(len(self.b), np.int64)
+        self.group_b[self.overlaps.indices] = self.group_a[row]
+        self.groups = int(self.group_a[-1]) + 1 if len(first) else 0
+        word = np.repeat(np.arange(len(names)), many_a)
+        fresh = np.diff(self.group_a, prepend=-1) != 0   # a word's end ends a group
+        self.n_groups = np.bincount(word[fresh], minlength=len(names))
 
     def links(self) -> Csr:
         """The product of the group-incidence matrices: pairs of tokens that share a group."""
@@ -145,17 +142,41 @@ class Words:
         first = np.flatnonzero((np.diff(word, prepend=-1) != 0) | (np.diff(pair, prepend=pair[:1] + U64(1)) != 0))
         return word[first], pair[first], np.diff(np.append(first, len(word)))
 
-    def texts(self) -> list[str]:
-        """Each word's groups as ``a1,a2|b1;a3|b2,b3``."""
-        id_a, id_b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
-        ends = [np.searchsorted(g, np.arange(self.groups), "right").tolist()
-                for g in (self.group_a, self.group_b)]
-        parts, i, j = [], 0, 0
-        for k, m in zip(*ends):
-            parts.append(f"{','.join(id_a[i:k])}|{','.join(id_b[j:m])}")
-            i, j = k, m
-        stops = np.cumsum(self.n_groups).tolist()
-        return [";".join(parts[x:y]) for x, y in zip([0, *stops], stops)]
+    def texts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' groups as ``a1,a2|b1;a3|b2,b3;`` in one buffer, with each word's place
+        and length there."""
+        # tokens in order of groups, those of A first; a mark follows each
+        place_a = np.arange(len(self.a)) + np.searchsorted(self.group_b, self.group_a, "left")
+        place_b = np.arange(len(self.b)) + np.searchsorted(self.group_a, self.group_b, "right")
+        ids, mark = (np.empty(len(self.a) + len(self.b), t) for t in (np.int64, np.uint8))
+        for place, own, group, last in ((place_a, self.a, self.group_a, b"|"), (place_b, self.b, self.group_b, b";")):
+            ids[place] = own
+            mark[place] = np.where(np.diff(group, append=-1) == 0, b","[0], last[0])
+        most = int(ids.max(initial=0)) + 1
+        digits = [b"%d," % i for i in range(most)]
+        size = np.array([len(d) for d in digits], np.int64)
+        start = np.cumsum(size) - size
+        out = np.frombuffer(b"".join(digits), np.uint8)[ragged(start[ids], size[ids])]
+        ends = np.cumsum(size[ids])
+        out[ends - 1] = mark
+        tokens = np.cumsum(self.many_a + self.many_b)   # of the words up to each
+        stops = np.concatenate([[0], ends])[tokens]
+        lengths = np.diff(stops, prepend=0)
+        return out, stops - lengths, lengths
+
+
+def spells(vocabulary, ids: np.ndarray, many: np.ndarray, flat: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether each word's ids give the bytes of the word; ``flat`` holds all words' bytes."""
+    raw, size = vocabulary.flat, vocabulary.size
+    start = np.cumsum(size) - size
+    ends = np.concatenate([[0], np.cumsum(size[ids])])[np.cumsum(many)]
+    fits = np.diff(ends, prepend=0) == length
+    some = np.repeat(fits, many)
+    own = raw[ragged(start[ids[some]], size[ids[some]])]
+    differs = np.flatnonzero(own != flat[np.repeat(fits, length)])
+    word = np.repeat(np.flatnonzero(fits), length[fits])
+    fits[word[differs]] = False
+    return fits
 
 
 def _loaders(byte_path: str | None, piece_path: str | None):
@@ -165,7 +186,7 @@ def _loaders(byte_path: str | None, piece_path: str | None):
 
 def _aligned(texts: list[str], bpe, pieces) -> tuple[list[np.ndarray], Words]:
     """The slice's words, and each text's word numbers: none where the tokens do not spell it."""
-    cut = Slice(["" if not t else t for t in texts], leading_blank=True)
+    cut = Slice(texts)
     words = Words(cut.names, bpe, pieces)
     none = np.empty(0, np.int64)
     return [w if t and words.good[w].all() else none for t, w in zip(texts, cut.each)], words
@@ -185,7 +206,7 @@ def alignments(docs: DataFrame, byte_path: str | None = None, piece_path: str |
         bpe, pieces = load()
         for batch in in_slices(batches, "text", SLICE_BYTES):
             each, words = _aligned([t or "" for t in batch.column("text").to_pylist()], bpe, pieces)
-            over = words.overlaps()
+            over = words.overlaps
             start_a, start_b = (np.cumsum(m) - m for m in (words.many_a, words.many_b))
             start_g = np.cumsum(words.n_groups) - words.n_groups
             size_a = np.bincount(words.group_a, minlength=words.groups)
@@ -214,14 +235,19 @@ def alignments(docs: DataFrame, byte_path: str | None = None, piece_path: str |
     return unpacked(found, docs, new)
 
 
-def _packed(*columns: np.ndarray) -> bytes:
-    """Columns of one length, behind that length."""
-    return len(columns[0]).to_bytes(8, "little") + b"".join(c.tobytes() for c in columns)
+def _narrow(x: np.ndarray) -> tuple[str, bytes]:
+    """The smallest unsigned type that holds the values, and their bytes in it."""
+    kind = np.min_scalar_type(int(x.max(initial=0)))
+    return kind.str, x.astype(kind).tobytes()
+
+
+ENTRY = pa.struct([("kind", pa.string()), ("body", pa.binary())])
 
 
 def slices(docs: DataFrame, byte_path: str | None = None, piece_path: str | None = None) -> DataFrame:
     """One stored row per slice: its documents' digests, its distinct id pairs with the
-    number of documents that hold each, its words' pairs, and its documents' words."""
+    number of documents that hold each, and every document's pairs (places in that list)
+    with their links."""
     load = _loaders(byte_path, piece_path)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -233,31 +259,35 @@ def slices(docs: DataFrame, byte_path: str | None = None, piece_path: str | None
             word, pair, links = words.id_pairs()
             pairs, index = np.unique(pair, return_inverse=True)
             count = np.bincount(word, minlength=len(words.good))
-            start, names = np.cumsum(count) - count, words.texts()
-            per_word = np.bincount(word, weights=links, minlength=len(words.good)).astype(np.int64)
-            held, numbers, digests, own_words = np.zeros(len(pairs), np.int64), [], [], []
+            start = np.cumsum(count) - count
+            groups, place, length = words.texts()
+            held, numbers, digests, entries = np.zeros(len(pairs), np.int64), [], [], []
             for own in each:
-                distinct, times = np.unique(own, return_counts=True)
-                own_words.append((distinct.astype(np.int32), times.astype(np.int32)))
-                held[np.unique(index[ragged(start[distinct], count[distinct])])] += 1
-                groups = ";".join([names[w] for w in own.tolist()])
-                digests.append(hashlib.sha256(groups.encode()).hexdigest() if len(own) else "")
-                numbers += [int(x[own].sum()) for x in (words.many_a, words.many_b, words.n_groups, per_word)]
-            flat = [np.concatenate([np.empty(0, np.int32), *x]) for x in zip(*own_words)]
-            sizes = np.array([len(x) for x, _ in own_words], np.int64)
+                at = ragged(start[own], count[own])
+                own_pair, back = np.unique(index[at], return_inverse=True)
+                total = np.zeros(len(own_pair), np.int64)
+                np.add.at(total, back, links[at])
+                held[own_pair] += 1
+                entries.append((own_pair, total))
+                text = groups[ragged(place[own], length[own])][:-1]   # no mark at the end
+                digests.append(hashlib.sha256(text).hexdigest() if len(own) else "")
+                numbers += [*(int(x[own].sum()) for x in (words.many_a, words.many_b, words.n_groups)),
+                            int(total.sum())]
+            held_by = [_narrow(np.concatenate([np.empty(0, np.int64), *x])) for x in zip(*entries)]
+            sizes = _narrow(np.array([len(x) for x, _ in entries], np.int64))
+            packs = [dict(zip(("kind", "body"), x)) for x in (sizes, *held_by)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([number], pa.int64()),
                  pa.array([batch.column("doc_id").to_pylist()], pa.list_(batch.column("doc_id").type)),
                  pa.array([numbers], pa.list_(pa.int64())), pa.array([digests], pa.list_(pa.string())),
                  pa.array([pairs.view(np.int64)], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.int64())),
-                 pa.array([_packed(word.astype(np.int32), index.astype(np.int32), links)], pa.binary()),
-                 pa.array([_packed(sizes)], pa.binary()), pa.array([_packed(*flat)], pa.binary())],
-                ["grp", "doc_id", "numbers", "digests", "pairs", "held", "word_pairs", "sizes", "words"])
+                 pa.array([packs], pa.list_(ENTRY))],
+                ["grp", "doc_id", "numbers", "digests", "pairs", "held", "entries"])
             number += 1
 
     return stored(docs.select("doc_id", "text").mapInArrow(
         run, f"grp long, doc_id array<{kind}>, numbers array<long>, digests array<string>, pairs array<long>, "
-             "held array<long>, word_pairs binary, sizes binary, words binary"), "alignments")
+             "held array<long>, entries array<struct<kind:string,body:binary>>"), "alignments")
 
 
 def pair_counts(cut: DataFrame) -> DataFrame:
@@ -285,16 +315,11 @@ def alignment_report(docs: DataFrame, byte_path: str | None = None, piece_path:
         count[pos] = answers.column("n").to_numpy()
         best[pos] = answers.column("best").to_numpy()
         own = own.to_pylist()[0]
-        word, index, links = unpack(own["word_pairs"], np.int32, np.int32, np.int64)
-        (sizes,) = unpack(own["sizes"], np.int64)
-        number, times = unpack(own["words"], np.int32, np.int32)
-        n_words = max(word.max(initial=-1), number.max(initial=-1)) + 1
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        sums = []
+        sizes, index, links = (np.frombuffer(e["body"], e["kind"]).astype(np.int64) for e in own["entries"])
+        doc, sums = np.repeat(np.arange(len(sizes)), sizes), []
         for value in (best, count):
-            per_word, total = np.zeros(n_words, np.int64), np.zeros(len(sizes), np.int64)
-            np.add.at(per_word, word, links * value[index])
-            np.add.at(total, doc, times * per_word[number])
+            total = np.zeros(len(sizes), np.int64)
+            np.add.at(total, doc, links * value[index])
             sums.append(total)
         numbers = np.array(own["numbers"], np.int64).reshape(-1, 4).T
         return pa.table([pa.array(own["doc_id"], finish.doc_id), *map(pa.array, [*numbers, *sums]),
