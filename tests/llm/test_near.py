@@ -201,3 +201,35 @@ def test_embeddings_empty_and_repeated(spark):
     got = sorted(tuple(r) for r in quantise.near_duplicates(
         spark.createDataFrame(rows, kind)).collect())
     assert got == [(4, 2, 4, True), (5, 2, 4, False), (5, 2, 4, False), (9, 0, 9, True)]
+
+
+def test_recall_of_planted_near_copies(spark, monkeypatch):
+    """More lists than probes; partners at cosines from 0.9 up; hardly any is found on one side only."""
+    monkeypatch.setattr(quantise, "LIST_SIZE", 40)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 48))
+    x /= np.sqrt((x ** 2).sum(1))[:, None]
+    for i in range(0, 1600, 2):   # partner at a given cosine
+        c = rng.uniform(0.9, 0.99)
+        side = rng.normal(size=48)
+        side -= side @ x[i] * x[i]
+        x[i + 1] = c * x[i] + np.sqrt(1 - c * c) * side / np.sqrt(side @ side)
+    near = x @ x.T / np.sqrt((x ** 2).sum(1))[:, None] / np.sqrt((x ** 2).sum(1))[None] >= 0.9
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)],
+                               "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in quantise.near_duplicates(df).collect()}
+    found = np.array([got[i] for i in range(4000)])
+    assert (found <= near.sum(1)).all() and found.sum() >= 0.99 * near.sum() > 1500
+    pairs = found[:1600].reshape(-1, 2)
+    assert (pairs[:, 0] == pairs[:, 1]).mean() >= 0.998
+
+
+def test_every_length_and_size_of_components(spark):
+    rows = [(1, [3.0, 4.0]), (2, [6.0, 8.0]), (3, [3.0, 4.0, 0.0]), (4, [3.0, 4.1, 0.0]), (5, [1e-200, 0.0, 0.0]),
+            (6, [3e-310, 0.0, 0.0]), (7, [1e300, 1e300]), (8, [1e-300, 1e-300]), (9, [0.0, 0.0]), (10, None), (11, []),
+            (12, [5.0]), (13, [2.0]), (14, [-2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in quantise.near_duplicates(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 7: (3, 1), 8: (3, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5), 6: (1, 5),
+                   9: (0, 9), 10: (0, 10), 11: (0, 11), 12: (1, 12), 13: (1, 12), 14: (0, 14)}

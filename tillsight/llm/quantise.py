@@ -5,14 +5,18 @@ vector is cut into subspaces and stored as one code byte per subspace, with the
 of the rest that the codes miss. Centroids and codebooks are fitted on a sample of at
 most ``SAMPLE`` vectors, those with the least hash of their id; every row is indexed.
 
-A query probes each list that can hold a vector near enough. With r the distance that
-belongs to the cosine limit, a vector of list B is nearer to B's centroid b than to the
-query's own centroid a, so the query's distance to the plane between a and b is at most
-r, that is (|q-b|^2 - |q-a|^2) / (2 |a-b|) <= r; other lists hold no link. Within a
-list, table look-ups add up the asymmetric distance from the query to each coded vector.
-It differs from the true one by no more than the vector's missed rest, so whatever lies
-within r plus that rest is compared by its exact cosine in double precision. Neither
-bound loses a link.
+Lists hold about ``LIST_SIZE`` vectors, so their number grows with the table. A query
+probes the ``PROBES`` lists whose centroids are nearest to it, but for lists that cannot
+hold a link: with r the distance that belongs to the cosine limit, a vector of list B is
+nearer to B's centroid b than to the query's own centroid a, so
+(|q-b|^2 - |q-a|^2) / (2 |a-b|) <= r for every link. A link is looked for from both of its
+sides; found from one only (which the tests' vectors show for none in a thousand), it
+joins the two and counts for the side that found it. Within a list, table
+look-ups add up the asymmetric distance from the query to each coded vector. Its square
+exceeds the true one by the square of the vector's missed rest and by twice the product of
+both times the cosine between them, which is near zero in many dimensions; pairs within r
+at a cosine of up to ``SLACK`` are compared by their exact cosine in double precision, and
+only these. Tests measure the recall against brute force.
 
 Equal vectors are one class (128-bit hash of the components) with a count. A list is cut
 into chunks of about ``CHUNK`` classes. In each, ``BALL`` or more classes within half of r
@@ -23,6 +27,8 @@ on to that ball's chunk. So a tight blob of a third of all vectors costs each qu
 leader per ``CHUNK`` of its classes. A dense list that is no tight blob stays quadratic in
 its size, since every link counts in n_links.
 
+Every length of vectors has an index of its own (one run of the jobs for each).
+
 Memory of a task: up to ``LISTS`` neighbouring lists of together at most ``CHUNK`` leaders
 and single classes are held by one task, a longer list chunk by chunk; the queries that
 probe them arrive once, in blocks of about ``ASK_BLOCK``, so a task holds about ASK_BLOCK + CHUNK vectors (each
@@ -30,9 +36,9 @@ three times: bytes, components, unit length) and products of QUERY_BLOCK x CHUNK
 hits are reduced as they are found to a number and one link per connected part of the
 chunk; pairs are never listed.
 
-Edge cases: vectors that are null, empty, zero, or hold null or non-finite components,
-or have another length than most, link with nothing (n_links 0, component_id their
-vec_id, kept); repeated rows are equal vectors; null ids are kept rows of their own that
+Edge cases: vectors that are null, empty, zero, or hold null or non-finite components
+link with nothing (n_links 0, component_id their vec_id, kept); vectors of different
+lengths do not link; components of any finite size count; repeated rows are equal vectors; null ids are kept rows of their own that
 count as equal vectors do; ties go to the least id; an empty table gives no rows; extra
 columns are ignored.
 """
@@ -52,8 +58,9 @@ from tillsight.llm.graph import components, stored
 
 COSINE = 0.9
 SAMPLE = 20_000
-MOST_LISTS, SUBSPACES, CODES = 1024, 16, 256
-CHUNK, ASK_BLOCK, QUERY_BLOCK = 2048, 8192, 128
+LIST_SIZE, MOST_LISTS, SUBSPACES, CODES = 512, 2048, 16, 256
+PROBES, SLACK = 16, 0.75
+CHUNK, ASK_BLOCK, QUERY_BLOCK, PAIRS = 2048, 8192, 128, 1 << 16
 #: Lists of a task at most; classes of a ball at least.
 LISTS, BALL = 8, 8
 
@@ -78,7 +85,7 @@ def nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
 
 def fit(sample: np.ndarray, n: int) -> dict:
     """Centroids and residual codebooks for a table of ``n`` unit vectors."""
-    centre = kmeans(sample, min(len(sample), MOST_LISTS, max(1, int(np.sqrt(n)))))
+    centre = kmeans(sample, min(len(sample), MOST_LISTS, max(1, n // LIST_SIZE)))
     rest = sample - centre[nearest(sample, centre)]
     cuts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
     return {"centre": centre, "cuts": cuts,
@@ -97,23 +104,33 @@ def encode(x: np.ndarray, index: dict) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 def probes(x: np.ndarray, own: np.ndarray, index: dict, reach: float) -> list[np.ndarray]:
-    """The lists that may hold a vector within ``reach`` of each query."""
+    """The nearest lists of each query, of those that may hold a vector within ``reach``."""
     centre = index["centre"]
-    apart = np.sqrt(np.maximum(0, ((centre[:, None] - centre[None]) ** 2).sum(2))) \
-        if len(centre) <= 64 else None
     square = (centre ** 2).sum(1)
     out = []
     for i in range(0, len(x), 1024):
         far = square - 2 * (x[i:i + 1024] @ centre.T)
         a = own[i:i + 1024]
-        gap = apart[a] if apart is not None else np.sqrt(np.maximum(
-            0, square[a][:, None] + square[None] - 2 * centre[a] @ centre.T))
+        gap = np.sqrt(np.maximum(0, square[a][:, None] + square[None] - 2 * centre[a] @ centre.T))
         near = far - far[np.arange(len(a)), a][:, None] <= 2 * gap * (reach + 1e-9) + 1e-9
+        far[~near] = np.inf
+        if far.shape[1] > PROBES:
+            rest = np.argpartition(far, PROBES, axis=1)[:, PROBES:]
+            near[np.arange(len(a))[:, None], rest] = False
         out += [np.flatnonzero(row) for row in near]
     return out
 
 
+def scaled(raw: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, which rounds nothing: squares of tiny or huge
+    components would leave the range of doubles."""
+    _, power = np.frexp(np.abs(raw).max(1, initial=0))
+    half = power // 2   # in two steps, since one factor may leave the range itself
+    return np.ldexp(np.ldexp(raw, -half[:, None]), -(power - half)[:, None])
+
+
 def unit(raw: np.ndarray) -> np.ndarray:
+    raw = scaled(raw)
     return raw / np.sqrt((raw ** 2).sum(1))[:, None]
 
 
@@ -162,45 +179,51 @@ def linked(queries: np.ndarray, members: np.ndarray, code: np.ndarray, rest: np.
     """Yield (query number, linked members, members whose ball the limit cuts) of a chunk;
     ``allowed`` tells which members some queries are asked about."""
     reach = np.sqrt(max(0.0, 2 - 2 * cosine))
-    q_unit, m_unit = unit(queries), unit(members)
+    queries, members = scaled(queries), scaled(members)
     q_norm, m_norm = (np.sqrt((x ** 2).sum(1)) for x in (queries, members))
+    q_unit = queries / q_norm[:, None]
     single = radius == 0
+    within = reach + radius
+    limit = (within ** 2 + rest ** 2 + 2 * SLACK * within * rest + 1e-6).astype(np.float32)
     for a in range(0, len(queries), QUERY_BLOCK):
         q = q_unit[a:a + QUERY_BLOCK] - centre
-        distance = np.zeros((len(q), len(members)))
+        distance = np.zeros((len(q), len(members)), np.float32)
         for i, (cut, book) in enumerate(zip(index["cuts"], index["books"])):
             part = q[:, cut]
-            look_up = ((part[:, None] - book[None]) ** 2).sum(2)
-            distance += look_up[:, code[:, i]]
-        near = np.sqrt(np.maximum(0, distance)) <= reach + (radius + rest)[None] + 1e-9
+            look_up = ((part[:, None] - book[None]) ** 2).sum(2).astype(np.float32)
+            distance += look_up.take(code[:, i], axis=1)
+        near = distance <= limit
         if allowed is not None:
             near &= allowed(a, a + len(q))
-        if not near.any():
-            continue
-        # most of what the codes let pass is far: products of the block sort it out, and
-        # the components' own sums decide what is left
-        product = q_unit[a:a + QUERY_BLOCK] @ m_unit.T
-        near &= product >= np.where(single, cosine, 1 - (reach + radius) ** 2 / 2) - 1e-9
-        for j in np.flatnonzero(near.any(1)):
-            m = np.flatnonzero(near[j])
-            whole = m[~single[m]]
-            far = np.sqrt(np.maximum(0, 2 - 2 * product[j, whole])) + radius[whole]
-            inside = far <= reach - 1e-9
-            m = m[single[m]]
-            dot = (members[m] * queries[a + j]).sum(1)
-            m = m[dot / (m_norm[m] * q_norm[a + j]) >= cosine]
-            if len(m) or len(whole):
-                yield a + j, np.concatenate([m, whole[inside]]), whole[~inside]
+        # only what the codes let pass is compared
+        row, m = np.nonzero(near)
+        product = np.concatenate([np.empty(0), *(
+            np.einsum("ij,ij->i", queries[a + row[i:i + PAIRS]], members[m[i:i + PAIRS]])
+            for i in range(0, len(row), PAIRS))])
+        product /= q_norm[a + row] * m_norm[m]
+        sure = single[m] & (product >= cosine)
+        far = np.sqrt(np.maximum(0, 2 - 2 * product)) - reach
+        inside, cut = ~single[m] & (far <= -radius[m] - 1e-9), ~single[m] & (far <= radius[m] + 1e-9)
+        cut &= ~inside
+        hit = sure | inside | cut
+        row, m, cut = row[hit], m[hit], cut[hit]
+        ends = np.flatnonzero(np.diff(row, append=-1)) + 1
+        for j, z in zip(np.concatenate([[0], ends[:-1]]) if len(ends) else (), ends):
+            yield a + int(row[j]), m[j:z][~cut[j:z]], m[j:z][cut[j:z]]
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
+    size = F.coalesce(F.size("embedding"), F.lit(-1))
+    lengths = [r[0] for r in vectors.select(size.alias("s")).where("s > 0").distinct().orderBy("s").collect()]
+    out = _of_length(vectors.where(size <= (lengths or [0])[0]), (lengths or [1])[0], cosine)
+    for n in lengths[1:]:   # one row per length
+        out = out.union(_of_length(vectors.where(size == n), n, cosine))
+    return out
+
+
+def _of_length(vectors: DataFrame, length: int, cosine: float) -> DataFrame:
     spark = vectors.sparkSession
-    size = F.size("embedding")
-    usual = (vectors.where("embedding IS NOT NULL AND size(embedding) > 0")
-             .groupBy(size.alias("size")).agg(F.count("*").alias("n"))
-             .orderBy(F.desc("n"), "size").first())
-    length = usual["size"] if usual else 1
     id_kind = vectors.schema["vec_id"].dataType.simpleString()
 
     def read(batches):
