@@ -38,6 +38,17 @@ def test_round_trip(encoder, small):
     assert [t.decode() for t in encoder.decode(ids, n)] == texts
 
 
+def test_long_words_one_by_one_or_together(encoder, monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(a) for _ in range(n)) for a, n in (
+        ("abcdefghijklmnop", 3000), ("etaoin", 3000), ("ab日本語é", 700), ("x", 1500), ("日本", 300), ("▁a", 400))]
+    want, sizes = encoder.texts(texts)
+    monkeypatch.setattr(encode, "LONG_WORD", 10 ** 9)
+    got, numbers = encoder.texts(texts)
+    assert (want == got).all() and (sizes == numbers).all()
+    assert [t.decode() for t in encoder.decode(want, sizes)] == texts
+
+
 def test_scores_equal_the_best_of_all_segmentations(encoder, vocabulary):
     """Against a plain search over every segmentation of short words."""
     score = dict(zip(vocabulary["pieces"], vocabulary["scores"]))

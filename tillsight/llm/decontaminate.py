@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from tillsight.llm.common import in_slices, packed, quoted, unpacked, with_results
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+#: Text of one automaton, which takes some 280 bytes for each byte of it.
+BLOCK_BYTES = 1 << 20
 RESULT = {"n_words": "long", "hit_words": "array<int>", "items": "array<string>",
           "spans": "array<struct<start:int,end:int>>"}
 

@@ -11,8 +11,9 @@ probabilities (``pieces.load``). A character without a piece costs the least sco
 Edge cases: a null or empty text has no ids and decodes to the empty text; the
 character U+2581 itself is always written as bytes, so that decoding restores every
 text; white space other than the blank is ordinary text; an empty table gives no rows;
-extra columns pass through, ``ids`` and ``decoded`` are replaced. Very long words are
-matrices of one row.
+extra columns pass through, ``ids`` and ``decoded`` are replaced. Very long words, of
+which there are few of one length, are searched one by one (a million characters without
+a blank take seconds).
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from tillsight.llm.pieces import SPACE, VOCABULARY, Lattice, by_length, load, ra
 
 UNKNOWN_PENALTY = 10.0
 SLICE_BYTES = 3 << 20
+#: Words beyond this length, so few of one length, are searched one by one.
+LONG_WORD, FEW_WORDS = 256, 4
 #: Stands for a U+2581 of the text itself: a lone surrogate, which no text can hold.
 _LITERAL = "\ud800"
 
@@ -61,6 +64,12 @@ class Encoder:
         for index, code in by_length(words):
             length, n = code.shape
             piece = self.lattice.matches(code)
+            if n <= FEW_WORDS and length > LONG_WORD:
+                chosen = np.stack([self._long(code[:, i], [p[:, i] for p in piece]) for i in range(n)])
+                row, _ = np.nonzero(chosen != _NOTHING)
+                sizes[index] = np.bincount(row, minlength=n)
+                parts.append((index, chosen[chosen != _NOTHING]))
+                continue
             best = np.full((length + 1, n), -np.inf)
             best[0] = 0
             back = np.zeros((length + 1, n), np.int8)
@@ -116,6 +125,33 @@ class Encoder:
         word = np.repeat(np.arange(len(words)), sizes)
         return out, np.bincount(word, weights=many, minlength=len(words)).astype(np.int64)
 
+    def _long(self, code: np.ndarray, piece: list[np.ndarray]) -> np.ndarray:
+        """The best pieces of one long word, at their starts: the same search, a place at a
+        time over the pieces that end there, since a matrix of one row gains nothing."""
+        size, unknown, scores = len(code), self.unknown, self.scores.tolist()
+        ends, lengths, found = [np.arange(1, size + 1)], [np.ones(size, np.int64)], [piece[0]]
+        for l in range(2, len(piece) + 1):
+            at = np.flatnonzero(piece[l - 1] >= 0)
+            ends.append(at + l), lengths.append(np.full(len(at), l)), found.append(piece[l - 1][at])
+        ends, lengths, found = (np.concatenate(x) for x in (ends, lengths, found))
+        order = np.lexsort((-lengths, ends))   # by end, the longest first
+        lengths, found = lengths[order].tolist(), found[order].tolist()
+        stops = np.cumsum(np.bincount(ends, minlength=size + 1)).tolist()
+        best, back = [0.0] * (size + 1), [0] * (size + 1)
+        for end in range(1, size + 1):
+            top, own = -np.inf, 0
+            for i in range(stops[end - 1], stops[end]):
+                score = best[end - lengths[i]] + (scores[found[i]] if found[i] >= 0 else unknown)
+                if score > top:
+                    top, own = score, i
+            best[end], back[end] = top, own
+        chosen, end = np.full(size, _NOTHING, np.int64), size
+        while end:
+            i = back[end]
+            end -= lengths[i]
+            chosen[end] = found[i] if found[i] >= 0 else -1 - int(code[end])
+        return chosen
+
     def _spell(self, code: int):
         char = SPACE if code == ord(_LITERAL) else chr(code)
         return self.byte_ids[list(char.encode())]
