@@ -1,28 +1,11 @@
-"""Stored intermediate tables and connected components."""
+"""Connected components."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.session import scratch_path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared checkpoint folder and read it: work done so far is
-    not repeated when executors are lost, and lineage ends here."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a stored table that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+from tillsight.session import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
