@@ -1,7 +1,7 @@
 """Files with different headers: which columns each new file has, and reading them by name.
 
-The first record of every file is taken by one job, by built-in expressions on the
-file's first bytes. Only headers reach the driver: one entry per distinct header, with
+The first record of every file is taken from the file's first bytes; the rest of a file,
+of any length, is not read for it. Only headers reach the driver: one entry per distinct header, with
 the paths of its files (a micro-batch bounds their number). Files of one header are
 read by one scan; scans of headers with the same names, in any order, are united by
 name.
@@ -9,8 +9,11 @@ name.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..session import hadoop_path
 from .raw import CSV_OPTIONS
 
 HEADER_BYTES = 1 << 16   # a header record is no longer than this
@@ -29,6 +32,33 @@ def header_of(content: Column) -> Column:
     return F.transform(cells, lambda c: F.regexp_replace(plain(c), r"^\s+|\s+$", ""))
 
 
+def _head(spark: SparkSession, path: str) -> bytearray:
+    """A file's first record, or its first ``HEADER_BYTES`` if the record ends nowhere there."""
+    fs, p = hadoop_path(spark, path)
+    stream, content = fs.open(p), bytearray()
+    try:
+        for size in (HEADER_BYTES >> 4, HEADER_BYTES):
+            content += stream.readNBytes(size - len(content))
+            quoted = False
+            for m in re.finditer(rb'["\r\n]', content):
+                if m[0] == b'"':
+                    quoted = not quoted
+                elif not quoted:
+                    return content[:m.end()]
+    finally:
+        stream.close()
+    return content
+
+
+def with_heads(files: DataFrame) -> DataFrame:
+    """``files`` (path and the upload's key; a micro-batch bounds their number) with the
+    first bytes of each as ``content``."""
+    spark = files.sparkSession
+    rows = files.select("path", *UPLOAD_KEY).collect()   # one small row per file of the batch
+    return spark.createDataFrame([(*r, _head(spark, r["path"])) for r in rows],
+                                 "path string, user_id bigint, dataset_id bigint, content binary")
+
+
 def unique_names(header: list[str]) -> list[str]:
     """Names as one table needs them: a blank name is ``Unnamed: <place>``, a repeated one
     gets ``.1``, ``.2``, ..."""

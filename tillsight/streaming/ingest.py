@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..plans.etl import transform_upload, upload_order
 from ..sinks import uploads as log
 from ..sinks.writers import load_sales
-from ..sources.headers import UPLOAD_KEY, header_groups, read_by_name
+from ..sources.headers import UPLOAD_KEY, header_groups, read_by_name, with_heads
 from ..sources.raw import missing_to_null, refusal
 
 FILES_PER_BATCH = 1000
@@ -48,7 +48,8 @@ def ingest_landing(spark: SparkSession, landing_dir: str, table_dir: str, checkp
     ``awaitTermination()`` on it)."""
     when = dt.datetime.fromisoformat(now)
     stream = (spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
-              .option("maxFilesPerTrigger", files_per_batch).load(landing_dir))
+              .option("maxFilesPerTrigger", files_per_batch).load(landing_dir)
+              .select("path", "length", *UPLOAD_KEY))   # a batch holds what it selects: no file's content
 
     def note(keys, status, **values):
         if log_dir and keys:
@@ -68,7 +69,7 @@ def ingest_landing(spark: SparkSession, landing_dir: str, table_dir: str, checkp
         if not good:
             return
         chosen = spark.createDataFrame(good, "user_id bigint, dataset_id bigint")
-        groups = header_groups(batch.join(F.broadcast(chosen), list(UPLOAD_KEY)))
+        groups = header_groups(with_heads(batch.join(F.broadcast(chosen), list(UPLOAD_KEY))))
         for names, headers in groups:
             keys = sorted({key for paths in headers.values() for key in map(_key_of, paths)})
             note(keys, "processing")
