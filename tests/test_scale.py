@@ -76,3 +76,12 @@ def test_headers_come_from_the_first_record_only(spark, tmp_path):
     got = {r.path[-5:]: bytes(r.content) for r in heads.collect()}
     assert got == {"x.csv": record[:-1], "y.csv": b"a" * HEADER_BYTES}
     assert ("a", 'b "c"\r\nd', "e") in header_groups(heads.where("path LIKE '%x.csv'"))[0][1]
+
+
+def test_customers_without_a_feature_are_in_a_cluster(spark):
+    rows = [(u, f"c{i}", i / 7, (i % 5) / 3, None if i % 10 == 3 else i / 2, float(i)) for u in (0, 1) for i in range(40)]
+    rows += [(2, "few", 0.0, 0.0, 0.0, 1.0), (2, "two", 1.0, 1.0, None, None)]
+    pts = spark.createDataFrame(rows, "user_id long, customer_id string, recency_z double, frequency_z double, "
+                                      "monetary_z double, monetary double")
+    out, _ = seg.kmeans_segments(pts)
+    assert out.count() == len(rows) and out.where("cluster IS NULL").isEmpty()
