@@ -9,7 +9,7 @@ from conftest import SMALL
 from tillsight.plans.catalog import sales
 from tillsight.plans.etl import file_order, transform_upload
 from tillsight.sinks import uploads
-from tillsight.sinks.writers import read_sales
+from tillsight.sinks.writers import CSV_OPTIONS, land_uploads, read_sales
 from tillsight.sources.headers import header_groups, unique_names
 from tillsight.sources.raw import read_raw_csv
 from tillsight.sources.tables import Tables
@@ -144,3 +144,43 @@ def test_refused_and_failing_uploads_leave_the_others_alone(spark, tmp_path):
     assert (states[2].status, states[2].error) == ("failed", "unsupported file type")
     assert states[3].status == "failed" and states[3].error
     assert {r.user_id for r in read_sales(spark, table).select("user_id").distinct().collect()} == {0}
+
+
+def test_an_upload_cut_over_batches_is_loaded_whole_and_once(spark, tmp_path):
+    """Its files may come in several micro-batches; each would replace the one before."""
+    landing, table, ckpt, log = (str(tmp_path / n) for n in ("landing", "table", "ckpt", "log"))
+    for uid, days in ((0, 3), (1, 2)):
+        folder = tmp_path / "landing" / f"user_id={uid}" / "dataset_id=1"
+        os.makedirs(folder)
+        for d in range(1, days + 1):
+            (folder / f"{d}.csv").write_text(f"Order Date,Product Name,Sales\n2024-01-0{d},Lamp {d},{d}0\n")
+    os.makedirs(f"{landing}/user_id=2/dataset_id=1")
+    for name in ("a.txt", "b.txt"):
+        (tmp_path / "landing" / "user_id=2" / "dataset_id=1" / name).write_text("x")
+    ingest_landing(spark, landing, table, ckpt, now=NOW, log_dir=log, files_per_batch=1).awaitTermination()
+    got = read_sales(spark, table).groupBy("user_id").agg(F.count("id"), F.sum("total_sales")).collect()
+    assert sorted(map(tuple, got)) == [(0, 3, 60.0), (1, 2, 30.0)]
+    events = uploads.read_log(spark, log).groupBy("user_id", "status").count().collect()
+    assert {tuple(r) for r in events} == {(0, "uploaded", 1), (0, "processing", 1), (0, "processed", 1),
+                                          (1, "uploaded", 1), (1, "processing", 1), (1, "processed", 1),
+                                          (2, "uploaded", 1), (2, "failed", 1)}
+    # another file for an upload that is known: the whole folder counts again
+    (tmp_path / "landing" / "user_id=1" / "dataset_id=1" / "3.csv").write_text(
+        "Order Date,Product Name,Sales\n2024-01-03,Lamp 3,30\n")
+    ingest_landing(spark, landing, table, ckpt, now=NOW, log_dir=log, files_per_batch=1).awaitTermination()
+    got = read_sales(spark, table).groupBy("user_id").agg(F.count("id"), F.sum("total_sales")).collect()
+    assert sorted(map(tuple, got)) == [(0, 3, 60.0), (1, 3, 60.0)]
+
+
+def test_landed_files_pass_admission(spark, tmp_path):
+    """An upload larger than a file may be is landed as several files, with all its rows."""
+    rows = [(u, 1, f'{"é" * (i % 40)}"{i}", x', str(i), None) for u in (0, 1) for i in range(300)]
+    df = spark.createDataFrame(rows, "user_id bigint, dataset_id bigint, item string, qty string, note string")
+    landing = str(tmp_path / "landing")
+    land_uploads(df, landing, max_bytes=4000)
+    sizes = [os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(landing) for f in files if f.endswith(".csv")]
+    assert len(sizes) > 4 and max(sizes) <= 4000
+    back = spark.read.options(**CSV_OPTIONS).option("multiLine", True).csv(landing)
+    columns = ["user_id", "item", "qty"]
+    key = lambda d: sorted((int(r[0]), r[1], r[2]) for r in d.select(*columns).collect())
+    assert key(back) == key(df)
